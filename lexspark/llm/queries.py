@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import near_dedup
+from lexspark.llm import decontam, mixing, near_dedup
 from lexspark.session import table
 
 
@@ -16,8 +16,22 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside benchmark windows."""
+    marked = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents."""
+    marked = mixing.mix(table(spark, sf_dir, "documents"))
+    return marked.select("doc_id", "size", "source_size", "target", "taken", "repetitions")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op10_mix_sources": op10_mix_sources,
 }
 
 ORACLES: dict[str, str] = {}
