@@ -6,22 +6,50 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontam, mixing, near_dedup
+from lexspark.llm import decontam, media, mixing, near_dedup, quality, token_counts, toxicity, url_filter
 from lexspark.session import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of all documents."""
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "severity", "grade", "p_toxic", "toxic")
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     marked = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents' texts stored as media and read back."""
+    return media.media_columns(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of all documents."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents inside benchmark windows."""
     marked = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of all documents."""
     marked = mixing.mix(table(spark, sf_dir, "documents"))
@@ -29,8 +57,13 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_media_columns": op6_media_columns,
+    "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
+    "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
 }
 
