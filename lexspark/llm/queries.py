@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontam, media, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+from lexspark.llm import decontam, line_dedup, media, mixing, near_dedup, quality, token_counts, toxicity, url_filter
 from lexspark.session import table
 
 
@@ -28,6 +28,12 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without chunks of lines that repeat."""
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "removed_lines", "removed_words")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all documents' texts stored as media and read back."""
     return media.media_columns(table(spark, sf_dir, "documents"))
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_media_columns": op6_media_columns,
     "op7_token_counts": op7_token_counts,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
