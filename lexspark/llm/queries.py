@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexspark.llm import decontam, line_dedup, media, mixing, near_dedup, quality, token_counts, toxicity, url_filter
+from lexspark.llm import (
+    decontam,
+    line_dedup,
+    media,
+    mixing,
+    near_dedup,
+    quality,
+    secrets,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from lexspark.session import table
 
 
@@ -22,6 +33,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents."""
     marked = near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -65,6 +81,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_secret_scans": op3_secret_scans,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_media_columns": op6_media_columns,
