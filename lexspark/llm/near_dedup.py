@@ -18,22 +18,21 @@ SHINGLE_WORDS = 5
 SIMILARITY_PERCENT = 75
 #: A pair at a similarity of 0.75 shares no band with a probability of (1 - 0.75**5)**40 = 2e-5.
 BANDS, ROWS = 40, 5
-#: Low bits kept of each minimum.
-BITS = 2
-#: Candidates go on from this many standard deviations below the similarity asked for.
-SLACK = 5.0
-#: Buckets of up to this many sets give all their pairs; larger ones compare with two members, then what is left apart.
-SMALL_BUCKET = 16
-#: Sets of one large bucket that are compared with its others at once.
-LEFT_CHUNK = 64
+#: Minima whose low bits are kept; the first BANDS * ROWS of them make the bands.
+SIGNED = 400
+#: Low bits kept of each.
+BITS = 4
+#: Candidates go on from this many standard deviations below the similarity asked for: 3e-5 of pairs just at it do not.
+SLACK = 4.0
+#: Sets of one bucket that are compared at once, on either side.
+CHUNK = 64
 
 _PER_LONG = 64 // BITS
-_LONGS = -(-BANDS * ROWS // _PER_LONG)
 
 
 def sketcher(bands: int, rows: int, k: int):
     """A mapInArrow function: (doc_id, text) to (doc_id, n_shingles, h1, h2, bands, sig)."""
-    n = bands * rows
+    n, banded = max(SIGNED, bands * rows), bands * rows
     rng = np.random.Generator(np.random.PCG64(75))
     a = rng.integers(0, 2**31, n, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
     c = rng.integers(0, 2**31, n, dtype=np.uint32)[:, None] * np.uint32(2) + np.uint32(1)
@@ -61,7 +60,7 @@ def sketcher(bands: int, rows: int, k: int):
                     ids[i, 0] = values.sum(dtype=np.uint64)
                     ids[i, 1] = np.bitwise_xor.reduce(textkit.mix(values + np.uint64(77)))
                     m = minima(values)
-                    keys[i] = textkit.mix((m.reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + salt)
+                    keys[i] = textkit.mix((m[:banded].reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + salt)
                     low = np.zeros(longs * per_long, np.uint64)
                     low[:n] = m & np.uint64(2**bits - 1)
                     low = low.reshape(longs, per_long) << (np.arange(per_long, dtype=np.uint64) * np.uint64(bits))
@@ -97,7 +96,7 @@ def set_maker(k: int):
     return run
 
 
-def estimate(a: Column, b: Column, n: int = BANDS * ROWS) -> Column:
+def estimate(a: Column, b: Column, n: int = SIGNED) -> Column:
     """Similarity by equal b-bit values, corrected for those equal by chance (a share of 2**-b)."""
     ones = (1 << 64) // (2**BITS - 1)  # the lowest bit of each packed value
     mask = F.lit(ones - (1 << 64) if ones >= 1 << 63 else ones)
@@ -113,7 +112,7 @@ def estimate(a: Column, b: Column, n: int = BANDS * ROWS) -> Column:
     return (equal / F.lit(float(n)) - F.lit(chance)) / F.lit(1 - chance)
 
 
-def floor_of(percent: int, n: int = BANDS * ROWS) -> float:
+def floor_of(percent: int, n: int = SIGNED) -> float:
     """The estimate from which a pair is compared in full: SLACK standard deviations below."""
     chance = 2.0**-BITS
     equal = chance + (1 - chance) * percent / 100
@@ -161,10 +160,11 @@ def near_duplicates(
     Empty table: empty result.
 
     Documents of equal sets form a class, and its smallest id stands for it. Of each class, ROWS minima form the key
-    of each of BANDS bands. Small buckets give all pairs, at most (SMALL_BUCKET - 1) / 2 for each member. In larger
-    ones each member meets the bucket's smallest and largest id; once components are known, members outside the
-    component of the smallest are compared with all others of the bucket by their packed bits, in chunks. Pairs whose
-    estimate is high enough are proved on the full sets. No bucket is capped.
+    of each of BANDS bands. First each class meets the centre of its buckets, that of its fellows that shares most
+    buckets with others. Once components are known, the members of a bucket outside the component of its smallest id are compared with all others of the bucket by their
+    packed bits, in chunks; so a group of copies gives one pair for each member, and every pair that shares a bucket
+    is either in one component or compared. Pairs whose estimate is high enough are proved on the full sets. No bucket
+    is capped.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut(
@@ -187,42 +187,35 @@ def near_duplicates(
     # one row for each class
     unique = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     signs = unique.select("doc_id", "sig")
-    members = unique.select("doc_id", F.explode("bands").alias("key"))
-    buckets = cut(
-        members.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        .where("low < high"),
-        "buckets",
-    )
-    two = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    some = (
-        members.join(buckets.where(f"n > 2 and n <= {SMALL_BUCKET}").select("key"), "key")
-        .groupBy("key")
-        .agg(F.sort_array(F.collect_set("doc_id")).alias("ids"))
-        .select(F.posexplode("ids").alias("i", "a"), "ids")
-        .select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b"))
-    )
-    large = buckets.where(f"n > {SMALL_BUCKET}")
-    in_large = cut(members.join(large.select("key", "low", "high"), "key"), "large")
-    stars = in_large.select(F.col("low").alias("a"), F.col("doc_id").alias("b")).union(
-        in_large.select(F.col("doc_id").alias("a"), F.col("high").alias("b"))
-    )
+    members = unique.select("doc_id", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1"), "buckets")
+    in_bucket = cut(members.join(buckets, "key"), "in-bucket")
     floor = floor_of(percent)
-    pairs = cut(two.union(some).union(stars).where("a < b").distinct(), "pairs")
+    # first each member with the centre of its buckets, the class that shares most buckets with others
+    degree = in_bucket.groupBy("doc_id").agg(F.sum("n").alias("degree"))
+    centred = in_bucket.select("key", "doc_id").join(cut(degree, "degree"), "doc_id")
+    centres = centred.groupBy("key").agg(F.max(F.struct("degree", F.col("doc_id").alias("id"))).alias("centre"))
+    first = (
+        in_bucket.select("key", "doc_id")
+        .join(cut(centres, "centres"), "key")
+        .groupBy("doc_id")
+        .agg(F.max("centre").alias("centre"))
+        .where("centre.id <> doc_id")
+        .select(F.least("doc_id", "centre.id").alias("a"), F.greatest("doc_id", "centre.id").alias("b"))
+        .distinct()
+    )
     likely = (
-        pairs.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
+        first.join(signs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sig_a")), "a")
         .join(signs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sig_b")), "b")
         .where(estimate(F.col("sig_a"), F.col("sig_b")) >= floor)
         .select("a", "b")
-        .distinct()
     )
     links = cut(verified(cut(likely, "likely"), own, k, percent), "links")
     found = cut(components(links.union(copies)), "components")
-
-    rest = residual(in_large, found, signs, floor)
-    if not rest.isEmpty():
-        more = verified(rest, own, k, percent)
-        found = cut(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
+    # then what the buckets still hold apart
+    more = verified(apart(in_bucket, found, unique, floor), own, k, percent)
+    joined_so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    found = cut(components(joined_so_far.union(more)), "components")
 
     sizes = sketch.select("doc_id", "n_shingles")
     names = {c.lower() for c in ("n_shingles", "component_id", "kept")}
@@ -240,38 +233,69 @@ def near_duplicates(
     return joined.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
-def residual(in_large: DataFrame, found: DataFrame, signs: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a, b) of large buckets that no component joins yet and whose packed bits are near enough.
+def apart(in_bucket: DataFrame, found: DataFrame, unique: DataFrame, floor: float) -> DataFrame:
+    """Pairs (a, b) that share a bucket, are in no common component yet and whose packed bits are near enough.
 
-    The members outside the component of a bucket's smallest id, in chunks of about LEFT_CHUNK, meet every member of
-    the bucket: one row for each chunk and member, not one for each pair.
+    The members outside the component of a bucket's smallest id meet all members of the bucket, chunk by chunk of
+    about CHUNK each, so that no task holds a bucket and no row stands for a pair of which nothing comes. A pair comes
+    from its first common band.
     """
     label = found.select(F.col("node").alias("doc_id"), "component")
-    known = in_large.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    lows = known.where("doc_id = low").select("key", F.col("component").alias("main"))
-    known = known.join(lows, "key")
-    apart = cut(known.where("component <> main").join(signs, "doc_id"), "apart")
-    counts = apart.groupBy("key").agg(F.ceil(F.count("*") / F.lit(LEFT_CHUNK)).alias("chunks"))
-    chunks = (
-        apart.join(counts, "key")
-        .groupBy("key", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).alias("chunk"))
-        .agg(F.collect_list(F.struct("doc_id", "component", F.col("sig").alias("sig_a"))).alias("left"))
-    )
-    meet = known.select("key", "doc_id", "component").join(signs.withColumnRenamed("sig", "sig_b"), "doc_id").join(
-        chunks, "key"
-    )
-    near = F.filter(
-        "left",
-        lambda x: (x["component"] != F.col("component"))
-        & (x["doc_id"] != F.col("doc_id"))
-        & (estimate(x["sig_a"], F.col("sig_b")) >= floor),
-    )
-    return cut(
-        meet.select("doc_id", F.explode(near).alias("x"))
-        .select(F.least("doc_id", "x.doc_id").alias("a"), F.greatest("doc_id", "x.doc_id").alias("b"))
-        .distinct(),
-        "rest",
-    )
+    known = in_bucket.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    main = label.select(F.col("doc_id").alias("low"), F.col("component").alias("main"))
+    known = known.join(main, "low", "left").withColumn("main", F.coalesce("main", "low"))
+    known = known.withColumn("outside", F.col("component") != F.col("main"))
+    counts = known.groupBy("key").agg(F.count_if("outside").alias("n_left"), F.count("*").alias("n_all")).where("n_left > 0")
+    mixed = cut(known.select("key", "band", "doc_id", "component", "outside").join(cut(counts, "mixed"), "key"), "mixed")
+    full = mixed.join(unique.select("doc_id", "sig", "bands"), "doc_id")
+    member = F.struct("doc_id", "component", "sig", "bands")
+
+    def chunked(rows: DataFrame, size: str, name: str) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / F.lit(CHUNK))).alias("chunk")
+        return rows.groupBy("key", "band", chunk).agg(F.collect_list(member).alias(name)).drop("chunk")
+
+    left = cut(chunked(full.where("outside"), "n_left", "left"), "left")
+    right = cut(chunked(full, "n_all", "right").drop("band"), "right")
+    near = left.join(right, "key").select("band", "left", "right").mapInArrow(comparer(floor), "a long, b long")
+    return cut(near.distinct(), "rest")
+
+
+def comparer(floor: float):
+    """A mapInArrow function: (band, left, right) to the near pairs of two lists of (doc_id, component, sig, bands)."""
+    bits, n, chance = BITS, SIGNED, 2.0**-BITS
+    ones = np.uint64((1 << 64) // (2**bits - 1))
+    least = math.ceil(n * (chance + (1 - chance) * floor) - 1e-9)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                band = batch.column(0)[i].as_py()
+                x, y = (
+                    {f.name: values.field(f.name) for f in values.type}
+                    for values in (batch.column(c)[i].values for c in (1, 2))
+                )
+                ids, others = (np.asarray(z["doc_id"]) for z in (x, y))
+                apart = np.asarray(x["component"])[:, None] != np.asarray(y["component"])[None, :]
+                sigs, other_sigs, bands, other_bands = (
+                    np.asarray(z[name].flatten()).reshape(len(z["doc_id"]), -1) for name in ("sig", "bands") for z in (x, y)
+                )
+                found: list[tuple[np.ndarray, np.ndarray]] = []
+                for at in range(len(ids)):
+                    diff = sigs[at].view(np.uint64)[None, :] ^ other_sigs.view(np.uint64)
+                    folded = diff.copy()
+                    for step in range(1, bits):
+                        folded |= diff >> np.uint64(step)
+                    equal = n - np.bitwise_count(folded & ones).sum(axis=1)
+                    good = apart[at] & (equal >= least)
+                    good &= ~(bands[at, :band][None, :] == other_bands[:, :band]).any(axis=1)
+                    if good.any():
+                        b = others[good]
+                        found.append((np.minimum(ids[at], b), np.maximum(ids[at], b)))
+                if found:
+                    sides = [pa.array(np.concatenate(side)) for side in zip(*found, strict=True)]
+                    yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+
+    return run
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
