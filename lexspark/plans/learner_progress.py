@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.operators import learner as P
+from lexspark.operators import selection as S
 from lexspark.session import table
 
 
@@ -100,7 +100,7 @@ def coverage_pct(spark, sf_dir):
 
 def _ranked_items(spark, sf_dir):
     uses = _tries(spark, sf_dir).groupBy("item").agg(F.count("*").alias("uses"))
-    return uses.withColumn("rank", F.row_number().over(W.orderBy(F.desc("uses"), "item")) - 1)
+    return S.ranked(uses, "uses", "item").withColumn("rank", F.col("rank") - 1)
 
 
 def estimation_bands(spark, sf_dir):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
 from lexspark.operators import lines as L
+from lexspark.operators import selection as S
 from lexspark.session import table
 
 TOKEN = T.TOKEN.replace("'", "''")
@@ -32,13 +32,8 @@ def song_count(spark, sf_dir):
 
 
 def stable_rank(spark, sf_dir):
-    """WIN09: a rank by count, then word. The words are ranked within bands of equal count, bands by a running sum."""
-    counts = L.word_counts(_docs(spark, sf_dir))
-    bands = counts.groupBy("corpus_count").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(W.orderBy(F.desc("corpus_count")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    bands = bands.select("corpus_count", ahead.alias("ahead"))
-    within = F.row_number().over(W.partitionBy("corpus_count").orderBy("word"))
-    return counts.join(bands, "corpus_count").select("word", (F.col("ahead") + within).alias("rank"))
+    """WIN09: a rank by count, then word."""
+    return S.ranked(L.word_counts(_docs(spark, sf_dir)), "corpus_count", "word").select("word", "rank")
 
 
 def line_score(spark, sf_dir):
