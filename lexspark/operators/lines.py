@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.session import cut
 
 # Thresholds of phrase mining, and the clitics of slot families.
 PMI_LEAST, PMI_COUNT, PMI_DOCS = 15.0, 4, 3
@@ -86,15 +87,27 @@ def pmi_phrases(
     return rated.select("n", "ngram", "count", "doc_count", F.round(pmi, 1).alias("pmi")).where(F.col("pmi") >= least)
 
 
+def inner_strings(phrases: DataFrame) -> DataFrame:
+    """(n, ngram): for each phrase all substrings of two or more words but fewer than its own, parts of outer words too."""
+    rows = phrases.select("n", F.split("ngram", " ").alias("w"))
+    rows = rows.withColumn("m", F.explode_outer(F.expr("filter(sequence(2, 5), m -> m < n)"))).where("m is not null")
+    rows = rows.withColumn("i", F.explode(F.expr("sequence(0, n - m)"))).select("m", F.expr("slice(w, i + 1, m)").alias("w"))
+    rows = rows.withColumn("a", F.explode(F.expr("sequence(1, length(w[0]))")))
+    rows = rows.withColumn("b", F.explode(F.expr("sequence(1, length(w[m - 1]))")))
+    text = F.expr("array_join(concat(array(substr(w[0], a)), slice(w, 2, m - 2), array(left(w[m - 1], b))), ' ')")
+    return rows.select(F.col("m").alias("n"), text.alias("ngram")).distinct()
+
+
 def overlap_dedupe(phrases: DataFrame) -> DataFrame:
-    """Phrases that are no substring of a longer kept one; raw containment, so parts of words count."""
-    kept = None
-    for n in sorted(NGRAM_SIZES, reverse=True):
-        own = phrases.where(F.col("n") == n)
-        if kept is not None:
-            # candidates share the phrase's first word, or a word that ends in it
-            own = own.alias("a").join(kept.alias("b"), F.expr("instr(b.ngram, a.ngram) > 0"), "left_anti")
-        kept = own if kept is None else kept.unionByName(own)
+    """Phrases that are no substring of a longer kept one; raw containment, so parts of words count.
+
+    A kept phrase lists its few hundred inner substrings, so containment is an equi-join.
+    """
+    phrases = cut(phrases.select("n", "ngram"), "phrases")
+    kept = phrases.where(F.col("n") == max(NGRAM_SIZES))
+    for n in sorted(NGRAM_SIZES, reverse=True)[1:]:
+        own = phrases.where(F.col("n") == n).join(inner_strings(kept).where(F.col("n") == n), ["n", "ngram"], "left_anti")
+        kept = cut(kept.unionByName(own), "kept")
     return kept
 
 

@@ -62,7 +62,7 @@ def greedy_cover(rows: DataFrame, key: str, item: str, parts: str, order: str, k
             out.append((a, b, len(out) + 1))
         return pd.DataFrame(out, columns=[key, item, "place"])
 
-    return rows.select(key, item, parts, order).groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {item} {kinds[item]}, place int")
+    return rows.select(*dict.fromkeys((key, item, parts, order))).groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {item} {kinds[item]}, place int")
 
 
 def largest_remainder(rows: DataFrame, keys: list[str], total: str, weight: str, order: str) -> DataFrame:
