@@ -64,7 +64,8 @@ def contamination(
 
     Windows must occur whole, so a window's rarest shingle is a prefix that is enough to find it: shingles are
     ordered by the number of their occurrences in docs, each window is joined on its rarest one, the occurrence must
-    leave room on both sides (length and position), and then the words are compared.
+    leave room on both sides (length and position), and then the words are compared. One pass over the texts keeps the
+    places of any shingle of the benchmark with the words around them; the counts and the join follow from those.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     keep = [c for c in docs.columns if c.lower() not in new]
@@ -90,28 +91,32 @@ def contamination(
             ).alias("offset", "hash"),
         )
         distinct = shingles.select("hash").distinct()
+        # where a size's hashes begin in the flattened array, and which size stands at a place
+        place, base = F.lit(None).cast("int"), F.lit(0)
+        for k in sizes:
+            n = F.greatest(F.size("w") - F.lit(k - 1), F.lit(0))
+            place = F.when((F.col("pos") >= base) & (F.col("pos") < base + n), F.col("pos") - base).otherwise(place)
+            base = base + n
         # outer: else a filter on the array's size is put below, which works it out once for each word
-        counts = hashed.select(F.explode_outer("hashes").alias("hash")).join(side(distinct), "hash", "left_semi").groupBy("hash").count()
-        counts = cut(counts, "shingle-counts")
+        at = hashed.select("__row", "w", F.posexplode_outer("hashes").alias("pos", "hash"))
+        # one pass over the texts: places of any window's shingles, with the words that a window there could reach
+        reach = WINDOW - min(sizes)
+        begin = F.greatest(F.col("at") - F.lit(reach), F.lit(0))
+        met = at.join(side(distinct), "hash", "left_semi").select("__row", "hash", "w", place.alias("at"))
+        met = met.select("__row", "hash", "at", begin.alias("begin"), F.size("w").alias("n"),
+                         F.slice("w", begin + 1, F.col("at") - begin + WINDOW).alias("near"))
+        met = cut(met, "met")
+        counts = cut(met.groupBy("hash").count(), "shingle-counts")
         prefix = (
-            shingles.join(counts, "hash", "left")
+            shingles.join(counts, "hash")
             .groupBy("window_id", "window")
-            .agg(F.first("items").alias("items"), F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "offset", "hash")).alias("p"))
-            .where("p.n > 0")
+            .agg(F.first("items").alias("items"), F.min(F.struct(F.col("count").alias("n"), "offset", "hash")).alias("p"))
             .select(F.col("p.hash").alias("hash"), F.col("p.offset").alias("offset"), "window", F.size("window").alias("len"), "items")
         )
         prefix = cut(prefix, "prefixes")
-        # where a size's hashes begin in the flattened array
-        place = F.lit(None).cast("int")
-        base = F.lit(0)
-        for k in sizes:
-            n = F.greatest(F.size("w") - F.lit(k - 1), F.lit(0))
-            place = F.when((F.col("pos") >= base) & (F.col("pos") < base + n), F.col("pos") - base).otherwise(place)
-            base = base + n
-        at = hashed.select("__row", "w", F.posexplode_outer("hashes").alias("pos", "hash"))
-        found = at.join(side(prefix), "hash").withColumn("start", place - F.col("offset"))
-        fits = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.size("w"))
-        found = found.where(fits).where(F.expr("slice(w, start + 1, len) = window")).select("__row", "start", "len", "items")
+        found = met.join(side(prefix), "hash").withColumn("start", F.col("at") - F.col("offset"))
+        fits = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
+        found = found.where(fits).where(F.expr("slice(near, start - begin + 1, len) = window")).select("__row", "start", "len", "items")
         hits = found.groupBy("__row").agg(
             F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
