@@ -98,7 +98,7 @@ def mix(
         .groupBy("d.source", "d.bucket", "key", "size", "need", "before")
         .agg(F.sum("size").alias("words"))
         .withColumn("ahead", F.coalesce(F.sum("words").over(inside), F.lit(0)))
-        .withColumn("short", F.col("need") - F.col("before") - F.col("ahead"))
+        .withColumn("short", F.col("need") - (F.col("before") + F.col("ahead")))
         .where("short > 0 and short <= words")
         .select("source", "key", F.col("size").alias("key_size"), (F.col("short") / F.col("words")).alias("part"))
     )

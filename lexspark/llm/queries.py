@@ -91,4 +91,64 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mix_sources": op10_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+UPPER, LOWER = decontam.UPPER, decontam.LOWER
+SPACED = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _near_dedup_sql() -> str:
+    return f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{SPACED}') AS w FROM documents),
+ s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ l AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+ r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.c)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.c AS component_id, d.doc_id = c.c AS kept FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) c USING (doc_id)"""
+
+
+def _decontamination_sql() -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents), i AS (SELECT item_id, {words} AS w FROM benchmark),
+ win AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, w[j:j + 12] AS win FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS j FROM i WHERE len(w) > 0)),
+ sizes AS (SELECT DISTINCT len(win) AS k FROM win), runs AS (SELECT doc_id, j, k, w[j:j + k - 1] AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM d, sizes WHERE len(w) >= k)),
+ hits AS (SELECT doc_id, j, k, item FROM runs JOIN win USING (win)), pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(j, j + k)) AS p FROM hits) GROUP BY 1),
+ ids AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(pos.n, 0) AS n_hit, coalesce(ids.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+ coalesce(pos.n, 0) > 0 AND {decontam.MAX_SHARE} * coalesce(pos.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: (-len(r[1]), -len(r[1].partition("/")[0]), r[0] != "block"))
+    cases, verdicts = [], []
+    for action, rule in rules:
+        host, _, path = rule.partition("/")
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')"
+        cases.append(f"WHEN {fits} THEN '{rule}'")
+        verdicts.append(f"WHEN rule = '{rule}' THEN '{action}'")
+    hit = lambda w: f"CAST(regexp_matches(low, '(^|[^a-z0-9]){w}($|[^a-z0-9])') AS INT)"
+    return f"""WITH u AS (SELECT page_id, url, translate(coalesce(url, ''), '{UPPER}', '{LOWER}') AS low, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ h AS (SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw FROM u), p AS (SELECT *, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+ r AS (SELECT *, CASE {' '.join(cases)} END AS rule, {' + '.join(map(hit, url_filter.STRICT))} AS strict_hits, {' + '.join(map(hit, url_filter.SOFT))} AS soft_hits FROM p)
+SELECT page_id, host, path, rule, CASE {' '.join(verdicts)} WHEN strict_hits > 0 OR soft_hits >= {url_filter.SOFT_HITS} THEN 'block' ELSE 'allow' END AS verdict, strict_hits, soft_hits FROM r"""
+
+
+def _mixing_sql() -> str:
+    cycle = f"[{', '.join(map(str, mixing.WEIGHTS))}][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % {len(mixing.WEIGHTS)} + 1]"
+    return f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{SPACED}')) AS size, md5('{mixing.SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+ s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), w AS (SELECT *, {cycle} AS weight, source_size * {mixing.MAX_EPOCHS} AS cap FROM s),
+ l AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM s) - CAST(coalesce(sum(cap) OVER o, 0) AS BIGINT) AS rest, (SELECT CAST(sum(weight) AS BIGINT) FROM w) - CAST(coalesce(sum(weight) OVER o, 0) AS BIGINT) AS weights
+  FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ f AS (SELECT *, CAST(cap AS DOUBLE) * weights >= CAST(rest AS DOUBLE) * weight AS free FROM l), b AS (SELECT rest, weights FROM f WHERE free ORDER BY cap / weight, rest, weights LIMIT 1),
+ g AS (SELECT source, source_size, CASE WHEN free THEN weight * (SELECT rest FROM b) / (SELECT weights FROM b) ELSE CAST(cap AS DOUBLE) END AS target FROM f),
+ n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS whole FROM g), t AS (SELECT *, target - whole * source_size AS need FROM n),
+ k AS (SELECT source, key, size, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d GROUP BY source, key, size),
+ x AS (SELECT d.doc_id, d.size, t.source_size, t.target, whole, CASE WHEN need <= 0 OR ahead >= need THEN 0.0 WHEN ahead + words <= need THEN 1.0 ELSE CAST((need - ahead) / words AS DOUBLE) END AS extra
+  FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source JOIN k ON k.source IS NOT DISTINCT FROM d.source AND k.key = d.key AND k.size = d.size)
+SELECT doc_id, size, source_size, target, CAST(size * whole + floor(size * extra) AS BIGINT) AS taken, whole + extra AS repetitions FROM x"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": _near_dedup_sql(),
+    "op8_benchmark_decontamination": _decontamination_sql(),
+    "op9_url_filters": _url_sql(),
+    "op10_mix_sources": _mixing_sql(),
+}
