@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from lexspark.llm import textkit
 from lexspark.session import cut
 
-#: A chunk ends at the end of a line, or where the rolling hash of the last WINDOW lines is 0 modulo DIVISOR.
-WINDOW, DIVISOR = 2, 3
 #: Chunks of one line count from this many words; those of more lines always.
 LINE_WORDS = 12
 
@@ -29,7 +27,9 @@ def chunks(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.n
     """For all chunks of some rows: row, begin, start, end, stop, lines, words, h1, h2.
 
     Lines end at a line feed, or after one of .!? before a space, so that a paragraph's sentences are lines too; those
-    without words belong to what follows. A chunk's bytes, which are hashed and compared, go from the first word's
+    without words belong to what follows. A chunk ends where a line does that ends in a line feed, and behind a line
+    whose hash is the least in the rolling window of itself and its two neighbours: three lines on average, at least
+    two, and the same wherever the lines stand. A chunk's bytes, which are hashed and compared, go from the first word's
     start to the last one's end; removing it takes begin to stop, with the white space behind it.
     """
     n = len(data)
@@ -49,10 +49,17 @@ def chunks(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.n
     line_last = np.flatnonzero(stops)  # words that end a line
     line_first = np.concatenate([[0], line_last[:-1] + 1])
     hashes = textkit.span_hashes(data, starts[line_first], ends[line_last], tables[0])
-    before = np.concatenate([np.zeros(1, np.uint64), hashes[:-1]])
-    before[np.concatenate([[True], breaks[line_last[:-1]]])] = 0  # the window begins anew behind a line feed
-    rolling = textkit.mix(hashes + before * np.uint64(3))
-    anchor = breaks[line_last] | (rolling % np.uint64(DIVISOR) == 0)
+    ends_line, short = breaks[line_last], line_last - line_first + 1 < LINE_WORDS
+    first_line = np.concatenate([[True], ends_line[:-1]])
+    # a chunk ends behind a line whose hash is the least of a rolling window of three
+    rolling = textkit.mix(hashes)
+    rolling[ends_line] = np.uint64(2**64 - 1)
+    before = np.concatenate([np.full(1, 2**64 - 1, np.uint64), rolling[:-1]])
+    after = np.concatenate([rolling[1:], np.full(1, 2**64 - 1, np.uint64)])
+    anchor = ends_line | (~first_line & (rolling < before) & (rolling < after))
+    # a short line left alone at the end of a line joins what precedes
+    alone = ends_line & np.concatenate([[True], anchor[:-1]]) & short
+    anchor[:-1] &= ~alone[1:] | ends_line[:-1]
     chunk_last = np.flatnonzero(anchor)
     chunk_first = np.concatenate([[0], chunk_last[:-1] + 1])
     a, b = line_first[chunk_first], line_last[chunk_last]
