@@ -16,7 +16,8 @@ LATE = "1 hour"
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
     """A stream over a folder of event files, some files at a time."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need instants
 
 
 def once(events: DataFrame, late: str = LATE) -> DataFrame:
@@ -24,22 +25,27 @@ def once(events: DataFrame, late: str = LATE) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def daily_counts(events: DataFrame, late: str = LATE) -> DataFrame:
+def _marked(events: DataFrame, late: str | None) -> DataFrame:
+    """events with a watermark; None: they have one already."""
+    return events if late is None else events.withWatermark("ts", late)
+
+
+def daily_counts(events: DataFrame, late: str | None = LATE) -> DataFrame:
     """Events by day and type."""
-    counts = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    counts = _marked(events, late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("day"), "event_type", "n")
 
 
-def weekly_mistakes(events: DataFrame, late: str = LATE) -> DataFrame:
+def weekly_mistakes(events: DataFrame, late: str | None = LATE) -> DataFrame:
     """FLT17: wrong answers of each user in seven days, every day anew."""
-    wrong = events.where("event_type = 'error'").withWatermark("ts", late)
+    wrong = _marked(events, late).where("event_type = 'error'")
     counts = wrong.groupBy(F.window("ts", "7 days", "1 day"), "user_id").agg(F.count("*").alias("n"))
     return counts.select(F.col("window.start").alias("since"), "user_id", "n")
 
 
-def study_sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
+def study_sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = LATE) -> DataFrame:
     """Sessions of a user: events with at most a gap between them."""
-    found = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
+    found = _marked(events, late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
     return found.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "user_id", "n")
 
 

@@ -13,7 +13,7 @@ from lexspark.streaming import learner_events as S
 def replay(spark, sf, tmp_path_factory):
     """Events in four files in order of time, some of them twice."""
     root = tmp_path_factory.mktemp("events")
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     cuts = events.selectExpr("percentile(cast(ts as long), array(0.25, 0.5, 0.75)) q").first()["q"]
     part = sum((F.col("ts").cast("long") > c).cast("int") for c in cuts)
     again = events.where("event_id % 10 = 0")
@@ -36,7 +36,7 @@ def test_repeats_are_dropped(spark, replay, tmp_path):
 
 def test_daily_counts_equal_batch(spark, replay, tmp_path):
     path, events = replay
-    got = run(S.daily_counts(S.once(S.read_events(spark, path))), tmp_path, "daily")
+    got = run(S.daily_counts(S.once(S.read_events(spark, path)), None), tmp_path, "daily")
     want = events.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
     rows = {tuple(r) for r in got.collect()}
     assert rows <= {tuple(r) for r in want.collect()} and len(rows) >= 0.9 * want.count()  # the last day is still open
@@ -53,7 +53,7 @@ def test_sessions_do_not_overlap(spark, replay, tmp_path):
 
 def test_weekly_mistakes(spark, replay, tmp_path):
     path, events = replay
-    got = run(S.weekly_mistakes(S.once(S.read_events(spark, path))), tmp_path, "weekly").first()
+    got = run(S.weekly_mistakes(S.once(S.read_events(spark, path)), None), tmp_path, "weekly").first()
     inside = events.where((F.col("event_type") == "error") & (F.col("user_id") == got["user_id"]))
     inside = inside.where((F.col("ts") >= F.lit(got["since"])) & (F.col("ts") < F.lit(got["since"]) + F.expr("INTERVAL 7 DAYS")))
     assert inside.count() == got["n"]
