@@ -8,7 +8,7 @@ from compare import differences, duck
 from lexspark import catalog
 
 #: Queries whose greedy step is sequential within a group.
-GROUPED = {"set_cover_examples", "retire_near_senses"}
+GROUPED = {"set_cover_examples", "retire_near_senses", "greedy_song_use"}
 ORACLES = catalog.oracle_sql()
 QUERIES = catalog.queries()
 
