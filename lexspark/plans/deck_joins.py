@@ -82,7 +82,7 @@ def redirect_chase(spark, sf_dir):
 
 def duplicate_songs(spark, sf_dir):
     """JOI11, SIM18, WIN17: pairs of documents with a run of four shared lines or 30 % of them (labels .80, 6)."""
-    pairs = D.shared_lines(table(spark, sf_dir, "documents")).where("run >= 4 or pct >= 0.3")
+    pairs = D.shared_lines(table(spark, sf_dir, "documents"))
     label = F.when(F.col("pct") >= 0.8, "near-duplicate").when(F.col("run") >= 6, "shared verse").otherwise("overlap")
     return pairs.withColumn("label", label)
 
