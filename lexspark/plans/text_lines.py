@@ -24,10 +24,12 @@ def _docs(spark, sf_dir):
 
 
 def word_count_once_per_doc(spark, sf_dir):
+    """TOK01, AGG01: words of each document's different lines."""
     return L.word_counts(_docs(spark, sf_dir)).select("word", "corpus_count")
 
 
 def song_count(spark, sf_dir):
+    """AGG02: documents of each word."""
     return L.word_counts(_docs(spark, sf_dir)).select("word", "doc_count")
 
 
@@ -37,6 +39,7 @@ def stable_rank(spark, sf_dir):
 
 
 def line_score(spark, sf_dir):
+    """FLT02: points of each line."""
     toks = L.tokenised(_docs(spark, sf_dir))
     return toks.select("doc_id", "line_no", T.line_score(F.col("toks")).alias("score"), T.good_context(F.col("toks")).alias("good"))
 

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import decks, identity, learner, lines, morphology, selection, similarity
+from lexspark.operators import decks, identity, learner, lines, morphology, scanning, selection, similarity, vocabulary
 
 
 def rows(df, *names):
@@ -145,3 +145,63 @@ def test_morphology(spark):
     assert rows(morphology.cognates(es, en), "es", "en") == [("famoso", "famous"), ("nación", "nation")]
     r = spark.createDataFrame([("possessive pronoun", "to wants it")], "p string, g string")
     assert tuple(r.select(morphology.normalize_pos(F.col("p")), morphology.normalize_translation(F.col("g"))).first()) == ("NOUN", "want")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.text(alphabet="aé' ’.-b🙂", max_size=25))
+def test_source_token_spans_match_a_scanner(spark, text):
+    import regex
+
+    df = spark.createDataFrame([(1, text)], "k int, line string")
+    got = rows(scanning.source_tokens(df, "line"), "ordinal", "start", "end", "surface")
+    assert got == [(i, m.start(), m.end(), m[0]) for i, m in enumerate(regex.finditer(scanning.SOURCE_TOKEN, text))]
+
+
+def test_colliding_ids_slide(spark):
+    words = spark.createDataFrame([(f"w{i}",) for i in range(3000)], "w string")
+    got = scanning.stable_ids(words, F.col("w"), 2)  # two digits, so that all collide
+    assert got.where("length(id) <> 2").count() == got.where("length(id) < 2").count() < 3000
+    assert scanning.stable_ids(words, F.col("w")).select("id").distinct().count() == 3000
+
+
+def test_registry_refuses_unknown_and_odd_methods(spark):
+    r = scanning.Registry()
+    r.register("m", lambda d: d)
+    with pytest.raises(ValueError):
+        r.register("m", lambda d: d)
+    with pytest.raises(KeyError):
+        r.run("other", spark.range(1))
+    with pytest.raises(ValueError):
+        r.run("m", spark.range(1))
+
+
+def test_capped_examples_empty_no_meaning(spark):
+    df = spark.createDataFrame([(1, m, p) for m, n in (("a", 5), ("b", 1), ("c", 2)) for p in range(n)], "card int, m string, p int")
+    got = rows(vocabulary.cap_examples(df, "card", "m", "p", 4), "m", "p")
+    assert got == [("a", 0), ("a", 1), ("b", 0), ("c", 0)]
+    assert {m for m, _ in rows(vocabulary.cap_examples(df, "card", "m", "p", 1), "m", "p")} == {"a", "b", "c"}
+
+
+def test_coverage_order_is_a_permutation():
+    assert sorted(vocabulary.coverage_order(17)) == list(range(17)) and vocabulary.coverage_order(3) == [1, 0, 2]
+
+
+def test_vocal_artifacts(spark):
+    toks = [(1, 0, i, t, x) for i, (t, x) in enumerate((("eh", True), ("ah", False), ("an", False), ("mover", False), ("over", False), ("casa", False)))]
+    df = spark.createDataFrame(toks, "doc_id int, line_no int, i int, token string, inside boolean")
+    lexicon = spark.createDataFrame([("mover",), ("casa",)], "word string")
+    assert rows(vocabulary.vocal_artifacts(df, lexicon).where("label is not null"), "i", "label") == [(0, "adlib"), (1, "stutter"), (2, "stutter"), (4, "echo")]
+
+
+def test_exact_surface(spark):
+    df = spark.createDataFrame([("hola", "Dijo Hola."), ("a.b", "x A.B y"), ("ola", "hola")], "s string, line string")
+    assert [r[0] for r in df.select(vocabulary.exact_surface("s", "line")).collect()] == ["Hola", "A.B", None]
+
+
+def test_shared_lines_find_rare_overlaps(spark):
+    common = ["la la common line", "another common line here"]
+    docs = [(i, "\n".join([*common, *(f"line {j} of document {i}" for j in range(8))])) for i in range(12)]
+    docs += [(20, "\n".join(common + [f"line {j} of document 3" for j in range(4)])), (21, "\n".join(common))]
+    got = {(r["a"], r["b"]): (r["shared"], r["run"], r["pct"]) for r in decks.shared_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[(3, 20)] == (6, 6, 1.0) and got[(0, 21)] == (2, 2, 1.0)
+    assert (0, 1) not in got  # two of ten lines
