@@ -54,12 +54,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/lexspark/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what cut() has written in this application; results that were not yet computed are lost with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages neither recompute it nor depend on one executor.
 
     The files also give the planner true sizes, so that Spark broadcasts the result only below its own limit.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lexspark/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
