@@ -39,17 +39,16 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("corpus_count"), F.count("*").alias("doc_count"))
 
 
+def stretches(docs: DataFrame, least: int) -> DataFrame:
+    """(doc_id, line_key, toks): each different stretch between punctuation of a document, of `least` tokens or more."""
+    parts = lines(docs).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
+    toks = parts.select("doc_id", T.tokens(F.col("part")).alias("toks")).where(F.size("toks") >= least)
+    return toks.select("doc_id", F.array_join("toks", " ").alias("line_key")).distinct().withColumn("toks", F.split("line_key", " "))
+
+
 def ngrams(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
-    """(doc_id, line_key, n, ngram) within stretches between punctuation, each different line once a document."""
-    chunks = (
-        lines(docs)
-        .select("doc_id", F.posexplode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("chunk_no", "chunk"), "line")
-        .select("doc_id", T.tokens(F.col("chunk")).alias("toks"))
-        .where(f"size(toks) >= {min(sizes)}")
-        .select("doc_id", F.array_join("toks", " ").alias("line_key"))
-        .distinct()
-        .withColumn("toks", F.split("line_key", " "))
-    )
+    """(doc_id, line, n, ngram) within stretches between punctuation, each different one once a document; line is its hash."""
+    chunks = stretches(docs, min(sizes))
     runs = [
         F.expr(
             f"CASE WHEN size(toks) >= {n} THEN transform(sequence(0, size(toks) - {n}), "
@@ -57,29 +56,35 @@ def ngrams(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
         )
         for n in sizes
     ]
-    return chunks.select("doc_id", "line_key", F.explode_outer(F.flatten(F.array(*runs))).alias("g")).where("g is not null").select(
-        "doc_id", "line_key", "g.n", "g.ngram"
-    )
+    grams = chunks.select("doc_id", F.xxhash64("line_key").alias("line"), F.explode_outer(F.flatten(F.array(*runs))).alias("g"))
+    return grams.where("g is not null").select("doc_id", "line", "g.n", "g.ngram")
 
 
-def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
-    """n, ngram, count, doc_count and line_count (different document and line pairs)."""
-    each = ngrams(docs, sizes).groupBy("n", "ngram", "doc_id", "line_key").agg(F.count("*").alias("c"))
-    each = each.groupBy("n", "ngram", "doc_id").agg(F.sum("c").alias("c"), F.count("*").alias("l"))
-    return each.groupBy("n", "ngram").agg(
-        F.sum("c").alias("count"), F.count("*").alias("doc_count"), F.sum("l").alias("line_count")
-    )
+def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES, lines: bool = True) -> DataFrame:
+    """n, ngram, count, doc_count and, if asked for, line_count (different document and line pairs)."""
+    each = ngrams(docs, sizes)
+    if lines:
+        each = each.groupBy("n", "ngram", "doc_id", "line").agg(F.count("*").alias("c"))
+        each = each.groupBy("n", "ngram", "doc_id").agg(F.sum("c").alias("c"), F.count("*").alias("l"))
+    else:
+        each = each.groupBy("n", "ngram", "doc_id").agg(F.count("*").alias("c"))
+    sums = [F.sum("c").alias("count"), F.count("*").alias("doc_count"), *[F.sum("l").alias("line_count")] * lines]
+    return each.groupBy("n", "ngram").agg(*sums)
 
 
 def pmi_phrases(
     docs: DataFrame, least: float = PMI_LEAST, count: int = PMI_COUNT, n_docs: int = PMI_DOCS, sizes: tuple[int, ...] = NGRAM_SIZES
 ) -> DataFrame:
     """n-grams with pointwise mutual information: log2 of their share over the product of their words' shares."""
-    counts = ngram_counts(docs, (1, *sizes))
-    totals = counts.groupBy("n").agg(F.sum("count").alias("total"))
+    counts = ngram_counts(docs, (1, *sizes), lines=False).where((F.col("n") == 1) | ((F.col("count") >= count) & (F.col("doc_count") >= n_docs)))
+    counts = cut(counts, "ngrams")
+    # how many there are of each size follows from the stretches' lengths
+    n = F.size("toks")
+    sums = stretches(docs, 1).agg(*[F.sum(F.greatest(n - F.lit(k - 1), F.lit(0))).alias(str(k)) for k in (1, *sizes)])
+    totals = cut(sums.unpivot([], [str(k) for k in (1, *sizes)], "n", "total").withColumn("n", F.col("n").cast("int")), "totals")
     one = counts.where("n = 1").select(F.col("ngram").alias("word"), F.col("count").alias("uses"))
     n_one = totals.where("n = 1").select(F.col("total").alias("words"))
-    kept = counts.where((F.col("n") > 1) & (F.col("count") >= count) & (F.col("doc_count") >= n_docs))
+    kept = counts.where("n > 1")
     parts = kept.select("n", "ngram", "count", "doc_count", F.explode(F.split("ngram", " ")).alias("word"))
     parts = parts.join(one, "word").groupBy("n", "ngram", "count", "doc_count").agg(F.sum(F.log2("uses")).alias("logs"))
     rated = parts.join(totals, "n").join(F.broadcast(n_one), F.lit(True))  # one row

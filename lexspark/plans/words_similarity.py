@@ -102,7 +102,7 @@ def family_line_union(spark, sf_dir):
     each = L.ngrams(table(spark, sf_dir, "documents"), (3,))
     holds = F.size(F.filter(F.split("ngram", " "), lambda t: t.isin(*SLOT)))
     key = F.array_join(F.transform(F.split("ngram", " "), lambda t: F.when(t.isin(*SLOT), "[PRON]").otherwise(t)), " ")
-    rows = each.where(holds == 1).select(key.alias("family"), "doc_id", F.xxhash64("line_key").alias("line")).distinct()
+    rows = each.where(holds == 1).select(key.alias("family"), "doc_id", "line").distinct()
     return rows.groupBy("family").agg(F.count("*").alias("lines")).where("lines >= 3")
 
 
