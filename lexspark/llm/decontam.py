@@ -17,7 +17,6 @@ MAX_SHARE = 20
 BROADCAST_WINDOWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -116,10 +115,11 @@ def contamination(
         prefix = cut(prefix, "prefixes")
         found = met.join(side(prefix), "hash").withColumn("start", F.col("at") - F.col("offset"))
         fits = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
-        found = found.where(fits).where(F.expr("slice(near, start - begin + 1, len) = window")).select("__row", "start", "len", "items")
+        found = found.where(fits).where(F.expr("slice(near, start - begin + 1, len) = window")).select("__row", "n", "start", "len", "items")
         hits = found.groupBy("__row").agg(
             F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
+            F.max("n").cast("long").alias("__n"),
         )
         covered = F.aggregate(
             "spans",
@@ -130,19 +130,20 @@ def contamination(
             ),
             lambda acc: acc["n"],
         )
-        hits = hits.select("__row", covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
+        hits = hits.select("__row", "__n", covered.cast("long").alias("n_hit"), F.size("ids").cast("long").alias("n_items"),
                            F.array_join("ids", ",").alias("__ids"))
     else:
-        hits = own.where("false").select("__row", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("__ids"))
+        hits = own.where("false").select("__row", F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("__ids"))
     hits = cut(hits, "hits")
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    # the number of words is only worked out where it is asked for: a hit brings its own
+    n_words = F.size(words_of(F.col(text))).cast("long")
     marked = docs.select(*keep, n_words.alias("n_words"), row.alias("__own"))
     marked = marked.join(hits, F.col("__own").eqNullSafe(F.col("__row")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return marked.select(
         *keep, "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.sha2(F.coalesce("__ids", F.lit("")), 256).alias("items_sha256"),
-        ((n_hit > 0) & (F.lit(MAX_SHARE) * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce((n_hit > 0) & (F.lit(MAX_SHARE) * n_hit >= F.col("__n")), F.lit(False)).alias("contaminated"),
     )
 
 
