@@ -1,7 +1,9 @@
-"""Line dedup: content-defined chunks of lines, those that repeat anywhere in the corpus removed but once."""
+"""Line dedup: runs and chunks of lines that repeat anywhere in the corpus are removed but once."""
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,30 +16,31 @@ from lexspark.session import cut
 
 #: Chunks of one line count from this many words; those of more lines always.
 LINE_WORDS = 12
+#: Runs of lines count from this many words.
+RUN_WORDS = 20
+#: Lines above this many words are cut into pieces, at the least word hash of each PIECE_WORDS words.
+LONG_WORDS = 24
+PIECE_WORDS = 12
+#: Of the runs that begin within this many words, one is looked up first.
+REACH_WORDS = 15
 
 _NO_ID = 2**63 - 1
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    table = textkit.exact_table()
-    return table, textkit.mix(table) | np.uint64(1)
-
-
-def chunks(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """For all chunks of some rows: row, begin, start, end, stop, lines, words, h1, h2.
+def chunks(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of all words of some rows: starts, ends, row; and the last words of lines and of chunks.
 
     Lines end at a line feed, or after one of .!? before a space, so that a paragraph's sentences are lines too; those
     without words belong to what follows. A chunk ends where a line does that ends in a line feed, and behind a line
     whose hash is the least in the rolling window of itself and its two neighbours: three lines on average, at least
-    two, and the same wherever the lines stand. A chunk's bytes, which are hashed and compared, go from the first word's
-    start to the last one's end; removing it takes begin to stop, with the white space behind it.
+    two, and the same wherever the lines stand.
     """
     n = len(data)
     starts, ends, first = textkit.spans(textkit.SPACES[data], offsets)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(9))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     feed = data == 10
-    row = np.searchsorted(first, np.arange(len(starts)), "right") - 1
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     last_of_row = np.concatenate([row[1:] != row[:-1], [True]])
     # does a line feed, or the end of a sentence, follow a word?
     feeds = np.concatenate([[0], np.cumsum(feed)])
@@ -48,7 +51,7 @@ def chunks(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.n
     stops = breaks | (tail == 46) | (tail == 33) | (tail == 63)
     line_last = np.flatnonzero(stops)  # words that end a line
     line_first = np.concatenate([[0], line_last[:-1] + 1])
-    hashes = textkit.span_hashes(data, starts[line_first], ends[line_last], tables[0])
+    hashes = textkit.span_hashes(data, starts[line_first], ends[line_last], table)
     ends_line, short = breaks[line_last], line_last - line_first + 1 < LINE_WORDS
     first_line = np.concatenate([[True], ends_line[:-1]])
     # a chunk ends behind a line whose hash is the least of a rolling window of three
@@ -60,53 +63,148 @@ def chunks(data: np.ndarray, offsets: np.ndarray, tables: tuple[np.ndarray, np.n
     # a short line left alone at the end of a line joins what precedes
     alone = ends_line & np.concatenate([[True], anchor[:-1]]) & short
     anchor[:-1] &= ~alone[1:] | ends_line[:-1]
-    chunk_last = np.flatnonzero(anchor)
-    chunk_first = np.concatenate([[0], chunk_last[:-1] + 1])
-    a, b = line_first[chunk_first], line_last[chunk_last]
-    start, end = starts[a], ends[b]
-    begin = start.copy()
-    fresh = np.concatenate([[True], row[a][1:] != row[a][:-1]])
-    begin[fresh] = offsets[row[a][fresh]]
-    stop = upto[b]
-    h1, h2 = (textkit.span_hashes(data, start, end, t) for t in tables)
-    return row[a], begin, start, end, stop, chunk_last - chunk_first + 1, b - a + 1, h1, h2
-
-
-def _counts(lines: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (lines > 1) | (words >= LINE_WORDS)
-
-
-def _listing(with_bytes: bool):
-    """A mapInArrow function: (doc_id, text) to the document's different chunks, with their bytes if asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables()
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for at, _, data, offsets in textkit.blocks(batch.column(1)):
-                row, _, start, end, _, lines, words, h1, h2 = chunks(data, offsets, tables)
-                use = np.flatnonzero(_counts(lines, words))
-                if not len(use):
-                    continue
-                order = use[np.lexsort((start[use], h2[use], h1[use], row[use]))]
-                r, x, y = row[order], h1[order], h2[order]
-                new = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])]))
-                times = np.diff(np.concatenate([new, [len(order)]]))
-                order = order[new]
-                columns = [ids[at + row[order]], h1[order].view(np.int64), h2[order].view(np.int64), times]
-                arrays, names = [pa.array(c) for c in columns], ["doc_id", "h1", "h2", "times"]
-                if with_bytes:
-                    whole = data.tobytes()
-                    pieces = [whole[a:b] for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
-                    arrays, names = [*arrays, pa.array(pieces, pa.binary())], [*names, "bytes"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    return run
+    return starts, ends, row, line_last, line_last[anchor]
+
+
+def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line_last: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Words that end a piece of a line of more than LONG_WORDS words."""
+    size = np.diff(line_last, prepend=-1)
+    long = np.flatnonzero(size > LONG_WORDS)
+    if not len(long):
+        return np.zeros(0, np.int64)
+    line = np.repeat(long, size[long])
+    word = np.arange(len(line)) + np.repeat(line_last[long] + 1 - np.cumsum(size[long]), size[long])
+    hashes = textkit.span_hashes(data, starts[word], ends[word], table)
+    least = np.lib.stride_tricks.sliding_window_view(hashes, PIECE_WORDS).argmin(axis=1)
+    at = np.flatnonzero(line[: len(least)] == line[PIECE_WORDS - 1 :])
+    return word[at + least[at]]
+
+
+def windows(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, anchors: bool = False) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Units of some rows (row, first word, end of the last word, words, whether it ends a line), and windows of them.
+
+    Units are lines as of chunks(), the long ones cut into pieces. A window is the shortest run of units of RUN_WORDS
+    words from a unit on, or up to one, across line feeds, so that windows cover every run of as many words whole; and
+    each chunk of more than one line or of LINE_WORDS words. Windows (first and last unit, h1, whether a chunk) are in
+    the order of their first unit. Anchors are the chunks, and of the runs from a unit on those of the least hash among
+    the ones that begin in some REACH_WORDS words.
+    """
+    starts, ends, row, line_last, chunk_last = chunks(data, offsets, table)
+    if not len(row):
+        none = np.zeros(0, np.int64)
+        return (none,) * 6, (none, none, none.view(np.uint64), none.view(bool)[:0])
+    ends_line = np.zeros(len(row), bool)
+    ends_line[line_last] = True
+    ends_unit = ends_line.copy()
+    ends_unit[_pieces(data, starts, ends, line_last, table)] = True
+    b = np.flatnonzero(ends_unit)
+    a = np.concatenate([[0], b[:-1] + 1])
+    of, upto, n = row[a], np.concatenate([[0], b + 1]), len(b)
+    # the shortest runs from each unit on, and up to each unit where that is another one
+    ahead = np.searchsorted(upto, upto[:-1] + RUN_WORDS) - 1
+    runs = np.flatnonzero(ahead < n)
+    runs = runs[of[runs] == of[ahead[runs]]]
+    line_count = np.cumsum(ends_line)[chunk_last]
+    lines, words = np.diff(line_count, prepend=0), np.diff(chunk_last, prepend=-1)
+    part = np.flatnonzero((lines > 1) | (words >= LINE_WORDS))
+    part_first, part_last = np.searchsorted(b, chunk_last[part] - words[part] + 1), np.searchsorted(b, chunk_last[part])
+    if anchors:
+        h1 = textkit.span_hashes(data, starts[a[runs]], ends[b[ahead[runs]]], table)
+        runs = runs[_least(h1, a[runs], of[runs])]
+        others = runs[:0]
+        back = others
+    else:
+        back = np.searchsorted(upto, upto[1:] - RUN_WORDS, "right") - 1
+        others = np.flatnonzero(back >= 0)
+        others = others[(of[others] == of[back[others]]) & (ahead[back[others]] != others)]
+        back = back[others]
+    x, y = np.concatenate([runs, back, part_first]), np.concatenate([ahead[runs], others, part_last])
+    key = x * (len(row) + 1) + y - x
+    order = np.argsort(key, kind="stable")
+    order = order[np.concatenate([[True], np.diff(key[order]) > 0])] if len(order) else order
+    x, y, is_chunk = x[order], y[order], order >= len(runs) + len(back)
+    h1 = textkit.span_hashes(data, starts[a[x]], ends[b[y]], table)
+    return (of, a, starts[a], ends[b], b - a + 1, ends_line[b]), (x, y, h1, is_chunk)
+
+
+def _least(h1: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Where h1 is the least of those of one row that begin in the same REACH_WORDS words."""
+    least, at = h1.copy(), np.arange(len(h1))
+    for k in range(1, REACH_WORDS):
+        if k >= len(h1):
+            break
+        near = np.flatnonzero((begin[k:] - begin[:-k] < REACH_WORDS) & (row[k:] == row[:-k]))
+        if not len(near):
+            break
+        near = near[h1[near + k] < least[near]]
+        least[near], at[near] = h1[near + k], near + k
+    chosen = np.zeros(len(h1), bool)
+    chosen[at] = True
+    return np.flatnonzero(chosen)
+
+
+def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the hashes of the document's anchors."""
+    table = textkit.exact_table()
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for at, _, data, offsets in textkit.blocks(batch.column(1)):
+            units, (x, _, h1, _) = windows(data, offsets, table, anchors=True)
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at + units[0][x]]), pa.array(h1.view(np.int64))], names=["doc_id", "h1"])
+
+
+def _marked(marks: pa.ListArray, i: int, width: int) -> np.ndarray:
+    """The row's marks in rows of width values, by the first."""
+    if not marks[i].is_valid:
+        return np.zeros((0, width), np.int64)
+    known = marks[i].values.to_numpy(zero_copy_only=False).reshape(-1, width)
+    return known[np.argsort(known[:, 0])]
+
+
+def _found(h1: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of h1 are known."""
+    h1 = h1.view(np.int64)
+    return np.flatnonzero(known[np.minimum(np.searchsorted(known, h1), len(known) - 1)] == h1)
+
+
+def _digest(piece: bytes) -> tuple[int, int]:
+    return struct.unpack("<qq", hashlib.blake2b(piece, digest_size=16).digest())
+
+
+def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, marks) to the hash and digest of all windows around the repeated anchors."""
+    table = textkit.exact_table()
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        marks = batch.column(2)
+        for at, until, data, offsets in textkit.blocks(batch.column(1)):
+            units, (x, y, h1, parts) = windows(data, offsets, table)
+            bounds = np.searchsorted(units[0][x], np.arange(until - at + 1))
+            begin = units[1][x]
+            hits = np.concatenate(
+                [bounds[i] + _found(h1[bounds[i] : bounds[i + 1]], _marked(marks, at + i, 1)[:, 0]) for i in range(until - at) if bounds[i] < bounds[i + 1]]
+                or [np.zeros(0, np.int64)]
+            )
+            use = np.zeros(len(x) + 1, np.int64)
+            # the next anchor of a repeated run begins within REACH_WORDS words of the unit beside this one's first
+            around = x[hits[~parts[hits]]]
+            np.add.at(use, np.searchsorted(begin, units[1][np.maximum(around - 1, 0)] - REACH_WORDS, "right"), 1)
+            np.add.at(use, np.searchsorted(begin, units[1][np.minimum(around + 1, len(units[1]) - 1)] + REACH_WORDS), -1)
+            use = (np.cumsum(use)[:-1] > 0) & ~parts
+            use[hits] = True
+            use = np.flatnonzero(use)
+            if not len(use):
+                continue
+            whole = data.tobytes()
+            digests = [_digest(whole[a:b]) for a, b in zip(units[2][x[use]].tolist(), units[3][y[use]].tolist(), strict=True)]
+            columns = [ids[at + units[0][x[use]]], h1[use].view(np.int64), *np.array(digests, np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "h1", "d1", "d2"])
 
 
 def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text, marks) to the cleaned text and counts; marks: [h1, h2, keeper] of repeated chunks."""
-    tables = _tables()
+    """(doc_id, text, marks, rest) to the cleaned text and counts; marks: [h1, d1, d2, keeper] of repeated windows."""
+    table = textkit.exact_table()
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         marks = batch.column(2)
@@ -114,32 +212,41 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[tuple[int, int, int]] = []
         null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
         for at, until, data, offsets in textkit.blocks(batch.column(1)):
-            row, begin, _, _, stop, lines, words, h1, h2 = chunks(data, offsets, tables)
-            bounds = np.searchsorted(row, np.arange(until - at + 1))
+            (row, _, start, end, words, ends_line), (x, y, h1, _) = windows(data, offsets, table)
+            bounds, places = (np.searchsorted(r, np.arange(until - at + 1)) for r in (row, row[x]))
             whole = data.tobytes()
             for i in range(until - at):
                 a, b = bounds[i], bounds[i + 1]
                 own = whole[offsets[i] : offsets[i + 1]]
-                known = marks[at + i].as_py() if marks[at + i].is_valid else None
                 gone_lines = gone_words = 0
-                if known:
-                    keeper = {(x, y): z for x, y, z in zip(known[0::3], known[1::3], known[2::3], strict=True)}
-                    seen, pieces, kept_to = set(), [], int(offsets[i])
-                    keys = zip(h1[a:b].view(np.int64).tolist(), h2[a:b].view(np.int64).tolist(), strict=True)
-                    for c, key in enumerate(keys, a):
-                        if key not in keeper or not (lines[c] > 1 or words[c] >= LINE_WORDS):
+                known = _marked(marks, at + i, 4)
+                if len(known) and a < b:
+                    keeper = {(p, q): z for _, p, q, z in known.tolist()}
+                    gone = np.zeros(b - a + 1, np.int64)
+                    seen: dict[tuple[int, int], int] = {}
+                    for k in (places[i] + _found(h1[places[i] : places[i + 1]], known[:, 0])).tolist():
+                        u, v = int(x[k]), int(y[k])
+                        key = _digest(whole[start[u] : end[v]])
+                        if key not in keeper:
                             continue
                         if keeper[key] == ids[at + i] and key not in seen:
-                            seen.add(key)
+                            seen[key] = v
                             continue
-                        pieces.append(whole[kept_to : begin[c]])
-                        kept_to = int(stop[c])
-                        gone_lines += int(lines[c])
-                        gone_words += int(words[c])
+                        u = max(u, seen.get(key, -1) + 1)  # its first place stays, also where the next one overlaps it
+                        if u <= v:
+                            gone[u - a] += 1
+                            gone[v + 1 - a] -= 1
+                    gone = np.cumsum(gone)[:-1] > 0
+                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))) + a
+                    pieces, kept_to = [], int(offsets[i])
+                    for u, v in zip(edges[0::2], edges[1::2], strict=True):
+                        pieces.append(whole[kept_to : start[u] if u > a else offsets[i]])
+                        kept_to = int(start[v] if v < b else offsets[i + 1])
                     pieces.append(whole[kept_to : offsets[i + 1]])
                     own = b"".join(pieces)
+                    gone_lines, gone_words = int(ends_line[a:b][gone].sum()), int(words[a:b][gone].sum())
                 texts.append(None if null[at + i] else own.decode())
-                counts.append((int(lines[a:b].sum()), gone_lines, gone_words))
+                counts.append((int(ends_line[a:b].sum()), gone_lines, gone_words))
         columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(3), pa.array(texts, pa.string()), *columns], names=["rest", "text", "n_lines", "removed_lines", "removed_words"]
@@ -149,35 +256,35 @@ def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text cleaned, and n_lines, removed_lines and removed_words (long).
 
-    A chunk of several lines, or of one with LINE_WORDS words, that occurs more than once in all texts stays only at
-    its first place in the document of the smallest id; elsewhere it goes, with the white space behind it. Chunks are
-    the same wherever a passage stands, but for those at its ends that also hold other lines; the end of a line ends a
-    chunk, so passages of whole lines go whole. Null text stays null; empty and blank texts stay. Rows of one id count
-    as one document (null ids: as the last), and each of them keeps what that document keeps. Empty table: empty
-    result. Columns of docs named like the new ones are replaced; n_chars, if there, follows the text.
+    A run of lines (or of pieces of long ones) of RUN_WORDS words, and a chunk that has several lines or LINE_WORDS words, that occurs more than once in all texts stays only at its first place in the document of the
+    smallest id; elsewhere it goes, with the white space behind it. Runs go across line feeds and begin and end at any
+    line, so a repeated passage of whole lines goes whole wherever it stands; of another one, the lines that are not
+    whole stay. A piece's ends depend on the words of its line within PIECE_WORDS. Runs that overlap may have different
+    keepers; each line of theirs stays somewhere. removed_lines counts lines whose end went.
+    Null text stays null; empty and blank texts stay. Rows of one id count as one document (null ids: as the last), and
+    each of them keeps what that document keeps. Empty table: empty result. Columns of docs named like the new ones are
+    replaced; n_chars, if there, follows the text.
 
-    Keys are 128 bits of hashes; each key's bytes are compared over all its places, and a key of different bytes
-    removes nothing. Counting aggregates before it shuffles, and the only rows joined are keys and documents.
+    Few of the windows, the anchors, are counted first; around those that repeat all windows are, by 128 bits of a
+    cryptographic digest of their bytes. A repeated run is found if an anchor is within: a chunk is one, a run of
+    RUN_WORDS and REACH_WORDS words and one line more always has one, a shorter one by the chance of its hashes.
+    Counting aggregates before it shuffles, and the only rows joined are keys and documents.
     """
     new = ("n_lines", "removed_lines", "removed_words")
     own = docs.select(
         F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")
     )
-    listed = own.mapInArrow(_listing(True), "doc_id long, h1 long, h2 long, times long, bytes binary")
-    repeated = (
-        listed.groupBy("h1", "h2", "bytes")
-        .agg(F.min("doc_id").alias("keeper"), F.sum("times").alias("times"))
-        .groupBy("h1", "h2")
-        .agg(F.count("*").alias("kinds"), F.min("keeper").alias("keeper"), F.sum("times").alias("times"))
-        .where("kinds = 1 and times > 1")
-        .select("h1", "h2", "keeper")
-    )
-    repeated = cut(repeated, "repeated")
-    places = own.mapInArrow(_listing(False), "doc_id long, h1 long, h2 long, times long")
+    anchors = cut(own.mapInArrow(_listing, "doc_id long, h1 long"), "anchors")
+    again = anchors.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
+    hits = anchors.join(again, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("hits"))
+    hits = cut(hits.withColumnRenamed("doc_id", "__id"), "hits")
+    near = own.join(hits, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
+    near = cut(near.mapInArrow(_nearby, "doc_id long, h1 long, d1 long, d2 long"), "near")
+    repeated = near.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).where("times > 1")
     marks = (
-        places.join(repeated, ["h1", "h2"])
+        near.join(repeated.select("d1", "d2", "keeper"), ["d1", "d2"])
         .groupBy("doc_id")
-        .agg(F.flatten(F.collect_set(F.array("h1", "h2", "keeper"))).alias("__marks"))
+        .agg(F.flatten(F.collect_set(F.array("h1", "d1", "d2", "keeper"))).alias("__marks"))
     )
     marks = cut(marks.select(F.col("doc_id").alias("__id"), "__marks"), "marks")
     rest = [c for c in docs.columns if c.lower() not in new and c != text]

@@ -282,6 +282,21 @@ def test_passages_within_lines_are_found_wherever_they_stand(spark):
     assert all(prose(200 + k, 33) in rows[40 + k]["text"] and prose(300 + k, 11) in rows[40 + k]["text"] for k in range(40))
 
 
+def test_runs_of_short_lines_go_whole(spark):
+    verse = "\n".join(prose(50 + i, 6) for i in range(10))
+    texts = [f"{prose(i, 15)}\n{verse}\n{prose(100 + i, 15)}" for i in range(4)]
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    assert rows[0]["text"] == texts[0]
+    assert all(rows[i]["text"] == f"{prose(i, 15)}\n{prose(100 + i, 15)}" and rows[i]["removed_lines"] == 10 for i in range(1, 4))
+
+
+def test_short_lines_of_two_sentences_go(spark):
+    pairs = [f"{prose(5000 + k, 10)}. {prose(6000 + k, 10)}." for k in range(40)]
+    texts = [f"{prose(i + k, 15)}.\n{p}\n{prose(100 + i + k, 5)}. {prose(1000 + i + k, 9)}." for i in (0, 200) for k, p in enumerate(pairs)]
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    assert all(rows[k]["text"] == texts[k] and rows[40 + k]["removed_words"] == 20 for k in range(40))
+
+
 def test_line_dedup_edges(spark):
     rows = by_id(line_dedup.dedup_lines(make(spark, EDGE)))
     assert len(rows) == len(EDGE) and rows[0]["text"] is None and rows[1]["text"] == "" and rows[2]["text"] == EDGE[2]
