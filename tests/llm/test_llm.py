@@ -297,6 +297,25 @@ def test_short_lines_of_two_sentences_go(spark):
     assert all(rows[k]["text"] == texts[k] and rows[40 + k]["removed_words"] == 20 for k in range(40))
 
 
+def test_passages_just_over_fifty_words_go_whole(spark):
+    rng = random.Random(5)
+    passages = [". ".join(prose(5000 + 20 * k + i, rng.randint(11, 15)).capitalize() for i in range(5)) + "." for k in range(30)]
+    texts = [f"{prose(k, 20)}. {p} {prose(100 + k, 20)}." for k, p in enumerate(passages)]
+    texts += [f"{prose(200 + k, 33)}. {p} {prose(300 + k, 11)}." for k, p in enumerate(passages)]
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    assert all(rows[k]["text"] == texts[k] for k in range(30))
+    assert all(rows[30 + k]["text"] == f"{prose(200 + k, 33)}. {prose(300 + k, 11)}." for k in range(30))
+
+
+def test_passages_without_punctuation_are_found(spark):
+    texts = [f"{prose(k, 30)} {prose(5000 + k, 60)} {prose(100 + k, 30)}" for k in range(40)]
+    texts += [f"{prose(200 + k, 41)} {prose(5000 + k, 60)} {prose(300 + k, 17)}" for k in range(40)]
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    assert all(rows[k]["text"] == texts[k] for k in range(40))
+    assert all(20 <= rows[40 + k]["removed_words"] <= 60 for k in range(40))
+    assert all(prose(200 + k, 41) in rows[40 + k]["text"] and prose(300 + k, 17) in rows[40 + k]["text"] for k in range(40))
+
+
 def test_line_dedup_edges(spark):
     rows = by_id(line_dedup.dedup_lines(make(spark, EDGE)))
     assert len(rows) == len(EDGE) and rows[0]["text"] is None and rows[1]["text"] == "" and rows[2]["text"] == EDGE[2]
