@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     rest = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0))
     level = weighed.withColumn("left", left).withColumn("rest", rest)
     level = level.withColumn("free", F.col("cap").cast("double") * F.col("rest") >= F.col("left").cast("double") * F.col("weight"))
-    first = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), "left", "rest"))).over(every)
+    first = F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "left", "rest"))).over(every)
     return level.withColumn("first", first).select(
         "source",
         "source_size",

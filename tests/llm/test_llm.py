@@ -493,6 +493,13 @@ def test_water_filling_caps_and_reshares(spark):
     assert got["a"] == 30 and got["b"] == pytest.approx(300) and got["c"] == pytest.approx(670) and got[None] == 0
 
 
+@pytest.mark.parametrize("sizes", [[100] * 4, [500, 200], [100] * 20, [0, 0, 50]])
+def test_water_filling_shares_all_where_sources_tie(spark, sizes):
+    rows = [(f"s{i:02}" if i else None, n) for i, n in enumerate(sizes)]
+    got = [r["target"] for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()]
+    assert sum(got) == pytest.approx(sum(sizes)) and min(got) >= 0
+
+
 def test_mix_without_words_or_rows(spark):
     assert {(r["target"], r["taken"]) for r in mixing.mix(make(spark, [None, "", "  "])).collect()} == {(0.0, 0)}
     assert mixing.mix(make(spark, ["a"]).limit(0)).count() == 0
