@@ -34,6 +34,13 @@ def test_no_python_in_plans(spark, sf):
         assert ("Python" in plan or "Pandas" in plan or "Arrow" in plan) == (name in GROUPED), name
 
 
+def test_greedy_song_use_reads_all_lines(spark, sf, tmp_path):
+    for name in ("lineitem", "part", "supplier"):
+        rows = spark.read.parquet(f"{sf}/{name}.parquet")
+        (rows.where("l_orderkey >= 400") if name == "lineitem" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert QUERIES["greedy_song_use"](spark, str(tmp_path)).count() > 0
+
+
 def test_sql_only_for_queries():
     assert set(ORACLES) <= set(QUERIES)
 
