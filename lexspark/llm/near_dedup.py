@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -25,7 +26,10 @@ BITS = 4
 #: Candidates go on from this many standard deviations below the similarity asked for: 3e-5 of pairs just at it do not.
 SLACK = 4.0
 #: Sets of one bucket that are compared at once, on either side.
-CHUNK = 64
+CHUNK = 256
+#: Candidates that a document takes from the buckets held apart in the first round; four times as many in the next.
+TAKEN = 4
+ROUNDS = 1
 
 _PER_LONG = 64 // BITS
 
@@ -57,8 +61,7 @@ def sketcher(bands: int, rows: int, k: int):
             for i, values in enumerate(textkit.shingle_sets(batch.column(1), k)):
                 sizes[i] = len(values)
                 if len(values):
-                    ids[i, 0] = values.sum(dtype=np.uint64)
-                    ids[i, 1] = np.bitwise_xor.reduce(textkit.mix(values + np.uint64(77)))
+                    ids[i] = np.frombuffer(hashlib.blake2b(values, digest_size=16).digest(), np.uint64)
                     m = minima(values)
                     keys[i] = textkit.mix((m[:banded].reshape(bands, rows) * weights).sum(axis=1, dtype=np.uint64) + salt)
                     low = np.zeros(longs * per_long, np.uint64)
@@ -119,17 +122,16 @@ def floor_of(percent: int, n: int = SIGNED) -> float:
     return percent / 100 - SLACK * math.sqrt(equal * (1 - equal) / n) / (1 - chance)
 
 
+def sets_of(wanted: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(doc_id, members): the sets of the wanted documents."""
+    own = texts.join(cut(wanted, "wanted"), "doc_id", "left_semi").select("doc_id", "text")
+    return cut(textkit.map_arrow(own, set_maker(k), "doc_id long, members array<long>"), "sets")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet 100 * intersection >= percent * union."""
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(
-        textkit.map_arrow(
-            texts.join(cut(wanted, "wanted"), "doc_id", "left_semi").select("doc_id", "text"),
-            set_maker(k),
-            "doc_id long, members array<long>",
-        ),
-        "sets",
-    )
+    sets = sets_of(wanted, texts, k)
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b")).cast("long")
@@ -159,12 +161,11 @@ def near_duplicates(
     Null id: component_id null, linked with nothing, kept. Columns of docs named like the new ones are replaced.
     Empty table: empty result.
 
-    Documents of equal sets form a class, and its smallest id stands for it. Of each class, ROWS minima form the key
-    of each of BANDS bands. First each class meets the centre of its buckets, that of its fellows that shares most
-    buckets with others. Once components are known, the members of a bucket outside the component of its smallest id are compared with all others of the bucket by their
-    packed bits, in chunks; so a group of copies gives one pair for each member, and every pair that shares a bucket
-    is either in one component or compared. Pairs whose estimate is high enough are proved on the full sets. No bucket
-    is capped.
+    Documents of equal sets, told by 128 bits of a cryptographic digest of the whole set, form a class, and its
+    smallest id stands for it. Of each class, ROWS minima form the key of each of BANDS bands. First each class meets
+    the centre of its buckets, that of its fellows that shares most buckets with others. What the buckets then still
+    hold apart is settled in rounds (see settled). Pairs whose estimate is high enough are proved on the full sets of
+    64-bit shingle hashes. No bucket is capped.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketch = cut(
@@ -212,10 +213,7 @@ def near_duplicates(
     )
     links = cut(verified(cut(likely, "likely"), own, k, percent), "links")
     found = cut(components(links.union(copies)), "components")
-    # then what the buckets still hold apart
-    more = verified(apart(in_bucket, found, unique, floor), own, k, percent)
-    joined_so_far = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    found = cut(components(joined_so_far.union(more)), "components")
+    found = settled(in_bucket, found, signs, own, floor, k, percent)
 
     sizes = sketch.select("doc_id", "n_shingles")
     names = {c.lower() for c in ("n_shingles", "component_id", "kept")}
@@ -233,67 +231,145 @@ def near_duplicates(
     return joined.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
-def apart(in_bucket: DataFrame, found: DataFrame, unique: DataFrame, floor: float) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in no common component yet and whose packed bits are near enough.
+def settled(in_bucket: DataFrame, found: DataFrame, signs: DataFrame, texts: DataFrame, floor: float, k: int, percent: int) -> DataFrame:
+    """(node, component) once every pair that shares a bucket is in one component, below the floor or disproved.
+
+    in_bucket: key, doc_id; found: node, component so far; signs: doc_id, sig. The members outside the component of a
+    bucket's anchor (a member of its largest component) meet all members of the bucket in chunks. In ROUNDS rounds each
+    takes its likeliest candidates of other components, one from each of TAKEN hash classes (more in each next round);
+    these are proved and the components contracted, so that most of what belongs together is joined by few proofs. A
+    member that finds no candidate is done. What the others still have is proved in blocks of sets, without a row for a
+    pair (see proved_in_blocks). All rows are in proportion to members, none to pairs.
+    """
+
+    def labelled(rows: DataFrame, label: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+
+    parts = labelled(in_bucket.select("key", "doc_id"), found, "doc_id", "component")
+    parts = parts.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
+    parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("low").alias("anchor"))).alias("most"))
+    mixed = cut(parts.where("parts > 1").select("key", F.col("most.anchor").alias("anchor")), "mixed")
+    rows = cut(in_bucket.select("key", "doc_id").join(mixed, "key"), "mixed-rows")
+    active = None
+    for turn in range(ROUNDS + 1):
+        state = labelled(labelled(rows, found, "doc_id", "component"), found, "anchor", "main")
+        state = state.withColumn("outside", F.col("component") != F.col("main"))
+        if active is not None:
+            state = state.join(active, "doc_id", "left").withColumn("outside", F.col("outside") & F.coalesce("active", F.lit(False)))
+        sizes = state.groupBy("component").agg(F.count("*").alias("size"))
+        block = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.lit(CHUNK)))).alias("block")
+        state = cut(state.join(sizes, "component").select("key", "doc_id", "component", "outside", block), "state")
+        counts = state.groupBy("key").agg(F.count_if("outside").alias("n_left"), F.count("*").alias("n_all")).where("n_left > 0")
+        full = cut(state.join(cut(counts, "held-apart"), "key").join(signs, "doc_id"), "held-apart-rows")
+        member = F.struct("doc_id", "component", "sig", "block")
+        chunks = lambda size: F.ceil(F.col(size) / F.lit(CHUNK))
+        part = lambda size: F.pmod(F.xxhash64("doc_id"), chunks(size)).alias("part")
+        left = full.where("outside").groupBy("key", "n_all", part("n_left")).agg(F.collect_list(member).alias("left")).drop("part")
+        left = left.select("key", "left", F.explode(F.sequence(F.lit(0).cast("long"), chunks("n_all") - 1)).alias("part"))
+        right = full.groupBy("key", part("n_all")).agg(F.collect_list(member).alias("right"))
+        both = left.join(right, ["key", "part"]).select("left", "right")
+        if turn == ROUNDS:
+            near = both.mapInArrow(comparer(floor), "a long, block long, bs array<long>")
+            links = proved_in_blocks(cut(near, "nearest"), full, texts, k, percent)
+        else:
+            near = both.mapInArrow(comparer(floor, TAKEN << 2 * turn), "a long, class long, equal long, b long")
+            near = near.groupBy("a", "class").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+            near = cut(near, "nearest")
+            if near.isEmpty():
+                return found
+            active = near.select(F.col("a").alias("doc_id"), F.lit(True).alias("active")).distinct()
+            pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            links = verified(cut(pairs, "candidates"), texts, k, percent)
+        edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(cut(links, "links"))
+        found = cut(components(edges), "components")
+    return found
+
+
+def proved_in_blocks(near: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """True links (a, b) among candidates, one for each a and block at most.
+
+    near: a, block, bs (candidates of one block, which holds about CHUNK documents of one component); members: doc_id,
+    block. A block's sets come once to each part of its askers.
+    """
+    asked = near.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    asked = cut(asked, "asked")
+    if asked.isEmpty():
+        return asked.select("a", F.col("a").alias("b"))
+    crowd = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
+    held = cut(members.select("doc_id", "block").distinct().join(cut(crowd, "crowd"), "block").select("doc_id", "block"), "held")
+    sets = sets_of(held.select("doc_id").union(asked.select("a")).distinct(), texts, k)
+    left = asked.join(crowd, "block").join(sets.withColumnsRenamed({"doc_id": "a", "members": "set_a"}), "a")
+    left = left.groupBy("block", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("a", "set_a", "bs")).alias("left"))
+    right = held.join(sets, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "members")).alias("right"))
+    return left.join(right, "block").select("left", "right").mapInArrow(prover(percent), "a long, b long")
+
+
+def prover(percent: int):
+    """A mapInArrow function: lists of (a, set, candidates) and of (doc_id, set) to the first true link of each a."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links: list[tuple[int, int]] = []
+            for i in range(batch.num_rows):
+                x, y = ({f.name: values.field(f.name) for f in values.type} for values in (batch.column(c)[i].values for c in (0, 1)))
+                place = {b: at for at, b in enumerate(y["doc_id"].to_pylist())}
+                known: dict[int, np.ndarray] = {}
+                for at, a in enumerate(x["a"].to_pylist()):
+                    own = x["set_a"][at].values.to_numpy().view(np.uint64)  # sorted as such
+                    for b in x["bs"][at].values.to_pylist():
+                        if b not in known:
+                            known[b] = y["members"][place[b]].values.to_numpy().view(np.uint64)
+                        other = known[b]
+                        both = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
+                        if 100 * both >= percent * (len(own) + len(other) - both):
+                            links.append((a, b))
+                            break
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
+
+    return run
+
+
+def comparer(floor: float, classes: int = 0):
+    """A mapInArrow function: two lists of members to each a's candidates b of other components.
 
-    The members outside the component of a bucket's smallest id meet all members of the bucket, chunk by chunk of
-    about CHUNK each, so that no task holds a bucket and no row stands for a pair of which nothing comes. A pair comes
-    from its first common band.
+    With classes, the likeliest of each hash class (a, class, equal, b); else all, by their blocks (a, block, bs).
     """
-    label = found.select(F.col("node").alias("doc_id"), "component")
-    known = in_bucket.join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    main = label.select(F.col("doc_id").alias("low"), F.col("component").alias("main"))
-    known = known.join(main, "low", "left").withColumn("main", F.coalesce("main", "low"))
-    known = known.withColumn("outside", F.col("component") != F.col("main"))
-    counts = known.groupBy("key").agg(F.count_if("outside").alias("n_left"), F.count("*").alias("n_all")).where("n_left > 0")
-    mixed = cut(known.select("key", "band", "doc_id", "component", "outside").join(cut(counts, "mixed"), "key"), "mixed")
-    full = mixed.join(unique.select("doc_id", "sig", "bands"), "doc_id")
-    member = F.struct("doc_id", "component", "sig", "bands")
-
-    def chunked(rows: DataFrame, size: str, name: str) -> DataFrame:
-        chunk = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(size) / F.lit(CHUNK))).alias("chunk")
-        return rows.groupBy("key", "band", chunk).agg(F.collect_list(member).alias(name)).drop("chunk")
-
-    left = cut(chunked(full.where("outside"), "n_left", "left"), "left")
-    right = cut(chunked(full, "n_all", "right").drop("band"), "right")
-    near = left.join(right, "key").select("band", "left", "right").mapInArrow(comparer(floor), "a long, b long")
-    return cut(near.distinct(), "rest")
-
-
-def comparer(floor: float):
-    """A mapInArrow function: (band, left, right) to the near pairs of two lists of (doc_id, component, sig, bands)."""
     bits, n, chance = BITS, SIGNED, 2.0**-BITS
     ones = np.uint64((1 << 64) // (2**bits - 1))
     least = math.ceil(n * (chance + (1 - chance) * floor) - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            best: list[np.ndarray] = []
+            every: list[tuple[int, int, np.ndarray]] = []
             for i in range(batch.num_rows):
-                band = batch.column(0)[i].as_py()
-                x, y = (
-                    {f.name: values.field(f.name) for f in values.type}
-                    for values in (batch.column(c)[i].values for c in (1, 2))
-                )
-                ids, others = (np.asarray(z["doc_id"]) for z in (x, y))
-                apart = np.asarray(x["component"])[:, None] != np.asarray(y["component"])[None, :]
-                sigs, other_sigs, bands, other_bands = (
-                    np.asarray(z[name].flatten()).reshape(len(z["doc_id"]), -1) for name in ("sig", "bands") for z in (x, y)
-                )
-                found: list[tuple[np.ndarray, np.ndarray]] = []
+                x, y = ({f.name: values.field(f.name) for f in values.type} for values in (batch.column(c)[i].values for c in (0, 1)))
+                ids, others, parts, other_parts, blocks = (np.asarray(z) for z in (x["doc_id"], y["doc_id"], x["component"], y["component"], y["block"]))
+                sigs, other_sigs = (np.asarray(z["sig"].flatten()).reshape(len(z["doc_id"]), -1).view(np.uint64) for z in (x, y))
+                kind = (textkit.mix(others.astype(np.uint64)) % np.uint64(classes)).astype(np.int64) if classes else blocks
                 for at in range(len(ids)):
-                    diff = sigs[at].view(np.uint64)[None, :] ^ other_sigs.view(np.uint64)
-                    folded = diff.copy()
+                    folded = diff = sigs[at][None, :] ^ other_sigs
                     for step in range(1, bits):
-                        folded |= diff >> np.uint64(step)
-                    equal = n - np.bitwise_count(folded & ones).sum(axis=1)
-                    good = apart[at] & (equal >= least)
-                    good &= ~(bands[at, :band][None, :] == other_bands[:, :band]).any(axis=1)
-                    if good.any():
-                        b = others[good]
-                        found.append((np.minimum(ids[at], b), np.maximum(ids[at], b)))
-                if found:
-                    sides = [pa.array(np.concatenate(side)) for side in zip(*found, strict=True)]
-                    yield pa.RecordBatch.from_arrays(sides, names=["a", "b"])
+                        folded = folded | (diff >> np.uint64(step))
+                    equal = n - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int64)
+                    good = np.flatnonzero((equal >= least) & (other_parts != parts[at]))
+                    if not len(good):
+                        continue
+                    good = good[np.lexsort((others[good], equal[good], kind[good]))]
+                    ends = np.flatnonzero(np.append(kind[good][1:] != kind[good][:-1], True))
+                    if classes:
+                        good = good[ends]
+                        best.append(np.stack([np.full(len(good), ids[at]), kind[good], equal[good], others[good]]))
+                    else:  # the likeliest first
+                        every += [(ids[at], kind[own[0]], others[own[::-1]]) for own in np.split(good, ends[:-1] + 1)]
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(best, axis=1)], names=["a", "class", "equal", "b"])
+            if every:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c[0] for c in every]), pa.array([c[1] for c in every]), pa.array([c[2] for c in every], pa.list_(pa.int64()))],
+                    names=["a", "block", "bs"],
+                )
 
     return run
 

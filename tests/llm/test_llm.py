@@ -243,6 +243,20 @@ def test_near_duplicates_match_brute_force(spark):
         assert (rows[i]["n_shingles"], rows[i]["component_id"], rows[i]["kept"]) == (size, component, component == i), i
 
 
+def test_large_group_around_the_threshold_matches_brute_force(spark):
+    base, rng, texts = prose(21, 120).split(), random.Random(8), []
+    for n in (2, 3, 4, 6):  # most pairs lie just above or below the similarity asked for
+        for _ in range(150):
+            w = list(base)
+            for i in rng.sample(range(120), n):
+                w[i] = f"changed{rng.randint(0, 9999)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    rows = by_id(near_dedup.near_duplicates(make(spark, texts)))
+    want = brute_components(dict(enumerate(texts)))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in rows.items()} == want
+
+
 def test_near_duplicates_rows_without_id_and_repeated(spark):
     docs = make(spark, [prose(1, 50), prose(1, 50)])
     odd = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long")))
