@@ -1,9 +1,7 @@
-"""Line dedup: runs and chunks of lines that repeat anywhere in the corpus are removed but once."""
+"""Line dedup: chunks between boundaries chosen by a rolling hash over line hashes; repeated ones stay once."""
 
 from __future__ import annotations
 
-import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,286 +12,242 @@ from pyspark.sql import functions as F
 from lexspark.llm import textkit
 from lexspark.session import cut
 
-#: Chunks of one line count from this many words; those of more lines always.
+#: Lines that the rolling hash spans; chunks have as many at least.
+ROLLING = 2
+#: Windows of ROLLING lines count from this many words, lines that stand alone in theirs from LINE_WORDS words.
+WINDOW_WORDS = 8
 LINE_WORDS = 12
-#: Runs of lines count from this many words.
-RUN_WORDS = 20
-#: Lines above this many words are cut into pieces, at the least word hash of each PIECE_WORDS words.
+#: Sentences above this many words are cut into lines at the least word hash of each PIECE_WORDS words.
 LONG_WORDS = 24
 PIECE_WORDS = 12
-#: Of the runs that begin within this many words, one is looked up first.
-REACH_WORDS = 15
 
-_NO_ID = 2**63 - 1
+_MAX = np.uint64(2**64 - 1)
 
 
-def chunks(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of all words of some rows: starts, ends, row; and the last words of lines and of chunks.
+def lines_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lines of some rows: row, start and end byte, words, hash, whether a line feed or the text's end follows, and
+    whether a sentence ends (not so for the pieces of a long one but its last).
 
-    Lines end at a line feed, or after one of .!? before a space, so that a paragraph's sentences are lines too; those
-    without words belong to what follows. A chunk ends where a line does that ends in a line feed, and behind a line
-    whose hash is the least in the rolling window of itself and its two neighbours: three lines on average, at least
-    two, and the same wherever the lines stand.
+    A line ends at a line feed or the end of the text; in front of white space after one of .!?, so that a paragraph's
+    sentences are lines; and a sentence of more than LONG_WORDS words at the word whose hash is the least of any
+    PIECE_WORDS words. Lines without words belong to what follows.
     """
-    n = len(data)
     starts, ends, first = textkit.spans(textkit.SPACES[data], offsets)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
-    feed = data == 10
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none.view(np.uint64), none.astype(bool), none.astype(bool)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    last_of_row = np.concatenate([row[1:] != row[:-1], [True]])
-    # does a line feed, or the end of a sentence, follow a word?
-    feeds = np.concatenate([[0], np.cumsum(feed)])
-    upto = np.concatenate([starts[1:], [n]])
+    last_of_row = np.append(row[1:] != row[:-1], True)
+    feeds = np.append(0, np.cumsum(data == 10))
+    upto = np.append(starts[1:], len(data))
     upto[last_of_row] = offsets[row[last_of_row] + 1]
-    breaks = (feeds[upto] > feeds[ends]) | last_of_row
+    feed = (feeds[upto] > feeds[ends]) | last_of_row
     tail = data[ends - 1]
-    stops = breaks | (tail == 46) | (tail == 33) | (tail == 63)
-    line_last = np.flatnonzero(stops)  # words that end a line
-    line_first = np.concatenate([[0], line_last[:-1] + 1])
-    hashes = textkit.span_hashes(data, starts[line_first], ends[line_last], table)
-    ends_line, short = breaks[line_last], line_last - line_first + 1 < LINE_WORDS
-    first_line = np.concatenate([[True], ends_line[:-1]])
-    # a chunk ends behind a line whose hash is the least of a rolling window of three
-    rolling = textkit.mix(hashes)
-    rolling[ends_line] = np.uint64(2**64 - 1)
-    before = np.concatenate([np.full(1, 2**64 - 1, np.uint64), rolling[:-1]])
-    after = np.concatenate([rolling[1:], np.full(1, 2**64 - 1, np.uint64)])
-    anchor = ends_line | (~first_line & (rolling < before) & (rolling < after))
-    # a short line left alone at the end of a line joins what precedes
-    alone = ends_line & np.concatenate([[True], anchor[:-1]]) & short
-    anchor[:-1] &= ~alone[1:] | ends_line[:-1]
-    return starts, ends, row, line_last, line_last[anchor]
-
-
-def _pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, line_last: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Words that end a piece of a line of more than LONG_WORDS words."""
-    size = np.diff(line_last, prepend=-1)
+    stop = feed | (tail == 46) | (tail == 33) | (tail == 63)
+    sentence, last = stop.copy(), np.flatnonzero(stop)
+    size = np.diff(last, prepend=-1)
     long = np.flatnonzero(size > LONG_WORDS)
-    if not len(long):
-        return np.zeros(0, np.int64)
-    line = np.repeat(long, size[long])
-    word = np.arange(len(line)) + np.repeat(line_last[long] + 1 - np.cumsum(size[long]), size[long])
-    hashes = textkit.span_hashes(data, starts[word], ends[word], table)
-    least = np.lib.stride_tricks.sliding_window_view(hashes, PIECE_WORDS).argmin(axis=1)
-    at = np.flatnonzero(line[: len(least)] == line[PIECE_WORDS - 1 :])
-    return word[at + least[at]]
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, anchors: bool = False) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Units of some rows (row, first word, end of the last word, words, whether it ends a line), and windows of them.
-
-    Units are lines as of chunks(), the long ones cut into pieces. A window is the shortest run of units of RUN_WORDS
-    words from a unit on, or up to one, across line feeds, so that windows cover every run of as many words whole; and
-    each chunk of more than one line or of LINE_WORDS words. Windows (first and last unit, h1, whether a chunk) are in
-    the order of their first unit. Anchors are the chunks, and of the runs from a unit on those of the least hash among
-    the ones that begin in some REACH_WORDS words.
+    if len(long):
+        of = np.repeat(long, size[long])
+        word = np.arange(len(of)) + np.repeat(last[long] + 1 - np.cumsum(size[long]), size[long])
+        hashes = textkit.span_hashes(data, starts[word], ends[word], table)
+        least = np.lib.stride_tricks.sliding_window_view(hashes, PIECE_WORDS).argmin(axis=1)
+        at = np.flatnonzero(of[: len(least)] == of[PIECE_WORDS - 1 :])
+        stop[word[at + least[at]]] = True
+        last = np.flatnonzero(stop)
+    begin = np.append(0, last[:-1] + 1)
+    hashes = textkit.span_hashes(data, starts[begin], ends[last], table)
+    return row[begin], starts[begin], ends[last], last - begin + 1, hashes, feed[last], sentence[last]
+
+
+def run_hashes(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each run of lines, from those of its lines in order."""
+    up, down = textkit._power(len(hashes) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(hashes * up[: len(hashes)]))
+    return textkit.mix((sums[last + 1] - sums[first]) * down[first] + (last - first + 1).astype(np.uint64) * textkit._MULT)
+
+
+def runs_of(row: np.ndarray, words: np.ndarray, hashes: np.ndarray, feed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of lines that may repeat: first and last line and hash, by the first line.
+
+    Chunks: a boundary stands behind a line where the rolling hash of the last ROLLING lines is less than behind the
+    lines before and after, so that the same lines have the same boundaries wherever they stand; the ends of a text
+    are boundaries. Windows: any ROLLING lines with WINDOW_WORDS words, as a repeated passage seldom holds both
+    boundaries of the chunks at its ends. And a line alone between line feeds with LINE_WORDS words.
     """
-    starts, ends, row, line_last, chunk_last = chunks(data, offsets, table)
-    if not len(row):
-        none = np.zeros(0, np.int64)
-        return (none,) * 6, (none, none, none.view(np.uint64), none.view(bool)[:0])
-    ends_line = np.zeros(len(row), bool)
-    ends_line[line_last] = True
-    ends_unit = ends_line.copy()
-    ends_unit[_pieces(data, starts, ends, line_last, table)] = True
-    b = np.flatnonzero(ends_unit)
-    a = np.concatenate([[0], b[:-1] + 1])
-    of, upto, n = row[a], np.concatenate([[0], b + 1]), len(b)
-    # the shortest runs from each unit on, and up to each unit where that is another one
-    ahead = np.searchsorted(upto, upto[:-1] + RUN_WORDS) - 1
-    runs = np.flatnonzero(ahead < n)
-    runs = runs[of[runs] == of[ahead[runs]]]
-    line_count = np.cumsum(ends_line)[chunk_last]
-    lines, words = np.diff(line_count, prepend=0), np.diff(chunk_last, prepend=-1)
-    part = np.flatnonzero((lines > 1) | (words >= LINE_WORDS))
-    part_first, part_last = np.searchsorted(b, chunk_last[part] - words[part] + 1), np.searchsorted(b, chunk_last[part])
-    if anchors:
-        h1 = textkit.span_hashes(data, starts[a[runs]], ends[b[ahead[runs]]], table)
-        runs = runs[_least(h1, a[runs], of[runs])]
-        others = runs[:0]
-        back = others
-    else:
-        back = np.searchsorted(upto, upto[1:] - RUN_WORDS, "right") - 1
-        others = np.flatnonzero(back >= 0)
-        others = others[(of[others] == of[back[others]]) & (ahead[back[others]] != others)]
-        back = back[others]
-    x, y = np.concatenate([runs, back, part_first]), np.concatenate([ahead[runs], others, part_last])
-    key = x * (len(row) + 1) + y - x
-    order = np.argsort(key, kind="stable")
-    order = order[np.concatenate([[True], np.diff(key[order]) > 0])] if len(order) else order
-    x, y, is_chunk = x[order], y[order], order >= len(runs) + len(back)
-    h1 = textkit.span_hashes(data, starts[a[x]], ends[b[y]], table)
-    return (of, a, starts[a], ends[b], b - a + 1, ends_line[b]), (x, y, h1, is_chunk)
-
-
-def _least(h1: np.ndarray, begin: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Where h1 is the least of those of one row that begin in the same REACH_WORDS words."""
-    least, at = h1.copy(), np.arange(len(h1))
-    for k in range(1, REACH_WORDS):
-        if k >= len(h1):
-            break
-        near = np.flatnonzero((begin[k:] - begin[:-k] < REACH_WORDS) & (row[k:] == row[:-k]))
-        if not len(near):
-            break
-        near = near[h1[near + k] < least[near]]
-        least[near], at[near] = h1[near + k], near + k
-    chosen = np.zeros(len(h1), bool)
-    chosen[at] = True
-    return np.flatnonzero(chosen)
+    n = len(row)
+    if not n:
+        return row, row, hashes
+    at = np.arange(n)
+    same = np.append(False, row[1:] == row[:-1])  # as the line before
+    window = np.flatnonzero(same)
+    rolling = np.full(n + 2, _MAX)
+    rolling[window + 1] = run_hashes(hashes, window - (ROLLING - 1), window)
+    boundary = (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:])
+    boundary |= np.append(~same[1:], True)
+    last = np.flatnonzero(boundary)
+    first = np.append(0, last[:-1] + 1)
+    several = last > first
+    first, last = first[several], last[several]
+    total = np.append(0, np.cumsum(words))
+    window = window[total[window + 1] - total[window - 1] >= WINDOW_WORDS]
+    alone = np.flatnonzero(feed & (np.append(True, feed[:-1]) | ~same) & (words >= LINE_WORDS))
+    small = last - first == ROLLING - 1  # chunks that are windows
+    small[small] = total[last[small] + 1] - total[first[small]] >= WINDOW_WORDS
+    first, last = np.concatenate([first[~small], window - 1, at[alone]]), np.concatenate([last[~small], window, at[alone]])
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], last[order]
+    return first, last, run_hashes(hashes, first, last)
 
 
 def _listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to the hashes of the document's anchors."""
+    """(doc_id, copy, text) to the hashes of the row's runs."""
     table = textkit.exact_table()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for at, _, data, offsets in textkit.blocks(batch.column(1)):
-            units, (x, _, h1, _) = windows(data, offsets, table, anchors=True)
-            if len(x):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at + units[0][x]]), pa.array(h1.view(np.int64))], names=["doc_id", "h1"])
-
-
-def _marked(marks: pa.ListArray, i: int, width: int) -> np.ndarray:
-    """The row's marks in rows of width values, by the first."""
-    if not marks[i].is_valid:
-        return np.zeros((0, width), np.int64)
-    known = marks[i].values.to_numpy(zero_copy_only=False).reshape(-1, width)
-    return known[np.argsort(known[:, 0])]
-
-
-def _found(h1: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which of h1 are known."""
-    h1 = h1.view(np.int64)
-    return np.flatnonzero(known[np.minimum(np.searchsorted(known, h1), len(known) - 1)] == h1)
-
-
-def _digest(piece: bytes) -> tuple[int, int]:
-    return struct.unpack("<qq", hashlib.blake2b(piece, digest_size=16).digest())
-
-
-def _nearby(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, marks) to the hash and digest of all windows around the repeated anchors."""
+        for at, _, data, offsets in textkit.blocks(batch.column(2)):
+            row, _, _, words, hashes, feed, _ = lines_of(data, offsets, table)
+            first, _, keys = runs_of(row, words, hashes, feed)
+            if len(keys):
+                of = pa.array(at + row[first])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(1).take(of), pa.array(keys.view(np.int64))], names=["doc_id", "copy", "key"])
+
+
+def _found(at: int, until: int, marks: pa.ListArray, row: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the runs (by row and key) are among their row's marks."""
+    part = marks.slice(at, until - at)
+    sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    known = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    out = np.zeros(len(keys), bool)
+    if len(known) and len(keys):
+        of = np.repeat(np.arange(until - at), sizes)
+        salted = lambda k, r: k ^ textkit.mix(r.astype(np.uint64) + np.uint64(1))
+        mixed = salted(known, of)
+        order = np.argsort(mixed)
+        place = order[np.minimum(np.searchsorted(mixed[order], salted(keys, row)), len(order) - 1)]
+        out = (known[place] == keys) & (of[place] == row)
+    return out
+
+
+def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """Which of n lines lie in any run."""
+    edge = np.bincount(first, minlength=n + 1) - np.bincount(last + 1, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, others, own) to hash and bytes of the different lines in repeated runs."""
     table = textkit.exact_table()
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        marks = batch.column(2)
-        for at, until, data, offsets in textkit.blocks(batch.column(1)):
-            units, (x, y, h1, parts) = windows(data, offsets, table)
-            bounds = np.searchsorted(units[0][x], np.arange(until - at + 1))
-            begin = units[1][x]
-            hits = np.concatenate(
-                [bounds[i] + _found(h1[bounds[i] : bounds[i + 1]], _marked(marks, at + i, 1)[:, 0]) for i in range(until - at) if bounds[i] < bounds[i + 1]]
-                or [np.zeros(0, np.int64)]
+        for at, until, data, offsets in textkit.blocks(batch.column(0)):
+            row, start, end, words, hashes, feed, _ = lines_of(data, offsets, table)
+            first, last, keys = runs_of(row, words, hashes, feed)
+            hit = _found(at, until, batch.column(1), row[first], keys) | _found(at, until, batch.column(2), row[first], keys)
+            lines = np.flatnonzero(_covered(first[hit], last[hit], len(row)))
+            if len(lines):
+                whole = data.tobytes()
+                # told apart by hash and size here, as a set of bytes would be slower; the bytes decide between blocks
+                _, one = np.unique(hashes[lines], return_index=True)
+                lines = np.union1d(lines[one], lines[_uneven(hashes[lines], end[lines] - start[lines])])
+                pieces = pa.array([whole[a:b] for a, b in zip(start[lines].tolist(), end[lines].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[lines].view(np.int64)), pieces], names=["line", "bytes"])
+
+
+def _uneven(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Lines that follow one of equal hash and other size, by hash."""
+    order = np.lexsort((sizes, hashes))
+    return order[1:][(hashes[order][1:] == hashes[order][:-1]) & (sizes[order][1:] != sizes[order][:-1])]
+
+
+def _remover(unequal: np.ndarray):
+    """(others, own, text, rest) to rest, cleaned text and counts; lines of an unequal hash stay, with their runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = textkit.exact_table()
+        for batch in batches:
+            texts: list = []
+            counts: list[np.ndarray] = []
+            null = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            for at, until, data, offsets in textkit.blocks(batch.column(2)):
+                row, start, end, words, hashes, feed, sentence = lines_of(data, offsets, table)
+                first, last, keys = runs_of(row, words, hashes, feed)
+                bounds = np.searchsorted(row, np.arange(until - at + 1))
+                good = np.ones(len(first), bool)
+                if len(unequal):
+                    odd = np.append(0, np.cumsum(np.isin(hashes, unequal)))
+                    good = odd[last + 1] == odd[first]
+                gone = good & _found(at, until, batch.column(0), row[first], keys)
+                own = np.flatnonzero(good & _found(at, until, batch.column(1), row[first], keys))
+                begin = first.copy()
+                seen: dict[tuple[int, int], int] = {}
+                for k, name in zip(own.tolist(), zip(row[first[own]].tolist(), keys[own].tolist(), strict=True), strict=True):
+                    if name in seen:  # its first place stays, also where the next one overlaps it
+                        begin[k] = max(begin[k], seen[name] + 1)
+                        gone[k] = begin[k] <= last[k]
+                    else:
+                        seen[name] = int(last[k])
+                cut_lines = _covered(begin[gone], last[gone], len(row))
+                whole = data.tobytes()
+                touched = np.zeros(until - at, bool)
+                touched[row[cut_lines]] = True
+                for i in range(until - at):
+                    if null[at + i]:
+                        texts.append(None)
+                    elif not touched[i]:
+                        texts.append(whole[offsets[i] : offsets[i + 1]].decode())
+                    else:
+                        a, b = int(bounds[i]), int(bounds[i + 1])
+                        edges = np.flatnonzero(np.diff(np.concatenate([[False], cut_lines[a:b], [False]]))) + a
+                        pieces, kept_to = [], int(offsets[i])
+                        for u, v in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
+                            pieces.append(whole[kept_to : start[u] if u > a else offsets[i]])
+                            kept_to = int(start[v] if v < b else offsets[i + 1])
+                        pieces.append(whole[kept_to : offsets[i + 1]])
+                        texts.append(b"".join(pieces).decode())
+                sums = [np.append(0, np.cumsum(c))[bounds] for c in (sentence, sentence & cut_lines, words * cut_lines)]
+                counts.append(np.diff(np.stack(sums)))
+            columns = np.concatenate([np.zeros((3, 0), np.int64), *counts], axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(3), pa.array(texts, pa.string()), *map(pa.array, columns)], names=["rest", "text", "n_lines", "removed_lines", "removed_words"]
             )
-            use = np.zeros(len(x) + 1, np.int64)
-            # the next anchor of a repeated run begins within REACH_WORDS words of the unit beside this one's first
-            around = x[hits[~parts[hits]]]
-            np.add.at(use, np.searchsorted(begin, units[1][np.maximum(around - 1, 0)] - REACH_WORDS, "right"), 1)
-            np.add.at(use, np.searchsorted(begin, units[1][np.minimum(around + 1, len(units[1]) - 1)] + REACH_WORDS), -1)
-            use = (np.cumsum(use)[:-1] > 0) & ~parts
-            use[hits] = True
-            use = np.flatnonzero(use)
-            if not len(use):
-                continue
-            whole = data.tobytes()
-            digests = [_digest(whole[a:b]) for a, b in zip(units[2][x[use]].tolist(), units[3][y[use]].tolist(), strict=True)]
-            columns = [ids[at + units[0][x[use]]], h1[use].view(np.int64), *np.array(digests, np.int64).T]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc_id", "h1", "d1", "d2"])
-
-
-def _removal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, marks, rest) to the cleaned text and counts; marks: [h1, d1, d2, keeper] of repeated windows."""
-    table = textkit.exact_table()
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        marks = batch.column(2)
-        texts: list = []
-        counts: list[tuple[int, int, int]] = []
-        null = batch.column(1).is_null().to_numpy(zero_copy_only=False)
-        for at, until, data, offsets in textkit.blocks(batch.column(1)):
-            (row, _, start, end, words, ends_line), (x, y, h1, _) = windows(data, offsets, table)
-            bounds, places = (np.searchsorted(r, np.arange(until - at + 1)) for r in (row, row[x]))
-            whole = data.tobytes()
-            for i in range(until - at):
-                a, b = bounds[i], bounds[i + 1]
-                own = whole[offsets[i] : offsets[i + 1]]
-                gone_lines = gone_words = 0
-                known = _marked(marks, at + i, 4)
-                if len(known) and a < b:
-                    keeper = {(p, q): z for _, p, q, z in known.tolist()}
-                    gone = np.zeros(b - a + 1, np.int64)
-                    seen: dict[tuple[int, int], int] = {}
-                    for k in (places[i] + _found(h1[places[i] : places[i + 1]], known[:, 0])).tolist():
-                        u, v = int(x[k]), int(y[k])
-                        key = _digest(whole[start[u] : end[v]])
-                        if key not in keeper:
-                            continue
-                        if keeper[key] == ids[at + i] and key not in seen:
-                            seen[key] = v
-                            continue
-                        u = max(u, seen.get(key, -1) + 1)  # its first place stays, also where the next one overlaps it
-                        if u <= v:
-                            gone[u - a] += 1
-                            gone[v + 1 - a] -= 1
-                    gone = np.cumsum(gone)[:-1] > 0
-                    edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]))) + a
-                    pieces, kept_to = [], int(offsets[i])
-                    for u, v in zip(edges[0::2], edges[1::2], strict=True):
-                        pieces.append(whole[kept_to : start[u] if u > a else offsets[i]])
-                        kept_to = int(start[v] if v < b else offsets[i + 1])
-                    pieces.append(whole[kept_to : offsets[i + 1]])
-                    own = b"".join(pieces)
-                    gone_lines, gone_words = int(ends_line[a:b][gone].sum()), int(words[a:b][gone].sum())
-                texts.append(None if null[at + i] else own.decode())
-                counts.append((int(ends_line[a:b].sum()), gone_lines, gone_words))
-        columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(3), pa.array(texts, pa.string()), *columns], names=["rest", "text", "n_lines", "removed_lines", "removed_words"]
-        )
+
+    return run
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with text cleaned, and n_lines, removed_lines and removed_words (long).
 
-    A run of lines (or of pieces of long ones) of RUN_WORDS words, and a chunk that has several lines or LINE_WORDS words, that occurs more than once in all texts stays only at its first place in the document of the
-    smallest id; elsewhere it goes, with the white space behind it. Runs go across line feeds and begin and end at any
-    line, so a repeated passage of whole lines goes whole wherever it stands; of another one, the lines that are not
-    whole stay. A piece's ends depend on the words of its line within PIECE_WORDS. Runs that overlap may have different
-    keepers; each line of theirs stays somewhere. removed_lines counts lines whose end went.
+    A run of lines (see runs_of) that occurs more than once in all texts stays only at its first place in the document
+    of the smallest id; elsewhere it goes, with the white space behind it. So a repeated passage of several whole lines
+    (sentences count as lines) goes whole wherever it stands; lines that it holds in part stay. Runs that overlap may
+    have different keepers; each line of theirs stays somewhere. The white space between two lines is not compared.
+    n_lines counts lines (sentences too, but not their pieces), removed_lines those whose end went.
     Null text stays null; empty and blank texts stay. Rows of one id count as one document (null ids: as the last), and
     each of them keeps what that document keeps. Empty table: empty result. Columns of docs named like the new ones are
     replaced; n_chars, if there, follows the text.
 
-    Few of the windows, the anchors, are counted first; around those that repeat all windows are, by 128 bits of a
-    cryptographic digest of their bytes. A repeated run is found if an anchor is within: a chunk is one, a run of
-    RUN_WORDS and REACH_WORDS words and one line more always has one, a shorter one by the chance of its hashes.
-    Counting aggregates before it shuffles, and the only rows joined are keys and documents.
+    Keys of runs are counted over all texts, then the bytes of all lines in repeated runs are compared: where lines of
+    one hash have other bytes, their runs stay. Keys are aggregated before they are shuffled, a document's marks are
+    no more than its runs, and the driver gets only hashes of lines that were unequal (64-bit collisions).
     """
     new = ("n_lines", "removed_lines", "removed_words")
-    own = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col(text).alias("text")
-    )
-    anchors = cut(own.mapInArrow(_listing, "doc_id long, h1 long"), "anchors")
-    again = anchors.groupBy("h1").agg(F.count("*").alias("times")).where("times > 1").select("h1")
-    hits = anchors.join(again, "h1").groupBy("doc_id").agg(F.collect_set("h1").alias("hits"))
-    hits = cut(hits.withColumnRenamed("doc_id", "__id"), "hits")
-    near = own.join(hits, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "hits")
-    near = cut(near.mapInArrow(_nearby, "doc_id long, h1 long, d1 long, d2 long"), "near")
-    repeated = near.groupBy("d1", "d2").agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).where("times > 1")
-    marks = (
-        near.join(repeated.select("d1", "d2", "keeper"), ["d1", "d2"])
-        .groupBy("doc_id")
-        .agg(F.flatten(F.collect_set(F.array("h1", "d1", "d2", "keeper"))).alias("__marks"))
+    copy = lambda body: F.xxhash64(body)  # noqa: E731  tells rows of one id apart, so that no group of rows is gathered
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), copy(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    runs = cut(own.mapInArrow(_listing, "doc_id long, copy long, key long"), "runs")
+    again = runs.groupBy("key").agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).where("times > 1").select("key", "keeper")
+    hits = runs.join(again, "key").select("doc_id", "copy", "key", F.col("keeper").eqNullSafe(F.col("doc_id")).alias("mine"))
+    marks = hits.groupBy("doc_id", "copy").agg(
+        F.collect_set(F.when(~F.col("mine"), F.col("key"))).alias("__others"), F.collect_set(F.when(F.col("mine"), F.col("key"))).alias("__own")
     )
-    marks = cut(marks.select(F.col("doc_id").alias("__id"), "__marks"), "marks")
+    marks = cut(marks.withColumnsRenamed({"doc_id": "__id", "copy": "__copy"}), "marks")
     rest = [c for c in docs.columns if c.lower() not in new and c != text]
-    joined = docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("__key"), F.col(text).alias("__text"), F.struct(*rest).alias("__rest")
-    ).join(marks, F.col("__key") == F.col("__id"), "left")
-    kind = joined.schema["__rest"].dataType.simpleString()
-    out = joined.select("__key", "__text", "__marks", "__rest").mapInArrow(
-        _removal, f"rest {kind}, text string, n_lines long, removed_lines long, removed_words long"
+    keyed = docs.select(F.col(doc_id).cast("long").alias("__key"), copy(F.col(text)).alias("__its"), F.col(text).alias("__text"), F.struct(*rest).alias("__rest"))
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__its") == F.col("__copy"))
+    marked = cut(keyed.join(marks, same, "left").select("__others", "__own", "__text", "__rest"), "marked")
+    lines = marked.where("__others is not null").select("__text", "__others", "__own").mapInArrow(_bytes, "line long, bytes binary")
+    unequal = lines.distinct().groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line").toArrow()
+    kind = marked.schema["__rest"].dataType.simpleString()
+    out = marked.mapInArrow(
+        _remover(unequal.column("line").to_numpy().view(np.uint64)), f"rest {kind}, text string, n_lines long, removed_lines long, removed_words long"
     )
     chars = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
     columns = [
@@ -305,5 +259,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents with repeated chunks removed, with the columns of docs."""
-    return dedup_lines(docs).select(*docs.columns)
+    """The documents without repeated runs, with the columns of docs; those that had words and lost all of them go."""
+    cleaned = dedup_lines(docs)
+    lost = (F.col("removed_words") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return cleaned.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns)

@@ -330,6 +330,98 @@ def test_passages_without_punctuation_are_found(spark):
     assert all(prose(200 + k, 41) in rows[40 + k]["text"] and prose(300 + k, 17) in rows[40 + k]["text"] for k in range(40))
 
 
+def test_blocks_of_short_lines_go_shifted_or_not(spark):
+    block = "\n".join(prose(40 + i, 6 + i % 2) for i in range(4))
+    texts = [f"{block}\n{prose(1, 30)}", f"{prose(2, 9)}\n{prose(3, 7)}\n{block}\n{prose(4, 5)}", f"{prose(5, 3)}\n{block}", block]
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    assert rows[0]["text"] == texts[0] and rows[3]["text"] == ""
+    assert all(block.split("\n")[j] not in rows[i]["text"] for i in (1, 2, 3) for j in range(4))
+    assert rows[1]["text"] == f"{prose(2, 9)}\n{prose(3, 7)}\n{prose(4, 5)}" and rows[2]["text"] == f"{prose(5, 3)}\n"
+    kept = line_dedup.without_repeats(make(spark, [*texts, "", None]))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 4, 5]  # a document emptied goes, an empty one stays
+
+
+def plain_dedup(texts: list[str | None]) -> list[str | None]:
+    """Line dedup by loops over lists; only the hashes of lines and words, which place boundaries, are the module's."""
+    table = textkit.exact_table()
+    hashed = lambda b: int(textkit.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]), table)[0])
+    docs, places = [], {}
+    for i, text in enumerate(texts):
+        b = (text or "").encode()
+        words = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        sentences, now = [], []
+        for w, (x, y) in enumerate(words):
+            now.append(w)
+            after = b[y : words[w + 1][0] if w + 1 < len(words) else len(b)]
+            feed = b"\n" in after or w + 1 == len(words)
+            if feed or b[y - 1 : y] in (b".", b"!", b"?"):
+                sentences.append((now, feed))
+                now = []
+        lines = []  # words, whether a feed follows
+        for own, feed in sentences:
+            cuts = set()
+            if len(own) > line_dedup.LONG_WORDS:
+                h = [hashed(b[words[w][0] : words[w][1]]) for w in own]
+                for j in range(len(own) - line_dedup.PIECE_WORDS + 1):
+                    part = h[j : j + line_dedup.PIECE_WORDS]
+                    cuts.add(j + part.index(min(part)))
+            piece = []
+            for j, w in enumerate(own):
+                piece.append(w)
+                if j in cuts or j + 1 == len(own):
+                    lines.append((piece, feed and j + 1 == len(own)))
+                    piece = []
+        body = [b[words[p[0]][0] : words[p[-1]][1]] for p, _ in lines]
+        size = [len(p) for p, _ in lines]
+        rolling = [2**64] + [
+            int(line_dedup.run_hashes(np.array([hashed(body[j - 1]), hashed(body[j])], np.uint64), np.array([0]), np.array([1]))[0]) for j in range(1, len(body))
+        ] + [2**64]
+        runs, begin = set(), 0
+        for j in range(len(body)):
+            if j + 1 == len(body) or rolling[j] < rolling[j - 1] and rolling[j] < rolling[j + 1] and j:
+                if j > begin:
+                    runs.add((begin, j))
+                begin = j + 1
+            if j and size[j - 1] + size[j] >= line_dedup.WINDOW_WORDS:
+                runs.add((j - 1, j))
+            if lines[j][1] and (not j or lines[j - 1][1]) and size[j] >= line_dedup.LINE_WORDS:
+                runs.add((j, j))
+        docs.append((b, words, lines, body, sorted(runs)))
+        for u, v in runs:
+            places.setdefault(tuple(body[u : v + 1]), []).append(i)
+    out = []
+    for i, (b, words, lines, body, runs) in enumerate(docs):
+        gone, seen = set(), {}
+        for u, v in runs:
+            key = tuple(body[u : v + 1])
+            if len(places[key]) > 1:
+                if min(places[key]) == i and key not in seen:
+                    seen[key] = v
+                else:
+                    gone |= set(range(max(u, seen.get(key, -1) + 1), v + 1))
+        kept, begin = b"", 0
+        for j in range(len(lines)):  # each line with the white space behind it, and before it if it is the first
+            end = words[lines[j + 1][0][0]][0] if j + 1 < len(lines) else len(b)
+            kept += b"" if j in gone else b[begin:end]
+            begin = end
+        out.append(None if texts[i] is None else (kept if lines else b).decode())
+    return out
+
+
+def test_line_dedup_matches_plain_python(spark):
+    rng = random.Random(4)
+    pool = [prose(700 + i, rng.choice((1, 2, 3, 4, 5, 7, 9, 14, 30, 60))) for i in range(40)]
+    texts: list[str | None] = [None, "", " \n "]
+    for _ in range(60):
+        at = rng.randint(0, 30)
+        lines = [*pool[at : at + rng.randint(1, 9)], *rng.sample(pool, rng.randint(0, 4)), prose(rng.randint(0, 10**6), 12)]
+        texts.append("".join(line + rng.choice(("\n", "\n\n", ". ", "! ", " ")) for line in lines))
+    rows = by_id(line_dedup.dedup_lines(make(spark, texts)))
+    for i, want in enumerate(plain_dedup(texts)):
+        assert rows[i]["text"] == want, i
+    assert sum(r["removed_words"] for r in rows.values()) > 500
+
+
 def test_line_dedup_edges(spark):
     rows = by_id(line_dedup.dedup_lines(make(spark, EDGE)))
     assert len(rows) == len(EDGE) and rows[0]["text"] is None and rows[1]["text"] == "" and rows[2]["text"] == EDGE[2]
