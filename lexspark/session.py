@@ -64,12 +64,13 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later stages neither recompute it nor depend on one executor.
 
-    The files also give the planner true sizes, so that Spark broadcasts the result only below its own limit.
+    The files also give the planner true sizes, so that Spark broadcasts the result only below its own limit. A
+    compression (zstd for texts, say) replaces the session's.
     """
     spark = df.sparkSession
     path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
