@@ -17,6 +17,8 @@ ROLLING = 2
 #: Windows of ROLLING lines count from this many words, lines that stand alone in theirs from LINE_WORDS words.
 WINDOW_WORDS = 8
 LINE_WORDS = 12
+#: Lines whose bytes a task remembers, so as to hand on equal ones once.
+REMEMBERED = 200_000
 #: Sentences above this many words are cut into lines at the least word hash of each PIECE_WORDS words.
 LONG_WORDS = 24
 PIECE_WORDS = 12
@@ -45,18 +47,19 @@ def lines_of(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[
     tail = data[ends - 1]
     stop = feed | (tail == 46) | (tail == 33) | (tail == 63)
     sentence, last = stop.copy(), np.flatnonzero(stop)
+    sums = textkit.prefix_sums(data, table)
     size = np.diff(last, prepend=-1)
     long = np.flatnonzero(size > LONG_WORDS)
     if len(long):
         of = np.repeat(long, size[long])
         word = np.arange(len(of)) + np.repeat(last[long] + 1 - np.cumsum(size[long]), size[long])
-        hashes = textkit.span_hashes(data, starts[word], ends[word], table)
+        hashes = textkit.span_hashes(data, starts[word], ends[word], sums=sums)
         least = np.lib.stride_tricks.sliding_window_view(hashes, PIECE_WORDS).argmin(axis=1)
         at = np.flatnonzero(of[: len(least)] == of[PIECE_WORDS - 1 :])
         stop[word[at + least[at]]] = True
         last = np.flatnonzero(stop)
     begin = np.append(0, last[:-1] + 1)
-    hashes = textkit.span_hashes(data, starts[begin], ends[last], table)
+    hashes = textkit.span_hashes(data, starts[begin], ends[last], sums=sums)
     return row[begin], starts[begin], ends[last], last - begin + 1, hashes, feed[last], sentence[last]
 
 
@@ -134,37 +137,20 @@ def _covered(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, others, own) to hash and bytes of the different lines in repeated runs."""
-    table = textkit.exact_table()
-    for batch in batches:
-        for at, until, data, offsets in textkit.blocks(batch.column(0)):
-            row, start, end, words, hashes, feed, _ = lines_of(data, offsets, table)
-            first, last, keys = runs_of(row, words, hashes, feed)
-            hit = _found(at, until, batch.column(1), row[first], keys) | _found(at, until, batch.column(2), row[first], keys)
-            lines = np.flatnonzero(_covered(first[hit], last[hit], len(row)))
-            if len(lines):
-                whole = data.tobytes()
-                # told apart by hash and size here, as a set of bytes would be slower; the bytes decide between blocks
-                _, one = np.unique(hashes[lines], return_index=True)
-                lines = np.union1d(lines[one], lines[_uneven(hashes[lines], end[lines] - start[lines])])
-                pieces = pa.array([whole[a:b] for a, b in zip(start[lines].tolist(), end[lines].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[lines].view(np.int64)), pieces], names=["line", "bytes"])
-
-
-def _uneven(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Lines that follow one of equal hash and other size, by hash."""
-    order = np.lexsort((sizes, hashes))
-    return order[1:][(hashes[order][1:] == hashes[order][:-1]) & (sizes[order][1:] != sizes[order][:-1])]
-
-
 def _remover(unequal: np.ndarray):
-    """(others, own, text, rest) to rest, cleaned text and counts; lines of an unequal hash stay, with their runs."""
+    """(others, own, text, rest) to rest, cleaned text and counts; runs with a line of an unequal hash stay.
+
+    Behind each batch come hash and bytes of the lines in its repeated runs, but for those that the task has just
+    handed on with the same bytes.
+    """
+    names = ["rest", "text", "n_lines", "removed_lines", "removed_words", "line", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = textkit.exact_table()
+        seen_lines: dict[int, bytes] = {}
         for batch in batches:
             texts: list = []
+            handed: list[tuple[int, bytes]] = []
             counts: list[np.ndarray] = []
             null = batch.column(2).is_null().to_numpy(zero_copy_only=False)
             for at, until, data, offsets in textkit.blocks(batch.column(2)):
@@ -176,7 +162,16 @@ def _remover(unequal: np.ndarray):
                     odd = np.append(0, np.cumsum(np.isin(hashes, unequal)))
                     good = odd[last + 1] == odd[first]
                 gone = good & _found(at, until, batch.column(0), row[first], keys)
-                own = np.flatnonzero(good & _found(at, until, batch.column(1), row[first], keys))
+                mine = good & _found(at, until, batch.column(1), row[first], keys)
+                whole = data.tobytes()
+                lines = np.flatnonzero(_covered(first[gone | mine], last[gone | mine], len(row)))
+                for h, a, b in zip(hashes[lines].view(np.int64).tolist(), start[lines].tolist(), end[lines].tolist(), strict=True):
+                    if seen_lines.get(h) != (piece := whole[a:b]):
+                        seen_lines[h] = piece
+                        handed.append((h, piece))
+                if len(seen_lines) > REMEMBERED:
+                    seen_lines.clear()
+                own = np.flatnonzero(mine)
                 begin = first.copy()
                 seen: dict[tuple[int, int], int] = {}
                 for k, name in zip(own.tolist(), zip(row[first[own]].tolist(), keys[own].tolist(), strict=True), strict=True):
@@ -186,7 +181,6 @@ def _remover(unequal: np.ndarray):
                     else:
                         seen[name] = int(last[k])
                 cut_lines = _covered(begin[gone], last[gone], len(row))
-                whole = data.tobytes()
                 touched = np.zeros(until - at, bool)
                 touched[row[cut_lines]] = True
                 for i in range(until - at):
@@ -206,9 +200,14 @@ def _remover(unequal: np.ndarray):
                 sums = [np.append(0, np.cumsum(c))[bounds] for c in (sentence, sentence & cut_lines, words * cut_lines)]
                 counts.append(np.diff(np.stack(sums)))
             columns = np.concatenate([np.zeros((3, 0), np.int64), *counts], axis=1)
+            n = batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3), pa.array(texts, pa.string()), *map(pa.array, columns)], names=["rest", "text", "n_lines", "removed_lines", "removed_words"]
+                [batch.column(3), pa.array(texts, pa.string()), *map(pa.array, columns), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=names
             )
+            if handed:
+                n = len(handed)
+                none = [pa.nulls(n, t) for t in (batch.column(3).type, pa.string(), pa.int64(), pa.int64(), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*none, *(pa.array(c) for c in zip(*handed, strict=True))], names=names)
 
     return run
 
@@ -226,12 +225,14 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     replaced; n_chars, if there, follows the text.
 
     Keys of runs are counted over all texts, then the bytes of all lines in repeated runs are compared: where lines of
-    one hash have other bytes, their runs stay. Keys are aggregated before they are shuffled, a document's marks are
-    no more than its runs, and the driver gets only hashes of lines that were unequal (64-bit collisions).
+    one hash have other bytes (a 64-bit collision), the removal is done again and their runs stay. Keys are aggregated
+    before they are shuffled, a document's marks are no more than its runs, and the driver gets only hashes of lines
+    that were unequal.
     """
     new = ("n_lines", "removed_lines", "removed_words")
-    copy = lambda body: F.xxhash64(body)  # noqa: E731  tells rows of one id apart, so that no group of rows is gathered
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), copy(F.col(text)).alias("copy"), F.col(text).alias("text"))
+    # rows without an id are told apart, so that the marks of all of them are not gathered
+    copy = F.when(F.col(doc_id).isNull(), F.xxhash64(text)).otherwise(0)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), copy.alias("copy"), F.col(text).alias("text"))
     runs = cut(own.mapInArrow(_listing, "doc_id long, copy long, key long"), "runs")
     again = runs.groupBy("key").agg(F.count("*").alias("times"), F.min("doc_id").alias("keeper")).where("times > 1").select("key", "keeper")
     hits = runs.join(again, "key").select("doc_id", "copy", "key", F.col("keeper").eqNullSafe(F.col("doc_id")).alias("mine"))
@@ -240,15 +241,18 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     )
     marks = cut(marks.withColumnsRenamed({"doc_id": "__id", "copy": "__copy"}), "marks")
     rest = [c for c in docs.columns if c.lower() not in new and c != text]
-    keyed = docs.select(F.col(doc_id).cast("long").alias("__key"), copy(F.col(text)).alias("__its"), F.col(text).alias("__text"), F.struct(*rest).alias("__rest"))
+    keyed = docs.select(F.col(doc_id).cast("long").alias("__key"), copy.alias("__its"), F.col(text).alias("__text"), F.struct(*rest).alias("__rest"))
     same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__its") == F.col("__copy"))
-    marked = cut(keyed.join(marks, same, "left").select("__others", "__own", "__text", "__rest"), "marked")
-    lines = marked.where("__others is not null").select("__text", "__others", "__own").mapInArrow(_bytes, "line long, bytes binary")
-    unequal = lines.distinct().groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line").toArrow()
+    marked = keyed.join(marks, same, "left").select("__others", "__own", "__text", "__rest")
     kind = marked.schema["__rest"].dataType.simpleString()
-    out = marked.mapInArrow(
-        _remover(unequal.column("line").to_numpy().view(np.uint64)), f"rest {kind}, text string, n_lines long, removed_lines long, removed_words long"
-    )
+    schema = f"rest {kind}, text string, n_lines long, removed_lines long, removed_words long, line long, bytes binary"
+    removed = lambda unequal: cut(marked.mapInArrow(_remover(unequal), schema), "cleaned", compression="zstd")
+    out = removed(np.zeros(0, np.uint64))
+    lines = out.where("line is not null").select("line", "bytes").distinct()
+    unequal = lines.groupBy("line").agg(F.count("*").alias("n")).where("n > 1").select("line").toArrow().column("line").to_numpy()
+    if len(unequal):
+        out = removed(unequal.view(np.uint64))
+    out = out.where("line is null")
     chars = F.length("text").cast(dict(docs.dtypes).get("n_chars", "long"))
     columns = [
         F.col("text").alias(text) if c == text else F.coalesce(chars, F.col("rest.n_chars")).alias(c) if c == "n_chars" else F.col("rest").getField(c).alias(c)

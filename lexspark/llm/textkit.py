@@ -74,11 +74,17 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, A-Z taken as a-z unless the table says otherwise."""
-    up, down = _power(len(data) + 1)
+def prefix_sums(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
+    """What span_hashes needs of all bytes, for several calls over the same ones."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(table[data] * _power(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _BYTE, sums: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, A-Z taken as a-z unless the table says otherwise."""
+    _, down = _power(len(data) + 1)
+    sums = prefix_sums(data, table) if sums is None else sums
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MULT)
 
 
