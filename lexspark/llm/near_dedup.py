@@ -25,8 +25,8 @@ SIGNED = 400
 BITS = 4
 #: Candidates go on from this many standard deviations below the similarity asked for: 3e-5 of pairs just at it do not.
 SLACK = 4.0
-#: Sets of one bucket that are compared at once, on either side.
-CHUNK = 256
+#: Documents, and shingles of theirs, of one bucket that are compared at once, on either side.
+CHUNK, CHUNK_SHINGLES = 256, 200_000
 #: Candidates that a document takes from the buckets held apart in the first round; four times as many in the next.
 TAKEN = 4
 ROUNDS = 1
@@ -186,7 +186,7 @@ def near_duplicates(
     copies = usable.select("doc_id", "h1", "h2", "n_shingles").join(shared, ["h1", "h2", "n_shingles"])
     copies = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # one row for each class
-    unique = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    unique = usable.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "n_shingles", "sig", "bands")
     signs = unique.select("doc_id", "sig")
     members = unique.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = cut(members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("low")).where("n > 1"), "buckets")
@@ -213,7 +213,7 @@ def near_duplicates(
     )
     links = cut(verified(cut(likely, "likely"), own, k, percent), "links")
     found = cut(components(links.union(copies)), "components")
-    found = settled(in_bucket, found, signs, own, floor, k, percent)
+    found = settled(in_bucket, found, unique, own, floor, k, percent)
 
     sizes = sketch.select("doc_id", "n_shingles")
     names = {c.lower() for c in ("n_shingles", "component_id", "kept")}
@@ -231,48 +231,53 @@ def near_duplicates(
     return joined.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.lit(True)))
 
 
-def settled(in_bucket: DataFrame, found: DataFrame, signs: DataFrame, texts: DataFrame, floor: float, k: int, percent: int) -> DataFrame:
+def settled(in_bucket: DataFrame, found: DataFrame, unique: DataFrame, texts: DataFrame, floor: float, k: int, percent: int) -> DataFrame:
     """(node, component) once every pair that shares a bucket is in one component, below the floor or disproved.
 
-    in_bucket: key, doc_id; found: node, component so far; signs: doc_id, sig. The members outside the component of a
-    bucket's anchor (a member of its largest component) meet all members of the bucket in chunks. In ROUNDS rounds each
-    takes its likeliest candidates of other components, one from each of TAKEN hash classes (more in each next round);
-    these are proved and the components contracted, so that most of what belongs together is joined by few proofs. A
-    member that finds no candidate is done. What the others still have is proved in blocks of sets, without a row for a
-    pair (see proved_in_blocks). All rows are in proportion to members, none to pairs.
+    in_bucket: key, band, doc_id; found: node, component so far; unique: doc_id, sig, bands, n_shingles. The members
+    outside the component of a bucket's anchor (a member of its largest component) meet all members of the bucket in
+    chunks. In ROUNDS rounds each takes its likeliest candidates of other components, one from each of TAKEN hash
+    classes (more in each next round); these are proved and the components contracted, so that most of what belongs
+    together is joined by few proofs. A member that finds no candidate is done. Chunks of the buckets that the others
+    are in then bring their full sets along, and what they still have is proved where it is found: only true links come
+    out, so that all rows are in proportion to members, none to pairs.
     """
 
-    def labelled(rows: DataFrame, label: DataFrame, node: str, name: str) -> DataFrame:
-        return rows.join(label.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
+    def labelled(rows: DataFrame, node: str, name: str) -> DataFrame:
+        return rows.join(found.select(F.col("node").alias(node), F.col("component").alias(name)), node, "left").withColumn(name, F.coalesce(name, node))
 
-    parts = labelled(in_bucket.select("key", "doc_id"), found, "doc_id", "component")
+    parts = labelled(in_bucket.select("key", "doc_id"), "doc_id", "component")
     parts = parts.groupBy("key", "component").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
     parts = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", F.col("low").alias("anchor"))).alias("most"))
     mixed = cut(parts.where("parts > 1").select("key", F.col("most.anchor").alias("anchor")), "mixed")
-    rows = cut(in_bucket.select("key", "doc_id").join(mixed, "key"), "mixed-rows")
+    rows = cut(in_bucket.select("key", "band", "doc_id").join(mixed, "key"), "mixed-rows")
     active = None
     for turn in range(ROUNDS + 1):
-        state = labelled(labelled(rows, found, "doc_id", "component"), found, "anchor", "main")
+        state = labelled(labelled(rows, "doc_id", "component"), "anchor", "main")
         state = state.withColumn("outside", F.col("component") != F.col("main"))
         if active is not None:
             state = state.join(active, "doc_id", "left").withColumn("outside", F.col("outside") & F.coalesce("active", F.lit(False)))
-        sizes = state.groupBy("component").agg(F.count("*").alias("size"))
-        block = F.xxhash64("component", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / F.lit(CHUNK)))).alias("block")
-        state = cut(state.join(sizes, "component").select("key", "doc_id", "component", "outside", block), "state")
-        counts = state.groupBy("key").agg(F.count_if("outside").alias("n_left"), F.count("*").alias("n_all")).where("n_left > 0")
-        full = cut(state.join(cut(counts, "held-apart"), "key").join(signs, "doc_id"), "held-apart-rows")
-        member = F.struct("doc_id", "component", "sig", "block")
-        chunks = lambda size: F.ceil(F.col(size) / F.lit(CHUNK))
-        part = lambda size: F.pmod(F.xxhash64("doc_id"), chunks(size)).alias("part")
-        left = full.where("outside").groupBy("key", "n_all", part("n_left")).agg(F.collect_list(member).alias("left")).drop("part")
-        left = left.select("key", "left", F.explode(F.sequence(F.lit(0).cast("long"), chunks("n_all") - 1)).alias("part"))
-        right = full.groupBy("key", part("n_all")).agg(F.collect_list(member).alias("right"))
-        both = left.join(right, ["key", "part"]).select("left", "right")
-        if turn == ROUNDS:
-            near = both.mapInArrow(comparer(floor), "a long, block long, bs array<long>")
-            links = proved_in_blocks(cut(near, "nearest"), full, texts, k, percent)
+        state = cut(state.select("key", "band", "doc_id", "component", "outside"), "state")
+        held = cut(state.where("outside").select("key").distinct(), "held-apart")
+        full = state.join(held, "key").join(unique, "doc_id")
+        columns, last = ["doc_id", "component", "sig"], turn == ROUNDS
+        if last:
+            full = full.join(sets_of(full.select("doc_id").distinct(), texts, k), "doc_id")
+            columns += ["bands", "members"]
+        full = cut(full.select("key", "band", "outside", "n_shingles", *columns), "held-apart-rows")
+        # chunks hold about CHUNK documents, and CHUNK_SHINGLES where they bring their sets
+        weight = F.lit(1.0 / CHUNK) + (F.col("n_shingles") / CHUNK_SHINGLES if last else F.lit(0.0))
+        sizes = full.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("outside"), weight))).alias("of_left"), F.ceil(F.sum(weight)).alias("of_right"))
+        full = full.join(cut(sizes, "chunks"), "key")
+        part = lambda size: F.pmod(F.xxhash64("doc_id"), F.col(size)).alias("part")
+        left = full.where("outside").groupBy("key", "band", "of_right", part("of_left")).agg(F.collect_list(F.struct(*columns)).alias("left")).drop("part")
+        left = left.select("key", "band", "left", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of_right") - 1)).alias("part"))
+        right = full.groupBy("key", part("of_right")).agg(F.collect_list(F.struct(*columns)).alias("right"))
+        both = left.join(right, ["key", "part"]).select("left", "right", "band")
+        if last:
+            links = both.mapInArrow(prover(floor, percent), "a long, b long").distinct()
         else:
-            near = both.mapInArrow(comparer(floor, TAKEN << 2 * turn), "a long, class long, equal long, b long")
+            near = both.mapInArrow(nearest(floor, TAKEN << 2 * turn), "a long, class long, equal long, b long")
             near = near.groupBy("a", "class").agg(F.max(F.struct("equal", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
             near = cut(near, "nearest")
             if near.isEmpty():
@@ -285,91 +290,77 @@ def settled(in_bucket: DataFrame, found: DataFrame, signs: DataFrame, texts: Dat
     return found
 
 
-def proved_in_blocks(near: DataFrame, members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """True links (a, b) among candidates, one for each a and block at most.
+def _meetings(batch: pa.RecordBatch, floor: float) -> Iterator[tuple]:
+    """Of each row's two lists: their columns, and for each member of the left one the places in the right one that are
+    near enough and of another component, with the numbers of equal values."""
+    bits, n, chance = BITS, SIGNED, 2.0**-BITS
+    ones = np.uint64((1 << 64) // (2**bits - 1))
+    least = math.ceil(n * (chance + (1 - chance) * floor) - 1e-9)
+    for i in range(batch.num_rows):
+        x, y = ({f.name: values.field(f.name) for f in values.type} for values in (batch.column(c)[i].values for c in (0, 1)))
+        parts, others = (np.asarray(z["component"]) for z in (x, y))
+        sigs, other_sigs = (_rows_of(z["sig"]).view(np.uint64) for z in (x, y))
+        for at in range(len(parts)):
+            folded = diff = sigs[at][None, :] ^ other_sigs
+            for step in range(1, bits):
+                folded = folded | (diff >> np.uint64(step))
+            equal = n - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int64)
+            good = np.flatnonzero((equal >= least) & (others != parts[at]))
+            if len(good):
+                yield i, x, y, at, good, equal[good]
+
+
+def _rows_of(lists: pa.ListArray) -> np.ndarray:
+    return np.asarray(lists.flatten()).reshape(len(lists), -1)
 
-    near: a, block, bs (candidates of one block, which holds about CHUNK documents of one component); members: doc_id,
-    block. A block's sets come once to each part of its askers.
-    """
-    asked = near.groupBy("a", "block").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
-    asked = cut(asked, "asked")
-    if asked.isEmpty():
-        return asked.select("a", F.col("a").alias("b"))
-    crowd = asked.groupBy("block").agg(F.ceil(F.count("*") / F.lit(CHUNK)).alias("parts"))
-    held = cut(members.select("doc_id", "block").distinct().join(cut(crowd, "crowd"), "block").select("doc_id", "block"), "held")
-    sets = sets_of(held.select("doc_id").union(asked.select("a")).distinct(), texts, k)
-    left = asked.join(crowd, "block").join(sets.withColumnsRenamed({"doc_id": "a", "members": "set_a"}), "a")
-    left = left.groupBy("block", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("a", "set_a", "bs")).alias("left"))
-    right = held.join(sets, "doc_id").groupBy("block").agg(F.collect_list(F.struct("doc_id", "members")).alias("right"))
-    return left.join(right, "block").select("left", "right").mapInArrow(prover(percent), "a long, b long")
-
-
-def prover(percent: int):
-    """A mapInArrow function: lists of (a, set, candidates) and of (doc_id, set) to the first true link of each a."""
+
+def nearest(floor: float, classes: int):
+    """A mapInArrow function: two lists of members to the likeliest b of another component for each a and hash class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            links: list[tuple[int, int]] = []
-            for i in range(batch.num_rows):
-                x, y = ({f.name: values.field(f.name) for f in values.type} for values in (batch.column(c)[i].values for c in (0, 1)))
-                place = {b: at for at, b in enumerate(y["doc_id"].to_pylist())}
-                known: dict[int, np.ndarray] = {}
-                for at, a in enumerate(x["a"].to_pylist()):
-                    own = x["set_a"][at].values.to_numpy().view(np.uint64)  # sorted as such
-                    for b in x["bs"][at].values.to_pylist():
-                        if b not in known:
-                            known[b] = y["members"][place[b]].values.to_numpy().view(np.uint64)
-                        other = known[b]
-                        both = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
-                        if 100 * both >= percent * (len(own) + len(other) - both):
-                            links.append((a, b))
-                            break
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
+            best: list[np.ndarray] = []
+            for _, x, y, at, good, equal in _meetings(batch, floor):
+                others = np.asarray(y["doc_id"])[good]
+                kind = (textkit.mix(others.astype(np.uint64)) % np.uint64(classes)).astype(np.int64)
+                order = np.lexsort((others, equal, kind))
+                order = order[np.append(kind[order][1:] != kind[order][:-1], True)]  # the last of each class
+                best.append(np.stack([np.full(len(order), x["doc_id"][at].as_py()), kind[order], equal[order], others[order]]))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(best, axis=1)], names=["a", "class", "equal", "b"])
 
     return run
 
 
-def comparer(floor: float, classes: int = 0):
-    """A mapInArrow function: two lists of members to each a's candidates b of other components.
+def prover(floor: float, percent: int):
+    """A mapInArrow function: two lists of members with their sets, and their band, to the true links between them.
 
-    With classes, the likeliest of each hash class (a, class, equal, b); else all, by their blocks (a, block, bs).
+    One link of each a to each other component is enough. A pair is looked at in its first common band.
     """
-    bits, n, chance = BITS, SIGNED, 2.0**-BITS
-    ones = np.uint64((1 << 64) // (2**bits - 1))
-    least = math.ceil(n * (chance + (1 - chance) * floor) - 1e-9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best: list[np.ndarray] = []
-            every: list[tuple[int, int, np.ndarray]] = []
-            for i in range(batch.num_rows):
-                x, y = ({f.name: values.field(f.name) for f in values.type} for values in (batch.column(c)[i].values for c in (0, 1)))
-                ids, others, parts, other_parts, blocks = (np.asarray(z) for z in (x["doc_id"], y["doc_id"], x["component"], y["component"], y["block"]))
-                sigs, other_sigs = (np.asarray(z["sig"].flatten()).reshape(len(z["doc_id"]), -1).view(np.uint64) for z in (x, y))
-                kind = (textkit.mix(others.astype(np.uint64)) % np.uint64(classes)).astype(np.int64) if classes else blocks
-                for at in range(len(ids)):
-                    folded = diff = sigs[at][None, :] ^ other_sigs
-                    for step in range(1, bits):
-                        folded = folded | (diff >> np.uint64(step))
-                    equal = n - np.bitwise_count(folded & ones).sum(axis=1, dtype=np.int64)
-                    good = np.flatnonzero((equal >= least) & (other_parts != parts[at]))
-                    if not len(good):
+            links: list[tuple[int, int]] = []
+            row, known, bands, other_bands = -1, {}, None, None
+            for i, x, y, at, good, equal in _meetings(batch, floor):
+                if i != row:
+                    row, known, (bands, other_bands) = i, {}, (_rows_of(z["bands"]) for z in (x, y))
+                    band = batch.column(2)[i].as_py()
+                own = x["members"][at].values.to_numpy().view(np.uint64)  # sorted as such
+                first = ~(bands[at, :band][None, :] == other_bands[good][:, :band]).any(axis=1)
+                linked = set()
+                for b in good[first][np.argsort(-equal[first], kind="stable")].tolist():
+                    if (part := y["component"][b].as_py()) in linked:
                         continue
-                    good = good[np.lexsort((others[good], equal[good], kind[good]))]
-                    ends = np.flatnonzero(np.append(kind[good][1:] != kind[good][:-1], True))
-                    if classes:
-                        good = good[ends]
-                        best.append(np.stack([np.full(len(good), ids[at]), kind[good], equal[good], others[good]]))
-                    else:  # the likeliest first
-                        every += [(ids[at], kind[own[0]], others[own[::-1]]) for own in np.split(good, ends[:-1] + 1)]
-            if best:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(best, axis=1)], names=["a", "class", "equal", "b"])
-            if every:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([c[0] for c in every]), pa.array([c[1] for c in every]), pa.array([c[2] for c in every], pa.list_(pa.int64()))],
-                    names=["a", "block", "bs"],
-                )
+                    if b not in known:
+                        known[b] = y["members"][b].values.to_numpy().view(np.uint64)
+                    other = known[b]
+                    both = np.count_nonzero(other[np.minimum(np.searchsorted(other, own), len(other) - 1)] == own)
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        linked.add(part)
+                        links.append((x["doc_id"][at].as_py(), y["doc_id"][b].as_py()))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(side, pa.int64()) for side in zip(*links, strict=True)], names=["a", "b"])
 
     return run
 
