@@ -49,6 +49,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     )
 
 
+def _filled(parts: DataFrame) -> DataFrame:
+    """(source, at, own, need, start) with before (start and what the source's earlier parts hold) and fits."""
+    upto = W.partitionBy("source").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    before = F.col("start") + F.coalesce(F.sum("own").over(upto), F.lit(0))
+    return parts.withColumn("before", before).withColumn("fits", F.col("before") + F.col("own") <= F.col("need"))
+
+
 def mix(
     docs: DataFrame,
     text: str = "text",
@@ -67,8 +74,9 @@ def mix(
     last. Null id: hashed as the empty text. Rows of one id and size: taken alike (a word each may be lost). A source or table without words:
     target 0, nothing taken. Columns of docs named like the new ones are replaced.
 
-    The order of a source is cut by sums over buckets of the hash; only the bucket in which the rest runs out, about
-    16**-BUCKET_DIGITS of the source, is ordered row by row. What a row needs to know is then one row for its source.
+    The order of a source is cut by sums over parts of the hash, in two steps of at most 256 parts a source; only the
+    bucket in which the rest runs out, about 16**-BUCKET_DIGITS of the source, is ordered row by row. What a row needs
+    to know is then one row for its source.
     """
     keep = [c for c in docs.columns if c.lower() not in _NEW]
     hashed = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).cast("binary"))
@@ -82,15 +90,17 @@ def mix(
     goal = goal.withColumn("whole", whole.cast("int"))
     goal = cut(goal.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
     same = F.col("g.source").eqNullSafe(F.col("d.source"))
-    upto = W.partitionBy("d.source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    state = (
-        buckets.alias("d")
-        .join(goal.alias("g"), same)
-        .select("d.source", "bucket", "need", "bucket_size", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("before"))
-    )
-    state = cut(state.withColumn("fits", F.col("before") + F.col("bucket_size") <= F.col("need")), "buckets")
-    full = state.where("fits").groupBy("source").agg(F.max("bucket").alias("last_full"))
-    last = state.where("not fits and before < need")
+    # sums over the hash's first digits, at most 256 a source, lead to the part in which a source's rest runs out, and
+    # sums over the next digits within that part alone to the bucket
+    head = F.substring("bucket", 1, BUCKET_DIGITS // 2)
+    heads = buckets.groupBy("source", head.alias("at")).agg(F.sum("bucket_size").alias("own"))
+    heads = cut(_filled(heads.alias("d").join(goal.alias("g"), same).select("d.source", "at", "own", "need", F.lit(0).cast("long").alias("start"))), "heads")
+    over = heads.where("not fits and before < need").select("source", F.col("at").alias("head"), "need", "before")
+    inner = buckets.withColumn("head", head).alias("d").join(over.alias("g"), same & (F.col("d.head") == F.col("g.head")))
+    inner = cut(_filled(inner.select("d.source", F.col("bucket").alias("at"), F.col("bucket_size").alias("own"), "need", F.col("before").alias("start"))), "buckets")
+    whole_heads = heads.where("fits").select("source", F.concat("at", F.lit("f" * (BUCKET_DIGITS - BUCKET_DIGITS // 2))).alias("at"))
+    full = whole_heads.union(inner.where("fits").select("source", "at")).groupBy("source").agg(F.max("at").alias("last_full"))
+    last = inner.where("not fits and before < need").withColumnRenamed("at", "bucket")
     inside = W.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(W.unboundedPreceding, -1)
     cutoff = (
         sized.alias("d")

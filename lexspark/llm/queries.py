@@ -137,7 +137,7 @@ def _mixing_sql() -> str:
  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source), w AS (SELECT *, {cycle} AS weight, source_size * {mixing.MAX_EPOCHS} AS cap FROM s),
  l AS (SELECT *, (SELECT CAST(sum(source_size) AS BIGINT) FROM s) - CAST(coalesce(sum(cap) OVER o, 0) AS BIGINT) AS rest, (SELECT CAST(sum(weight) AS BIGINT) FROM w) - CAST(coalesce(sum(weight) OVER o, 0) AS BIGINT) AS weights
   FROM w WINDOW o AS (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
- f AS (SELECT *, CAST(cap AS DOUBLE) * weights >= CAST(rest AS DOUBLE) * weight AS free FROM l), b AS (SELECT rest, weights FROM f WHERE free ORDER BY cap / weight, rest, weights LIMIT 1),
+ f AS (SELECT *, CAST(cap AS DOUBLE) * weights >= CAST(rest AS DOUBLE) * weight AS free FROM l), b AS (SELECT rest, weights FROM f WHERE free ORDER BY cap / weight, source IS NULL, source LIMIT 1),
  g AS (SELECT source, source_size, CASE WHEN free THEN weight * (SELECT rest FROM b) / (SELECT weights FROM b) ELSE CAST(cap AS DOUBLE) END AS target FROM f),
  n AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INT) ELSE 0 END AS whole FROM g), t AS (SELECT *, target - whole * source_size AS need FROM n),
  k AS (SELECT source, key, size, sum(size) AS words, coalesce(sum(sum(size)) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d GROUP BY source, key, size),
