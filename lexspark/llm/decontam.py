@@ -51,6 +51,7 @@ def contamination(
     benchmark: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
+    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items (long), items_sha256 (string) and contaminated (boolean).
 
@@ -64,14 +65,15 @@ def contamination(
     Windows must occur whole, so a window's rarest shingle is a prefix that is enough to find it: shingles are
     ordered by the number of their occurrences in docs, each window is joined on its rarest one, the occurrence must
     leave room on both sides (length and position), and then the words are compared. One pass over the texts keeps the
-    places of any shingle of the benchmark with the words around them; the counts and the join follow from those.
+    places of any shingle of the benchmark with the words around them; the counts and the join follow from those. Above
+    broadcast_windows windows the same joins shuffle places, not words; the result is the same.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     keep = [c for c in docs.columns if c.lower() not in new]
     windows = cut(windows_of(benchmark).withColumn("window_id", F.xxhash64("window")), "windows")
     # window_id only names a row between two joins; the words decide
     stats = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("window"), F.lit(SHINGLE)))).alias("k")).first()
-    sizes, small = list(stats["k"]), stats["n"] <= BROADCAST_WINDOWS
+    sizes, small = list(stats["k"]), stats["n"] <= broadcast_windows
     side = F.broadcast if small else (lambda df: df)
     # what a row gets depends on its text alone; the id only deals copies out
     row = F.struct(F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text"))
@@ -101,7 +103,12 @@ def contamination(
         # one pass over the texts: places of any window's shingles, with the words that a window there could reach
         reach = WINDOW - min(sizes)
         begin = F.greatest(F.col("at") - F.lit(reach), F.lit(0))
-        met = at.join(side(distinct), "hash", "left_semi").select("__row", "hash", "w", place.alias("at"))
+        if small:  # the words stay in place
+            met = at.join(F.broadcast(distinct), "hash", "left_semi").select("__row", "hash", "w", place.alias("at"))
+        else:  # only places are shuffled for every word; words follow where something was met
+            slim = at.select("__row", "hash", place.alias("at"))
+            places = cut(slim.join(distinct, "hash", "left_semi"), "places")
+            met = places.join(own.join(places.select("__row").distinct(), "__row", "left_semi").dropDuplicates(["__row"]), "__row").select("__row", "hash", "w", "at")
         met = met.select("__row", "hash", "at", begin.alias("begin"), F.size("w").alias("n"),
                          F.slice("w", begin + 1, F.col("at") - begin + WINDOW).alias("near"))
         met = cut(met, "met")

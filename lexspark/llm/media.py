@@ -130,7 +130,7 @@ def read(data: bytes) -> dict:
     entry = at[b"stsd"][0] + 8
     codec = data[entry + 4 : entry + 8].decode("latin-1")
     width, height = struct.unpack_from(">HH", data, entry + 32)
-    timescale, _ = struct.unpack_from(">II", data, at[b"mdhd"][0] + 12)
+    timescale = struct.unpack_from(">I", data, at[b"mdhd"][0] + (20 if data[at[b"mdhd"][0]] == 1 else 12))[0]
     fixed, n = struct.unpack_from(">II", data, at[b"stsz"][0] + 4)
     sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(data, ">u4", n, at[b"stsz"][0] + 12).astype(np.int64)
     starts = table(b"stco", ">u4") if b"stco" in at else table(b"co64", ">u8")
@@ -159,9 +159,14 @@ def payload_of(data: bytes, info: dict) -> bytes:
     return b"".join(view[a:b] for a, b in zip(offsets[firsts].tolist(), ends[lasts].tolist(), strict=True))
 
 
+def keyframes(info: dict) -> np.ndarray:
+    """First and end byte in the file of each keyframe."""
+    return np.stack([info["offsets"], info["offsets"] + info["sizes"]], axis=1)[info["sync"]]
+
+
 def feature(info: dict) -> str:
     """Codec, picture, duration in seconds, samples, and the keyframes' number, byte range and hash of ranges."""
-    ranges = np.stack([info["offsets"], info["offsets"] + info["sizes"]], axis=1)[info["sync"]]
+    ranges = keyframes(info)
     span = f"{ranges[0, 0]}-{ranges[-1, 1]}" if len(ranges) else "-"
     return (
         f"codec={info['codec'].strip()};picture={info['width']}x{info['height']};"
@@ -172,20 +177,24 @@ def feature(info: dict) -> str:
 
 SCHEMA = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, "
-    "feature string"
+    "feature string, codec string, seconds double, keyframes array<struct<start: long, end: long>>"
 )
 
+NAMES = "n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature codec seconds keyframes".split()
+
 
 def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep_media: bool = False) -> DataFrame:
     """doc_id and the columns of SCHEMA, with keep_media also media (binary), the stored file.
 
     Each text's UTF-8, padded, becomes the samples of an ISO media file; the file is read back by its boxes and sample
-    tables. payload_* describe the bytes read back, tail_crc32 the last 16 of them. Null and empty texts: one sample
+    tables. payload_* describe the bytes read back, tail_crc32 the last 16 of them; codec, seconds and
+    keyframes (byte ranges in the file) are what its boxes say. Null and empty texts: one sample
     of spaces. Repeated rows: equal values. Empty table: empty result. Other columns of docs are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", *[c.split()[0] for c in SCHEMA.split(", ")], *["media"] * keep_media]
+        names = ["doc_id", *NAMES, *["media"] * keep_media]
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             data, offsets = textkit.buffers(batch.column(1))
             rows, size, first = [], 0, 0
@@ -196,11 +205,12 @@ def media_columns(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", k
                 payload = payload_of(media, info)
                 rows.append((
                     len(own), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media),
-                    hashlib.sha256(media).hexdigest(), feature(info), *[media] * keep_media,
+                    hashlib.sha256(media).hexdigest(), feature(info), info["codec"].strip(), info["duration"] / max(1, info["timescale"]),
+                    [{"start": a, "end": b} for a, b in keyframes(info).tolist()], *[media] * keep_media,
                 ))
                 size += len(media) * keep_media
                 if size > 1 << 24 or i == batch.num_rows - 1:
-                    columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                    columns = [pa.array(c, spans if n == "keyframes" else None) for n, c in zip(names[1:], zip(*rows, strict=True), strict=True)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, i + 1 - first), *columns], names=names)
                     rows, size, first = [], 0, i + 1
 

@@ -207,10 +207,17 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def one_text_each(labelled: DataFrame) -> DataFrame:
+    """(text, y), one row for each doc_id of (doc_id, text, y)."""
+    least = F.min(F.struct(F.xxhash64("text"), "text", "y")).alias("least")
+    return labelled.groupBy("doc_id").agg(least).select("least.text", "least.y")
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Additive:
     """Fit on up to `rows` labelled documents that aren't held out; what reaches the driver has that bound.
 
-    Rows with a null label, id or text are not learned from; of several labels for one id, the least counts.
+    Rows with a null label, id or text are not learned from; of several labels for one id, the least counts; of several
+    texts, that of the least hash, then the least. So the sample is the same on each run.
     """
     known = labels.where(F.col("quality").isNotNull() & F.col(doc_id).isNotNull() & ~held_out(doc_id))
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg((F.min("quality") > 0).cast("int").alias("y"))
@@ -223,8 +230,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             x = features(batch.column(0))
             yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c) for c in x.T]], names=["y", *FEATURES])
 
-    sample = own.join(known, "doc_id").select("text", "y").mapInArrow(run, "y int, " + ", ".join(f"{c} double" for c in FEATURES))
-    table = sample.limit(rows).toArrow()
+    own = one_text_each(own.join(known, "doc_id"))
+    sample = own.mapInArrow(run, "y int, " + ", ".join(f"{c} double" for c in FEATURES))
+    table = sample.toArrow()
     x = np.stack([table.column(c).to_numpy() for c in FEATURES], axis=1)
     y = table.column("y").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the order of partitions does not matter

@@ -66,7 +66,8 @@ def battery(candidates: DataFrame) -> DataFrame:
         name, alphabet = F.when(fits, kind).otherwise(name), F.when(fits, letters).otherwise(alphabet)
     rows = candidates.withColumn("encoding", name).withColumn("alphabet", alphabet)
     rows = rows.withColumn("n", F.length("match")).withColumn("k", F.length("alphabet"))
-    rows = rows.withColumn("v", F.expr("transform(sequence(1, n), i -> locate(substr(match, i, 1), alphabet) - 1)"))
+    # one split, as substr() walks from the start for each place
+    rows = rows.withColumn("v", F.expr("transform(slice(split(match, ''), 1, n), c -> locate(c, alphabet) - 1)"))
     n, k = F.col("n").cast("double"), F.col("k").cast("double")
     squares = F.expr("aggregate(array_distinct(v), 0L, (a, c) -> a + power(size(filter(v, x -> x = c)), 2) :: bigint)")
     rows = rows.withColumn("chi", squares * k / n - n)

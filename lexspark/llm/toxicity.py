@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm import textkit
+from lexspark.llm.quality import one_text_each
+from lexspark.session import cut
 
 #: Most labelled rows that the model is fitted on, and most features it has.
 SAMPLE_ROWS, FEATURES = 30_000, 4_096
@@ -116,14 +118,14 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     Labels tell toxic (1) from not (0); of several for one id the largest counts. A toxic document's grade, 1 to
     len(GRADE_SHARES) + 1, follows the number of its features among the cues, which the same sample gives. Rows with a
-    null label, id or text are not learned from.
+    null label, id or text are not learned from; of several texts for one id, that of the least hash, then the least.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull())
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     # at most `rows` ids and marks, so that the texts need no shuffle to meet them
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
-    sample = own.join(known, "doc_id").select("text", "y")
+    sample = cut(one_text_each(own.join(known, "doc_id")), "labelled")
 
     def presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(c)) for c in (places, values)]
             yield pa.RecordBatch.from_arrays([batch.column(1), *lists], names=["y", "places", "values"])
 
-    table = sample.mapInArrow(sparse, "y int, places array<long>, values array<double>").limit(rows).toArrow()
+    table = sample.mapInArrow(sparse, "y int, places array<long>, values array<double>").toArrow()
     y = table.column("y").to_numpy()
     lists = table.column("places").combine_chunks()
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False)

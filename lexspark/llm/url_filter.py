@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,7 @@ class Judge:
         for action, rule in rules:
             host, _, path = rule.partition("/")
             self.by_host.setdefault(host, []).append((f"/{path}", action, rule))
+        self.most_labels = max((h.count(".") + 1 for h in self.by_host), default=0)
         self.soft_hits = soft_hits
         self.automaton = ahocorasick.Automaton()
         for word, weight in [*((w, 0) for w in soft), *((w, 1) for w in strict)]:
@@ -54,14 +57,12 @@ class Judge:
 
     def rule(self, host: str, path: str) -> tuple[str, str] | None:
         """(action, rule) of the longest rule that fits; of rules as long, the one of the longer host, then block."""
-        fits, at = [], host
-        while True:
+        fits, labels = [], host.rsplit(".", self.most_labels)
+        for n in range(1, min(len(labels), self.most_labels) + 1):
+            at = ".".join(labels[-n:])
             for start, action, rule in self.by_host.get(at, ()):
                 if path.startswith(start):
                     fits.append((len(rule), len(at), action == "block", action, rule))
-            _, dot, at = at.partition(".")
-            if not dot:
-                break
         return max(fits)[3:] if fits else None
 
     def hits(self, url: str) -> tuple[int, int]:
@@ -97,9 +98,10 @@ def judged(url: Column, **options) -> Column:
     """A struct of host, path, rule, verdict, strict_hits and soft_hits."""
 
     @F.pandas_udf(SCHEMA)
-    def run(batches: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         judge = Judge(**options)
-        return pd.DataFrame([judge(u) for u in batches], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+        for urls in batches:
+            yield pd.DataFrame([judge(u) for u in urls], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return run(url)
 

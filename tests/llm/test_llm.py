@@ -106,6 +106,30 @@ def test_cumulative_link_recovers_order():
     assert (np.diff(model.above(np.array([0.0, 1.0, 2.0]) * model.weights[0]).sum(axis=1)) > 0.3).all()
 
 
+def test_cumulative_link_gradient_and_scores_match_plain_python(spark):
+    """At the fitted weights, the loss by plain Python cannot be lowered by moving any parameter a little."""
+    rng = np.random.default_rng(3)
+    n, d = 400, 3
+    rows, places, values = np.repeat(np.arange(n), d), np.tile(np.arange(d), n), rng.integers(0, 3, n * d).astype(float)
+    grades = np.clip((values.reshape(n, d) @ [1.0, 0.5, 0.0] + rng.normal(0, 1, n)).astype(int), 0, 2)
+    model = toxicity.fit(n, rows, places, values, grades, np.arange(1, d + 1, dtype=np.uint64))
+
+    def loss(weights, thresholds):
+        s = values.reshape(n, d) @ weights
+        above = 1 / (1 + np.exp(-(s[:, None] - np.asarray(thresholds)[None, :])))
+        edges = np.concatenate([np.ones((n, 1)), above, np.zeros((n, 1))], axis=1)
+        return -np.log(edges[np.arange(n), grades] - edges[np.arange(n), grades + 1]).mean() + toxicity.RIDGE / 2 * (weights**2).sum()
+
+    at = loss(model.weights, model.thresholds)
+    for step in (0.05, -0.05):
+        for j in range(d):
+            assert loss(model.weights + step * np.eye(d)[j], model.thresholds) > at - 1e-4
+        for j in range(2):
+            assert loss(model.weights, model.thresholds + step * np.eye(2)[j]) > at - 1e-4
+    s = values.reshape(n, d)[:5] @ model.weights
+    assert model.above(s)[:, 1] == pytest.approx([1 / (1 + np.exp(-(x - model.thresholds[1]))) for x in s])
+
+
 # --- 2 quality
 
 
@@ -135,6 +159,49 @@ def test_quality_edges(spark, edge, labels):
     assert quality.drop_low_quality(edge, labels).columns == edge.columns
 
 
+def plain_features(text: str) -> list[float]:
+    """The features of one ASCII text by loops."""
+    import math
+
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not w:
+        return [0.0] * len(quality.FEATURES)
+    n, lines = len(w), [x for x in text.split("\n") if x]
+    low = [x.lower() for x in w]
+    some = lambda chars: sum(c in chars for c in text) / n
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    caps = sum(sum(c.isalpha() for c in x) >= 2 and all(c in upper for c in x if c.isalpha()) for x in w)
+    return [
+        math.log1p(n), len(text) / n, math.log1p(n / max(1, len(lines))), sum(c in upper for c in text) / max(1, sum(c.isalpha() for c in text)),
+        caps / n, some("!\"#$%&'()*+/:;<=>?@[\\]^_`{|}~"), some("!"), some("|"), some("#$%&*@^~"), some("0123456789"), some("."), some(","),
+        len(set(low)) / min(n, 40 * math.sqrt(n)), sum(a == b for a, b in zip(low, low[1:])) / n, max(low.count(x) for x in set(low)) / n,
+        len({x.lower() for x in lines}) / max(1, len(lines)), len(set(zip(low, low[1:]))) / max(1, n - 1), sum(len(x) <= 3 for x in w) / n,
+    ]
+
+
+def test_quality_features_and_scores_match_plain_python():
+    texts = ["", " \n", "One", "A bc, BC! bc| x1 #tag\n\nA bc, BC! bc| x1 #tag\nend.", prose(1, 300), "WOW WOW WOW 100% !!!\n" * 5]
+    x = quality.features(pa.array(texts))
+    for got, text in zip(x, texts, strict=True):
+        assert got == pytest.approx(plain_features(text)), text[:30]
+    rng = np.random.default_rng(2)
+    data = rng.random((500, 4))
+    model = quality.fit(data, (data[:, 0] + data[:, 1] * data[:, 2] > 0.8).astype(float))
+    for row, score in zip(data[:50], model.score(data[:50]), strict=True):
+        total = model.intercept
+        for j, edges in enumerate(model.edges):
+            total += model.tables[j][sum(e <= row[j] for e in edges)]
+        for k, (i, j) in enumerate(model.pairs):
+            total += model.pair_tables[k][sum(e <= row[i] for e in model.coarse[i]), sum(e <= row[j] for e in model.coarse[j])]
+        assert score == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_sample_is_one_text_for_each_labelled_id(spark):
+    rows = [(1, "b", 1), (1, "a", 1), (2, "c", 0), (1, "b", 1)]
+    got = [quality.one_text_each(spark.createDataFrame(r, "doc_id long, text string, y int")).collect() for r in (rows, rows[::-1])]
+    assert sorted(got[0]) == sorted(got[1]) and len(got[0]) == 2
+
+
 def test_additive_model_uses_pairs():
     rng = np.random.default_rng(1)
     x = rng.random((4000, 3))
@@ -185,6 +252,47 @@ def test_randomness_battery_tells_keys_from_words(spark):
     assert sum(found[:200]) > 150 and sum(found[200:]) == 0
 
 
+def plain_p(match: str) -> float:
+    """The battery by loops."""
+    import math
+
+    letters = next(a for _, pattern, a in secrets.ENCODINGS if re.search(pattern, match))
+    v, n, k = [letters.index(c) for c in match], len(match), len(letters)
+    tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+    chi = sum(v.count(x) ** 2 for x in set(v)) * k / n - n
+    p_chi = tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1))))
+    up = [2 * x >= k for x in v]
+    runs, high = 1 + sum(a != b for a, b in zip(up, up[1:])), sum(up)
+    expected = 2 * high * (n - high) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    p_runs = 2 * tail(abs((runs - expected) / math.sqrt(variance))) if variance > 0 else 0.0
+    mean = sum(v) / n
+    spread = sum((x - mean) ** 2 for x in v)
+    lagged = sum((a - mean) * (b - mean) for a, b in zip(v, v[1:]))
+    p_lag = 2 * tail(abs(lagged / spread * math.sqrt(n))) if spread > 0 else 0.0
+    half = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_lag))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_matches_plain_python(spark):
+    rng = random.Random(6)
+    runs = ["".join(rng.choice(a) for _ in range(n)) for _, _, a in secrets.ENCODINGS for n in (20, 33, 64, 500)]
+    runs += ["0" * 30, "01" * 20, "the-quick-brown-fox-7-jumps-over", "A1" + "B" * 40]
+    rows = secrets.battery(spark.createDataFrame([(r,) for r in runs], "match string")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(plain_p(r["match"]), rel=1e-3, abs=1e-6), r
+
+
+def test_long_runs_take_linear_time(spark):
+    import time
+
+    rng = random.Random(7)
+    run = "".join(rng.choice(secrets.ENCODINGS[4][2]) for _ in range(1_000_000))
+    began = time.time()
+    assert secrets.battery(spark.createDataFrame([(run,)], "match string")).first()["p"] > 1e-6
+    assert time.time() - began < 15
+
+
 def test_repeated_rows_each_have_their_own_spans(spark):
     docs = make(spark, [SECRETS[0]])
     rows = secrets.scan_secrets(docs.union(docs)).collect()
@@ -453,6 +561,27 @@ def test_media_rejects_broken_boxes():
         list(media.walk(stored[:-5]))
 
 
+def test_media_reads_files_of_other_writers():
+    """A hand-made file: 64-bit mdat, samples of different sizes, two stsc runs, no sync table, mdhd version 1."""
+    import struct
+
+    sizes, full, box = [5, 1, 7, 2, 9], media.full, media.box
+    entry = box(b"avc1", bytes(6), struct.pack(">H", 1), bytes(16), struct.pack(">HH", 64, 48), bytes(50))
+    body = b"".join(bytes([65 + i]) * n for i, n in enumerate(sizes))
+    mdat = struct.pack(">I4sQ", 1, b"mdat", 16 + len(body) + 3) + body[:13] + b"---" + body[13:]  # chunks: samples 0-2, 3, 4
+    tables = box(
+        b"stbl", full(b"stsd", struct.pack(">I", 1), entry), full(b"stts", struct.pack(">IIIII", 2, 3, 10, 2, 20)),
+        full(b"stsc", struct.pack(">IIIIIII", 2, 1, 3, 1, 2, 1, 1)), full(b"stsz", struct.pack(">II5I", 0, 5, *sizes)),
+        full(b"stco", struct.pack(">IIII", 3, 16, 32, 34)),
+    )
+    mdhd = box(b"mdhd", struct.pack(">IQQIQHH", 1 << 24, 0, 0, 1000, 70, 0, 0))
+    stored = mdat + box(b"moov", box(b"trak", box(b"mdia", mdhd, box(b"minf", tables))))
+    info = media.read(stored)
+    assert (info["codec"], info["width"], info["height"], info["timescale"], info["duration"]) == ("avc1", 64, 48, 1000, 70)
+    assert media.payload_of(stored, info) == body and list(info["sync"]) == [0, 1, 2, 3, 4]
+    assert media.keyframes(info).tolist() == [[16, 21], [21, 22], [22, 29], [32, 34], [34, 43]]
+
+
 def test_media_columns(spark):
     rows = by_id(media.media_columns(make(spark, EDGE), keep_media=True))
     for i, text in enumerate(EDGE):
@@ -462,8 +591,12 @@ def test_media_columns(spark):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(own), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-16:])
         assert r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert r["codec"] == "raw" and r["seconds"] == len(payload) / 192 / 25
+        ranges = [(k["start"], k["end"]) for k in r["keyframes"]]
+        assert [r["media"][a:b] for a, b in ranges] == [payload[i : i + 192] for i in range(0, len(payload), 192 * media.SYNC)]
     assert rows[5]["media_sha256"] == rows[6]["media_sha256"]
     assert media.media_columns(make(spark, EDGE).limit(0)).count() == 0
+    assert all(c.split()[0] in media.NAMES or ":" in c or c.endswith(">>") for c in media.SCHEMA.split(", "))
 
 
 # --- 7 token counts
@@ -538,6 +671,8 @@ def test_contamination_matches_brute_force(spark):
     for i, expected in enumerate(want):
         r = rows[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == expected, (i, texts[i] and texts[i][:50])
+    shuffled = decontam.contamination(docs, bench, broadcast_windows=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, rows.values()))
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[4] for w in want)
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
@@ -565,6 +700,11 @@ def test_url_verdicts(url, host, path, rule, verdict):
     assert url_filter.Judge()(url)[:4] == (host, path, rule, verdict)
 
 
+def test_very_long_urls():
+    url = "http://" + "a." * 200_000 + "com/en/" + "x" * 1_000_000 + "/casino"
+    assert url_filter.Judge()(url)[2:5] == ("com/en/", "block", 1)
+
+
 def test_url_table(spark):
     pages = spark.createDataFrame([(1, None, "mine"), (2, "http://casino.xyz", "mine"), (2, "http://casino.xyz", "mine")], "page_id long, url string, host string")
     rows = url_filter.filter_urls(pages).collect()
