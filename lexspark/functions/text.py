@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 TOKEN = r"[\p{L}]+(?:'[\p{L}]+)*'?"
 
 # Characters folded before text is compared.
-QUOTES = "‘’ʼ´`"
-DASHES = "–—―"
-CYRILLIC, LATIN = "аеорсух", "aeopcyx"
+QUOTES, QUOTE = "‘’`", "’"
+DASHES = "–—"
+CYRILLIC, LATIN = "еаорсхі", "eaopcxi"
+WIDE_SPACES, NO_SPACES = "\u2005\u205f\u200a\u3000", "\u200b\ufeff"
+# Words without their first syllable behind an apostrophe, and what they stand for.
+LEADING_ELISIONS = (
+    ("tamos", "estamos"), ("tamo", "estamos"), ("taba", "estaba"), ("tabas", "estabas"), ("toy", "estoy"), ("tá", "está"),
+    ("tás", "estás"), ("tan", "están"), ("tán", "están"), ("onde", "donde"), ("el", "del"), ("e", "de"),
+)
+LYRIC_LETTERS = "A-Za-zÁÉÍÓÚÜÑáéíóúüñ"
 ACCENTED, PLAIN = "áàâäãéèêëíìîïóòôöõúùûüñç", "aaaaaeeeeiiiiooooouuuunc"
 
 # Points of a line's score by its number of tokens.
 GOOD_TOKENS, FAIR_TOKENS, LONG_TOKENS = (7, 16), (5, 20), 24
-CONNECTORS = ("que", "porque", "cuando", "pero", "como", "si", "and", "but", "that", "when", "because", "et", "mais")
+CONNECTORS = (
+    "que", "pero", "si", "cuando", "porque", "aunque", "con", "sin", "me", "te", "se", "nos", "ya", "pa'", "pal", "pa", "al", "del", "la",
+    "el", "los", "las",
+)
 
 
 def tokens(text: Column) -> Column:
@@ -24,11 +34,20 @@ def tokens(text: Column) -> Column:
 
 
 def normalize_text(text: Column) -> Column:
-    """One line-feed form, plain quotes, dashes and spaces, and Latin for seven Cyrillic look-alikes."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    out = F.translate(out, QUOTES + DASHES, "'" * len(QUOTES) + "-" * len(DASHES))
-    out = F.translate(out, CYRILLIC, LATIN)
-    return F.regexp_replace(out, "[   ]", " ")
+    """One line-feed form, one quote and dash, plain spaces, none of no width, and Latin for seven Cyrillic look-alikes."""
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n?", "\n")
+    plain = QUOTE * len(QUOTES) + "-" * len(DASHES) + LATIN + " " * len(WIDE_SPACES)
+    return F.translate(out, QUOTES + DASHES + CYRILLIC + WIDE_SPACES + NO_SPACES, plain)
+
+
+def lyric_tokens(line: Column) -> Column:
+    """Counting tokens of a sung line: leading elisions in full, runs of short hyphened chunks dropped, lower case."""
+    out = line
+    for short, whole in sorted(LEADING_ELISIONS, key=lambda e: -len(e[0])):
+        out = F.regexp_replace(out, f"(?iu)(?<![{LYRIC_LETTERS}])['’]{short}(?![{LYRIC_LETTERS}])", whole)
+    chunk = f"[{LYRIC_LETTERS}]{{1,3}}"
+    out = F.regexp_replace(out, rf"(?iuU)\b{chunk}(?:-{chunk})+\b", " ")
+    return F.transform(F.regexp_extract_all(out, F.lit(f"[{LYRIC_LETTERS}]+(?:'[{LYRIC_LETTERS}]+)*'?"), F.lit(0)), F.lower)
 
 
 def fold_accents(text: Column) -> Column:

@@ -25,29 +25,37 @@ def stable_id(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix + ":"), F.substring(F.sha2(array, 256), 1, 24))
 
 
-def least_prefix_id(rows: DataFrame, group: list[str], content: Column, least: int = 3, most: int = 32) -> DataFrame:
-    """rows with sense_id: the shortest prefix (of at least `least` digits) of the content's MD5 that is unique in its group.
+def least_prefix_id(rows: DataFrame, group: list[str], content: Column, order: list[str], least: int = 3) -> DataFrame:
+    """rows with sense_id: in their order, each takes the shortest prefix (of at least `least` digits) of its content's MD5
+    that no earlier row of its group has. Rows of one content share an id.
 
-    For each length one count by prefix; a row takes the first length at which it is alone, or with rows of one content.
+    A group is one word's senses; they are folded in one row for each group.
     """
     keyed = rows.withColumn("__md5", F.md5(content.cast("binary")))
-    sized = [
-        F.when(
-            F.size(F.collect_set("__md5").over(W.partitionBy(*group, F.substring("__md5", 1, n)))) == 1, F.substring("__md5", 1, n)
-        )
-        for n in (least, least + 1, least + 2, least + 4, 16, most)
-    ]
-    return keyed.withColumn("sense_id", F.coalesce(*sized)).drop("__md5")
+    once = keyed.groupBy(*group, "__md5").agg(F.min(F.struct(*order)).alias("__o"))
+    sets = once.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__md5"))), lambda s: s["__md5"]).alias("__all"))
+    taken = F.expr(
+        f"""aggregate(__all, cast(map() as map<string,string>), (ids, h) -> map_concat(ids, map(
+            coalesce(filter(transform(sequence({least}, 31), n -> substring(h, 1, n)), p -> not map_contains_key(ids, p))[0], h), h)))"""
+    )
+    ids = sets.select(*group, F.explode(taken).alias("sense_id", "__md5"))
+    return keyed.join(ids, [*group, "__md5"]).drop("__md5")
 
 
 def fnv1a(text: Column) -> Column:
-    """32-bit FNV-1a over the UTF-16 code units of ASCII text."""
-    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
+    """32-bit FNV-1a over the UTF-16 code units of a text; signature() shows it."""
+    units = F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE"))
+    codes = F.transform(F.regexp_extract_all(units, F.lit("(.{4})"), F.lit(1)), lambda c: F.conv(c, 16, 10).cast("long"))
     return F.aggregate(
         codes, F.lit(2166136261).cast("long"), lambda h, c: F.pmod(h.bitwiseXOR(c) * F.lit(16777619), F.lit(4294967296).cast("long"))
     )
 
 
+def signature(text: Column) -> Column:
+    """fnv1a as eight hex digits."""
+    return F.lower(F.lpad(F.hex(fnv1a(text)), 8, "0"))
+
+
 def resolve_claims(claims: DataFrame, least_confidence: float = 0.0) -> DataFrame:
     """The winning claim of each layer and subject: not retracted, confident enough, then priority, run and id decide."""
     gone = claims.select(F.explode("supersedes").alias("claim_id"))

@@ -38,7 +38,27 @@ POS_TESTS = (
     ("numeral", "NUM"), ("particle", "PART"), ("contraction", "CONTRACTION"), ("abbreviation", "NOUN"), ("symbol", "NOUN"),
     ("unit", "NOUN"), ("letter", "NOUN"),
 )
-POS_EXACT = {"adverb": "ADV", "pronoun": "PRON", "proper noun": "PROPN"}
+# Labels that are looked up whole first.
+POS_EXACT = {
+    "noun": "NOUN", "plural noun": "NOUN", "proper noun": "PROPN", "verb": "VERB", "adjective": "ADJ", "adverb": "ADV", "pronoun": "PRON",
+    "determiner": "DET", "article": "DET", "definite article": "DET", "indefinite article": "DET", "interjection": "INTJ", "preposition": "ADP",
+    "conjunction": "CCONJ", "coordinating conjunction": "CCONJ", "subordinating conjunction": "CCONJ", "number": "NUM", "numeral": "NUM",
+    "particle": "PART", "contraction": "CONTRACTION", "phrase": "PHRASE", "abbreviation": "NOUN", "symbol": "NOUN", "unit": "NOUN",
+    "letter": "NOUN", "letter name": "NOUN",
+}
+
+# Suffix, least stem and what replaces the suffix; the first that fits.
+STEM_RULES = (
+    ("ying", 1, "y"), ("ies", 3, "y"), ("ied", 3, "y"), ("ing", 3, ""), ("tion", 4, "te"), ("ness", 4, ""), ("ment", 4, ""), ("ally", 4, "al"),
+    ("ly", 2, ""), ("ed", 2, ""), ("er", 2, ""), ("es", 2, ""), ("s", 1, ""),
+)
+
+# First words that mark a parenthesis or a note as a clarification of the gloss.
+CLARIFIERS = (
+    "used", "especially", "usually", "often", "expressing", "indicating", "introducing", "denotes", "denoting", "state", "adverbial", "in", "for",
+    "with", "as", "when", "because", "can", "may", "e.g.", "i.e.", "including", "similar", "sometimes", "literally", "figuratively", "by", "from",
+    "implies", "also", "regarded", "accusative", "dative", "genitive", "nominative", "declined", "apocopic", "conjugated", "inflected", "preceded",
+)
 
 
 def derivations(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -117,13 +137,9 @@ def cognates(spanish: DataFrame, english: DataFrame) -> DataFrame:
 
 
 def stem_en(word: Column) -> Column:
-    """The word without the first suffix that fits and leaves enough."""
-    rules = (
-        ("ations", 3, ""), ("ation", 3, ""), ("ness", 3, ""), ("ment", 3, ""), ("ing", 3, ""), ("ied", 2, "y"), ("ies", 2, "y"),
-        ("ed", 3, ""), ("ly", 3, ""), ("er", 3, ""), ("es", 3, ""), ("s", 2, ""),
-    )
+    """The word with the first suffix that fits and leaves enough replaced."""
     out = F.lower(word)
-    for suffix, least, ending in reversed(rules):
+    for suffix, least, ending in reversed(STEM_RULES):
         low = F.lower(word)
         fits = low.endswith(suffix) & (F.length(low) - len(suffix) >= least)
         out = F.when(fits, F.concat(F.substr(low, F.lit(1), F.length(low) - len(suffix)), F.lit(ending))).otherwise(out)
@@ -149,12 +165,41 @@ def normalize_translation(gloss: Column) -> Column:
     return F.regexp_replace(out, "^([a-z]{3,})s( |$)", "$1$2")
 
 
+def _first_word(text: Column) -> Column:
+    return F.regexp_replace(F.lower(F.regexp_extract(text, r"^\s*(\S+)", 1)), r"[.,;:]+$", "")
+
+
 def clean_gloss(gloss: Column) -> Column:
-    """Without parentheses but short articles, at most three comma parts of four or more, and three groups."""
-    out = F.trim(F.regexp_replace(F.regexp_replace(gloss, r"\((?!(?:a|an|the) )[^)]*\)", ""), " +", " "))
-    groups = F.slice(F.split(out, "; "), 1, 3)
-    parts = F.transform(groups, lambda g: F.when(F.size(F.split(g, ", ")) >= 4, F.array_join(F.slice(F.split(g, ", "), 1, 3), ", ")).otherwise(g))
-    return F.array_join(parts, "; ")
+    """A gloss short enough for a card; never empty.
+
+    What follows ": " or "; " if a description of over 30 characters precedes it and under 50 follow; without
+    parentheses but short objects that begin with an article; of four comma parts or more the first three; of the
+    semicolon parts those before a clarification, two comma parts of three or more, and three of four or more.
+    """
+    text = F.trim(gloss)
+    for sep in ("; ", ": "):  # the outer one is tried first
+        before = F.substring_index(text, sep, 1)
+        after = F.trim(F.regexp_extract(text, f"(?s)^.*?{sep}(.*)$", 1))
+        found = F.when(text.contains(sep) & (F.length(before) > 30) & (F.length(after) > 0) & (F.length(after) < 50), after)
+        text_of = found if sep == "; " else F.coalesce(found, text_of, text)
+    text = text_of
+    paren = r"\s*\(([^()]*(?:\([^()]*\)[^()]*)*)\)"
+    pieces, found = F.split(text, paren, -1), F.regexp_extract_all(text, F.lit(paren), F.lit(0))
+    inner = lambda m: F.trim(F.regexp_extract(m, f"^{paren}$", 1))
+    essential = lambda m: (
+        _first_word(inner(m)).isin("a", "an", "the") & (F.length(inner(m)) < 25) & ~F.lower(inner(m)).rlike(r"etc|e\.g\.|i\.e\.")
+    )
+    kept = F.transform(F.arrays_zip(pieces.alias("piece"), found.alias("m")), lambda z: F.concat(z["piece"], F.when(z["m"].isNotNull() & essential(z["m"]), z["m"]).otherwise("")))
+    text = F.trim(F.array_join(kept, ""))
+    commas = F.split(text, ", ", -1)
+    text = F.when(F.size(commas) >= 4, F.array_join(F.slice(commas, 1, 3), ", ")).otherwise(text)
+    parts = F.split(text, "; ", -1)
+    note = F.array_position(F.transform(parts, lambda p: _first_word(p).isin(*CLARIFIERS)), F.lit(True)).cast("int")
+    whole = F.when(note > 0, F.slice(parts, F.lit(1), note - 1)).otherwise(parts)
+    short = F.transform(whole, lambda p: F.when(F.size(F.split(p, ", ", -1)) >= 3, F.array_join(F.slice(F.split(p, ", ", -1), 1, 2), ", ")).otherwise(p))
+    text = F.when(F.size(parts) > 1, F.array_join(F.slice(short, 1, 3), "; ")).otherwise(text)
+    text = F.regexp_replace(F.trim(text), "[,;]+$", "")
+    return F.when(text == "", gloss).otherwise(text)
 
 
 def pluralize(word: Column) -> Column:

@@ -20,25 +20,20 @@ SUBTITLE_JUNK = (r"https?://|www\.", r"(?i)subt[ií]tul|subtitle|sync|opensubtit
 def source_tokens(rows: DataFrame, text: str, pattern: str = SOURCE_TOKEN) -> DataFrame:
     """TOK05, UDF08: rows with ordinal, start, end (code points, end exclusive) and surface of each token.
 
-    Offsets are running sums of the lengths of the pieces between matches and of the matches, within one text.
+    Offsets are running sums of the lengths of the pieces between matches and of the matches, within one text. The other
+    columns of rows must name a row.
     """
     quoted = pattern.replace("\\", "\\\\").replace("'", "\\'")
     gaps = F.expr(f"transform(split({text}, '{quoted}', -1), s -> length(s))")
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     both = F.arrays_zip(gaps.alias("gap"), found.alias("surface"))
-    ends = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.coalesce(F.length(x["surface"]), F.lit(0))).alias("at"),
-            F.when(x["surface"].isNull(), acc["out"]).otherwise(
-                F.array_append(acc["out"], F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["surface"])).alias("end"), x["surface"].alias("surface")))
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
     kept = [c for c in rows.columns if c != text]
-    return rows.select(*kept, F.posexplode_outer(ends).alias("ordinal", "t")).where("t is not null").select(*kept, "ordinal", "t.start", "t.end", "t.surface")
+    each = rows.select(*kept, F.posexplode_outer(both).alias("ordinal", "t")).select(*kept, "ordinal", "t.gap", "t.surface")
+    # a running sum, as building the list of spans by appending would take the square of its length
+    upto = W.partitionBy(*kept).orderBy("ordinal").rowsBetween(W.unboundedPreceding, 0)
+    end = F.sum(F.col("gap") + F.coalesce(F.length("surface"), F.lit(0))).over(upto).cast("int")
+    each = each.withColumn("end", end).where("surface is not null")
+    return each.select(*kept, "ordinal", (F.col("end") - F.length("surface")).alias("start"), "end", "surface")
 
 
 def tokens_with_surfaces(line: str) -> Column:

@@ -44,11 +44,14 @@ def section_zip(spark, sf_dir):
 
 def band_align(spark, sf_dir):
     """JOI09: lines of each document near the proportional place (3 either way) of the next document's lines, nearest length."""
-    lines = table(spark, sf_dir, "documents").where("n_chars < 3000").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    lines = lines.select("doc_id", "i", F.length("line").alias("len"), F.count("*").over(W.partitionBy("doc_id")).alias("n"))
-    other = lines.select((F.col("doc_id") - 1).alias("doc_id"), F.col("i").alias("j"), F.col("len").alias("len_j"), F.col("n").alias("m"))
-    near = F.abs(F.col("j") - F.floor(F.col("i") * F.col("m") / F.col("n"))) <= 3
-    met = lines.join(other, "doc_id").where(near).withColumn("score", -F.abs(F.col("len") - F.col("len_j")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n", -1).alias("s"))
+    counts = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.size("s").alias("m"))
+    lines = docs.join(counts, "doc_id").select("doc_id", "m", F.size("s").alias("n"), F.posexplode("s").alias("i", "line"))
+    # each line meets the seven places of its band, not all lines of the other document
+    middle = F.floor(F.col("i") * F.col("m") / F.col("n"))
+    lines = lines.select("doc_id", "i", F.length("line").alias("len"), F.explode(F.sequence(middle - 3, middle + 3)).alias("j"))
+    other = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.posexplode("s").alias("j", "line")).select("doc_id", F.col("j").cast("long").alias("j"), F.length("line").alias("len_j"))
+    met = lines.join(other, ["doc_id", "j"]).withColumn("score", -F.abs(F.col("len") - F.col("len_j")))
     best = met.groupBy("doc_id", "i").agg(F.max(F.struct("score", (-F.col("j")).alias("k"))).alias("b"))
     return best.select("doc_id", "i", (-F.col("b.k")).alias("j"), "b.score").where("score >= -20")
 
@@ -67,7 +70,7 @@ def import_plan(spark, sf_dir):
     """JOI12, SRC13: imported names (of suppliers' numbers) against the index of part names: unmatched, ambiguous or matched."""
     parts = table(spark, sf_dir, "part")
     index = parts.groupBy(F.lower("p_name").alias("surface")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("id"))
-    rows = parts.where("p_partkey % 9 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("no "), "p_name")).alias("entry"))
+    rows = parts.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("no "), "p_name")).alias("entry"))
     out = rows.join(index, F.lower("entry") == F.col("surface"), "left")
     plan = F.when(F.col("n").isNull(), "unmatched").when(F.col("n") > 1, "ambiguous").otherwise("matched")
     return out.select("p_partkey", plan.alias("plan"))
@@ -126,7 +129,7 @@ def assemble_cards(spark, sf_dir):
 
 def merge_evidence(spark, sf_dir):
     """AGG06: parts by name: counts summed, orders joined (as a number), brands as a map's sorted entries."""
-    parts, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+    parts, items = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
     rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     by_brand = rows.groupBy("p_name", "p_brand").agg(F.count("*").alias("n"))
     variants = by_brand.groupBy("p_name").agg(
@@ -231,11 +234,11 @@ ORACLES = {
     "stable_id_or_null": "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 1 THEN (SELECT s_name FROM supplier WHERE s_suppkey = l_suppkey * 2) ELSE (SELECT s_name FROM supplier WHERE s_suppkey = l_suppkey) END AS name FROM lineitem",
     "section_zip": """WITH n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line, length(text) AS chars FROM conversations)
  SELECT a.conv_id, a.line, a.chars AS source_chars, b.chars AS target_chars FROM t a JOIN t b ON b.conv_id = a.conv_id + 1 AND a.line = b.line JOIN n x ON x.conv_id = a.conv_id JOIN n y ON y.conv_id = b.conv_id WHERE x.n = y.n""",
-    "band_align": """WITH l AS (SELECT doc_id, unnest(range(len(s))) AS i, length(unnest(s)) AS len, len(s) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE n_chars < 3000)),
+    "band_align": """WITH l AS (SELECT doc_id, unnest(range(len(s))) AS i, length(unnest(s)) AS len, len(s) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
  m AS (SELECT a.doc_id, a.i, b.i AS j, -abs(a.len - b.len) AS score FROM l a JOIN l b ON b.doc_id = a.doc_id + 1 AND abs(b.i - a.i * b.n // a.n) <= 3) SELECT * FROM m WHERE score >= -20 OR false QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY score DESC, j) = 1""",
     "tiered_match": """WITH t AS (SELECT s_suppkey, min(c_custkey) FILTER (s_suppkey = c_custkey) AS a, min(c_custkey) FILTER (abs(s_acctbal - c_acctbal) <= 10) AS b, min(c_custkey) AS c FROM supplier LEFT JOIN customer ON s_nationkey = c_nationkey GROUP BY s_suppkey)
  SELECT s_suppkey, coalesce(a, b, c) AS match, CASE WHEN a IS NOT NULL THEN 'exact' WHEN b IS NOT NULL THEN 'near' WHEN c IS NOT NULL THEN 'nation' END AS tier FROM t""",
-    "import_plan": """WITH i AS (SELECT lower(p_name) AS s, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'no ' || p_name END AS e FROM part WHERE p_partkey % 9 = 0)
+    "import_plan": """WITH i AS (SELECT lower(p_name) AS s, count(*) AS n FROM part GROUP BY 1), r AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_name) ELSE 'no ' || p_name END AS e FROM part)
  SELECT p_partkey, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' ELSE 'matched' END AS plan FROM r LEFT JOIN i ON lower(e) = s""",
     "redirect_chase": """WITH RECURSIVE r AS (SELECT p_partkey AS word, p_partkey // 2 AS base FROM part WHERE p_partkey % 3 <> 0 AND p_partkey > 1), c AS (SELECT word, base, 1 AS hops FROM r UNION ALL SELECT c.word, r.base, hops + 1 FROM c JOIN r ON r.word = c.base WHERE hops < 5)
  SELECT word, base, min(hops) AS hops FROM c GROUP BY ALL""",
@@ -248,7 +251,7 @@ ORACLES = {
     "two_hop_titles": "SELECT coalesce(r_name, n_name) AS title, count(*) AS customers FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 4) ON n_regionkey = r_regionkey GROUP BY 1",
     "assemble_cards": """WITH u AS (SELECT l_partkey, count(*) AS uses, min(l_orderkey) AS first_order FROM lineitem GROUP BY 1), b AS (SELECT l_partkey, l_suppkey FROM lineitem GROUP BY l_partkey, l_suppkey QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY sum(l_quantity) DESC, l_suppkey) = 1)
  SELECT p_partkey AS l_partkey, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS price_rank, coalesce(uses, 0) AS uses, first_order, s_name FROM part LEFT JOIN u ON u.l_partkey = p_partkey LEFT JOIN b ON b.l_partkey = p_partkey LEFT JOIN supplier ON s_suppkey = b.l_suppkey""",
-    "merge_evidence": """WITH r AS (SELECT p_name, p_brand, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0), b AS (SELECT p_name, p_brand, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT p_name, count(DISTINCT l_orderkey) AS orders FROM r GROUP BY 1)
+    "merge_evidence": """WITH r AS (SELECT p_name, p_brand, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey), b AS (SELECT p_name, p_brand, count(*) AS n FROM r GROUP BY ALL), o AS (SELECT p_name, count(DISTINCT l_orderkey) AS orders FROM r GROUP BY 1)
  SELECT p_name, sum(n) AS uses, string_agg(p_brand || ':' || n, ',' ORDER BY p_brand || ':' || n) AS variants, any_value(orders) AS orders FROM b JOIN o USING (p_name) GROUP BY p_name""",
     "merge_by_surface": """WITH r AS (SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY ALL) SELECT p_name, p_brand, row_number() OVER (PARTITION BY p_name ORDER BY n DESC, p_brand) AS place, printf('%.2f', floor(100 * n / sum(n) OVER (PARTITION BY p_name)) / 100) AS share FROM r""",
     "clitic_fold": """WITH u AS (SELECT l_partkey, count(*) AS uses FROM lineitem GROUP BY 1) SELECT CASE WHEN p_size < 20 THEN p_partkey % 50 + 1 ELSE l_partkey END AS card, sum(uses) AS uses, count(*) AS forms FROM u LEFT JOIN part ON p_partkey = l_partkey GROUP BY 1""",

@@ -36,15 +36,16 @@ def segment_ids(spark, sf_dir):
 
 
 def sense_ids(spark, sf_dir):
-    """IDN06: the shortest unique prefixes of part types within a brand."""
+    """IDN06: the shortest free prefixes of the names and brands of each part type, in order of brand and name."""
     types = table(spark, sf_dir, "part").select("p_brand", "p_type", "p_name").distinct()
-    content = F.concat_ws("|", "p_type", "p_name")
-    return I.least_prefix_id(types, ["p_brand"], content).select("p_brand", "p_type", "p_name", "sense_id")
+    content = F.concat_ws("|", "p_brand", "p_name")
+    return I.least_prefix_id(types, ["p_type"], content, ["p_brand", "p_name"]).select("p_brand", "p_type", "p_name", "sense_id")
 
 
 def knowledge_signature(spark, sf_dir):
     """IDN07: FNV-1a of part names."""
-    return table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", I.fnv1a(F.col("p_name")).alias("signature"))
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    return names.select("p_name", I.signature(F.col("p_name")).alias("signature"), I.signature(F.concat(F.lit("né-🙂-"), "p_name")).alias("wide"))
 
 
 PRIORITY = {"purchase": 80, "click": 60, "signup": 50, "view": 20, "error": 0}
@@ -93,7 +94,7 @@ def registry_resolve(spark, sf_dir):
 
 def mutual_best(spark, sf_dir):
     """IDN12: customers and suppliers of one nation, best by each other's nearness of balance to a hundred."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal").where("c_custkey % 5 = 0 or c_acctbal > 9000")
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     pairs = c.join(s, "nation").withColumn("near", -F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 0))
     return I.mutual_best(pairs, "c_custkey", "s_suppkey", "near").select("c_custkey", "s_suppkey", "near")
@@ -205,9 +206,14 @@ ORACLES = {
  SELECT conv_id, turn, left(sha256(lower(trim(text, ' ')) || chr(0) || lower(trim(reply, ' '))), 12) AS example_id FROM p WHERE role = 'user' AND next = 'assistant' AND text IS NOT NULL AND reply IS NOT NULL""",
     "segment_ids": f"""WITH {LINES}, o AS (SELECT doc_id, line_no, md5(line) AS key, row_number() OVER (PARTITION BY doc_id, md5(line) ORDER BY line_no) - 1 AS ordinal FROM lines)
  SELECT doc_id, line_no, 'segment:' || left(sha256('["' || doc_id || '","' || key || '","' || ordinal || '"]'), 24) AS id FROM o""",
-    "sense_ids": """WITH t AS (SELECT DISTINCT p_brand, p_type, p_name, md5(p_type || '|' || p_name) AS h FROM part), c AS (SELECT t.*, n, (SELECT count(DISTINCT u.h) FROM t u WHERE u.p_brand = t.p_brand AND left(u.h, n) = left(t.h, n)) AS k
- FROM t, (SELECT unnest([3, 4, 5, 7, 16, 32]) AS n)) SELECT p_brand, p_type, p_name, left(h, min(n)) AS sense_id FROM c WHERE k = 1 GROUP BY p_brand, p_type, p_name, h""",
-    "knowledge_signature": """SELECT p_name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS signature FROM (SELECT DISTINCT p_name FROM part)""",
+    "sense_ids": """WITH t AS (SELECT DISTINCT p_brand, p_type, p_name, md5(p_brand || '|' || p_name) AS h FROM part),
+ l3 AS (SELECT *, row_number() OVER (PARTITION BY p_type, left(h, 3) ORDER BY p_brand, p_name) AS k FROM t),
+ l4 AS (SELECT *, row_number() OVER (PARTITION BY p_type, left(h, 4) ORDER BY p_brand, p_name) AS k FROM (SELECT p_brand, p_type, p_name, h FROM l3 WHERE k > 1)),
+ l5 AS (SELECT *, row_number() OVER (PARTITION BY p_type, left(h, 5) ORDER BY p_brand, p_name) AS k FROM (SELECT p_brand, p_type, p_name, h FROM l4 WHERE k > 1)),
+ l6 AS (SELECT *, row_number() OVER (PARTITION BY p_type, left(h, 6) ORDER BY p_brand, p_name) AS k FROM (SELECT p_brand, p_type, p_name, h FROM l5 WHERE k > 1)),
+ l7 AS (SELECT *, row_number() OVER (PARTITION BY p_type, left(h, 7) ORDER BY p_brand, p_name) AS k FROM (SELECT p_brand, p_type, p_name, h FROM l6 WHERE k > 1)) SELECT p_brand, p_type, p_name, left(h, 3) AS sense_id FROM l3 WHERE k = 1 UNION ALL SELECT p_brand, p_type, p_name, left(h, 4) AS sense_id FROM l4 WHERE k = 1 UNION ALL SELECT p_brand, p_type, p_name, left(h, 5) AS sense_id FROM l5 WHERE k = 1 UNION ALL SELECT p_brand, p_type, p_name, left(h, 6) AS sense_id FROM l6 WHERE k = 1 UNION ALL SELECT p_brand, p_type, p_name, left(h, 7) AS sense_id FROM l7 WHERE k = 1""",
+    "knowledge_signature": """WITH n AS (SELECT DISTINCT p_name FROM part), f AS (SELECT p_name, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS a,
+ list_reduce([2166136261::BIGINT, 110, 233, 45, 55357, 56898, 45] || list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) % 4294967296) AS b FROM n) SELECT p_name, printf('%08x', a) AS signature, printf('%08x', b) AS wide FROM f""",
     "resolve_claims": f"""WITH {CLAIMS}, gone AS (SELECT claim_id - 1 AS id FROM claims WHERE operation = 'retract' UNION SELECT claim_id - 2 FROM claims WHERE operation = 'retract')
  SELECT layer, subject, claim_id, operation, run_id FROM claims WHERE operation <> 'retract' AND confidence >= 0.05 AND claim_id NOT IN (SELECT id FROM gone)
  QUALIFY row_number() OVER (PARTITION BY layer, subject ORDER BY priority DESC, run_id DESC, claim_id DESC) = 1""",
@@ -215,7 +221,7 @@ ORACLES = {
     "sense_provenance": f"WITH {CLAIMS} SELECT props, layer, claim_id FROM claims QUALIFY row_number() OVER (PARTITION BY props ORDER BY priority DESC, ts DESC, claim_id DESC) = 1",
     "registry_resolve": """WITH o AS (SELECT c_custkey AS card, c_nationkey AS nation, round(c_acctbal, -2) AS bal FROM customer), n AS (SELECT s_suppkey AS new, s_nationkey AS nation, round(s_acctbal, -2) AS bal FROM supplier)
  SELECT new, coalesce((SELECT min(card) FROM o WHERE o.card = n.new * 10 AND o.nation = n.nation), (SELECT min(card) FROM o WHERE o.nation = n.nation AND o.bal = n.bal HAVING count(*) = 1)) AS card FROM n""",
-    "mutual_best": """WITH p AS (SELECT c_custkey, s_suppkey, -round(abs(c_acctbal - s_acctbal), 0) AS near FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 5 = 0 OR c_acctbal > 9000),
+    "mutual_best": """WITH p AS (SELECT c_custkey, s_suppkey, -round(abs(c_acctbal - s_acctbal), 0) AS near FROM customer JOIN supplier ON c_nationkey = s_nationkey),
  t AS (SELECT *, max(near) OVER (PARTITION BY c_custkey) AS l, max(near) OVER (PARTITION BY s_suppkey) AS r FROM p), u AS (SELECT *, count(*) FILTER (near = l) OVER (PARTITION BY c_custkey) AS ln, count(*) FILTER (near = r) OVER (PARTITION BY s_suppkey) AS rn FROM t)
  SELECT c_custkey, s_suppkey, near FROM u WHERE near = l AND near = r AND ln = 1 AND rn = 1""",
     "staleness_grid": """WITH s AS (SELECT user_id, event_type, max(ts) AS stamp, count(*) AS version FROM events GROUP BY ALL), g AS (SELECT *, lag(stamp) OVER (PARTITION BY user_id ORDER BY event_type) AS needs FROM s)

@@ -174,7 +174,7 @@ def prominence(spark, sf_dir):
 
 def evidence_coverage(spark, sf_dir):
     """AGG18: how many of each brand's parts an order uses; 100.0 if it has none."""
-    parts, used = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select("l_partkey").distinct()
+    parts, used = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
     rows = parts.join(used, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_brand").agg(F.count("l_partkey").alias("met"), F.count("*").alias("n"))
     pct = F.when(F.col("n") == 0, 100.0).otherwise(F.round(100 * F.col("met") / F.col("n"), 4))
     return rows.select("p_brand", "met", (F.col("n") - F.col("met")).alias("missing"), pct.alias("pct"))
@@ -257,7 +257,7 @@ ORACLES = {
     "easiness": f"""WITH {USES}, r AS (SELECT l_partkey, dense_rank() OVER (ORDER BY uses DESC) AS rank FROM uses) SELECT l_orderkey, CAST(floor(quantile_cont(CASE WHEN rank <= 1500 THEN rank ELSE 999999 END, 0.5)) AS BIGINT) AS easiness FROM lineitem JOIN r USING (l_partkey) GROUP BY l_orderkey""",
     "prominence": f"""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, event_type, round(n / sum(n) OVER (PARTITION BY user_id), 6) AS share FROM c)
  SELECT user_id, event_type, share, {BAND % (0.5, 0.15, 0.03)} AS speech, {BAND % (0.55, 0.2, 0.05)} AS pivot FROM s""",
-    "evidence_coverage": """WITH u AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 20 = 0) SELECT p_brand, count(l_partkey) AS met, count(*) - count(l_partkey) AS missing, round(100 * count(l_partkey) / count(*), 4) AS pct FROM part LEFT JOIN u ON p_partkey = l_partkey GROUP BY p_brand""",
+    "evidence_coverage": """WITH u AS (SELECT DISTINCT l_partkey FROM lineitem) SELECT p_brand, count(l_partkey) AS met, count(*) - count(l_partkey) AS missing, round(100 * count(l_partkey) / count(*), 4) AS pct FROM part LEFT JOIN u ON p_partkey = l_partkey GROUP BY p_brand""",
     "micro_macro": """WITH e AS (SELECT least(n_chars // 500 * 500, 5000) AS bucket, source, sum(quality) AS good, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY ALL) SELECT bucket, round(sum(good) / sum(n), 6) AS micro, round(avg(good / n), 6) AS macro FROM e GROUP BY bucket""",
     "panel_prf": """WITH r AS (SELECT length(regexp_replace(text, '[^!#$%&*|]', '', 'g')) * 10 < len(string_split(text, ' ')) AS p, quality = 1 AS y FROM documents LEFT JOIN labels USING (doc_id)),
  c AS (SELECT count(*) FILTER (p AND y) AS tp, count(*) FILTER (p AND NOT y) AS fp, count(*) FILTER (NOT p AND NOT y) AS tn, count(*) FILTER (NOT p AND y) AS fn, count(*) AS n, count(y) AS labelled FROM r)

@@ -11,7 +11,7 @@ from lexspark.session import table
 
 
 def _short(spark, sf_dir):
-    return L.lines(table(spark, sf_dir, "documents").where("n_chars < 4000"))
+    return L.lines(table(spark, sf_dir, "documents"))
 
 
 def source_tokens(spark, sf_dir):
@@ -96,8 +96,12 @@ QUERIES = {
 LINES = "lines AS (SELECT doc_id, lang, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"
 TOKEN = T.TOKEN.replace("'", "''")
 GOOD = "(len(toks) >= 5 AND NOT (len(toks) >= 6 AND len(list_distinct(toks)) <= 2))"
+SOURCE_TOKEN = S.SOURCE_TOKEN.replace("'", "''")
 JUNK = " OR ".join(f"regexp_matches(line, '{p}')" for p in S.SUBTITLE_JUNK)
 ORACLES = {
+    "source_tokens": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, regexp_extract_all(line, '{SOURCE_TOKEN}') AS t, regexp_split_to_array(line, '{SOURCE_TOKEN}') AS g FROM lines),
+ u AS (SELECT doc_id, line_no, unnest(range(1, len(t) + 1)) AS k, t, g FROM m), e AS (SELECT doc_id, line_no, k, t[k] AS surface, sum(length(g[k]) + length(t[k])) OVER (PARTITION BY doc_id, line_no ORDER BY k) AS stop FROM u)
+ SELECT doc_id, line_no, count(*) AS n, sum(stop - length(surface)) AS starts, max(stop) AS last, arg_max(surface, k) AS surface FROM e GROUP BY ALL""",
     "surface_pairs": f"WITH {LINES}, s AS (SELECT unnest(regexp_extract_all(line, '{TOKEN}')) AS s FROM lines) SELECT lower(s) AS canonical, count(*) AS n, count(DISTINCT s) AS surfaces FROM s GROUP BY 1",
     "subtitle_clean": f"WITH {LINES} SELECT doc_id, line_no, md5(trim(regexp_replace(trim(line, ' '), '^[-–—] *', ''), ' ')) AS clean FROM lines WHERE NOT ({JUNK})",
     "identity_forms": f"WITH {LINES} SELECT md5(replace(trim(regexp_replace(lower(translate(nfc_normalize(line), '’‘ʼ`´', '''''''''''')), '\\s+', ' ', 'g'), ' '), 'ß', 'ss')) AS form, count(*) AS n FROM lines GROUP BY 1",

@@ -28,6 +28,13 @@ def word_count_once_per_doc(spark, sf_dir):
     return L.word_counts(_docs(spark, sf_dir)).select("word", "corpus_count")
 
 
+def lyric_tokens(spark, sf_dir):
+    """TOK01: counting tokens of lines in which some words are sung short: 'tamos, la-la-la."""
+    sung = F.concat(F.regexp_replace("line", r"\\b(est|de)([a-z]+)", "'t$2"), F.lit(" 'toy la-la-LA post-guerra"))
+    rows = L.lines(_docs(spark, sf_dir)).select(F.explode(T.lyric_tokens(sung)).alias("word"))
+    return rows.groupBy("word").agg(F.count("*").alias("n"))
+
+
 def song_count(spark, sf_dir):
     """AGG02: documents of each word."""
     return L.word_counts(_docs(spark, sf_dir)).select("word", "doc_count")
@@ -44,7 +51,7 @@ def line_score(spark, sf_dir):
     return toks.select("doc_id", "line_no", T.line_score(F.col("toks")).alias("score"), T.good_context(F.col("toks")).alias("good"))
 
 
-CONNECTORS = ", ".join(f"'{c}'" for c in T.CONNECTORS)
+CONNECTORS = "'que','pero','si','cuando','porque','aunque','con','sin','me','te','se','nos','ya','pa''','pal','pa','al','del','la','el','los','las'"
 LINE_SCORE = f"""(CASE WHEN len(toks) BETWEEN 7 AND 16 THEN 3 WHEN len(toks) BETWEEN 5 AND 20 THEN 1 ELSE 0 END
   + CASE WHEN list_has_any(toks, [{CONNECTORS}]) THEN 1 ELSE 0 END - CASE WHEN len(toks) > 24 THEN 2 ELSE 0 END)"""
 GOOD = "(len(toks) >= 5 AND NOT (len(toks) >= 6 AND len(list_distinct(toks)) <= 2))"
@@ -220,7 +227,7 @@ SELECT doc_id, CASE WHEN greatest(de, en, es, fr) * 4 < n THEN NULL {cases} END
 QUERIES = {
     f.__name__: f
     for f in (
-        word_count_once_per_doc, song_count, stable_rank, line_score, line_gate_reason, gate_tallies, junk_token, accent_fold, text_normalize,
+        word_count_once_per_doc, lyric_tokens, song_count, stable_rank, line_score, line_gate_reason, gate_tallies, junk_token, accent_fold, text_normalize,
         adlib_strip, ngram_counts, pmi_phrases, caps_stats, caps_proper_noun, corpus_proper_nouns, top3_lines_per_word_doc, repetition_lines,
         sort_letters, nesting_depth, html_component, cloze, stop_word_language,
     )
@@ -238,8 +245,8 @@ ORACLES = {
     "junk_token": f"""{COUNTED} SELECT word, corpus_count FROM (SELECT *, {FOLD_WORD} AS p FROM counted) WHERE regexp_matches(p, '[bcdfghjklmnpqrstvwxz]{{6}}')
   OR (length(p) >= 3 AND NOT regexp_matches(p, '[aeiouy]')) OR len(list_filter(range(1, length(p) - 2), lambda i: p[i] = p[i + 1] AND p[i] = p[i + 2] AND p[i] = p[i + 3])) > 0""",
     "accent_fold": f"{COUNTED} SELECT {FOLD_WORD} AS folded, count(*) AS forms, sum(corpus_count) AS uses FROM counted GROUP BY 1",
-    "text_normalize": f"""SELECT doc_id, left(sha256(regexp_replace(translate(translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '{T.QUOTES + T.DASHES}', '{"''" * len(T.QUOTES) + "-" * len(T.DASHES)}'),
-  '{T.CYRILLIC}', '{T.LATIN}'), '[   ]', ' ', 'g')), 12) AS content_id FROM documents""",
+    "text_normalize": """SELECT doc_id, left(sha256(translate(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), '‘`–—еаорсхі' || chr(8197) || chr(8287) || chr(8202) || chr(12288) || chr(8203) || chr(65279),
+  '’’--eaopcxi    ')), 12) AS content_id FROM documents""",
     "adlib_strip": f"""WITH {LINES}, c AS (SELECT doc_id, line_no, line, trim(regexp_replace(regexp_replace(regexp_replace(line, '\\([^)]*\\)|\\[[^\\]]*\\]', ' ', 'g'),
   '(?i)\\b[a-z]{{1,3}}(?:-[a-z]{{1,3}})+\\b', ' ', 'g'), ' +', ' ', 'g'), ' ') AS clean FROM lines) SELECT doc_id, line_no, clean FROM c WHERE clean <> trim(line, ' ')""",
     "ngram_counts": f"WITH {NGRAMS % (2, '2, 3, 4, 5')} SELECT * FROM counts WHERE count >= 3",

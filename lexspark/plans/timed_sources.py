@@ -11,7 +11,7 @@ from lexspark.sources import readers, writers
 
 def lrc_windows(spark, sf_dir):
     """SRC16: documents' lines stamped by their number, two at a time alike, as timed lyrics."""
-    docs = table(spark, sf_dir, "documents").where("n_chars < 1500")
+    docs = table(spark, sf_dir, "documents")
     stamped = F.array_join(
         F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.format_string("[%02d:%02d.50]", (F.floor(i / 2) / 60).cast("int"), F.pmod(F.floor(i / 2), F.lit(60)).cast("int")), F.translate(line, "[]", ""))), "\n"
     )
@@ -95,7 +95,7 @@ QUERIES = {
 
 WORDS = "string_split(trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' '), ' ')"
 ORACLES = {
-    "lrc_windows": """WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents WHERE n_chars < 1500)), t AS (SELECT doc_id, i // 2 * 1000 + 500 AS ms, trim(translate(line, '[]', ''), ' ') AS line FROM l),
+    "lrc_windows": """WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)), t AS (SELECT doc_id, i // 2 * 1000 + 500 AS ms, trim(translate(line, '[]', ''), ' ') AS line FROM l),
  e AS (SELECT *, coalesce(min(ms) OVER (PARTITION BY doc_id ORDER BY ms RANGE BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 3600000) AS end_ms FROM t) SELECT doc_id, ms, end_ms, count(*) AS lines FROM e WHERE line <> '' GROUP BY ALL""",
     "canonical_rows": """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""",
     "shard_sizes": "SELECT CAST(floor((p_partkey - 1) / 150) AS BIGINT) AS shard, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1",

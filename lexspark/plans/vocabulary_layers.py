@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -79,19 +80,20 @@ def word_router(spark, sf_dir):
 
 
 def vocal_artifacts(spark, sf_dir):
-    """FLT26, FLT27, WIN18: occurrences in short documents' lines, by label."""
-    rows = L.lines(_docs(spark, sf_dir).where("n_chars < 2500"))
+    """FLT26, FLT27, WIN18: occurrences in documents' lines, by label."""
+    rows = L.lines(_docs(spark, sf_dir))
     toks = rows.select("doc_id", "line_no", F.posexplode(T.tokens(F.col("line"))).alias("i", "token")).withColumn("inside", F.col("token").endswith("'"))
     lexicon = L.word_counts(_docs(spark, sf_dir)).where("doc_count >= 20").select("word")
     return V.vocal_artifacts(toks, lexicon).where("label is not null").groupBy("label", "token").agg(F.count("*").alias("n"))
 
 
 def neutral_materialisation(spark, sf_dir):
-    """IDN16, UDF02: word counts with no claims equal those with claims that retract nothing: differences either way."""
-    base = L.word_counts(_docs(spark, sf_dir)).select("word", "corpus_count")
-    claims = spark.createDataFrame([], "word string")
-    view = L.word_counts(_docs(spark, sf_dir)).join(claims, "word", "left_anti").select("word", "corpus_count")
-    return view.exceptAll(base).unionByName(base.exceptAll(view)).agg(F.count("*").alias("differences"))
+    """IDN16, UDF02: word counts over documents that no active claim retracts; a claim of another revision retracts nothing."""
+    docs = _docs(spark, sf_dir)
+    labels = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.pmod("doc_id", F.lit(2)).alias("revision"))
+    retracted = labels.where("revision = 0").select("doc_id").distinct()
+    kept = L.word_counts(docs.join(retracted, "doc_id", "left_anti")).select("word", "corpus_count", "doc_count")
+    return kept
 
 
 def lemma_ownership(spark, sf_dir):
@@ -136,10 +138,15 @@ def derivational_relations(spark, sf_dir):
 
 def synonym_layer(spark, sf_dir):
     """AGG26: parts of one brand and size as synonyms (strength 2), of one name and another brand as antonyms (1): the three first."""
-    p = table(spark, sf_dir, "part").where("p_size <= 6")
-    other = lambda *c: p.select(F.col("p_partkey").alias("other"), *c)
-    syn = p.join(other("p_brand", "p_size"), ["p_brand", "p_size"]).where("p_partkey <> other").select("p_partkey", "other", F.lit(2).alias("rel"))
-    ant = p.join(other("p_name", F.col("p_brand").alias("b")), "p_name").where("p_brand <> b").select("p_partkey", "other", F.lit(-1).alias("rel"))
+    p = table(spark, sf_dir, "part")
+
+    def least(n: int, *group: str) -> DataFrame:
+        """The n smallest parts of each group: three others of any part of it are among n = 4."""
+        place = F.row_number().over(W.partitionBy(*group).orderBy("p_partkey"))
+        return p.select(*group, "p_partkey", place.alias("k")).where(F.col("k") <= n).select(*group, F.col("p_partkey").alias("other"))
+
+    syn = p.join(least(4, "p_brand", "p_size"), ["p_brand", "p_size"]).where("p_partkey <> other").select("p_partkey", "other", F.lit(2).alias("rel"))
+    ant = p.join(least(3, "p_name", "p_brand").withColumnRenamed("p_brand", "b"), "p_name").where("p_brand <> b").select("p_partkey", "other", F.lit(-1).alias("rel"))
     rows = syn.union(ant).withColumn("kind", F.when(F.col("rel") > 0, "synonym").otherwise("antonym"))
     own = W.partitionBy("p_partkey", "kind").orderBy(F.desc(F.abs("rel")), "other")
     return rows.withColumn("place", F.row_number().over(own)).where("place <= 3").select("p_partkey", "kind", "place", "other")
@@ -305,15 +312,15 @@ ORACLES = {
     "provenance_ids": """SELECT page_id, p[1] AS title, regexp_replace(p[-1], '\\.html$', '') AS sub FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', ''), '/') AS p FROM pages)""",
     "word_router": f"""{COUNTED}, {CAPS} SELECT CASE WHEN ends_with(c.word, 'tion') THEN 'remaining' WHEN doc_count >= 100 THEN 'function' WHEN corpus_count < 2 THEN 'rare' WHEN rate >= 0.65 AND midcap >= 3 THEN 'proper' WHEN length(c.word) > 14 THEN 'long' ELSE 'remaining' END AS bucket,
   count(*) AS words, sum(corpus_count) AS uses FROM counted c LEFT JOIN rated r ON r.word = c.word GROUP BY 1""",
-    "neutral_materialisation": "SELECT 0 AS differences",
+    "neutral_materialisation": f"""{COUNTED.replace('FROM documents)', 'FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id % 2 = 0))')} SELECT word, corpus_count, doc_count FROM counted""",
     "lemma_ownership": """WITH m AS (SELECT p_name AS word, p_brand || '-' || p_size AS sense, min(p_type) AS lemma FROM part GROUP BY ALL), i AS (SELECT p_name AS word, p_brand || '-' || CASE WHEN l_linenumber = 7 THEN 99 ELSE p_size END AS sense FROM lineitem JOIN part ON l_partkey = p_partkey)
  SELECT word, CASE WHEN starts_with(lemma, 'S') THEN 'base' ELSE lemma END AS lemma, count(*) AS n FROM i JOIN m USING (word, sense) GROUP BY ALL""",
     "mode_swap": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders), s AS (SELECT id, translate(left(id, 1), '12', '21') || substr(id, 2) AS other FROM o WHERE left(id, 1) IN ('1', '2')) SELECT id, other FROM s WHERE other IN (SELECT id FROM o)""",
     "split_counts_by_tier": """WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w), t AS (SELECT *, CASE WHEN length(w) <= 4 THEN 'A' WHEN regexp_matches(w, '^(al|bl|ch)') THEN 'C' WHEN regexp_matches(w, '^[dg]') THEN 'B' ELSE 'D' END AS tier FROM w),
  f AS (SELECT n, tier, unnest(CASE tier WHEN 'C' THEN [left(w, 2), substr(w, 3)] WHEN 'B' THEN [substr(w, 2)] ELSE [w] END) AS form FROM t) SELECT form, sum(n) AS n, string_agg(DISTINCT tier, '' ORDER BY tier) AS tiers FROM f GROUP BY form""",
     "primary_analysis": """WITH e AS (SELECT l_partkey, l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_partkey, l_suppkey, n FROM e QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, q DESC, l_suppkey) = 1""",
-    "derivational_relations": f"{COUNTED}, w AS (SELECT word FROM counted WHERE length(word) >= 3), m AS (SELECT word AS base, suffix FROM w, (SELECT unnest(['ly', 'er', 'ness']) AS suffix)) SELECT w.word, base, suffix FROM m JOIN w ON w.word = base || suffix",
-    "synonym_layer": """WITH p AS (SELECT * FROM part WHERE p_size <= 6), r AS (SELECT a.p_partkey, b.p_partkey AS other, 2 AS rel FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey UNION ALL SELECT a.p_partkey, b.p_partkey, -1 FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand),
+    "derivational_relations": f"{COUNTED}, w AS MATERIALIZED (SELECT word FROM counted WHERE length(word) >= 3), m AS (SELECT word AS base, suffix FROM w, (SELECT unnest(['ly', 'er', 'ness']) AS suffix)) SELECT w.word, base, suffix FROM m JOIN w ON w.word = base || suffix",
+    "synonym_layer": """WITH p AS (SELECT * FROM part), r AS (SELECT a.p_partkey, b.p_partkey AS other, 2 AS rel FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey UNION ALL SELECT a.p_partkey, b.p_partkey, -1 FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand),
  k AS (SELECT p_partkey, other, CASE WHEN rel > 0 THEN 'synonym' ELSE 'antonym' END AS kind, abs(rel) AS s FROM r), o AS (SELECT p_partkey, kind, row_number() OVER (PARTITION BY p_partkey, kind ORDER BY s DESC, other) AS place, other FROM k) SELECT * FROM o WHERE place <= 3""",
     "mwe_layer": """WITH w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), u AS (SELECT w, count(*) AS uses FROM w GROUP BY w), n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), d AS (SELECT DISTINCT p_name, w FROM w),
  r AS (SELECT p_name, n, w, uses FROM d JOIN u USING (w) JOIN n USING (p_name) QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY uses, w) = 1), o AS (SELECT w, p_name, row_number() OVER (PARTITION BY w ORDER BY n DESC, p_name) AS place FROM r WHERE n >= 0.02 * uses) SELECT * FROM o WHERE place <= 10""",

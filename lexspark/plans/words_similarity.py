@@ -61,9 +61,10 @@ LABELS = ("Noun", "masculine noun", "pronoun", "possessive pronoun", "transitive
 
 
 def pos_normalize(spark, sf_dir):
-    """PRJ14, on fixed labels."""
-    rows = spark.createDataFrame([(x,) for x in LABELS], "label string")
-    return rows.select("label", M.normalize_pos(F.col("label")).alias("pos"))
+    """PRJ14: labels made of part types and of each label's place in a list, over all parts."""
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.pmod("p_partkey", F.lit(len(LABELS))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.when(F.col("p_size") > 25, F.concat_ws(" ", F.lower("p_type"), label)).otherwise(label).alias("label"))
+    return rows.groupBy("label", M.normalize_pos(F.col("label")).alias("pos")).agg(F.count("*").alias("n"))
 
 
 def translation_normalize(spark, sf_dir):
@@ -216,8 +217,9 @@ PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in M.COGNATES)
 CLITICS = ", ".join([f"({i}, '{c}', '{c}')" for i, c in enumerate(M.ENCLITICS)] + [
     f"({100 + 10 * i + j}, '{a}{b}', '{a}+{b}')" for i, a in enumerate(("me", "te", "se", "nos", "os")) for j, b in enumerate(("los", "las", "lo", "la", "le", "les"))
 ])
-STEMS = (("ations", 3, ""), ("ation", 3, ""), ("ness", 3, ""), ("ment", 3, ""), ("ing", 3, ""), ("ied", 2, "y"), ("ies", 2, "y"), ("ed", 3, ""), ("ly", 3, ""), ("er", 3, ""), ("es", 3, ""), ("s", 2, ""))
-STEM = "CASE " + " ".join(f"WHEN ends_with(word, '{s}') AND length(word) - {len(s)} >= {n} THEN left(word, length(word) - {len(s)}) || '{e}'" for s, n, e in STEMS) + " ELSE word END"
+STEM = """CASE WHEN word LIKE '_%ying' THEN left(word, length(word) - 4) || 'y' WHEN word LIKE '___%ies' OR word LIKE '___%ied' THEN left(word, length(word) - 3) || 'y' WHEN word LIKE '___%ing' THEN left(word, length(word) - 3)
+ WHEN word LIKE '____%tion' THEN left(word, length(word) - 4) || 'te' WHEN word LIKE '____%ness' OR word LIKE '____%ment' THEN left(word, length(word) - 4) WHEN word LIKE '____%ally' THEN left(word, length(word) - 4) || 'al'
+ WHEN word LIKE '__%ly' OR word LIKE '__%ed' OR word LIKE '__%er' OR word LIKE '__%es' THEN left(word, length(word) - 2) WHEN word LIKE '_%s' THEN left(word, length(word) - 1) ELSE word END"""
 POS = "CASE " + " ".join(f"WHEN lower(label) = '{k}' THEN '{v}'" for k, v in M.POS_EXACT.items()) + " " + " ".join(f"WHEN contains(lower(label), '{k}') THEN '{v}'" for k, v in M.POS_TESTS) + " ELSE 'X' END"
 SLOTS = ", ".join(f"'{s}'" for s in SLOT)
 FAMILY = f"array_to_string(list_transform(string_split(ngram, ' '), lambda t: CASE WHEN t IN ({SLOTS}) THEN '[PRON]' ELSE t END), ' ')"
@@ -241,7 +243,8 @@ ORACLES = {
     "cognate_rules": f"""WITH s AS (SELECT word AS es, regexp_replace({FOLD % 'word'}, 's$', '') AS s FROM {WORDS % 'es'} WHERE length(word) >= 4), r AS (SELECT * FROM (VALUES {PAIRS}) AS t(a, b)),
  m AS (SELECT es, s AS e FROM s UNION SELECT es, left(s, length(s) - length(a)) || b FROM s JOIN r ON ends_with(s, a) AND length(s) > length(a)), n AS (SELECT word AS en, {FOLD % 'word'} AS e FROM {WORDS % 'en'} WHERE length(word) >= 4)
  SELECT DISTINCT es, en FROM m JOIN (SELECT en, e FROM n UNION SELECT en, regexp_replace(e, 's$', '') FROM n) USING (e)""",
-    "pos_normalize": f"SELECT label, {POS} AS pos FROM (SELECT unnest([{', '.join(repr(x) for x in LABELS)}]) AS label)",
+    "pos_normalize": f"""WITH l AS (SELECT CASE WHEN p_size > 25 THEN lower(p_type) || ' ' || label ELSE label END AS label FROM (SELECT *, [{', '.join(repr(x) for x in LABELS)}][p_partkey % {len(LABELS)} + 1] AS label FROM part))
+ SELECT label, {POS.replace("lower(label)", "lower(trim(label, ' '))")} AS pos, count(*) AS n FROM l GROUP BY ALL""",
     "translation_normalize": """SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(text, ' ')), '^to ', ''), '^(i|you|he|she|it|we|they) ', ''), ' (me|you|him|her|it|us|them)$', ''), '^([a-z]{3,})s( |$)', '\\1\\2') AS gloss FROM conversations WHERE text IS NOT NULL""",
     "production_plural": "SELECT p_name, CASE WHEN regexp_matches(p_name, '[^aeiou]y$') THEN regexp_replace(p_name, 'y$', 'ies') WHEN regexp_matches(p_name, '(s|x|z|ch|sh)$') THEN p_name || 'es' ELSE p_name || 's' END AS plural FROM (SELECT DISTINCT p_name FROM part)",
     "slot_families": f"WITH {NGRAMS % (3, '3, 4')} SELECT n, {FAMILY} AS family, sum(count) AS count, count(*) AS variants FROM counts WHERE {ONE} GROUP BY 1, 2 HAVING sum(count) >= 4 AND count(*) >= 2",

@@ -45,9 +45,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a session without spark.checkpoint.dir gets one of our own."""
+    """The folder that driver and executors share. Only a local session without spark.checkpoint.dir gets one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = os.path.join(tempfile.gettempdir(), "lexspark-shared")
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
@@ -64,6 +66,11 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder for files of another format than cut()'s; sweep() deletes it too."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later stages neither recompute it nor depend on one executor.
 
@@ -71,6 +78,6 @@ def cut(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     compression (zstd for texts, say) replaces the session's.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)

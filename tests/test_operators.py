@@ -89,6 +89,55 @@ def test_identity_columns(spark):
     assert r[0] == 0xE40C292C
 
 
+def test_identity_beyond_ascii_and_collisions(spark):
+    def plain(text):  # FNV-1a over UTF-16 units
+        h, data = 0x811C9DC5, text.encode("utf-16-be")
+        for i in range(0, len(data), 2):
+            h = ((h ^ int.from_bytes(data[i : i + 2], "big")) * 0x01000193) & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    texts = ["", "a", "señal|verbo", "漢字", "🙂 x"]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", identity.signature(F.col("s")).alias("h")).collect()
+    assert {r["s"]: r["h"] for r in got} == {t: plain(t) for t in texts} and plain("a") == "e40c292c"
+
+    import hashlib
+
+    words = [f"sense{i}" for i in range(300)]  # among 4,096 prefixes some collide
+    rows = spark.createDataFrame([("g", i, w) for i, w in enumerate(words)] + [("other", 0, words[0])], "g string, i int, w string")
+    ids = {(r["g"], r["w"]): r["sense_id"] for r in identity.least_prefix_id(rows, ["g"], F.col("w"), ["i"]).collect()}
+    want: dict[str, str] = {}
+    for w in words:
+        h = hashlib.md5(w.encode()).hexdigest()
+        want[next(h[:n] for n in range(3, 33) if h[:n] not in want)] = w
+    assert {ids["g", w]: w for w in words} == want and any(len(k) > 3 for k in want) and len(ids["other", words[0]]) == 3
+
+
+def test_values_of_text_rules(spark):
+    """Expected values worked out by hand from the rules."""
+    one = lambda f, *texts: [r[0] for r in spark.createDataFrame([(t,) for t in texts], "s string").select(f(F.col("s"))).collect()]
+    words = ("lying", "carries", "carried", "putting", "attraction", "sadness", "movement", "physically", "intensely", "placed", "harder", "places", "cats", "ties", "is", "s")
+    assert one(morphology.stem_en, *words) == [
+        "ly", "carry", "carry", "putt", "attracte", "sadnes", "move", "physical", "intense", "plac", "hard", "plac", "cat", "ti", "i", "s",
+    ]
+    assert one(T.normalize_text, "‘a’`b` –c—\r\nd\re\u2005f\u3000g\u200bh\ufeff despеrté", None) == ["’a’’b’ -c-\nd\ne f gh desperté", ""]
+    assert one(T.lyric_tokens, "'Tamos aquí, 'toy pa'l ah-na-na post-guerra y 'e día; preguntó-tó") == [
+        ["estamos", "aquí", "estoy", "pa'l", "post", "guerra", "y", "de", "día", "preguntó", "tó"]
+    ]  # the last run has a chunk of over three letters
+    labels = ("Plural Noun", "proper noun", "transitive verb", "reflexive pronoun", "adverbial phrase", "definite article", "phrase", "idiom", " Letter name ", None)
+    assert one(morphology.normalize_pos, *labels) == ["NOUN", "PROPN", "VERB", "NOUN", "VERB", "DET", "PHRASE", "X", "NOUN", "X"]
+    glosses = {
+        "second person pronoun in singular tense; you": "you",
+        "neuter definite article of many uses: the, that which is": "the, that which is",
+        "to make (a decision) (used with people)": "to make (a decision)",
+        "to take, to grab, to seize, to catch": "to take, to grab, to seize",
+        "house; home, dwelling, abode; especially a small one; hut": "house; home, dwelling",
+        "one; two; three; four": "one; two; three",
+        "(archaic)": "(archaic)",
+        "dog (an animal (tame), etc.)": "dog",
+    }
+    assert one(morphology.clean_gloss, *glosses) == list(glosses.values())
+
+
 def test_changeset_and_store(spark):
     a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(2, "y"), (3, "q"), (4, "w")], "k int, v string")
