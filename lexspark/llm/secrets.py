@@ -98,16 +98,17 @@ def battery(candidates: DataFrame) -> DataFrame:
 def thresholds(tested: DataFrame) -> dict[tuple[str, int], float]:
     """For each encoding and length band (powers of two), the p from which candidates count as random.
 
-    Random strings have an even p, others a small one. So twice the number with p >= 0.5 estimates the random ones,
-    and for each threshold the share of others above it follows; the least threshold with a share of at most
-    FALSE_SHARE is taken, none if there is none. The driver gets one row for each encoding and band.
+    Random strings have an even p, others a small one. So twice the number with p >= 0.5, and one, estimates the random
+    ones, and for each threshold the share of others above it follows; the least threshold with a share of at most
+    FALSE_SHARE is taken, none if there is none. The one lets a lone key count whichever half its p is in; in large
+    strata it weighs nothing. The driver gets one row for each encoding and band.
     """
     band = F.floor(F.log2("n")).cast("int")
     counts = [F.count_if(F.col("p") >= t).alias(f"t{i}") for i, t in enumerate(THRESHOLDS)]
     found = {}
     for row in tested.groupBy("encoding", band.alias("band")).agg(F.count_if(F.col("p") >= 0.5).alias("even"), *counts).collect():
         for i, t in enumerate(THRESHOLDS):
-            if row[f"t{i}"] and 1 - min(1.0, (1 - t) * 2 * row["even"] / row[f"t{i}"]) <= FALSE_SHARE:
+            if row[f"t{i}"] and 1 - min(1.0, (1 - t) * (2 * row["even"] + 1) / row[f"t{i}"]) <= FALSE_SHARE:
                 found[row["encoding"], row["band"]] = t
                 break
     return found

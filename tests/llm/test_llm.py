@@ -274,6 +274,15 @@ def plain_p(match: str) -> float:
     return math.exp(-half) * (1 + half + half * half / 2)
 
 
+def test_lone_keys_are_found(spark):
+    rng = random.Random(12)
+    found = 0
+    for _ in range(10):
+        key = "".join(rng.choice(secrets.ENCODINGS[4][2]) for _ in range(40))
+        found += secrets.scan_secrets(make(spark, [f"see {key}1 there", "nothing"])).where("n_random = 1").count()
+    assert found >= 9
+
+
 def test_battery_matches_plain_python(spark):
     rng = random.Random(6)
     runs = ["".join(rng.choice(a) for _ in range(n)) for _, _, a in secrets.ENCODINGS for n in (20, 33, 64, 500)]
