@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import decks, identity, learner, lines, morphology, scanning, selection, similarity, vocabulary
+from lexspark.operators import decks, identity, learner, lines, morphology, scanning, selection, sense_rules, similarity, vocabulary
 
 
 def rows(df, *names):
@@ -254,3 +254,20 @@ def test_shared_lines_find_rare_overlaps(spark):
     got = {(r["a"], r["b"]): (r["shared"], r["run"], r["pct"]) for r in decks.shared_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got[(3, 20)] == (6, 6, 1.0) and got[(0, 21)] == (2, 2, 1.0)
     assert (0, 1) not in got  # two of ten lines
+
+
+def test_transcriptions_and_sense_rules(spark):
+    df = spark.createDataFrame([("'ap-p@l--b\"om",), ("a--b",), ("-'x-",), ("",)], "s string")
+    out = df.select(sense_rules.strip_syllables(sense_rules.strip_stress(F.col("s"))), sense_rules.stress_pattern(F.col("s"))).collect()
+    assert [tuple(r) for r in out] == [('app@l-b"om', "100"), ("a-b", "00"), ("x", "0"), ("", "")]
+    # a syllable mark at the start of a syllable is its first character
+    tags = spark.createDataFrame([("ADJ", "DET", ["DET"]), ("ADP", "NOUN", ["NOUN"]), ("PHRASE", "NOUN", ["NOUN"]), ("DET", "PRON", ["PRON", "NOUN"])], "s string, e string, o array<string>")
+    got = tags.select(sense_rules.fits_observed(F.col("s"), F.col("o")), sense_rules.fits_example(F.col("s"), F.col("e")), sense_rules.fits_bridged(F.col("s"), F.col("e"))).collect()
+    assert [tuple(r) for r in got] == [(False, False, True), (False, False, False), (True, True, True), (True, True, True)]
+    toks = spark.createDataFrame([(["una", "ve'", "vo'", "a", "ve'", "na'"],)], "t array<string>")
+    assert toks.select(sense_rules.ngram_tokens(F.col("t"), {"na'": "nada"})).first()[0] == ["una", "vez", "voy", "a", "ves", "nada"]
+
+
+def test_bands_without_a_share_stay_empty(spark):
+    df = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.7, 1), (0.1, 0)], "p double, y int")
+    assert rows(sense_rules.band_cuts(df, "p", "y", {"high": 1.0, "medium": 0.75, "never": 1.1}), "band", "cut") == [("high", 0.9), ("medium", 0.7), ("never", 0.9)]
