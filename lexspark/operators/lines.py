@@ -27,7 +27,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """The first place of each different line of a document."""
-    w = tokenised(docs).groupBy("doc_id", "line_key").agg(F.min("line_no").alias("line_no"))
+    w = tokenised(docs.select("doc_id", "source", "text").repartition("doc_id")).groupBy("doc_id", "line_key").agg(F.min("line_no").alias("line_no"))
     return w.withColumn("toks", F.split("line_key", " "))
 
 
@@ -40,8 +40,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def stretches(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_key, toks): each different stretch between punctuation of a document, of `least` tokens or more."""
-    parts = lines(docs).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
+    """(doc_id, line_key, toks): each different stretch between punctuation of a document, of `least` tokens or more.
+
+    Documents are dealt by id once; that layout serves the distinct and all counts by document that follow.
+    """
+    parts = lines(docs.select("doc_id", "source", "text").repartition("doc_id")).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
     toks = parts.select("doc_id", T.tokens(F.col("part")).alias("toks")).where(F.size("toks") >= least)
     return toks.select("doc_id", F.array_join("toks", " ").alias("line_key")).distinct().withColumn("toks", F.split("line_key", " "))
 
