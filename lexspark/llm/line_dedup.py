@@ -263,7 +263,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """The documents without repeated runs, with the columns of docs; those that had words and lost all of them go."""
-    cleaned = dedup_lines(docs)
-    lost = (F.col("removed_words") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return cleaned.where(~F.coalesce(lost, F.lit(False))).select(*docs.columns)
+    """The documents without repeated runs, with the columns of docs."""
+    return dedup_lines(docs).select(*docs.columns)
