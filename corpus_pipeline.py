@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexspark.llm import decontam, line_dedup, mixing, near_dedup, quality
 from lexspark.session import cut, table
@@ -19,8 +20,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_dedup.drop_near_duplicates(docs)
+    """One document of each group of near copies; documents that line dedup left without words are copies and go."""
+    return near_dedup.drop_near_duplicates(docs.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
