@@ -1,10 +1,11 @@
-"""Queries on headwords, verb forms and groups of glosses (FLT10, FLT11, SIM15, MOR07, PRJ15, SIM02, SIM03)."""
+"""Queries on headwords, verb forms, cognates and groups of glosses (FLT10, FLT11, SIM01, SIM15, MOR07, PRJ15, SIM02, SIM03)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.operators import cognates as C
 from lexspark.operators import gloss_groups as G
 from lexspark.operators import headwords as H
 from lexspark.operators import lines as L
@@ -97,6 +98,16 @@ def name_senses(spark, sf_dir):
     return rows.select("p_partkey", "is_name", "m.type", "m.construction")
 
 
+def cognate_scores(spark, sf_dir):
+    """SIM01: Spanish words against English-looking spellings of themselves. SQL has no ratio of matching blocks; tested on a fixture."""
+    docs = table(spark, sf_dir, "documents").where("lang = 'es'")
+    words = docs.select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    plain = T.fold_accents(F.col("word"))
+    chop = lambda n: F.substring(plain, F.lit(1), F.length(plain) - n)
+    glosses = F.array(F.replace(plain, F.lit("f"), F.lit("ph")), F.concat(chop(1), F.lit("e")), F.replace(plain, F.lit("t"), F.lit("th")), F.concat(chop(4), F.lit("tion")), F.concat(chop(3), F.lit("ics")))
+    return C.cognate_scores(words.select("word", F.explode(F.array_distinct(glosses)).alias("gloss")), "word", "gloss")
+
+
 def _order_senses(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", F.lower("p_type").alias("kind"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linenumber", "l_partkey").join(parts, "l_partkey")
@@ -118,7 +129,8 @@ def sense_merges(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        headword_vetting, menu_purge, reflexive_gate, reverse_conjugations, conjugation_fallbacks, name_senses, proposal_clusters, sense_merges,
+        headword_vetting, menu_purge, reflexive_gate, reverse_conjugations, conjugation_fallbacks, name_senses, cognate_scores, proposal_clusters,
+        sense_merges,
     )
 }
 

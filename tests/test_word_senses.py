@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from lexspark.operators import cognates as C
 from lexspark.operators import gloss_groups as G
 from lexspark.operators import headwords as H
 
@@ -104,3 +106,41 @@ def test_tags_and_names(spark):
     df = spark.createDataFrame([("slang", None, "NOUN", "name"), ("", "x", "propn", None), (None, None, None, "the name of a town"), ("proper_noun", None, None, None)], "type string, construction string, pos string, gloss string")
     got = df.select(H.is_name_sense(F.col("type"), F.col("pos"), F.col("gloss")).alias("n"), H.carry_tags(F.struct(F.lit("o").alias("type"), F.lit("c").alias("construction")), F.struct("type", "construction")).alias("m"))
     assert [(r["n"], r["m"]["type"], r["m"]["construction"]) for r in got.collect()] == [(False, "slang", "c"), (True, "o", "x"), (True, "o", "c"), (True, "proper_noun", "c")]
+
+
+def _score(s: str, e: str) -> float:
+    """The score in plain Python, for words without accents."""
+    consonant = lambda c: c not in "aeiou"
+
+    def one(w: str) -> str:
+        return w[:-3] + "z" if len(w) > 3 and w.endswith("ces") else w[:-2] if len(w) > 4 and w.endswith("es") else w[:-1] if len(w) > 3 and w.endswith("s") else w
+
+    def said(w: str) -> str:
+        out = ""
+        w = w.replace("ph", "f").replace("th", "t").replace("qu", "cu")
+        for i, c in enumerate(w):
+            alone = c == "y" and (not out or consonant(out[-1])) and (i + 1 == len(w) or consonant(w[i + 1]))
+            out += "i" if alone else c
+        return out
+
+    if min(len(s), len(e)) < 4:
+        return 0.0
+    a, b = one(s), one(e)
+    bare = a[1:] if len(a) > 3 and a[:2] == "es" and consonant(a[2]) else a
+    if any(x == b or any(x.endswith(p) and len(x) > len(p) and x[: -len(p)] + q in (b, e) for p, q in C.COGNATES) for x in (a, bare)):
+        return 1.0
+    pairs = [(x, y) for x in (a, bare) for y in (b, said(b))] if min(len(a), len(b)) > 5 else [(a, b)]
+    return round(max(SequenceMatcher(None, x, y).ratio() for x, y in pairs), 3)
+
+
+def test_cognate_scores_equal_plain_python(spark):
+    pick = random.Random(11)
+    parts = "es qu ph th cion tion oso ous a e i y s t r ces mente ly fo to".split()
+    word = lambda: "".join(pick.choice(parts) for _ in range(pick.randint(1, 5)))
+    rows = [(word(), word()) for _ in range(400)] + [("especial", "special"), ("nacion", "nations"), ("famoso", "famous"), ("sistema", "system"), ("voces", "voz"), ("", "abcd")]
+    rows += [(w, w[:-1] + "y") for w, _ in rows if w]
+    got = C.cognate_scores(spark.createDataFrame(rows, "s string, e string"), "s", "e").collect()
+    assert len(got) == len(rows)
+    assert [(r["s"], r["e"], r["score"]) for r in got if abs(r["score"] - _score(r["s"], r["e"])) > 1e-9] == []
+    nulls = C.cognate_scores(spark.createDataFrame([(None, "abcd"), ("abcd", None), ("Árbol", "arbol")], "s string, e string"), "s", "e").collect()
+    assert [r["score"] for r in nulls] == [0.0, 0.0, 1.0]
