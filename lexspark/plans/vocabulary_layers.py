@@ -1,4 +1,4 @@
-"""Queries on vocabulary layers (TOK03, TOK11, TOK12, PRJ13, PRJ15-18, FLT05-12, FLT20-27, JOI06-07, JOI14, AGG07, AGG23-29, WIN02, WIN13, WIN20, SIM08-15, IDN13, IDN16, UDF02-05, MOR07, MOR08, EST05-08)."""
+"""Queries on vocabulary layers (TOK03, TOK11, TOK12, PRJ13, PRJ16-18, FLT05-08, FLT20-26, JOI06-07, JOI14, AGG07, AGG23-29, WIN02, WIN13, WIN20, SIM08, SIM13, IDN13, IDN16, UDF02-05, MOR07, MOR08, EST05-08)."""
 
 from __future__ import annotations
 
@@ -44,7 +44,7 @@ TAGS = ("first-person third-person singular subjunctive present", "second-person
 
 
 def morphology_cells(spark, sf_dir):
-    """PRJ13, MOR07, on fixed tag lists."""
+    """PRJ13, on fixed tag lists."""
     rows = spark.createDataFrame([(t,) for t in TAGS], "tags string")
     cells = rows.select("tags", F.explode_outer(V.morphology_tags(F.split("tags", " "))).alias("c"))
     return cells.select("tags", "c.mood", "c.tense", "c.person")
@@ -190,7 +190,7 @@ def greedy_song_use(spark, sf_dir):
 
 
 def structural_features(spark, sf_dir):
-    """SIM08, SIM09, SIM15: features of lines: tokens, different ones, share of short ones, words before and after "the"."""
+    """SIM08: features of lines: tokens, different ones, share of short ones, words before and after "the"."""
     rows = L.tokenised(_docs(spark, sf_dir))
     at = F.array_position("toks", F.lit("the")).cast("int")
     return rows.select(
@@ -249,7 +249,7 @@ def lines_understood(spark, sf_dir):
 
 
 def focused_card(spark, sf_dir):
-    """EST06, FLT11, FLT12: brands with those parts that have 15 uses or fewer; brands without such a part don't appear."""
+    """EST06: brands with those parts that have 15 uses or fewer; brands without such a part don't appear."""
     uses = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("uses"))
     left = table(spark, sf_dir, "part").join(uses, F.col("p_partkey") == F.col("l_partkey")).where("uses <= 15")
     return left.groupBy("p_brand").agg(F.count("*").alias("left"), F.min("p_partkey").alias("first"))
@@ -272,7 +272,7 @@ def snippet_eligible(spark, sf_dir):
 
 
 def pos_conflicts(spark, sf_dir):
-    """FLT08-10, PRJ15: lines whose part's type conflicts with the order's status by a table of pairs that go together."""
+    """FLT08: lines whose part's type conflicts with the order's status by a table of pairs that go together."""
     fits = spark.createDataFrame([("ECONOMY", "F"), ("ECONOMY", "O"), ("STANDARD", "O"), ("PROMO", "F"), ("MEDIUM", "P"), ("SMALL", "F")], "kind string, o_orderstatus string").withColumn("ok", F.lit(True))
     items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring_index("p_type", " ", 1).alias("kind")), "l_partkey")
     rows = items.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus"), "l_orderkey").join(F.broadcast(fits), ["kind", "o_orderstatus"], "left")

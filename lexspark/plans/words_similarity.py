@@ -178,7 +178,7 @@ def pivot_longest_cue(spark, sf_dir):
 
 
 def jaccard_names(spark, sf_dir):
-    """SIM02, SIM03: pairs of different part names of a type with a word Jaccard of 0.3 or more, by shared words."""
+    """SIM02, its links only: pairs of different part names of a type with a word Jaccard of 0.3 or more, by shared words."""
     names = table(spark, sf_dir, "part").select("p_type", "p_name").distinct()
     words = names.select("p_type", "p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
     n = words.groupBy("p_type", "p_name").agg(F.count("*").alias("n"))
