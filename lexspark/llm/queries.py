@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lexspark.llm import (
+    collocations,
     decontam,
+    filter_audit,
     line_dedup,
     media,
     mixing,
     near_dedup,
     quality,
+    quality_rules,
     secrets,
     token_counts,
     toxicity,
@@ -78,6 +81,22 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "size", "source_size", "target", "taken", "repetitions")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, for each source, order and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the rules' model on all documents."""
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc_id", *quality_rules.MEASURES, "base_failed", "kept", "posterior")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
@@ -89,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_url_filters": op9_url_filters,
     "op10_mix_sources": op10_mix_sources,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 UPPER, LOWER = decontam.UPPER, decontam.LOWER
@@ -146,9 +168,41 @@ def _mixing_sql() -> str:
 SELECT doc_id, size, source_size, target, CAST(size * whole + floor(size * extra) AS BIGINT) AS taken, whole + extra AS repetitions FROM x"""
 
 
+def _collocations_sql() -> str:
+    return f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+ g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+ f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL), c AS (SELECT *, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+ h AS (SELECT lang, phrase, k, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+ cuts AS (SELECT h.lang, h.phrase, h.k, h.a, j, x.f AS l, y.f AS r FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.head AND x.k = j JOIN f y ON y.lang = h.lang AND y.phrase = h.tail AND y.k = h.k - j),
+ best AS (SELECT *, CAST((1000000 * CAST(a AS HUGEINT) * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase, k ORDER BY score, j) = 1),
+ inner_ AS (SELECT lang, array_to_string(w[s:s + 1], ' ') AS phrase, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS s FROM c WHERE k = 3) GROUP BY ALL),
+ left_ AS (SELECT best.* FROM best LEFT JOIN inner_ ON inner_.lang = best.lang AND inner_.phrase = best.phrase AND best.k = 2 WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM left_ JOIN totals USING (lang) QUALIFY rank <= 2000"""
+
+
+def _audit_sql() -> str:
+    letters = "unnest(['A', 'B', 'C', 'D', 'E'])"
+    order = " || ".join(f"l{i}.l" for i in range(1, 6))
+    tables = ", ".join(f"l l{i}" for i in range(1, 6))
+    return f"""WITH l AS (SELECT {letters} AS l), orders AS (SELECT {order} AS filter_order FROM {tables} WHERE len(list_distinct([{', '.join(f'l{i}.l' for i in range(1, 6))}])) = 5),
+ t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents), w AS (SELECT *, regexp_extract_all(t, '{SPACED}') AS w, min(doc_id) OVER (PARTITION BY t) AS first FROM t),
+ y AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+ d AS (SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN first < doc_id THEN 'E' ELSE '' END AS fails, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad FROM w LEFT JOIN y USING (doc_id)),
+ s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+ e AS (SELECT part, filter_order, CAST(step AS INT) AS step, own, contains(fails, own) AS hit, len(translate(fails, before, '')) < len(fails) AS gone, fails = own AS only_, good, bad FROM d, s),
+ c AS (SELECT part, filter_order, step, own, count(*) FILTER (NOT gone AND NOT hit) AS kept, count(*) FILTER (hit AND NOT gone) AS removed, count(*) FILTER (hit AND gone) AS redundant,
+  count(*) FILTER (only_) AS unique_fails, count(*) FILTER (hit AND NOT gone AND good) AS good_lost, count(*) FILTER (hit AND NOT gone AND bad) AS toxic_lost FROM e GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM c"""
+
+
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _near_dedup_sql(),
     "op8_benchmark_decontamination": _decontamination_sql(),
     "op9_url_filters": _url_sql(),
     "op10_mix_sources": _mixing_sql(),
+    "op11_phrase_collocations": _collocations_sql(),
+    "op12_filter_audit": _audit_sql(),
 }
