@@ -21,9 +21,9 @@ LEAST, TOP = 10, 2000
 ABSORBED = 50
 SCALE = 1_000_000
 #: UTF-8 bytes of text that one shard holds; a single longer text is a shard of its own.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Most products of a prefix's and a word's bitmap bytes that are worked out together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _PIECE_ENDS = np.zeros(256, bool)
 _PIECE_ENDS[np.frombuffer(b".,;:!?\n\x0b\x0c\r", np.uint8)] = True
