@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexspark.operators.examples import greedy_cover  # noqa: F401
+from lexspark.operators.numbering import numbered, ranked, running_sums  # noqa: F401
+
 
 def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int | Column, name: str = "place") -> DataFrame:
     """The first k rows of each key; k may be an expression. Spark limits each partition before it shuffles (k a number)."""
@@ -31,40 +33,16 @@ def hash_split(word: Column, percent: int) -> Column:
 def yield_at(rows: DataFrame, score: str, ok: str, share: float, tie: str) -> DataFrame:
     """n and cut: the longest prefix by score in which a share of `share` is right, and its last score.
 
-    The rows are counted by score first, so that the one ordered pass is over different scores.
+    The rows are counted by score first; what stands in front of a score is summed by ranges of scores.
     """
     counts = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(ok).cast("long")).alias("good"))
-    order = W.orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumn("n_all", F.sum("n").over(order)).withColumn("n_good", F.sum("good").over(order))
+    run = running_sums(counts.withColumn("good", F.coalesce("good", F.lit(0))), [F.desc(score)], {"n_all": "n", "n_good": "good"})
+    run = run.withColumns({"n_all": F.col("n_all") + F.col("n"), "n_good": F.col("n_good") + F.col("good")})
     return run.where(F.col("n_good") >= F.col("n_all") * share).agg(
         F.coalesce(F.max("n_all"), F.lit(0)).alias("n"), F.min(score).alias("cut")
     )
 
 
-def greedy_cover(rows: DataFrame, key: str, item: str, parts: str, order: str, k: int) -> DataFrame:
-    """(key, item, place): up to k items of each key, each adding most parts not yet covered; of equals the first.
-
-    The items of one key must fit one task: callers bound them beforehand.
-    """
-    kinds = dict(rows.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf.sort_values(order)[[key, item, parts]].values.tolist()
-        seen: set = set()
-        out = []
-        while left and len(out) < k:
-            gains = [len(set(p) - seen) for _, _, p in left]
-            best = gains.index(max(gains))
-            if not gains[best]:
-                break
-            a, b, p = left.pop(best)
-            seen |= set(p)
-            out.append((a, b, len(out) + 1))
-        return pd.DataFrame(out, columns=[key, item, "place"])
-
-    return rows.select(*dict.fromkeys((key, item, parts, order))).groupBy(key).applyInPandas(pick, f"{key} {kinds[key]}, {item} {kinds[item]}, place int")
-
-
 def largest_remainder(rows: DataFrame, keys: list[str], total: str, weight: str, order: str) -> DataFrame:
     """rows with part: total split by weight, floors first, then one each by remainder, weight and order.
 
@@ -78,15 +56,3 @@ def largest_remainder(rows: DataFrame, keys: list[str], total: str, weight: str,
     by = own.orderBy(F.desc(F.round(F.col("__exact") - F.col("__floor"), 9)), F.desc(weight), order)
     part = F.col("__floor") + (F.row_number().over(by) <= rest).cast("long")
     return rows.withColumn("part", part).drop("__exact", "__floor")
-
-
-def ranked(rows: DataFrame, value: str, tie: str | None, name: str = "rank") -> DataFrame:
-    """rows with a rank from 1 by value, highest first, then tie (None: equal values share the first rank).
-
-    Only the different values pass one ordered task; rows are numbered within their value's own partition.
-    """
-    values = rows.groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(W.orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, -1))
-    ahead = values.select(value, F.coalesce(before, F.lit(0)).alias("__ahead"))
-    within = F.lit(1) if tie is None else F.row_number().over(W.partitionBy(value).orderBy(tie))
-    return rows.join(ahead, value).withColumn(name, F.col("__ahead") + within).drop("__ahead")

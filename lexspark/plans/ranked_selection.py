@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexspark.operators import bands as B
 from lexspark.operators import selection as S
 from lexspark.session import table
 
@@ -42,15 +43,9 @@ def rerank5(spark, sf_dir):
 
 
 def study_bands(spark, sf_dir):
-    """WIN08, closed form: clamp(10, 80, ceil(n / 200)) bands of equal count with the coverage up to each."""
+    """WIN08: parts by uses in bands of near-equal size, cut at drops in use."""
     uses = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("uses"))
-    shape = uses.agg(F.count("*").alias("n"), F.sum("uses").alias("all"))
-    shape = shape.withColumn("bands", F.greatest(F.lit(10), F.least(F.lit(80), F.ceil(F.col("n") / 200))))
-    ranked = S.ranked(uses, "uses", "l_partkey").withColumn("rank", F.col("rank") - 1)
-    banded = ranked.join(F.broadcast(shape), F.lit(True)).withColumn("band", F.floor(F.col("rank") * F.col("bands") / F.col("n")))
-    sums = banded.groupBy("band", "all").agg(F.count("*").alias("cards"), F.sum("uses").alias("uses"))
-    run = F.sum("uses").over(W.orderBy("band").rowsBetween(W.unboundedPreceding, 0))
-    return sums.select("band", "cards", F.round(100 * run / F.col("all"), 3).alias("coverage"))
+    return B.study_bands(uses, "uses")
 
 
 def lemma_representative(spark, sf_dir):
@@ -156,7 +151,7 @@ def split_largest_remainder(spark, sf_dir):
 def easiness(spark, sf_dir):
     """AGG30: the whole part of the exact median rank of an order's parts; parts beyond rank 1500 count as 999999."""
     uses = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("uses"))
-    levels = uses.select("uses").distinct().withColumn("rank", F.row_number().over(W.orderBy(F.desc("uses"))))
+    levels = S.numbered(uses.select("uses").distinct(), [F.desc("uses")])
     ranks = uses.join(levels, "uses").select("l_partkey", "rank")
     rank = F.when(F.col("rank") <= 1500, F.col("rank")).otherwise(999_999)
     rows = table(spark, sf_dir, "lineitem").join(ranks, "l_partkey").withColumn("rank", rank)
@@ -232,8 +227,16 @@ ORACLES = {
  b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) = 1), c AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place FROM b)
  SELECT * FROM c WHERE place <= 3""",
     "rerank5": f"WITH {USES} SELECT p_partkey, p_type, row_number() OVER (PARTITION BY p_type ORDER BY uses DESC, p_retailprice, suppliers DESC, p_brand, length(p_name), p_partkey) AS rank FROM part JOIN uses ON p_partkey = l_partkey",
-    "study_bands": f"""WITH {USES}, r AS (SELECT uses, row_number() OVER (ORDER BY uses DESC, l_partkey) - 1 AS rank, count(*) OVER () AS n, sum(uses) OVER () AS total FROM uses),
- b AS (SELECT floor(rank * greatest(10, least(80, ceil(n / 200))) / n) AS band, count(*) AS cards, sum(uses) AS uses, any_value(total) AS total FROM r GROUP BY 1) SELECT CAST(band AS BIGINT) AS band, cards, round(100 * sum(uses) OVER (ORDER BY band) / total, 3) AS coverage FROM b""",
+    "study_bands": f"""WITH RECURSIVE {USES}, r AS (SELECT uses, row_number() OVER (ORDER BY uses DESC, l_partkey) AS rank FROM uses),
+ s AS (SELECT *, least(total, 80, greatest(10, CAST(ceil(total / 200) AS BIGINT))) AS bands FROM (SELECT count(*) AS total, sum(uses) AS all_uses FROM r)),
+ p AS (SELECT *, greatest(2, CAST(floor(total / bands * 0.25 + 0.5) AS BIGINT)) AS snap, greatest(1, CAST(floor(total / bands * 0.5 + 0.5) AS BIGINT)) AS low FROM s),
+ l AS (SELECT list(rank) AS drops FROM (SELECT rank, uses, lead(uses) OVER (ORDER BY rank) AS next FROM r) WHERE next < uses),
+ b AS (SELECT 0 AS k, CAST(0 AS BIGINT) AS cut, total, bands, snap, low, drops FROM p, l UNION ALL
+  SELECT k + 1, CASE WHEN k + 1 = bands THEN total ELSE coalesce(list_min(list_transform(list_filter(drops, lambda d: d >= cut + low AND d <= total - (bands - k - 1) * low AND abs(d - aim) <= snap), lambda d: {{'far': abs(d - aim), 'd': d}})).d, aim) END,
+   total, bands, snap, low, drops FROM (SELECT *, greatest(cut + low, least(total - (bands - k - 1) * low, CAST(floor(total * (k + 1) / bands + 0.5) AS BIGINT))) AS aim FROM b WHERE k < bands)),
+ e AS (SELECT k AS band, lag(cut) OVER (ORDER BY k) AS first, cut FROM b)
+SELECT band, first + 1 AS start, cut - first AS cards, x.uses AS least_uses, coalesce(y.uses = x.uses, false) AS split, (SELECT round(100 * sum(uses) / (SELECT sum(uses) FROM r), 3) FROM r WHERE rank <= cut) AS coverage
+ FROM e JOIN r x ON x.rank = cut LEFT JOIN r y ON y.rank = cut + 1 WHERE band > 0""",
     "lemma_representative": f"WITH {USES} SELECT p_name, p_partkey, coalesce(uses, 0) AS uses FROM part LEFT JOIN uses ON p_partkey = l_partkey QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY coalesce(uses, 0) DESC, p_partkey) = 1",
     "category_blocks": """WITH s AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1), e AS (SELECT *, sum(n) OVER (ORDER BY n DESC, p_type) AS e FROM s) SELECT p_type, e - n + 1 AS first, e + 1 AS "end" FROM e""",
     "relevance_sort": f"""WITH {LINES}, n AS (SELECT doc_id, line_no, len(regexp_split_to_array(trim(line, ' '), ' +')) AS n FROM lines WHERE trim(line, ' ') <> ''), b AS (SELECT *, CASE WHEN n <= 10 THEN 0 ELSE 1 + (n - 11) // 4 END AS band FROM n),
