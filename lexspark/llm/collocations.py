@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.llm import textkit
+from lexspark.operators.numbering import numbered_as_written
 from lexspark.session import cut
 
 #: Fewest uses of a candidate phrase, and most phrases of a language that are returned.
@@ -20,6 +21,8 @@ LEAST, TOP = 10, 2000
 #: A candidate goes if a longer one around it has this share (percent) of its uses.
 ABSORBED = 50
 SCALE = 1_000_000
+#: Frequent words up to which the key of a pair fits in 64 bits.
+MOST_WORDS = 3_000_000_000
 #: UTF-8 bytes of text that one shard holds; a single longer text is a shard of its own.
 SHARD_BYTES = 8 << 20
 #: Most products of a prefix's and a word's bitmap bytes that are worked out together.
@@ -219,18 +222,29 @@ def _bitmaps(group: pa.Table) -> Bitmaps:
     return Bitmaps(bits, at["x"].to_numpy(), at["y"].to_numpy())
 
 
-def _pairs(group: pa.Table) -> pa.Table:
-    parts = list(_bitmaps(group).pairs())
-    one, two, n = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*parts, strict=True) if parts else ((), (), ())))
-    shard = np.full(len(n), group["shard"][0].as_py())
-    return pa.table({"shard": shard, "w1": one, "w2": two, "n": n})
+def _joined(parts: list[tuple], width: int) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * width
 
 
-def _triples(group: pa.Table) -> pa.Table:
-    given = group.filter(pc.equal(group["kind"], 2))
-    parts = list(_bitmaps(group).triples(given["x"].to_numpy(), given["y"].to_numpy()))
-    columns = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (zip(*parts, strict=True) if parts else ((), (), (), ()))]
-    return pa.table(dict(zip(("w1", "w2", "w3", "n"), columns, strict=True)))
+def _pairs(size: int):
+    """A shard's pairs (key, n), key being the first word's id times `size` plus the second's."""
+
+    def run(group: pa.Table) -> pa.Table:
+        one, two, n = _joined(list(_bitmaps(group).pairs()), 3)
+        return pa.table({"shard": np.full(len(n), group["shard"][0].as_py()), "key": one * size + two, "n": n})
+
+    return run
+
+
+def _triples(size: int):
+    """A shard's triples (key of the first two words, id of the third, n) of its frequent pairs."""
+
+    def run(group: pa.Table) -> pa.Table:
+        given = group.filter(pc.equal(group["kind"], 2))["x"].to_numpy()
+        one, two, three, n = _joined(list(_bitmaps(group).triples(given // size, given % size)), 4)
+        return pa.table({"key": one * size + two, "w3": three, "n": n})
+
+    return run
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -247,25 +261,30 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", least
     shards = cut(rows.mapInArrow(_shard, SHARD_SCHEMA), "shards")
     totals = shards.where("bits is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     local = shards.where("bits is null")
-    words = local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = cut(words.withColumn("id", F.monotonically_increasing_id()), "words")
+    words = numbered_as_written(local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
+    words = cut(words, "words")
+    size = max(1, words.count())
+    if size >= MOST_WORDS:
+        raise OverflowError(f"{size} frequent words: a pair's key would pass 64 bits")
     placed = local.select("lang", "word", "shard", "place").join(words.select("lang", "word", "id"), ["lang", "word"])
     placed = cut(placed.select("shard", "place", "id"), "placed")
     none = F.lit(None).cast("binary").alias("bits")
     kind = lambda k: F.lit(k).alias("kind")
+    zero = F.lit(0).cast("long")
     bits = shards.where("bits is not null").join(placed.select("shard").distinct(), "shard", "left_semi")
-    bits = bits.select("shard", kind(0), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "bits")
+    bits = bits.select("shard", kind(0), zero.alias("x"), zero.alias("y"), "bits")
     base = bits.union(placed.select("shard", kind(1), F.col("place").cast("long").alias("x"), F.col("id").alias("y"), none))
     # a pair has one row at most for each shard, so that no pair holds more than a shard's share of the rows
-    found = base.groupBy("shard").applyInArrow(_pairs, "shard long, w1 long, w2 long, n long")
-    found = found.withColumn("a", F.sum("n").over(W.partitionBy("w1", "w2"))).where(F.col("a") >= least)
-    found = cut(found.select("shard", "w1", "w2", "a"), "pairs")
-    pairs = found.groupBy("w1", "w2").agg(F.max("a").alias("a"))
-    with_pairs = found.select("shard").distinct()
-    again = base.join(with_pairs, "shard", "left_semi").union(found.select("shard", kind(2), F.col("w1").alias("x"), F.col("w2").alias("y"), none))
-    triples = again.groupBy("shard").applyInArrow(_triples, "w1 long, w2 long, w3 long, n long")
-    triples = triples.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-    return words, cut(pairs, "pairs"), cut(triples, "triples"), totals
+    found = base.groupBy("shard").applyInArrow(_pairs(size), "shard long, key long, n long")
+    found = found.withColumn("a", F.sum("n").over(W.partitionBy("key"))).where(F.col("a") >= least)
+    found = cut(found.select("shard", "key", "a"), "pairs")
+    again = base.join(found.select("shard").distinct(), "shard", "left_semi")
+    again = again.union(found.select("shard", kind(2), F.col("key").alias("x"), zero.alias("y"), none))
+    triples = again.groupBy("shard").applyInArrow(_triples(size), "key long, w3 long, n long")
+    triples = triples.groupBy("key", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    pair = [F.expr(f"key div {size}").alias("w1"), F.expr(f"key % {size}").alias("w2")]
+    pairs = cut(found.groupBy("key").agg(F.max("a").alias("a")).select(*pair, "a"), "pairs")
+    return words, pairs, cut(triples.select(*pair, "w3", "a"), "triples"), totals
 
 
 def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
