@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from itertools import product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,42 +38,51 @@ TIMES, LEAST = 4, 20
 TIERS = ("mapping", "d_elision", "d_elision_ext", "double_elision", "trailing_apos", "internal_apos", "bare_d_elision")
 
 
-def _ended(word: Column, ending: str, restored: str) -> Column:
-    """The word with another ending, null if it hasn't the ending or nothing in front of it."""
-    return F.when(word.rlike(f"^.+{ending}$"), F.regexp_replace(word, f"{ending}$", restored))
+def _spelled(ending: str) -> list[str]:
+    """The plain endings that one with classes of characters stands for."""
+    choices = [c if len(c) == 1 else c[1:-1] for c in re.findall(r"\[[^]]*\]|.", ending)]
+    return ["".join(p) for p in product(*choices)]
 
 
-def _base(ending: str) -> str:
-    """The base of a diminutive's ending: -ado of -aditos."""
-    return ending[:2] + "o"
+def _rules(tier: str, known_tier: str | None = None, bare_tier: str | None = None) -> list[tuple]:
+    """(tier, place, kind, ending, restored, ending of the word that must be known or None, whether the word must not be known)."""
+    out = [(tier, i, tier, e, r, None, False) for i, (e, r) in enumerate(DROPPED_D)] if known_tier else []
+    for i, (ending, restored, kind) in enumerate(DROPPED_D_KNOWN if known_tier else (), 100):
+        # of a diminutive the base does too: -ado for -aditos
+        checks = [restored, *[restored[:2] + "o"] * (kind == "d_elision_diminutive")]
+        out += [(known_tier, 2 * i + j, kind if known_tier != tier else tier, e, restored, c, False) for e in _spelled(ending) for j, c in enumerate(checks)]
+    if bare_tier:
+        out += [(bare_tier, i, bare_tier, e, r, base, True) for i, (e, r, base) in enumerate(BARE_DIMINUTIVES, 500)]
+        out += [(bare_tier, i, bare_tier, e, r, r, True) for i, (e, r) in enumerate(BARE, 600)]
+    return out
 
 
-def _candidate(tier: str, place: int, kind: str, full: Column, check: Column | None, unknown: Column | None = None) -> Column:
-    """A struct; check: the word that must be known (null: none); unknown: the word that must not be."""
-    none = F.lit(None).cast("string")
-    return F.struct(
-        F.lit(TIERS.index(tier)).alias("tier"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), full.alias("full"),
-        (none if check is None else check).alias("check"), (none if unknown is None else unknown).alias("unknown"),
+def _candidate(tier: Column, place: Column, kind: Column, full: Column, check: Column, unknown: Column) -> Column:
+    """A struct; check: the word that must be known (null: none); unknown: the word that must not be (null: none)."""
+    return F.struct(tier.alias("tier"), place.alias("place"), kind.alias("kind"), full.alias("full"), check.alias("check"), unknown.alias("unknown"))
+
+
+def _by_ending(word: Column, rules: list[tuple]) -> Column:
+    """The candidates of a word by its ending; none for null."""
+    text = lambda x: "CAST(NULL AS STRING)" if x is None else "'" + x.replace("'", "\\'") + "'"
+    # one expression from a string: thousands of column objects take seconds to make
+    table = F.expr(
+        "array(" + ", ".join(
+            f"named_struct('tier', {TIERS.index(tier)}, 'place', {place}, 'kind', {text(kind)}, 'ending', {text(ending)}, 'restored', {text(restored)}, 'check', {text(check)}, 'unknown', {unknown})"
+            for tier, place, kind, ending, restored, check, unknown in rules
+        ) + ")"
     )
+    fits = F.filter(table, lambda r: F.endswith(word, r["ending"]) & (F.length(word) > F.length(r["ending"])))
 
+    def made(r: Column) -> Column:
+        stem = F.substring(word, F.lit(1), F.length(word) - F.length(r["ending"]))
+        check = F.when(r["check"].isNotNull(), F.concat(stem, r["check"]))
+        return _candidate(r["tier"], r["place"], r["kind"], F.concat(stem, r["restored"]), check, F.when(r["unknown"], word))
 
-def _dropped_d(word: Column, tier: str, known_tier: str, bare_tier: str | None) -> list[Column]:
-    """Candidates of a word by its ending; with bare_tier the endings without an apostrophe too."""
-    out = [_candidate(tier, i, tier, _ended(word, *rule), None) for i, rule in enumerate(DROPPED_D)]
-    for i, (ending, restored, kind) in enumerate(DROPPED_D_KNOWN, 100):
-        full = _ended(word, ending, restored)
-        label = kind if known_tier != tier else tier
-        out.append(_candidate(known_tier, 2 * i, label, full, full))
-        if kind == "d_elision_diminutive":
-            out.append(_candidate(known_tier, 2 * i + 1, label, full, _ended(word, ending, _base(restored))))
-    if bare_tier:
-        out += _bare(word, bare_tier)
-    return out
+    return F.when(word.isNull(), F.array().cast(_CANDIDATES)).otherwise(F.transform(fits, made))
 
 
-def _bare(word: Column, tier: str) -> list[Column]:
-    out = [_candidate(tier, i, tier, _ended(word, ending, restored), _ended(word, ending, base), word) for i, (ending, restored, base) in enumerate(BARE_DIMINUTIVES, 500)]
-    return out + [_candidate(tier, i, tier, full, full, word) for i, full in enumerate((_ended(word, *rule) for rule in BARE), 600)]
+_CANDIDATES = "array<struct<tier: int, place: int, kind: string, full: string, check: string, unknown: string>>"
 
 
 def candidates(words: DataFrame) -> DataFrame:
@@ -80,18 +92,23 @@ def candidates(words: DataFrame) -> DataFrame:
     plain = F.replace(word, F.lit("’"), F.lit("'"))
     one = (F.length(plain) - F.length(F.replace(plain, F.lit("'"))) == 1) & (F.length(plain) >= 3)
     at, letters = F.position(F.lit("'"), plain), F.replace(plain, F.lit("'"))
-    long = F.length(word) >= 3
-    every = _dropped_d(word, "d_elision", "d_elision_ext", None)
-    every += _dropped_d(stem, "double_elision", "double_elision", "double_elision")
-    every += [_candidate("trailing_apos", i, "trailing_apos", F.when(long, F.concat(stem, F.lit(c))), F.when(long, F.concat(stem, F.lit(c)))) for i, c in enumerate(FINAL)]
-    for base in (letters, F.when(F.contains(letters, F.lit("k")), F.replace(letters, F.lit("k"), F.lit("c")))):
-        for i, c in enumerate(INNER):
-            full = F.when(one, F.concat(F.substring(base, F.lit(1), at - 1), F.lit(c), F.substring(base, at, F.length(base))))
-            every.append(_candidate("internal_apos", i, "internal_apos", full, full))
-    every += _bare(word, "bare_d_elision")
-    # words without an apostrophe or one of the bare endings have none; they don't pass the long list
+    none = F.lit(None).cast("string")
+
+    def each(tier: str, consonants: tuple, full) -> Column:
+        own = F.transform(F.array(*[F.lit(c) for c in consonants]), lambda c, i: _candidate(F.lit(TIERS.index(tier)), i, F.lit(tier), full(c), full(c), none))
+        return F.filter(own, lambda x: x["full"].isNotNull())
+
+    put = lambda base: lambda c: F.when(one, F.concat(F.substring(base, F.lit(1), at - 1), c, F.substring(base, at, F.length(base))))
+    every = F.concat(
+        _by_ending(word, _rules("d_elision", "d_elision_ext", "bare_d_elision")),
+        _by_ending(stem, _rules("double_elision", "double_elision", "double_elision")),
+        each("trailing_apos", FINAL, lambda c: F.when(F.length(word) >= 3, F.concat(stem, c))),
+        each("internal_apos", tuple(INNER), put(letters)),
+        each("internal_apos", tuple(INNER), put(F.when(F.contains(letters, F.lit("k")), F.replace(letters, F.lit("k"), F.lit("c"))))),
+    )
+    # words without an apostrophe or one of the bare endings have none
     likely = word.rlike("['’]") | word.rlike(f"({'|'.join(e for e, *_ in (*BARE_DIMINUTIVES, *BARE))})$")
-    rows = words.where(likely).select("word", F.explode_outer(F.filter(F.array(*every), lambda x: x["full"].isNotNull())).alias("x"))
+    rows = words.where(likely).select("word", F.explode_outer(every).alias("x"))
     return rows.where("x is not null").select("word", "x.*")
 
 
@@ -113,11 +130,11 @@ def restored(words: DataFrame, known: DataFrame, mapping: DataFrame) -> DataFram
     as the next; a consonant for an inner apostrophe, if one result is known; a dropped d without apostrophe, if the word
     isn't known and the result is. A target that is itself of the last kind goes on to its own target.
     """
-    hits = _evidence(candidates(words), known)
-    stem = F.expr("left(word, length(word) - 1)")
+    hits = _evidence(cut(candidates(words), "candidates"), known)
     # a registered word keeps its final apostrophe
     kept = known.where("registered").select(F.concat("word", F.lit("'")).alias("word"), F.lit(True).alias("kept"))
-    hits = hits.join(kept, "word", "left").where(~((F.col("tier") == TIERS.index("trailing_apos")) & F.col("kept").isNotNull())).withColumn("stem", stem)
+    hits = hits.join(kept, "word", "left").where(~((F.col("tier") == TIERS.index("trailing_apos")) & F.col("kept").isNotNull()))
+    hits = cut(hits, "hits")
     last = TIERS.index("trailing_apos"), TIERS.index("internal_apos")
     first = hits.where(~F.col("tier").isin(*last)).groupBy("word", "tier").agg(F.min_by(F.struct("full", "kind"), "place").alias("x"))
     first = first.select("word", "tier", "x.full", "x.kind")
@@ -134,7 +151,7 @@ def restored(words: DataFrame, known: DataFrame, mapping: DataFrame) -> DataFram
     chosen = cut(every.groupBy("word").agg(F.min_by(F.struct("full", "kind"), "tier").alias("x")).select("word", F.col("x.full").alias("target"), "x.kind"), "restored")
     # the second hop, over targets alone
     targets = chosen.select(F.col("target").alias("word")).distinct()
-    on = targets.withColumn("x", F.explode(F.filter(F.array(*_bare(F.col("word"), "bare_d_elision")), lambda x: x["full"].isNotNull())))
+    on = targets.withColumn("x", F.explode(_by_ending(F.col("word"), _rules("bare_d_elision", None, "bare_d_elision"))))
     on = _evidence(on.select("word", "x.*"), known).groupBy("word").agg(F.min_by("full", "place").alias("next"))
     out = chosen.join(on.withColumnRenamed("word", "target"), "target", "left")
     return out.select("word", F.coalesce("next", "target").alias("target"), "kind")

@@ -1,8 +1,7 @@
-"""Vectors, overlaps and small clusters: scores, prototypes, cues, greedy merges."""
+"""Vectors and overlaps: scores, prototypes, cues."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,31 +26,6 @@ def cue_owners(rows: DataFrame, scope: str, cue: str, owner: str) -> DataFrame:
     return rows.groupBy(scope, cue).agg(F.count_distinct(owner).alias("__n"), F.min(owner).alias(owner)).where("__n = 1").drop("__n")
 
 
-def greedy_retire(rows: DataFrame, group: str, item: str, vector: str, order: str, threshold: float) -> DataFrame:
-    """(group, item, kept_by): in order, an item goes to the first kept one of its group at this cosine or more.
-
-    Not connected components: each item is only compared with kept ones. A group must fit one task.
-    """
-    kinds = dict(rows.dtypes)
-
-    def retire(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        pdf = pdf.sort_values(order)
-        kept: list = []
-        out = []
-        for g, i, v in pdf[[group, item, vector]].itertuples(index=False):
-            v = np.asarray(v, float)
-            v = v / (np.linalg.norm(v) or 1.0)
-            by = next((k for k, u in kept if float(u @ v) >= threshold), i)
-            if by == i:
-                kept.append((i, v))
-            out.append((g, i, by))
-        return pd.DataFrame(out, columns=[group, item, "kept_by"])
-
-    return rows.select(*dict.fromkeys((group, item, vector, order))).groupBy(group).applyInPandas(retire, f"{group} {kinds[group]}, {item} {kinds[item]}, kept_by {kinds[item]}")
-
-
 def first_best(rows: DataFrame, key: list[str], score: Column, ties: list[Column]) -> DataFrame:
     """The row of the highest score of each key; of equals the first by ties."""
     w = W.partitionBy(*key).orderBy(score.desc(), *ties)

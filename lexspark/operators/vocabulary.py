@@ -91,22 +91,24 @@ def cap_examples(rows: DataFrame, card: str, meaning: str, priority: str, most:
     return numbered.withColumn("__place", order).where((F.col("__place") <= most) | (F.col("__n") == 1)).drop("__n", "__place")
 
 
-def coverage_order(n: int) -> list[int]:
-    """WIN20: 0 to n - 1, breadth first by midpoints."""
-    out, level = [], [(0, n - 1)]
-    while level:
-        following = []
-        for a, b in level:
-            if a <= b:
-                m = (a + b) // 2
-                out.append(m)
-                following += [(a, m - 1), (m + 1, b)]
-        level = following
-    return out
+def midpoint_level(i: Column, n: Column) -> Column:
+    """WIN20: the step of halving 0 to n - 1 by middles at which i is the middle; breadth first is by this, then i."""
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.floor((acc["a"] + acc["b"]) / 2)
+        left, right = i < middle, i > middle
+        return F.struct(
+            F.when(right, middle + 1).otherwise(acc["a"]).alias("a"), F.when(left, middle - 1).otherwise(acc["b"]).alias("b"),
+            (acc["level"] + (left | right).cast("int")).alias("level"),
+        )
+
+    start = F.struct(F.lit(0).cast("long").alias("a"), (n - 1).cast("long").alias("b"), F.lit(0).alias("level"))
+    # as many halvings as n has binary digits
+    return F.aggregate(F.sequence(F.lit(0), F.length(F.bin(n))), start, step, lambda acc: acc["level"])
 
 
 def global_greedy(rows: DataFrame, word: str, song: str, order: str, per_word: int) -> DataFrame:
-    """WIN02, WIN06: (word, song, place): words in order take the songs least used so far by all words before.
+    """WIN02: (word, song, place): words in order take the songs least used so far by all words before.
 
     The use of songs is shared over all words, so this is one sequential pass by definition; for bounded tables only.
     """

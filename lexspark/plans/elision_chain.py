@@ -63,18 +63,17 @@ FORMS = ", ".join(f"CASE WHEN regexp_matches(word, '{a}') THEN regexp_replace(wo
 CHAIN = f"""{RULES}, u AS (SELECT doc_id AS song, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM documents WHERE lang = 'es') GROUP BY ALL),
  k AS (SELECT word, sum(n) AS uses, length(word) = 3 AS registered FROM u GROUP BY word),
  sung AS (SELECT word, song, CAST(sum(n) AS BIGINT) AS n FROM (SELECT song, n, unnest(list_distinct([{FORMS}])) AS word FROM u) WHERE word IS NOT NULL GROUP BY ALL), w AS (SELECT DISTINCT word FROM sung),
- -- a rule applied to the word, or, behind a final apostrophe, to what is left of it
  t AS (SELECT word, word AS part, false AS cut FROM w UNION ALL SELECT word, left(word, length(word) - 1), true FROM w WHERE ends_with(word, '''')),
  e AS (SELECT word, part, CASE WHEN cut THEN 3 ELSE tier END AS tier, place, CASE WHEN cut THEN 'double_elision' ELSE kind END AS kind, regexp_replace(part, ending || '$', full_) AS full_, tier = 1 AS free, tier = 6 AS bare,
   CASE WHEN base IS NOT NULL THEN regexp_replace(part, ending || '$', base) END AS base FROM t JOIN r ON regexp_matches(part, '^.+' || ending || '$')),
  h AS (SELECT word, tier, place, kind, full_ FROM e WHERE free OR ((NOT bare OR part NOT IN (SELECT word FROM k)) AND ((full_ IN (SELECT word FROM k) AND NOT (bare AND base IS NOT NULL)) OR base IN (SELECT word FROM k)))),
  one AS (SELECT word, tier, kind, full_ FROM h QUALIFY row_number() OVER (PARTITION BY word, tier ORDER BY place) = 1),
- f AS (SELECT word, k.word AS full_, uses, registered FROM (SELECT word, left(word, length(word) - 1) || unnest(['s', 'd', 'z', 'r', 'l', 'n']) AS c FROM w WHERE ends_with(word, '''') AND length(word) >= 3
-   AND left(word, length(word) - 1) NOT IN (SELECT word FROM k WHERE registered)) JOIN k ON k.word = c),
+ f AS (SELECT x.word, k.word AS full_, uses, registered FROM (SELECT word, left(word, length(word) - 1) || unnest(['s', 'd', 'z', 'r', 'l', 'n']) AS c FROM w WHERE ends_with(word, '''') AND length(word) >= 3
+   AND left(word, length(word) - 1) NOT IN (SELECT word FROM k WHERE registered)) x JOIN k ON k.word = c),
  g AS (SELECT word, list(full_ ORDER BY uses DESC, full_ DESC) AS fs, list(uses ORDER BY uses DESC, full_ DESC) AS us, list(full_) FILTER (registered) AS own FROM f GROUP BY word),
  last_ AS (SELECT word, 4 AS tier, 'trailing_apos' AS kind, CASE WHEN len(own) = 1 THEN own[1] WHEN len(fs) = 1 AND us[1] > 0 THEN fs[1] WHEN len(fs) > 1 AND us[1] >= greatest(4 * us[2], 20) THEN fs[1] END AS full_ FROM g),
- i AS (SELECT word, replace(replace(word, '’', ''''), '''', '') AS b, strpos(replace(word, '’', ''''), '''') AS at FROM w WHERE length(word) >= 3 AND length(regexp_replace(word, '[^''’]', '', 'g')) = 1),
- j AS (SELECT DISTINCT word, left(b, at - 1) || c || substr(b, at) AS full_ FROM (SELECT word, at, unnest([b, replace(b, 'k', 'c')]) AS b FROM i), (SELECT unnest(string_split('bcdfghjklmnñpqrstvwxyz', '')) AS c)),
+ i AS (SELECT word, replace(replace(word, '’', ''''), '''', '') AS b, strpos(replace(word, '’', ''''), '''') AS spot FROM w WHERE length(word) >= 3 AND length(regexp_replace(word, '[^''’]', '', 'g')) = 1),
+ j AS (SELECT DISTINCT word, left(b, spot - 1) || c || substr(b, spot) AS full_ FROM (SELECT word, spot, unnest([b, replace(b, 'k', 'c')]) AS b FROM i), (SELECT unnest(string_split('bcdfghjklmnñpqrstvwxyz', '')) AS c)),
  mid AS (SELECT word, 5 AS tier, 'internal_apos' AS kind, min(full_) AS full_ FROM j WHERE full_ IN (SELECT word FROM k) GROUP BY word HAVING count(*) = 1),
  map AS (SELECT w.word, 0 AS tier, 'mapping' AS kind, k.word AS full_ FROM w JOIN k ON length(k.word) = 2 AND w.word = k.word || '’'),
  c AS (SELECT * FROM (SELECT word, tier, kind, full_ FROM one UNION ALL SELECT word, tier, kind, full_ FROM last_ WHERE full_ IS NOT NULL UNION ALL SELECT word, tier, kind, full_ FROM mid UNION ALL SELECT word, tier, kind, full_ FROM map)

@@ -40,23 +40,29 @@ def span_tiers(spark, sf_dir):
     return V.span_tiers(pairs).where("tier is not null")
 
 
-TAGS = ("first-person third-person singular subjunctive present", "second-person singular plural preterite", "plural feminine", "first-person singular imperative future present")
-
-
 def morphology_cells(spark, sf_dir):
-    """PRJ13, on fixed tag lists."""
-    rows = spark.createDataFrame([(t,) for t in TAGS], "tags string")
-    cells = rows.select("tags", F.explode_outer(V.morphology_tags(F.split("tags", " "))).alias("c"))
-    return cells.select("tags", "c.mood", "c.tense", "c.person")
-
-
-CONTEXTS = ('used with "con"', 'often used with "a" or "de"', "used with the subjunctive", "formal", 'Usually used with a form of "ser"')
+    """PRJ13: mood, tense and person of tag lists, which follow the numbers of parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
+    pick = lambda n, *names: F.get(F.array(*[F.lit(x) for x in names]), n.cast("int"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    tags = F.array_compact(F.array(
+        pick(k % 4, "first-person", "second-person", "third-person", None), pick(size % 3, "third-person", None, "feminine"), pick(k % 3, "singular", "plural", None),
+        pick(size % 2, "plural", None), pick(k % 5, "subjunctive", "imperative", "indicative", None, None), pick(size % 7, "present", "preterite", "imperfect", "future", "conditional", None, "present"),
+    ))
+    cells = p.select("p_partkey", F.explode_outer(V.morphology_tags(tags)).alias("c"))
+    return cells.select("p_partkey", "c.mood", "c.tense", "c.person")
 
 
 def usage_contexts(spark, sf_dir):
-    """PRJ17, on fixed contexts."""
-    rows = spark.createDataFrame([(c,) for c in CONTEXTS], "context string").withColumn("u", V.usage_context(F.col("context")))
-    return rows.select("context", "u.detail", "u.qualifier", F.array_join("u.terms", ",").alias("terms"))
+    """PRJ17: contexts of use, made of part names, to what they are used with, how often, and the words in quotes."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    q = lambda i: F.concat(F.lit('"'), F.col("w")[i], F.lit('"'))
+    forms = (
+        F.concat(F.lit("used with "), q(0)), F.concat(F.lit("often used with "), q(0), F.lit(" or "), q(1)), F.concat(F.lit("used with the "), F.col("w")[0]), F.col("w")[1],
+        F.concat(F.lit("Usually used with a form of "), q(1)),
+    )
+    rows = p.select("p_partkey", F.get(F.array(*forms), (F.col("p_partkey") % 5).cast("int")).alias("context")).withColumn("u", V.usage_context(F.col("context")))
+    return rows.select("p_partkey", "context", "u.detail", "u.qualifier", F.array_join("u.terms", ",").alias("terms"))
 
 
 def provenance_ids(spark, sf_dir):
@@ -178,8 +184,11 @@ def capped_examples(spark, sf_dir):
 
 
 def coverage_order(spark, sf_dir):
-    """WIN20: bands in the order in which a learner is asked."""
-    return spark.createDataFrame([(i, b) for i, b in enumerate(V.coverage_order(10))], "place int, band int")
+    """WIN20: each customer's orders by date in the order in which they would be asked about: middles of halves, breadth first."""
+    own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(own) - 1).alias("i"), F.count("*").over(W.partitionBy("o_custkey")).alias("n"))
+    rows = rows.withColumn("level", V.midpoint_level(F.col("i"), F.col("n")))
+    return rows.select("o_custkey", "o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("level", "i")).alias("place"))
 
 
 def greedy_song_use(spark, sf_dir):
@@ -301,12 +310,16 @@ CAPS = f"""surf AS (SELECT unnest(s) AS surface, unnest(range(len(s))) AS i FROM
  caps AS (SELECT lower(surface) AS word, count(*) AS total, count(*) FILTER (regexp_matches(surface, '^\\p{{Lu}}') AND i > 0) AS midcap, count(*) FILTER (regexp_matches(surface, '^\\p{{Lu}}') AND i = 0) AS firstcap FROM surf GROUP BY 1),
  rated AS (SELECT *, CASE WHEN midcap > 0 AND total > firstcap THEN round(midcap / (total - firstcap), 3) ELSE 0.0 END AS rate FROM caps)"""
 ORACLES = {
-    "coverage_order": "SELECT * FROM (VALUES (0, 4), (1, 1), (2, 7), (3, 0), (4, 2), (5, 5), (6, 8), (7, 3), (8, 6), (9, 9)) AS t(place, band)",
-    "morphology_cells": f"""SELECT * FROM (VALUES ('{TAGS[0]}', 'subjunctive', 'present', 'first-person singular'), ('{TAGS[0]}', 'subjunctive', 'present', 'third-person singular'),
- ('{TAGS[1]}', 'indicative', 'preterite', 'second-person singular'), ('{TAGS[1]}', 'indicative', 'preterite', 'second-person plural'), ('{TAGS[2]}', NULL, NULL, NULL),
- ('{TAGS[3]}', 'imperative', 'present', 'first-person singular')) AS t(tags, mood, tense, person)""",
-    "usage_contexts": f"""SELECT * FROM (VALUES ('{CONTEXTS[0]}', '"con"', NULL, 'con'), ('{CONTEXTS[1]}', '"a" or "de"', 'often', 'a,de'), ('{CONTEXTS[2]}', 'the subjunctive', NULL, ''),
- ('{CONTEXTS[3]}', NULL, NULL, NULL), ('{CONTEXTS[4]}', 'a form of "ser"', 'usually', 'ser')) AS t(context, detail, qualifier, terms)""",
+    "coverage_order": """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i FROM orders), h AS (SELECT o_custkey, 0 AS level, 0 AS a, CAST(max(i) AS BIGINT) AS b FROM o GROUP BY o_custkey
+  UNION ALL SELECT o_custkey, level + 1, unnest([a, (a + b) // 2 + 1]), unnest([(a + b) // 2 - 1, b]) FROM h WHERE a <= b), m AS (SELECT o_custkey, level, (a + b) // 2 AS i FROM h WHERE a <= b)
+SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY level, i) AS place FROM m JOIN o USING (o_custkey, i)""",
+    "morphology_cells": """WITH t AS (SELECT p_partkey, [['first-person', 'second-person', 'third-person', NULL][p_partkey % 4 + 1], ['third-person', NULL, 'feminine'][p_size % 3 + 1]] AS persons, [['singular', 'plural', NULL][p_partkey % 3 + 1], ['plural', NULL][p_size % 2 + 1]] AS numbers,
+  coalesce(['subjunctive', 'imperative', 'indicative', NULL, NULL][p_partkey % 5 + 1], 'indicative') AS mood, ['present', 'preterite', 'imperfect', 'future', 'conditional', NULL, 'present'][p_size % 7 + 1] AS tense FROM part),
+ c AS (SELECT p_partkey, mood, tense, p || ' ' || n AS person FROM t, (SELECT unnest(['first-person', 'second-person', 'third-person']) AS p), (SELECT unnest(['singular', 'plural']) AS n) WHERE list_contains(persons, p) AND list_contains(numbers, n) AND tense IS NOT NULL)
+SELECT p_partkey, c.mood, c.tense, c.person FROM part LEFT JOIN c USING (p_partkey)""",
+    "usage_contexts": """WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w, p_partkey % 5 AS k FROM part)
+SELECT p_partkey, ['used with "' || w[1] || '"', 'often used with "' || w[1] || '" or "' || w[2] || '"', 'used with the ' || w[1], w[2], 'Usually used with a form of "' || w[2] || '"'][k + 1] AS context,
+ ['"' || w[1] || '"', '"' || w[1] || '" or "' || w[2] || '"', 'the ' || w[1], NULL, 'a form of "' || w[2] || '"'][k + 1] AS detail, [NULL, 'often', NULL, NULL, 'usually'][k + 1] AS qualifier, [w[1], w[1] || ',' || w[2], '', NULL, w[2]][k + 1] AS terms FROM w""",
     "phrase_spans": f"""WITH {TOKENS}, p AS (SELECT doc_id, line_no, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'of' AND toks[i + 1] = 'the')) AS of_the, len(list_filter(range(1, len(toks)), lambda i: toks[i] = 'the' AND toks[i + 1] = 'of')) AS the_of FROM toks)
  SELECT * FROM p WHERE of_the + the_of > 0""",
     "provenance_ids": """SELECT page_id, p[1] AS title, regexp_replace(p[-1], '\\.html$', '') AS sub FROM (SELECT page_id, string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '[?#].*$', ''), '/') AS p FROM pages)""",
@@ -319,7 +332,8 @@ ORACLES = {
     "split_counts_by_tier": """WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part) GROUP BY w), t AS (SELECT *, CASE WHEN length(w) <= 4 THEN 'A' WHEN regexp_matches(w, '^(al|bl|ch)') THEN 'C' WHEN regexp_matches(w, '^[dg]') THEN 'B' ELSE 'D' END AS tier FROM w),
  f AS (SELECT n, tier, unnest(CASE tier WHEN 'C' THEN [left(w, 2), substr(w, 3)] WHEN 'B' THEN [substr(w, 2)] ELSE [w] END) AS form FROM t) SELECT form, sum(n) AS n, string_agg(DISTINCT tier, '' ORDER BY tier) AS tiers FROM f GROUP BY form""",
     "primary_analysis": """WITH e AS (SELECT l_partkey, l_suppkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) SELECT l_partkey, l_suppkey, n FROM e QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, q DESC, l_suppkey) = 1""",
-    "derivational_relations": f"{COUNTED}, w AS MATERIALIZED (SELECT word FROM counted WHERE length(word) >= 3), m AS (SELECT word AS base, suffix FROM w, (SELECT unnest(['ly', 'er', 'ness']) AS suffix)) SELECT w.word, base, suffix FROM m JOIN w ON w.word = base || suffix",
+    "derivational_relations": f"""{COUNTED}, w AS MATERIALIZED (SELECT word FROM counted WHERE length(word) >= 3), m AS (SELECT word, suffix, left(word, length(word) - length(suffix)) AS base FROM w, (SELECT unnest(['ly', 'er', 'ness']) AS suffix) WHERE ends_with(word, suffix))
+SELECT m.word, base, suffix FROM m JOIN w ON w.word = m.base""",
     "synonym_layer": """WITH p AS (SELECT * FROM part), r AS (SELECT a.p_partkey, b.p_partkey AS other, 2 AS rel FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey <> b.p_partkey UNION ALL SELECT a.p_partkey, b.p_partkey, -1 FROM p a JOIN p b ON a.p_name = b.p_name AND a.p_brand <> b.p_brand),
  k AS (SELECT p_partkey, other, CASE WHEN rel > 0 THEN 'synonym' ELSE 'antonym' END AS kind, abs(rel) AS s FROM r), o AS (SELECT p_partkey, kind, row_number() OVER (PARTITION BY p_partkey, kind ORDER BY s DESC, other) AS place, other FROM k) SELECT * FROM o WHERE place <= 3""",
     "mwe_layer": """WITH w AS (SELECT p_name, unnest(string_split(p_name, ' ')) AS w FROM part), u AS (SELECT w, count(*) AS uses FROM w GROUP BY w), n AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1), d AS (SELECT DISTINCT p_name, w FROM w),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.operators import lines as L
 from lexspark.operators import morphology as M
+from lexspark.operators import retirement
 from lexspark.operators import similarity as S
 from lexspark.plans.text_lines import FOLD, NGRAMS, PMI, TOKEN
 from lexspark.session import table
@@ -35,14 +36,19 @@ def clitic_strip(spark, sf_dir):
 
 
 def elision_restore(spark, sf_dir):
-    """MOR01, MOR02: words in -ao, -io and -a' that are a known word in -ado, -ido or -ar when d or r is put back."""
-    words = _words(spark, sf_dir, "es")
+    """MOR01, the unique tier alone: sung words in -ao, -io and -a' that are one known word when d, r or s is put back.
+
+    Sung words: the Spanish ones, and those in -ado, -ido, -r and -s without their d or last letter. elision_chain has all tiers.
+    """
+    known = _words(spark, sf_dir, "es")
+    sung = (("ado$", "ao"), ("ido$", "io"), ("[rs]$", "'"))
+    words = known.select(F.explode(F.array("word", *[F.regexp_replace("word", a, b) for a, b in sung])).alias("word")).distinct()
     forms = F.array_compact(F.array(
         F.when(F.col("word").endswith("ao"), F.regexp_replace("word", "ao$", "ado")), F.when(F.col("word").endswith("ío"), F.regexp_replace("word", "ío$", "ido")),
         F.when(F.col("word").endswith("io"), F.regexp_replace("word", "io$", "ido")), F.when(F.col("word").endswith("'"), F.regexp_replace("word", "'$", "r")),
         F.when(F.col("word").endswith("'"), F.regexp_replace("word", "'$", "s")),
     ))
-    each = words.select("word", F.explode(forms).alias("full")).join(words.select(F.col("word").alias("full")), "full", "left_semi")
+    each = words.select("word", F.explode(forms).alias("full")).join(known.select(F.col("word").alias("full")), "full", "left_semi")
     return each.groupBy("word").agg(F.count("*").alias("n"), F.min("full").alias("full")).select("word", F.when(F.col("n") == 1, F.col("full")).alias("full"))
 
 
@@ -161,11 +167,11 @@ def keyword_overlap(spark, sf_dir):
 
 
 def unique_cue_route(spark, sf_dir):
-    """SIM12: words that one brand's part names alone have within a type; a part with cues of its brand is routed."""
-    parts = table(spark, sf_dir, "part")
-    rows = parts.select("p_partkey", "p_type", "p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
-    cues = S.cue_owners(rows, "p_type", "w", "p_brand").withColumnRenamed("p_brand", "owner")
-    met = rows.join(cues, ["p_type", "w"]).groupBy("p_partkey").agg(F.count_distinct("owner").alias("k"), F.min("owner").alias("owner"))
+    """SIM12: words that one brand's part names alone have within a type and size; a part with cues of one brand is routed."""
+    parts = table(spark, sf_dir, "part").withColumn("scope", F.concat_ws("/", "p_type", "p_size"))
+    rows = parts.select("p_partkey", "scope", "p_brand", F.explode(F.array_distinct(F.split("p_name", " "))).alias("w"))
+    cues = S.cue_owners(rows, "scope", "w", "p_brand").withColumnRenamed("p_brand", "owner")
+    met = rows.join(cues, ["scope", "w"]).groupBy("p_partkey").agg(F.count_distinct("owner").alias("k"), F.min("owner").alias("owner"))
     return met.select("p_partkey", F.when(F.col("k") == 1, F.col("owner")).alias("owner"))
 
 
@@ -190,8 +196,8 @@ def jaccard_names(spark, sf_dir):
 
 
 def retire_near_senses(spark, sf_dir):
-    """SIM17, SIM20: within a label, vectors retired by an earlier kept one at a cosine of 0.7 or more (rows only)."""
-    return S.greedy_retire(_vectors(spark, sf_dir), "label", "vec_id", "embedding", "vec_id", 0.7)
+    """SIM17, SIM20: within a label, vectors retired by an earlier kept one at a cosine of 0.7 or more."""
+    return retirement.retire(_vectors(spark, sf_dir), "label", "vec_id", "embedding", "vec_id", 0.7)
 
 
 def alignment_percentiles(spark, sf_dir):
@@ -236,9 +242,9 @@ ORACLES = {
  SELECT f.word AS plural, arg_min(singular, (length(singular), singular)) AS singular FROM f JOIN s USING (f) WHERE f.word <> singular GROUP BY 1""",
     "clitic_strip": f"""WITH w AS {WORDS % 'es'}, r AS (SELECT * FROM (VALUES {CLITICS}) AS t(o, tail, clitics)), c AS (SELECT word, o, translate(left(word, length(word) - length(tail)), 'áéíóú', 'aeiou') AS host, clitics FROM w JOIN r ON ends_with(word, tail) AND length(word) - length(tail) >= 3)
  SELECT word, arg_min(host, o) AS host, arg_min(clitics, o) AS clitics FROM c WHERE host IN (SELECT word FROM w) GROUP BY word""",
-    "elision_restore": f"""WITH w AS {WORDS % 'es'}, c AS (SELECT word, unnest([CASE WHEN ends_with(word, 'ao') THEN regexp_replace(word, 'ao$', 'ado') END, CASE WHEN ends_with(word, 'ío') THEN regexp_replace(word, 'ío$', 'ido') END,
+    "elision_restore": f"""WITH k AS {WORDS % 'es'}, w AS (SELECT DISTINCT unnest([word, regexp_replace(word, 'ado$', 'ao'), regexp_replace(word, 'ido$', 'io'), regexp_replace(word, '[rs]$', '''')]) AS word FROM k), c AS (SELECT word, unnest([CASE WHEN ends_with(word, 'ao') THEN regexp_replace(word, 'ao$', 'ado') END, CASE WHEN ends_with(word, 'ío') THEN regexp_replace(word, 'ío$', 'ido') END,
  CASE WHEN ends_with(word, 'io') THEN regexp_replace(word, 'io$', 'ido') END, CASE WHEN ends_with(word, '''') THEN regexp_replace(word, '''$', 'r') END, CASE WHEN ends_with(word, '''') THEN regexp_replace(word, '''$', 's') END]) AS full_form FROM w)
- SELECT word, CASE WHEN count(*) = 1 THEN min(full_form) END AS "full" FROM c WHERE full_form IN (SELECT word FROM w) GROUP BY word""",
+ SELECT word, CASE WHEN count(*) = 1 THEN min(full_form) END AS "full" FROM c WHERE full_form IN (SELECT word FROM k) GROUP BY word""",
     "stem_en": f"WITH w AS {WORDS % 'en'} SELECT {STEM} AS stem, count(*) AS forms FROM w GROUP BY 1",
     "cognate_rules": f"""WITH s AS (SELECT word AS es, regexp_replace({FOLD % 'word'}, 's$', '') AS s FROM {WORDS % 'es'} WHERE length(word) >= 4), r AS (SELECT * FROM (VALUES {PAIRS}) AS t(a, b)),
  m AS (SELECT es, s AS e FROM s UNION SELECT es, left(s, length(s) - length(a)) || b FROM s JOIN r ON ends_with(s, a) AND length(s) > length(a)), n AS (SELECT word AS en, {FOLD % 'word'} AS e FROM {WORDS % 'en'} WHERE length(word) >= 4)
@@ -257,8 +263,8 @@ ORACLES = {
     "tuple_class_gap": f"{SCORES}, g AS (SELECT vec_id, sense % 3 AS g, max(score) AS s FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, g) AS k FROM g) SELECT a.vec_id, a.g, round(a.s - b.s, 6) AS gap FROM r a LEFT JOIN r b ON a.vec_id = b.vec_id AND b.k = 2 WHERE a.k = 1",
     "keyword_overlap": """WITH w AS (SELECT DISTINCT name, unnest(string_split(name, ' ')) AS w FROM (SELECT DISTINCT lower(p_name) AS name FROM part)), m AS (SELECT a.name, b.name AS other, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.name <> b.name GROUP BY ALL)
  SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY name ORDER BY shared DESC, other) = 1""",
-    "unique_cue_route": """WITH w AS (SELECT DISTINCT p_partkey, p_type, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_type, w, min(p_brand) AS owner FROM w GROUP BY ALL HAVING count(DISTINCT p_brand) = 1)
- SELECT p_partkey, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) END AS owner FROM w JOIN c USING (p_type, w) GROUP BY p_partkey""",
+    "unique_cue_route": """WITH w AS (SELECT DISTINCT p_partkey, p_type, p_size, p_brand, unnest(string_split(p_name, ' ')) AS w FROM part), c AS (SELECT p_type, p_size, w, min(p_brand) AS owner FROM w GROUP BY ALL HAVING count(DISTINCT p_brand) = 1)
+ SELECT p_partkey, CASE WHEN count(DISTINCT owner) = 1 THEN min(owner) END AS owner FROM w JOIN c USING (p_type, p_size, w) GROUP BY p_partkey""",
     "pivot_longest_cue": """WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part), t AS (SELECT *, max(length(w)) OVER (PARTITION BY p_partkey) AS m FROM w) SELECT p_partkey, CASE WHEN count(*) = 1 THEN min(w) END AS cue FROM t WHERE length(w) = m GROUP BY p_partkey""",
     "jaccard_names": """WITH w AS (SELECT DISTINCT p_type, p_name, unnest(string_split(p_name, ' ')) AS w FROM part), n AS (SELECT p_type, p_name, count(*) AS n FROM w GROUP BY ALL), m AS (SELECT a.p_type, a.p_name, b.p_name AS other, count(*) AS k FROM w a JOIN w b ON a.p_type = b.p_type AND a.w = b.w AND a.p_name < b.p_name GROUP BY ALL)
  SELECT m.p_type, m.p_name, other, round(k / (x.n + y.n - k), 6) AS jaccard FROM m JOIN n x ON x.p_type = m.p_type AND x.p_name = m.p_name JOIN n y ON y.p_type = m.p_type AND y.p_name = other WHERE round(k / (x.n + y.n - k), 6) >= 0.3""",

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.operators import decks, identity, learner, lines, morphology, scanning, selection, sense_rules, similarity, vocabulary
+from lexspark.operators import decks, identity, learner, lines, morphology, scanning, retirement, selection, sense_rules, vocabulary
 
 
 def rows(df, *names):
@@ -161,7 +161,7 @@ def test_greedy_cover_and_retire(spark):
     df = spark.createDataFrame([("k", 1, ["a", "b"], 1), ("k", 2, ["b", "c", "d"], 2), ("k", 3, ["a"], 3), ("k", 4, ["b"], 4)], "k string, i int, p array<string>, o int")
     assert rows(selection.greedy_cover(df, "k", "i", "p", "o", 3), "place", "i") == [(1, 2), (2, 1)]
     v = spark.createDataFrame([("g", 1, [1.0, 0.0]), ("g", 2, [0.9, 0.1]), ("g", 3, [0.0, 1.0])], "g string, i int, v array<double>")
-    assert rows(similarity.greedy_retire(v, "g", "i", "v", "i", 0.9), "i", "kept_by") == [(1, 1), (2, 1), (3, 3)]
+    assert rows(retirement.retire(v, "g", "i", "v", "i", 0.9), "i", "kept_by") == [(1, 1), (2, 1), (3, 3)]
 
 
 def test_ranked_is_a_total_order(spark):
@@ -231,8 +231,15 @@ def test_capped_examples_empty_no_meaning(spark):
     assert {m for m, _ in rows(vocabulary.cap_examples(df, "card", "m", "p", 1), "m", "p")} == {"a", "b", "c"}
 
 
-def test_coverage_order_is_a_permutation():
-    assert sorted(vocabulary.coverage_order(17)) == list(range(17)) and vocabulary.coverage_order(3) == [1, 0, 2]
+def test_midpoints_breadth_first(spark):
+    df = spark.createDataFrame([(n, i) for n in (1, 3, 10, 64) for i in range(n)], "n int, i int")
+    got = df.select("n", "i", vocabulary.midpoint_level(F.col("i"), F.col("n")).alias("level")).orderBy("n", "level", "i").collect()
+    for n in (1, 3, 10, 64):
+        level, want = [(0, n - 1)], []
+        while level:
+            want += [(a + b) // 2 for a, b in level if a <= b]
+            level = [x for a, b in level if a <= b for x in ((a, (a + b) // 2 - 1), ((a + b) // 2 + 1, b))]
+        assert [r["i"] for r in got if r["n"] == n] == want
 
 
 def test_vocal_artifacts(spark):
