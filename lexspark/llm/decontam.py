@@ -13,8 +13,6 @@ WINDOW = 13
 SHINGLE = 4
 #: A document is contaminated if 1 / MAX_SHARE of its words or more are hit.
 MAX_SHARE = 20
-#: Windows up to which the benchmark's side is broadcast; beyond, the join shuffles.
-BROADCAST_WINDOWS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -51,7 +49,6 @@ def contamination(
     benchmark: DataFrame,
     text: str = "text",
     doc_id: str = "doc_id",
-    broadcast_windows: int = BROADCAST_WINDOWS,
 ) -> DataFrame:
     """docs with n_words, n_hit, n_items (long), items_sha256 (string) and contaminated (boolean).
 
@@ -65,16 +62,16 @@ def contamination(
     Windows must occur whole, so a window's rarest shingle is a prefix that is enough to find it: shingles are
     ordered by the number of their occurrences in docs, each window is joined on its rarest one, the occurrence must
     leave room on both sides (length and position), and then the words are compared. One pass over the texts keeps the
-    places of any shingle of the benchmark with the words around them; the counts and the join follow from those. Above
-    broadcast_windows windows the same joins shuffle places, not words; the result is the same.
+    places of any shingle of the benchmark, without words; the counts and the join follow from those. Words are read
+    again only of documents that a window's rarest shingle stands in. One plan for every size of benchmark: what is
+    written between the joins tells Spark which sides are small.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     keep = [c for c in docs.columns if c.lower() not in new]
     windows = cut(windows_of(benchmark).withColumn("window_id", F.xxhash64("window")), "windows")
     # window_id only names a row between two joins; the words decide
-    stats = windows.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.least(F.size("window"), F.lit(SHINGLE)))).alias("k")).first()
-    sizes, small = list(stats["k"]), stats["n"] <= broadcast_windows
-    side = F.broadcast if small else (lambda df: df)
+    stats = windows.agg(F.sort_array(F.collect_set(F.least(F.size("window"), F.lit(SHINGLE)))).alias("k")).first()
+    sizes = list(stats["k"])
     # what a row gets depends on its text alone; the id only deals copies out
     row = F.struct(F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text"))
     own = docs.select(row.alias("__row"), words_of(F.col(text)).alias("w"))
@@ -91,28 +88,17 @@ def contamination(
                 ]))
             ).alias("offset", "hash"),
         )
-        distinct = shingles.select("hash").distinct()
+        distinct = cut(shingles.select("hash").distinct(), "shingles")
         # where a size's hashes begin in the flattened array, and which size stands at a place
         place, base = F.lit(None).cast("int"), F.lit(0)
         for k in sizes:
-            n = F.greatest(F.size("w") - F.lit(k - 1), F.lit(0))
+            n = F.greatest(F.col("n") - F.lit(k - 1), F.lit(0))
             place = F.when((F.col("pos") >= base) & (F.col("pos") < base + n), F.col("pos") - base).otherwise(place)
             base = base + n
         # outer: else a filter on the array's size is put below, which works it out once for each word
-        at = hashed.select("__row", "w", F.posexplode_outer("hashes").alias("pos", "hash"))
-        # one pass over the texts: places of any window's shingles, with the words that a window there could reach
-        reach = WINDOW - min(sizes)
-        begin = F.greatest(F.col("at") - F.lit(reach), F.lit(0))
-        if small:  # the words stay in place
-            met = at.join(F.broadcast(distinct), "hash", "left_semi").select("__row", "hash", "w", place.alias("at"))
-        else:  # only places are shuffled for every word; words follow where something was met
-            slim = at.select("__row", "hash", place.alias("at"))
-            places = cut(slim.join(distinct, "hash", "left_semi"), "places")
-            met = places.join(own.join(places.select("__row").distinct(), "__row", "left_semi").dropDuplicates(["__row"]), "__row").select("__row", "hash", "w", "at")
-        met = met.select("__row", "hash", "at", begin.alias("begin"), F.size("w").alias("n"),
-                         F.slice("w", begin + 1, F.col("at") - begin + WINDOW).alias("near"))
-        met = cut(met, "met")
-        counts = cut(met.groupBy("hash").count(), "shingle-counts")
+        at = hashed.select("__row", F.size("w").alias("n"), F.posexplode_outer("hashes").alias("pos", "hash"))
+        places = cut(at.select("__row", "n", "hash", place.alias("at")).join(distinct, "hash", "left_semi"), "places")
+        counts = cut(places.groupBy("hash").count(), "shingle-counts")
         prefix = (
             shingles.join(counts, "hash")
             .groupBy("window_id", "window")
@@ -120,9 +106,11 @@ def contamination(
             .select(F.col("p.hash").alias("hash"), F.col("p.offset").alias("offset"), "window", F.size("window").alias("len"), "items")
         )
         prefix = cut(prefix, "prefixes")
-        found = met.join(side(prefix), "hash").withColumn("start", F.col("at") - F.col("offset"))
-        fits = (F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))
-        found = found.where(fits).where(F.expr("slice(near, start - begin + 1, len) = window")).select("__row", "n", "start", "len", "items")
+        near = places.join(prefix, "hash").withColumn("start", F.col("at") - F.col("offset"))
+        near = near.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
+        near = cut(near.select("__row", "n", "start", "len", "window", "items"), "candidates")
+        texts = own.join(near.select("__row").distinct(), "__row", "left_semi").dropDuplicates(["__row"])
+        found = near.join(texts, "__row").where(F.expr("slice(w, start + 1, len) = window")).select("__row", "n", "start", "len", "items")
         hits = found.groupBy("__row").agg(
             F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),

@@ -14,16 +14,12 @@ from lexspark.llm import textkit
 from lexspark.llm.quality import one_text_each
 from lexspark.session import cut
 
-#: Most labelled rows that the model is fitted on, and most features it has.
-SAMPLE_ROWS, FEATURES = 30_000, 4_096
-#: Documents that a feature must be in.
-LEAST_DOCS = 5
+#: Most labelled rows that the model is fitted on.
+SAMPLE_ROWS = 30_000
+#: Least worth of a feature: its log odds of toxic documents, either way, times the root of the number of its documents.
+WORTH = 6.0
 #: Beginnings of words, in bytes, that are features beside the words: they carry over to other endings.
 PREFIXES = (4, 5, 6)
-#: Severity: 0 is not toxic; toxic documents are graded by the parts of their number of cues between these shares.
-GRADE_SHARES = (1 / 3, 2 / 3)
-#: A feature this much likelier in toxic documents (natural logarithm) is a cue when labels are graded.
-CUE = 2.5
 STEPS, LEARNING_RATE, RIDGE = 400, 0.1, 1e-4
 THRESHOLD = 0.3
 
@@ -114,14 +110,16 @@ def fit(n: int, rows: np.ndarray, places: np.ndarray, values: np.ndarray, grades
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fit on up to `rows` labelled documents; the driver gets FEATURES statistics and those rows' sparse features.
+    """Fit on up to `rows` labelled documents; the driver gets those rows' sparse features and the features' statistics.
 
-    Labels tell toxic (1) from not (0); of several for one id the largest counts. A toxic document's grade, 1 to
-    len(GRADE_SHARES) + 1, follows the number of its features among the cues, which the same sample gives. Rows with a
-    null label, id or text are not learned from; of several texts for one id, that of the least hash, then the least.
+    A label's whole number is its grade: 0 is not toxic, higher is worse, and there are as many thresholds as the highest
+    has; labels that only tell toxic (1) from not (0) give one threshold. Of several for one id the largest counts;
+    negative ones are 0. Rows with a null label, id or text are not learned from; of several texts for one id, that of
+    the least hash, then the least. Every word and beginning of a word of the sample is a feature if it tells toxic
+    from other documents well enough for its number of documents (WORTH); rare ones are not left out for being rare.
     """
     known = labels.where(F.col("toxic").isNotNull() & F.col(doc_id).isNotNull())
-    known = known.groupBy(F.col(doc_id).alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.greatest(F.max("toxic"), F.lit(0)).cast("int").alias("y"))
     # at most `rows` ids and marks, so that the texts need no shuffle to meet them
     known = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
@@ -131,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         for batch in batches:
             found: list[np.ndarray] = []
             toxic: list[np.ndarray] = []
-            y = batch.column(1).to_numpy(zero_copy_only=False)
+            y = batch.column(1).to_numpy(zero_copy_only=False) > 0
             for at, _, data, offsets in textkit.blocks(batch.column(0)):
                 hashes, first = tokens(data, offsets)
                 for i in range(len(offsets) - 1):
@@ -145,16 +143,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
                 columns = (feature.view(np.int64), docs, marks.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=["f", "docs", "marks"])
 
-    totals = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("p")).first()
+    totals = sample.agg(F.count("*").alias("n"), F.count_if(F.col("y") > 0).alias("p")).first()
     counts = sample.mapInArrow(presence, "f long, docs long, marks long").groupBy("f")
-    counts = counts.agg(F.sum("docs").alias("docs"), F.sum("marks").alias("marks")).where(F.col("docs") >= LEAST_DOCS)
+    counts = counts.agg(F.sum("docs").alias("docs"), F.sum("marks").alias("marks"))
     p, q = float(totals["p"]), float(totals["n"] - totals["p"])
     odds = F.log((F.col("marks") + 0.5) / (p + 1)) - F.log((F.col("docs") - F.col("marks") + 0.5) / (q + 1))
-    best = counts.withColumn("odds", odds).withColumn("worth", F.abs("odds") * F.sqrt("docs"))
-    best = best.orderBy(F.desc("worth"), "f").limit(FEATURES).toArrow()
-    hashes = best.column("f").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    vocabulary, strength = hashes[order], best.column("odds").to_numpy()[order]
+    worth = F.abs(odds) * F.sqrt("docs")
+    vocabulary = np.sort(counts.where(worth >= WORTH).select("f").toArrow().column("f").to_numpy().view(np.uint64))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,10 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     at = np.repeat(np.arange(len(y)), sizes)
     places = lists.flatten().to_numpy()
     values = table.column("values").combine_chunks().flatten().to_numpy()
-    cues = np.bincount(at, (strength[places] > CUE) if len(vocabulary) else None, len(y)) if len(at) else np.zeros(len(y))
-    limits = np.unique(np.quantile(cues[y > 0], GRADE_SHARES)) if (y > 0).any() else np.zeros(0)
-    grades = np.where(y > 0, 1 + np.searchsorted(limits, cues, "left"), 0).astype(np.int64)
-    return fit(len(y), at, places, values, grades, vocabulary)
+    return fit(len(y), at, places, values, y.astype(np.int64), vocabulary)
 
 
 SCHEMA = "severity double, grade int, p_toxic double, toxic boolean"

@@ -96,6 +96,24 @@ def test_toxicity_edges(spark, edge, labels):
     assert toxicity.score_toxicity(edge.limit(0), labels).count() == 0
 
 
+def test_toxicity_grades_follow_the_labels(spark):
+    """Labels of four grades: expected severity rises with the number of bad words; rare features and repeated labels count."""
+    texts = [prose(i, 40) + " foulword" * (i % 4) + (" rareword" if i % 40 == 3 else "") for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 4) for i in range(200)] + [(3, 0), (5, None)], "doc_id long, toxic int")
+    rows = by_id(toxicity.score_toxicity(make(spark, texts), labels))
+    means = [np.mean([rows[i]["severity"] for i in range(200, 240) if i % 4 == g]) for g in range(4)]
+    assert all(b - a > 0.4 for a, b in zip(means, means[1:], strict=False)) and max(r["grade"] for r in rows.values()) == 3
+    assert len(toxicity.train(make(spark, texts), labels).thresholds) == 3
+
+
+def test_toxicity_has_no_cap_on_features(spark):
+    """Thousands of words that each tell toxic documents stand in a handful of them; all are features."""
+    texts = [prose(i, 5) + " " + " ".join(f"bad{i // 2 % 50}x{j}" for j in range(120)) if i % 2 else prose(i, 5) for i in range(800)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(800)], "doc_id long, toxic int")
+    model = toxicity.train(make(spark, texts), labels)
+    assert len(model.vocabulary) > 5500
+
+
 def test_cumulative_link_recovers_order():
     rng = np.random.default_rng(0)
     n = 3000
@@ -681,8 +699,11 @@ def test_contamination_matches_brute_force(spark):
     for i, expected in enumerate(want):
         r = rows[i]
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == expected, (i, texts[i] and texts[i][:50])
-    shuffled = decontam.contamination(docs, bench, broadcast_windows=0)
-    assert sorted(map(str, shuffled.collect())) == sorted(map(str, rows.values()))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    shuffled = decontam.contamination(docs, bench).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert sorted(map(str, shuffled)) == sorted(map(str, rows.values()))
     kept = decontam.decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == sum(not w[4] for w in want)
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
@@ -690,6 +711,17 @@ def test_contamination_matches_brute_force(spark):
     assert decontam.contamination(docs.union(docs), bench).count() == 2 * len(texts)
 
 
+def test_contamination_by_a_large_benchmark(spark):
+    """A quarter of a million windows go through the same plan."""
+    items = [" ".join(f"x{i * 200 + j}" for j in range(132)) for i in range(2100)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert decontam.windows_of(bench).count() >= 250_000
+    texts = [items[7], "a " + " ".join(items[9].split()[5:18]) + " b", prose(4, 300), None]
+    rows = by_id(decontam.contamination(make(spark, texts), bench))
+    hits = [(r["n_hit"], r["contaminated"]) for _, r in sorted(rows.items())]
+    assert hits[0] == (132, True) and hits[1] == (13, True) and hits[2:] == [(0, False), (0, False)]
+
+
 # --- 9 URLs
 
 
