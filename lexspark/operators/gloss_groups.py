@@ -9,10 +9,11 @@ from lexspark.functions.text import fold_accents
 
 # Words of a gloss that say nothing about its meaning, for proposals and for a dictionary's senses.
 PROPOSAL_STOPS = ("a", "an", "and", "for", "of", "or", "slang", "the", "to", "people", "person", "situation", "term", "word")
-SENSE_STOPS = tuple(
-    """a an the to of in on at for is it be as or by and not with from that this but are was were been has have had do does did will
-    would can could may might shall should up out if so no into over also its one""".split()
-)
+SENSE_STOPS = (
+    "a", "an", "the", "to", "of", "in", "on", "at", "for", "is", "it", "be", "as", "or", "by", "and", "not", "with", "from", "that", "this",
+    "but", "are", "was", "were", "been", "has", "have", "had", "do", "does", "did", "will", "would", "can", "could", "may", "might",
+    "shall", "should", "up", "out", "if", "so", "no", "into", "over", "also", "its", "one",
+)
 PROPOSAL_SHARE, SENSE_SHARE = 0.25, 0.3
 
 

@@ -57,7 +57,7 @@ def band_align(spark, sf_dir):
 
 
 def tiered_match(spark, sf_dir):
-    """JOI10, JOI16: suppliers to customers: same key and nation, else nearest balance within 10 in the nation, else the nation's first."""
+    """JOI10, as tiers only (timestamp_matches has the ratio): suppliers to customers: same key and nation, else nearest balance within 10 in the nation, else the nation's first."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("match"), F.col("c_nationkey").alias("nation"), "c_acctbal")
     same = s.join(c, (F.col("s_suppkey") == F.col("match")) & (s.nation == c.nation)).select("s_suppkey", "match")

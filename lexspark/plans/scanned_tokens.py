@@ -94,9 +94,9 @@ QUERIES = {
 }
 
 LINES = "lines AS (SELECT doc_id, lang, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents))"
-TOKEN = T.TOKEN.replace("'", "''")
+TOKEN = r"[\p{L}]+(?:''[\p{L}]+)*''?"
 GOOD = "(len(toks) >= 5 AND NOT (len(toks) >= 6 AND len(list_distinct(toks)) <= 2))"
-SOURCE_TOKEN = S.SOURCE_TOKEN.replace("'", "''")
+SOURCE_TOKEN = r"[''’‘ʼ`]?[\p{L}\p{M}]+(?:[''’‘ʼ`][\p{L}\p{M}]+)*"
 JUNK = " OR ".join(f"regexp_matches(line, '{p}')" for p in S.SUBTITLE_JUNK)
 ORACLES = {
     "source_tokens": f"""WITH {LINES}, m AS (SELECT doc_id, line_no, regexp_extract_all(line, '{SOURCE_TOKEN}') AS t, regexp_split_to_array(line, '{SOURCE_TOKEN}') AS g FROM lines),

@@ -9,7 +9,7 @@ from lexspark.operators import lines as L
 from lexspark.operators import selection as S
 from lexspark.session import table
 
-TOKEN = T.TOKEN.replace("'", "''")
+TOKEN = r"[\p{L}]+(?:''[\p{L}]+)*''?"
 LINES = (
     "lines AS (SELECT doc_id, source, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM "
     "(SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))"
@@ -96,7 +96,7 @@ def junk_token(spark, sf_dir):
     return counts.where(T.gibberish(F.col("word"))).select("word", "corpus_count")
 
 
-FOLD = f"translate(lower(trim(%s, ' ')), '{T.ACCENTED}', '{T.PLAIN}')"
+FOLD = "translate(lower(trim(%s, ' ')), 'áàâäãéèêëíìîïóòôöõúùûüñç', 'aaaaaeeeeiiiiooooouuuunc')"
 FOLD_WORD = FOLD % "word"
 
 

@@ -1,4 +1,4 @@
-"""Queries that read structured texts (SRC13, SRC16, SNK01, SNK05, SNK08, FUN04-07, FUN12, TOK04, PRJ02, PRJ03, WIN31)."""
+"""Queries that read structured texts (SRC13, SRC16, SNK01, SNK05, SNK08, FUN04-07, FUN12, TOK04, PRJ03, WIN31)."""
 
 from __future__ import annotations
 
@@ -32,7 +32,7 @@ def shard_sizes(spark, sf_dir):
 
 
 def section_vocalists(spark, sf_dir):
-    """PRJ02, PRJ03, WIN31, AGG33: turns as sections: the last user's first word is carried over its conversation's turns; long turns reset it."""
+    """PRJ03, WIN31, AGG33: turns as sections: the last user's first word is carried over its conversation's turns; long turns reset it."""
     turns = table(spark, sf_dir, "conversations")
     own = W.partitionBy("conv_id").orderBy("turn")
     name = F.when(F.length("text") > 400, "").when(F.col("role") == "user", F.substring_index("text", " ", 1))

@@ -73,7 +73,7 @@ def provenance_ids(spark, sf_dir):
 
 
 def word_router(spark, sf_dir):
-    """FLT06, FLT07, FLT18, SET07: words by phase: rare, function word, capital name, gibberish, long; words in -tion are reclaimed."""
+    """FLT06, FLT07, SET07: words by phase: rare, function word, capital name, long; words in -tion are reclaimed."""
     counts = L.word_counts(_docs(spark, sf_dir))
     caps = L.caps_stats(_docs(spark, sf_dir)).select("word", "rate", "midcap")
     words = counts.join(caps, "word", "left")

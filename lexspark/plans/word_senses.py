@@ -142,7 +142,9 @@ def _names(values) -> str:
 WORDS = f"w AS (SELECT DISTINCT {FOLD % 'word'} AS s FROM (SELECT unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS word FROM documents WHERE lang = 'es'))"
 STEM = "(CASE WHEN length({x}) > 2 AND right({x}, 1) IN ('a', 'o') THEN left({x}, length({x}) - 1) ELSE {x} END)"
 NUMBER = "(CASE WHEN ends_with({x}, 'es') AND length({x}) > 3 THEN left({x}, length({x}) - 2) WHEN ends_with({x}, 's') AND length({x}) > 2 THEN left({x}, length({x}) - 1) ELSE {x} END)"
-CLUSTERS = _names(H.ENCLITIC_CLUSTERS)
+CLUSTERS = (
+    "['selos', 'selas', 'melos', 'melas', 'noslo', 'nosla', 'telos', 'telas', 'selo', 'sela', 'melo', 'mela', 'telo', 'tela', 'nos', 'los', 'las', 'les', 'me', 'te', 'se', 'lo', 'la', 'le', 'os']"
+)
 VETTED = f"""{WORDS}, m AS (SELECT DISTINCT s, unnest([s, left(s, greatest(length(s) - 1, 0)), left(s, greatest(length(s) - 2, 0)) || 'o', left(s, greatest(length(s) - 2, 0)), s || 'r', left(s, greatest(length(s) - 3, 0)) || 'arse', NULL]) AS headword FROM w),
  p AS (SELECT s, headword, coalesce(headword, '') AS h, CASE WHEN ends_with(headword, 'se') THEN left(headword, length(headword) - 2) ELSE coalesce(headword, '') END AS base FROM m),
  rev AS (SELECT s AS form, left(s, length(s) - 1) || 'ar' AS lemma FROM w WHERE s LIKE '%o' UNION SELECT s, s || 'r' FROM w WHERE s LIKE '%a'),
@@ -159,12 +161,16 @@ VETTED = f"""{WORDS}, m AS (SELECT DISTINCT s, unnest([s, left(s, greatest(lengt
  FROM (SELECT *, {NUMBER.format(x='s')} AS sn, {NUMBER.format(x='h')} AS hn FROM p) p LEFT JOIN t ON t.s = p.s AND t.h = p.h)"""
 CELLS = ", ".join(f"({i}, " + ", ".join(f"'{v}'" for v in c) + ")" for i, c in enumerate(PARADIGM))
 FORMS = f"""{WORDS}, f AS (SELECT ord, s AS lemma, mood, tense, person, number, left(s, length(s) - 2) || ending AS form FROM w, (VALUES {CELLS}) AS c(ord, person, number, mood, tense, pronoun, ending) WHERE s LIKE '%ar')"""
-SHOWN = "CASE " + " ".join(f"WHEN mood = '{m}' AND tense = '{t}' THEN '{n}'" for n, m, t in H.SHOWN_TENSES) + " WHEN mood = 'gerundio' THEN 'gerund' WHEN mood = 'participo' THEN 'past_participle' END"
-CLITIC = "('" + "','".join(H.CLITICS) + "')"
+SHOWN = """CASE WHEN mood = 'indicativo' AND tense = 'presente' THEN 'Presente' WHEN mood = 'indicativo' AND tense = 'pretérito-perfecto-simple' THEN 'Pretérito' WHEN mood = 'indicativo' AND tense = 'pretérito-imperfecto' THEN 'Imperfecto'
+ WHEN mood = 'indicativo' AND tense = 'futuro' THEN 'Futuro' WHEN mood = 'condicional' AND tense = 'presente' THEN 'Condicional' WHEN mood = 'subjuntivo' AND tense = 'presente' THEN 'Subj. Presente'
+ WHEN mood = 'subjuntivo' AND tense IN ('pretérito-imperfecto-1', 'pretérito-imperfecto') THEN 'Subj. Imperfecto' WHEN mood = 'gerundio' THEN 'gerund' WHEN mood = 'participo' THEN 'past_participle' END"""
+CLITIC = "('me', 'te', 'se', 'nos', 'os', 'lo', 'la', 'le', 'los', 'las', 'les')"
 SENSES = "SELECT l_orderkey AS k, l_returnflag AS p, l_linenumber AS it, l_partkey, p_name, lower(p_type) AS kind FROM lineitem JOIN part ON p_partkey = l_partkey"
 SHARE = "(CASE WHEN len(list_distinct(list_concat({a}, {b}))) > 0 THEN len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b}))) ELSE 0 END)"
 MEETS = SHARE.format(a="x.t", b="r.t") + " >= 0.25"
-STOPS = "('" + "','".join(G.SENSE_STOPS) + "')"
+STOPS = """('a', 'an', 'the', 'to', 'of', 'in', 'on', 'at', 'for', 'is', 'it', 'be', 'as', 'or', 'by', 'and', 'not', 'with', 'from', 'that', 'this', 'but', 'are', 'was', 'were', 'been', 'has', 'have', 'had', 'do', 'does', 'did',
+ 'will', 'would', 'can', 'could', 'may', 'might', 'shall', 'should', 'up', 'out', 'if', 'no', 'so', 'into', 'over', 'also', 'its', 'one')"""
+PROPOSAL = "('a', 'an', 'and', 'for', 'of', 'or', 'slang', 'the', 'to', 'people', 'person', 'situation', 'term', 'word')"
 ORACLES = {
     "headword_vetting": f"WITH {VETTED} SELECT * FROM vetted",
     "menu_purge": f"WITH {VETTED} SELECT surface, headword FROM vetted WHERE reason IS NULL AND length(surface) % 3 < 2",
@@ -184,7 +190,7 @@ ORACLES = {
  SELECT p_partkey, coalesce(kind = 'proper_noun', false) OR coalesce(upper(trim(pos)) IN ('PROPN', 'PROPER_NOUN', 'PROPERNOUN'), false) OR regexp_matches(lower(gloss), '^(a |an |the )?proper[ -]*(noun|name)\\b|^(the )?name of\\b') AS is_name,
  CASE WHEN kind <> '' THEN kind ELSE 'old' END AS type, CASE WHEN p_size % 2 = 0 THEN p_type END AS construction FROM s""",
     "proposal_clusters": f"""WITH RECURSIVE s AS (SELECT *, p_name || 's of the ' || kind AS g FROM ({SENSES})),
- r AS (SELECT k, p, it, list_transform(list_filter(regexp_extract_all(lower(g), '[a-z0-9]+'), lambda x: x NOT IN ('{"','".join(G.PROPOSAL_STOPS)}')), lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END) AS t,
+ r AS (SELECT k, p, it, list_transform(list_filter(regexp_extract_all(lower(g), '[a-z0-9]+'), lambda x: x NOT IN {PROPOSAL}), lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 'ies') THEN left(x, length(x) - 3) || 'y' WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN left(x, length(x) - 1) ELSE x END) AS t,
   row_number() OVER (PARTITION BY k, p ORDER BY length(g), lower(g), it, l_partkey) AS i FROM s),
  f AS (SELECT DISTINCT k, p, 0::BIGINT AS i, []::STRUCT(t VARCHAR[], ids BIGINT[])[] AS c FROM r
   UNION ALL SELECT k, p, i, CASE WHEN spot IS NULL THEN list_append(c, {{'t': t, 'ids': [it::BIGINT]}}) ELSE list_concat(c[1:spot - 1], [{{'t': list_concat(flatten(list_transform(m, lambda x: x.t)), t), 'ids': list_append(flatten(list_transform(m, lambda x: x.ids)), it::BIGINT)}}], rest) END

@@ -1,4 +1,4 @@
-"""Queries on word forms and similarity (MOR01-10, PRJ09-14, AGG08, AGG09, WIN19, SIM01-20, JOI15, FUN)."""
+"""Queries on word forms and similarity (MOR01-10, PRJ09-14, AGG08, AGG09, WIN19, SIM01-20, FUN)."""
 
 from __future__ import annotations
 
@@ -59,7 +59,7 @@ def stem_en(spark, sf_dir):
 
 
 def cognate_rules(spark, sf_dir):
-    """SIM01, JOI15, AGG28: by rule."""
+    """SIM01, by rule alone, without a lexicon."""
     return M.cognates(_words(spark, sf_dir, "es"), _words(spark, sf_dir, "en"))
 
 

@@ -104,7 +104,7 @@ def lexicon_ranks(spark: SparkSession, path: str, top: int) -> DataFrame:
 
 
 def glosses_csv(spark: SparkSession, path: str) -> DataFrame:
-    """SRC11: (infinitive, gloss), the first of each."""
+    """SRC11: (infinitive, gloss), the least gloss of each."""
     rows = spark.read.option("header", True).csv(path)
     return rows.groupBy("infinitive").agg(F.min("infinitive_english").alias("gloss"))
 

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.operators.learner import TOP_STAGE, attempts, latest
+from lexspark.operators.learner import TOP_STAGE, attempts
+from lexspark.streaming.upsert_log import UpsertLog
 
 LATE = "1 hour"
 
@@ -74,17 +75,5 @@ def srs_stages(events: DataFrame) -> DataFrame:
 
 
 def upsert_sink(events: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], fields: list[str]):
-    """PRG04: a query that keeps, for each batch, the newest row of each key among the last version and the batch.
-
-    Versions are written to path/v=<batch>, so that a repeated batch overwrites its own and no version is half read.
-    """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select(*keys, *order, *fields)
-        if number > 0:
-            rows = spark.read.parquet(f"{path}/v={number - 1}").select(*keys, *order, *fields).unionByName(rows)
-        newest = rows.groupBy(*keys).agg(F.max(F.struct(*order)).alias("o")).select(*keys, *[F.col(f"o.{c}").alias(c) for c in order])
-        newest.join(latest(rows, keys, order, fields), keys).write.mode("overwrite").parquet(f"{path}/v={number}")
-
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """PRG04: a query that keeps the newest value of each field of each key in an UpsertLog at path."""
+    return UpsertLog(path, keys, order, fields).start(events, checkpoint)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
 from lexspark.operators import learner
 from lexspark.streaming import learner_events as S
+from lexspark.streaming.upsert_log import UpsertLog
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +76,37 @@ def test_upsert_equals_batch(spark, replay, tmp_path):
     keys, order, fields = ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"]
     query = S.upsert_sink(S.read_events(spark, path), str(tmp_path / "table"), str(tmp_path / "c"), keys, order, fields)
     query.awaitTermination()
-    last = max(int(p.name[2:]) for p in (tmp_path / "table").iterdir() if p.name.startswith("v="))
-    got = spark.read.parquet(f"{tmp_path}/table/v={last}").select(*keys, *fields)
+    got = UpsertLog(str(tmp_path / "table"), keys, order, fields).read(spark)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in learner.latest(events, keys, order, fields).collect()}
+
+
+def _bytes(folder):
+    return sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+
+
+def test_upsert_log_writes_what_a_batch_brings(spark, tmp_path):
+    """A small batch on a large state writes little, a replayed one changes nothing, touched buckets alone get a new base."""
+    keys, order, fields = ["user", "item"], ["ts"], ["a", "b"]
+    log = UpsertLog(str(tmp_path / "log"), keys, order, fields, buckets=8, every=2)
+    schema = "user int, item int, ts int, a string, b int"
+    large = [(u, i, 5, f"text {u} {i}", None if i % 3 else i) for u in range(200) for i in range(20)]
+    small = [(1, 1, 4, "old", 9), (1, 2, 7, None, 8), (999, 0, 1, "new", None)]
+    batches = [spark.createDataFrame(rows, schema) for rows in (large, small, small[:2], [(1, 2, 6, "late", 1)], [(5, 5, 9, "x", 1)])]
+    whole = reduce(type(batches[0]).unionByName, batches)
+    want = {tuple(r) for r in learner.latest(whole, keys, order, fields).collect()}
+    log.append(batches[0], 0)
+    first = _bytes(tmp_path / "log")
+    log.append(batches[1], 1)  # compacts
+    assert not list((tmp_path / "log/delta").iterdir()) and [p.name for p in (tmp_path / "log/base").iterdir()] == ["v=1"]
+    log.append(batches[2], 2)
+    assert _bytes(tmp_path / "log/delta") < first / 5
+    log.append(batches[3], 3)  # compacts one or two of eight buckets
+    assert sum(p.name.startswith("bucket=") for p in (tmp_path / "log/base/v=3").iterdir()) <= 2
+    assert sum(p.name.startswith("bucket=") for p in (tmp_path / "log/base/v=1").iterdir()) >= 6
+    log.append(batches[4], 4)
+    assert {tuple(r) for r in log.read(spark).collect()} == want
+    for n in (4, 3, 1):  # come again
+        log.append(batches[n], n)
+        assert {tuple(r) for r in log.read(spark).collect()} == want
+    log.compact(spark, 4)
+    assert {tuple(r) for r in log.read(spark).collect()} == want
