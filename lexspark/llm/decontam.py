@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.operators.numbering import numbered_as_written
 from lexspark.session import cut
 
 #: Words of a window; an item with fewer words is one window.
@@ -35,13 +36,17 @@ def windows_of(benchmark: DataFrame, item_id: str = "item_id", text: str = "text
     return each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def _hashes(sizes: list[int]) -> list[Column]:
-    """For each size, the hashes of w's shingles in order."""
-    runs = []
-    for k in sizes:
-        at = ", ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
-        runs.append(f"transform(sequence(0, size(w) - {k}), i -> xxhash64({k}, {at}))")
-    return [F.expr(f"CASE WHEN size(w) >= {k} THEN {run} ELSE array() END") for k, run in zip(sizes, runs, strict=True)]
+def _digest(words: list[str]) -> str:
+    """128 bits of some words: two hashes that differ in what they begin with. SQL of a struct."""
+    own = ", ".join(words)
+    return f"struct(xxhash64({len(words)}, {own}) AS a, xxhash64({len(words) + SHINGLE}, {own}) AS b)"
+
+
+def _hashes(sizes: list[int], words: str = "w") -> list[Column]:
+    """For each size, the digests of the shingles of an array of words in order."""
+    runs = [f"transform(sequence(0, size({words}) - {k}), i -> {_digest([f'{words}[i + {j}]' if j else f'{words}[i]' for j in range(k)])})" for k in sizes]
+    none = "array_repeat(struct(0L AS a, 0L AS b), 0)"
+    return [F.expr(f"CASE WHEN size({words}) >= {k} THEN {run} ELSE {none} END") for k, run in zip(sizes, runs, strict=True)]
 
 
 def contamination(
@@ -61,56 +66,51 @@ def contamination(
 
     Windows must occur whole, so a window's rarest shingle is a prefix that is enough to find it: shingles are
     ordered by the number of their occurrences in docs, each window is joined on its rarest one, the occurrence must
-    leave room on both sides (length and position), and then the words are compared. One pass over the texts keeps the
-    places of any shingle of the benchmark, without words; the counts and the join follow from those. Words are read
-    again only of documents that a window's rarest shingle stands in. One plan for every size of benchmark: what is
-    written between the joins tells Spark which sides are small.
+    leave room on both sides (length and position), and then each of the window's shingles must stand at its place behind
+    the start. Shingles are compared by digests of 128 bits, of which a word inside a window is in four. One pass over
+    the texts keeps the places of any shingle of the benchmark, without words; everything else follows from those, and no
+    text is moved or read again. One plan for every size of benchmark.
     """
     new = {"n_words", "n_hit", "n_items", "items_sha256", "contaminated"}
     keep = [c for c in docs.columns if c.lower() not in new]
-    windows = cut(windows_of(benchmark).withColumn("window_id", F.xxhash64("window")), "windows")
-    # window_id only names a row between two joins; the words decide
+    windows = cut(numbered_as_written(windows_of(benchmark), "window_id"), "windows")
     stats = windows.agg(F.sort_array(F.collect_set(F.least(F.size("window"), F.lit(SHINGLE)))).alias("k")).first()
     sizes = list(stats["k"])
     # what a row gets depends on its text alone; the id only deals copies out
     row = F.struct(F.col(doc_id).alias("id"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text"))
     own = docs.select(row.alias("__row"), words_of(F.col(text)).alias("w"))
     if sizes:
-        hashed = own.select("__row", "w", F.flatten(F.array(*_hashes(sizes))).alias("hashes"))
-        shingles = windows.select(
-            "window_id", "window", "items", F.posexplode(
-                F.expr(" ".join(["CASE"] + [
-                    f"WHEN size(window) = {k} THEN array(xxhash64({k}, " + ", ".join(f"window[{j}]" for j in range(k)) + "))"
-                    for k in range(1, SHINGLE)
-                ] + [
-                    f"ELSE transform(sequence(0, size(window) - {SHINGLE}), i -> xxhash64({SHINGLE}, "
-                    + ", ".join(f"window[i + {j}]" for j in range(SHINGLE)) + ")) END"
-                ]))
-            ).alias("offset", "hash"),
-        )
-        distinct = cut(shingles.select("hash").distinct(), "shingles")
-        # where a size's hashes begin in the flattened array, and which size stands at a place
+        hashed = own.select("__row", F.size("w").alias("n"), F.flatten(F.array(*_hashes(sizes))).alias("hashes"))
+        # a window of fewer words than a shingle is one shingle
+        runs = None
+        for k in sizes:
+            whole = _hashes([k], "window")[0]
+            runs = whole if runs is None else F.when(F.least(F.size("window"), F.lit(SHINGLE)) == k, whole).otherwise(runs)
+        shingles = cut(windows.select("window_id", F.size("window").alias("len"), F.posexplode(runs).alias("offset", "hash")), "shingles")
+        distinct = shingles.select("hash").distinct()
+        # where a size's digests begin in the flattened array, and which size stands at a place
         place, base = F.lit(None).cast("int"), F.lit(0)
         for k in sizes:
             n = F.greatest(F.col("n") - F.lit(k - 1), F.lit(0))
             place = F.when((F.col("pos") >= base) & (F.col("pos") < base + n), F.col("pos") - base).otherwise(place)
             base = base + n
         # outer: else a filter on the array's size is put below, which works it out once for each word
-        at = hashed.select("__row", F.size("w").alias("n"), F.posexplode_outer("hashes").alias("pos", "hash"))
-        places = cut(at.select("__row", "n", "hash", place.alias("at")).join(distinct, "hash", "left_semi"), "places")
+        at = hashed.select("__row", "n", F.posexplode_outer("hashes").alias("pos", "hash")).where("hash is not null")
+        places = cut(at.select("__row", "n", "hash", place.alias("at")).join(cut(distinct, "distinct"), "hash", "left_semi"), "places")
         counts = cut(places.groupBy("hash").count(), "shingle-counts")
-        prefix = (
-            shingles.join(counts, "hash")
-            .groupBy("window_id", "window")
-            .agg(F.first("items").alias("items"), F.min(F.struct(F.col("count").alias("n"), "offset", "hash")).alias("p"))
-            .select(F.col("p.hash").alias("hash"), F.col("p.offset").alias("offset"), "window", F.size("window").alias("len"), "items")
+        prefix = shingles.join(counts, "hash").groupBy("window_id", "len").agg(
+            F.min(F.struct(F.col("count").alias("n"), "offset", "hash")).alias("p"), F.count("*").alias("found")
         )
-        prefix = cut(prefix, "prefixes")
+        # a window one of whose shingles stands nowhere occurs nowhere
+        prefix = prefix.where(F.col("found") == F.greatest(F.col("len") - (SHINGLE - 1), F.lit(1)))
+        prefix = cut(prefix.select("p.hash", "p.offset", "window_id", "len", "found"), "prefixes")
         near = places.join(prefix, "hash").withColumn("start", F.col("at") - F.col("offset"))
-        near = near.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-        near = cut(near.select("__row", "n", "start", "len", "window", "items"), "candidates")
-        texts = own.join(near.select("__row").distinct(), "__row", "left_semi").dropDuplicates(["__row"])
-        found = near.join(texts, "__row").where(F.expr("slice(w, start + 1, len) = window")).select("__row", "n", "start", "len", "items")
+        near = near.where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n"))).dropDuplicates(["__row", "start", "window_id"])
+        near = cut(near.select("__row", "n", "start", "len", "found", "window_id"), "candidates")
+        asked = near.join(shingles.select("window_id", "offset", "hash"), "window_id").withColumn("at", F.col("start") + F.col("offset"))
+        stands = asked.join(places.select("__row", "at", "hash").distinct(), ["__row", "at", "hash"])
+        found = stands.groupBy("__row", "n", "start", "len", "found", "window_id").agg(F.count("*").alias("k")).where("k = found")
+        found = found.join(windows.select("window_id", "items"), "window_id").select("__row", "n", "start", "len", "items")
         hits = found.groupBy("__row").agg(
             F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
