@@ -8,7 +8,7 @@ from compare import differences, duck
 from lexspark import catalog
 
 #: Queries whose greedy step is sequential within a group, or that need a function that SQL lacks.
-GROUPED = {"set_cover_examples", "retire_near_senses", "greedy_song_use", "identity_forms", "mwe_substrings", "cognate_scores", "timestamp_matches", "fuzzy_alignment"}
+GROUPED = {"retire_near_senses", "greedy_song_use", "identity_forms", "mwe_substrings", "cognate_scores", "fuzzy_alignment", "calibrated_senses"}
 ORACLES = catalog.oracle_sql()
 QUERIES = catalog.queries()
 
