@@ -105,8 +105,8 @@ def test_bitmaps_come_back():
 
 def brute_audit(docs, labels):
     """Apply the filters one after another, in each order."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     first: dict = {}
     for i, text, _ in docs:
         if i is not None:
