@@ -28,9 +28,10 @@ def hub_offsets(background: DataFrame, senses: DataFrame, vector: str = "vector"
     """
     own = background.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v")).distinct()
     rows = [r["v"] for r in own.orderBy(F.xxhash64("v"), "v").limit(sample).collect()]
-    base = np.array(rows, float).reshape(len(rows), -1)
-    size = np.linalg.norm(base, axis=1, keepdims=True) if len(rows) else base
-    base = np.divide(base, size, out=np.zeros_like(base), where=size > 0)
+    base = np.array(rows, float)
+    if rows:
+        size = np.linalg.norm(base, axis=1, keepdims=True)
+        base = np.divide(base, size, out=np.zeros_like(base), where=size > 0)
 
     @F.pandas_udf(DoubleType())
     def hub(vectors: pd.Series) -> pd.Series:

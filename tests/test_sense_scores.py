@@ -18,7 +18,7 @@ def _unit(x):
 def _make(seed):
     rng = np.random.default_rng(seed)
     vec = lambda: [float(x) for x in rng.normal(size=6)]
-    menu = {w: [(s, LEMMAS[rng.integers(3 if w % 2 else 1)], POS[rng.integers(3)], f"t{rng.integers(3)}", vec()) for s in range(rng.integers(1, 7))] for w in range(8)}
+    menu = {w: [(s, LEMMAS[s if s < 2 and w % 2 else rng.integers(3 if w % 2 else 1)], POS[rng.integers(3)], f"t{rng.integers(3)}", vec()) for s in range(rng.integers(1 if w % 2 == 0 else 2, 7))] for w in range(8)}
     uses = [(u, int(rng.integers(9)), vec(), [None, *POS][rng.integers(4)], [None, True, False][rng.integers(3)]) for u in range(150)]
     background = [vec() for _ in range(60)]
     tokens = {}
