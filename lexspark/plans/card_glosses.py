@@ -10,7 +10,8 @@ from lexspark.session import table
 
 def card_glosses(spark, sf_dir):
     """PRJ11: glosses of parts with repeated parts, brackets, four clauses and a long run, as a card shows them."""
-    p = table(spark, sf_dir, "part").withColumn("w", F.split("p_name", " "))
+    # a row costs far more than its bytes tell, so rows are dealt out, whatever the number of files
+    p = table(spark, sf_dir, "part").repartition("p_partkey").withColumn("w", F.split("p_name", " "))
     a, b = F.col("w")[0], F.col("w")[1]
     gloss = F.concat(
         a, F.lit(", "), b, F.lit("; to "), a, F.lit(" ("), b, F.lit(", "), F.lower("p_type"), F.lit("); To "), a, F.lit(", "), b, F.right(b, F.lit(1)), F.lit(", of the size "),

@@ -19,3 +19,8 @@ def test_phrase_places_are_scanned_once(spark, sf):
     got = [tuple(r) for r in key.select(vocabulary.places(F.col("k"), "of the"), vocabulary.places(F.col("k"), "the of"), vocabulary.places(F.col("k"), "of")).collect()]
     assert got == [(2, 2, 3), (0, 1, 1), (0, 0, 0), (None, None, None)]
     assert "lambda" not in plan(catalog.queries()["phrase_spans"](spark, sf))  # no tokens inside a step of a list
+
+
+def test_card_gloss_is_written_once(spark):
+    df = spark.createDataFrame([("a, b; c",)], "t string").select(gloss_segments.card_gloss(F.col("t")))
+    assert plan(df).count("regexp_extract_all") <= 6
