@@ -78,6 +78,37 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFram
     return tops.where(f"{score} = __l and {score} = __r and __ln = 1 and __rn = 1").drop("__l", "__r", "__ln", "__rn")
 
 
+def nearest_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(l, r, a, b): pairs of left (scope, l, a) and right (scope, r, b) of one scope that decide who is whose only nearest by |a - b|.
+
+    Each row meets the two next of the other side below and above it, so that its nearest one is among them and so is
+    any other as near, also after rounding. Of rows of one side, scope and value two stand for all: none is an only
+    nearest. Pairs grow with the rows, not with their product, and a scope holds no more rows than twice its values.
+    Rows without a value have no pairs.
+    """
+
+    def two(rows: DataFrame, key: str, value: str) -> DataFrame:
+        ends = rows.where(f"scope is not null and {value} is not null").groupBy("scope", F.col(value).alias("v")).agg(F.min(key).alias("x"), F.max(key).alias("y"))
+        return ends.select("scope", "v", F.explode(F.array_distinct(F.array("x", "y"))).alias("k"))
+
+    up, down = W.partitionBy("scope").orderBy("v", "k"), W.partitionBy("scope").orderBy(F.desc("v"), F.desc("k"))
+
+    def met(own: DataFrame, other: DataFrame) -> DataFrame:
+        """(k, v, at) with at: (k, v) of up to two rows of the other side on each side of a row."""
+        lists = other.select("scope", "v", "k", *[F.array(*[F.struct(F.lag("k", i).over(w).alias("k"), F.lag("v", i).over(w).alias("v")) for i in (0, 1)]).alias(n) for n, w in (("low", up), ("high", down))])
+        both = own.select("scope", "v", F.lit(0).alias("side"), F.col("k").alias("own"), F.lit(None).alias("low"), F.lit(None).alias("high"))
+        both = both.union(lists.select("scope", "v", F.lit(1), F.lit(None), "low", "high"))
+        order = ["v", "side", "own"], [F.desc("v"), F.desc("side"), F.desc("own")]
+        ways = [F.last(c, ignorenulls=True).over(W.partitionBy("scope").orderBy(*o).rowsBetween(W.unboundedPreceding, 0)) for c, o in zip(("low", "high"), order, strict=True)]
+        near = both.select("side", "own", "v", *[F.coalesce(w, F.expr("array()")).alias(n) for w, n in zip(ways, ("below", "above"), strict=True)]).where("side = 0")
+        return near.select("own", "v", F.explode(F.concat("below", "above")).alias("at")).where("at.k is not null")
+
+    a, b = two(left, "l", "a"), two(right, "r", "b")
+    one = met(a, b).select(F.col("own").alias("l"), F.col("at.k").alias("r"), F.col("v").alias("a"), F.col("at.v").alias("b"))
+    two_ = met(b, a).select(F.col("at.k").alias("l"), F.col("own").alias("r"), F.col("at.v").alias("a"), F.col("v").alias("b"))
+    return one.union(two_).distinct()
+
+
 def append_only(store: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """store and those rows of new whose key it hasn't; of new rows of one key the first by all columns."""
     fresh = new.join(store, key, "left_anti")

@@ -94,9 +94,9 @@ def registry_resolve(spark, sf_dir):
 
 def mutual_best(spark, sf_dir):
     """IDN12: customers and suppliers of one nation, best by each other's nearness of balance to a hundred."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    pairs = c.join(s, "nation").withColumn("near", -F.round(F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 0))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("l"), F.col("c_acctbal").alias("a"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("scope"), F.col("s_suppkey").alias("r"), F.col("s_acctbal").alias("b"))
+    pairs = I.nearest_pairs(c, s).select(F.col("l").alias("c_custkey"), F.col("r").alias("s_suppkey"), (-F.round(F.abs(F.col("a") - F.col("b")), 0)).alias("near"))
     return I.mutual_best(pairs, "c_custkey", "s_suppkey", "near").select("c_custkey", "s_suppkey", "near")
 
 

@@ -24,3 +24,17 @@ def test_phrase_places_are_scanned_once(spark, sf):
 def test_card_gloss_is_written_once(spark):
     df = spark.createDataFrame([("a, b; c",)], "t string").select(gloss_segments.card_gloss(F.col("t")))
     assert plan(df).count("regexp_extract_all") <= 6
+
+
+def test_nearest_pairs_decide_as_all_pairs_do(spark):
+    rng = random.Random(5)
+    left = [(s, i, rng.choice([None, *[x / 4 for x in range(-400, 400)]])) for i in range(150) for s in (1, 2, None)]
+    right = [(s, i, rng.choice([None, *[x / 4 for x in range(-400, 400)]])) for i in range(60) for s in (1, 2, 3)]
+    a, b = spark.createDataFrame(left, "scope int, l long, a double"), spark.createDataFrame(right, "scope int, r long, b double")
+    key = lambda c: F.col(c) + 1000 * F.col("scope")
+    a, b = a.withColumn("l", key("l")), b.withColumn("r", key("r"))
+    near = (-F.round(F.abs(F.col("a") - F.col("b")), 0)).alias("near")
+    some = identity.nearest_pairs(a, b)
+    assert some.count() <= 4 * (300 + 180)
+    got, want = (sorted(tuple(r) for r in identity.mutual_best(p.select("l", "r", near), "l", "r", "near").select("l", "r").collect()) for p in (some, a.join(b, "scope")))
+    assert got == want and got
