@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.session import cut
+from lexspark.session import cut, dealt
 
 # Thresholds of phrase mining, and the clitics of slot families.
 PMI_LEAST, PMI_COUNT, PMI_DOCS = 15.0, 4, 3
@@ -27,7 +27,7 @@ def tokenised(docs: DataFrame) -> DataFrame:
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """The first place of each different line of a document."""
-    w = tokenised(docs.select("doc_id", "source", "text").repartition("doc_id")).groupBy("doc_id", "line_key").agg(F.min("line_no").alias("line_no"))
+    w = tokenised(dealt(docs.select("doc_id", "source", "text"), "doc_id")).groupBy("doc_id", "line_key").agg(F.min("line_no").alias("line_no"))
     return w.withColumn("toks", F.split("line_key", " "))
 
 
@@ -44,7 +44,7 @@ def stretches(docs: DataFrame, least: int) -> DataFrame:
 
     Documents are dealt by id once; that layout serves the distinct and all counts by document that follow.
     """
-    parts = lines(docs.select("doc_id", "source", "text").repartition("doc_id")).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
+    parts = lines(dealt(docs.select("doc_id", "source", "text"), "doc_id")).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
     toks = parts.select("doc_id", T.tokens(F.col("part")).alias("toks")).where(F.size("toks") >= least)
     return toks.select("doc_id", F.array_join("toks", " ").alias("line_key")).distinct().withColumn("toks", F.split("line_key", " "))
 

@@ -44,3 +44,15 @@ def test_first_of_kinds_hold_the_first_of_others(spark):
     rows = [("n", i % 5, i) for i in range(15)]
     got = vocabulary.first_of_kinds(spark.createDataFrame(rows, "g string, kind int, i int"), "g", "i", 6)
     assert sorted(r["i"] for r in got.collect()) == [0, 1, 2, 3, 4, 5]
+
+
+def test_words_are_counted_in_parts_that_follow_the_input(spark, sf, monkeypatch):
+    from lexspark import session
+    from lexspark.operators import lines
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = sorted(map(tuple, lines.word_counts(docs).collect()))
+    monkeypatch.setattr(session, "PART", 4_000)
+    counts = lines.distinct_lines(docs)
+    assert counts.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, lines.word_counts(docs).collect())) == whole
