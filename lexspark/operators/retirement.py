@@ -1,4 +1,4 @@
-"""Greedy retirement of near-duplicate vectors: in order, an item goes to the first kept one that is near; in rounds, not one by one."""
+"""Greedy retirement of near-duplicate vectors: in order, an item goes to the first kept one that is near; by blocks, not one by one."""
 
 from __future__ import annotations
 
@@ -7,37 +7,14 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lexspark.session import cut
 
-#: Share of pairs just at the threshold that may share no bucket, and items of a group that a bucket should hold.
-MISSED, BUCKET = 1e-6, 64
-#: Rounds in which only the first of each bucket meets its bucket, before pairs are made of what is left.
-PIVOTS = 3
-
-
-def _tables(threshold: float, bits: int) -> int:
-    """Tables of `bits` hyperplanes after which a pair at the threshold has met in one, but for MISSED."""
-    alike = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
-    return max(1, math.ceil(math.log(MISSED) / math.log(1 - alike))) if alike < 1 else 1
-
-
-def _buckets(bits: int, tables: int, seed: int = 7):
-    """A function from vectors to their buckets: for each table the sides of `bits` random hyperplanes on which they lie."""
-
-    @F.pandas_udf("array<long>")
-    def run(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack([np.asarray(v, float) for v in vectors])
-        planes = np.random.default_rng(seed).normal(size=(x.shape[1], tables * bits))
-        sides = (x @ planes > 0).reshape(len(x), tables, bits)
-        codes = (sides * (1 << np.arange(bits))).sum(axis=2) * tables + np.arange(tables)
-        return pd.Series(list(codes))
-
-    return run
+#: Items of a group that a round decides among themselves, items that meet the kept ones of a round in one task, and rows of one product.
+BLOCK, ROWS, SLICE = 4096, 8192, 512
 
 
 @F.pandas_udf(DoubleType())
@@ -50,62 +27,96 @@ def cosine(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(np.divide((a * b).sum(axis=1), size, out=np.zeros(len(a)), where=size > 0))
 
 
-def retire(rows: DataFrame, group: str, item: str, vector: str, order: str, threshold: float, bits: int | None = None, rounds: int = 60) -> DataFrame:
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the cosine of each row of x with each of y is the threshold or more; a vector without a length has 0."""
+    a, b = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    size = a[:, None] * b[None, :]
+    found = np.divide(x @ y.T, size, out=np.zeros(size.shape), where=size > 0)
+    # a product of matrices adds up in an order of its own: what lies within rounding is worked out as a single pair is
+    i, j = np.nonzero((np.abs(found - threshold) < 1e-9) & (size > 0))
+    found[i, j] = (x[i] * y[j]).sum(axis=1) / size[i, j]
+    return found >= threshold
+
+
+def _stack(vectors: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(v, float) for v in vectors])
+
+
+def _decide(rows: DataFrame, threshold: float) -> DataFrame:
+    """(g, o, host) of (g, o, v, k), few enough in a group: one after another by k, each to the first kept one near it, or kept."""
+    kinds = dict(rows.dtypes)
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("k", ignore_index=True)
+        x = _stack(block["v"])
+        host = np.full(len(x), -1)
+        for i in range(len(x)):
+            if host[i] < 0:
+                free = i + np.nonzero(host[i:] < 0)[0]
+                host[free[_near(x[free], x[i : i + 1], threshold)[:, 0]]] = i
+                host[i] = i
+        return pd.DataFrame({"g": block["g"], "o": block["o"], "host": block["o"].to_numpy()[host]})
+
+    return rows.groupBy("g").applyInPandas(run, f"g {kinds['g']}, o {kinds['o']}, host {kinds['o']}")
+
+
+def _meet(rest: DataFrame, kept: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """(g, o, v, host): rest (g, o, v) with the first by k of kept (g, o, v, k) of their group that is near; none: null.
+
+    The kept ones of a round, BLOCK at most, go to each of the parts into which a group's rest is dealt.
+    """
+    kinds = dict(rest.dtypes)
+
+    def run(own: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
+        kept = kept.sort_values("k", ignore_index=True)
+        host = [None] * len(own)
+        if len(own) and len(kept):
+            y, hosts = _stack(kept["v"]), kept["o"].tolist()
+            for at in range(0, len(own), SLICE):
+                near = _near(_stack(own["v"].iloc[at : at + SLICE]), y, threshold)
+                for i in np.nonzero(near.any(axis=1))[0]:
+                    host[at + i] = hosts[near[i].argmax()]
+        return pd.DataFrame({"g": own["g"], "o": own["o"], "v": own["v"], "host": pd.Series(host, dtype=object, index=own.index)})
+
+    dealt = rest.select("g", "o", "v", F.pmod(F.xxhash64("o"), F.lit(parts)).alias("part"))
+    each = kept.select("g", "o", "v", "k", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    schema = f"g {kinds['g']}, o {kinds['o']}, v {kinds['v']}, host {kinds['o']}"
+    return dealt.groupBy("g", "part").cogroup(each.groupBy("g", "part")).applyInPandas(run, schema)
+
+
+def retire(rows: DataFrame, group: str, item: str, vector: str, order: str, threshold: float, bits: int | None = None) -> DataFrame:
     """(group, item, kept_by): in order, an item is kept, or goes to the first kept one of its group at the cosine or more.
 
-    Not connected components: an item only goes to kept ones. order is unique in a group; vectors have one length.
+    Not connected components: an item only goes to kept ones. order is unique in a group; vectors have one length. Equal
+    vectors stand for their first. Rows without a group or a vector are left out.
 
-    Kept are, in terms of the graph of near pairs, the items that no kept earlier one is near to. Equal vectors stand for
-    their first. Candidates share a bucket of hyperplanes in one of several tables, so many that of pairs at the threshold
-    all but MISSED do; each is verified. First come PIVOTS rounds without pairs: an item that is the first undecided one
-    in all its buckets is kept, and meets the others there once, so that a large group of near copies goes in one row for
-    each member and table. Of what is left the near pairs are made, and in each round an item without an undecided
-    earlier neighbour is kept and its neighbours retire. Each round is a join or an aggregate whose result is written.
+    In a round the first BLOCK open items of a group (2 ** bits, if given) are decided one after another, and the rest
+    of the group meets those that were kept, in parts of ROWS: retired ones go, the others are open in the next round.
+    Exact: an item meets all kept ones in front of it, in their order. No pair is a row. Comparisons grow with a
+    group's items times its kept ones; a task holds one block and one part, whatever the group's size.
     """
     kinds = dict(rows.dtypes)
-    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(vector).alias("v"), F.col(order).alias("o")).where("v is not null")
+    block = BLOCK if bits is None else 2**bits
+    own = rows.select(F.col(group).alias("g"), F.col(item).alias("item"), F.col(vector).alias("v"), F.col(order).alias("o")).where("v is not null and g is not null")
     same = own.groupBy("g", "v").agg(F.min_by("item", "o").alias("first"), F.min("o").alias("o"))
     reps = cut(same, "first")
-    if bits is None:
-        largest = reps.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
-        bits = max(2, math.ceil(math.log2(max(2, largest / BUCKET))))
-    tables = _tables(threshold, bits)
-    placed = reps.withColumn("b", F.explode(_buckets(bits, tables)("v")))
-    placed = cut(placed.select("g", "b", "o", "v"), "buckets")
-    open_ = cut(reps.select("g", "o"), "open")
-    kept = None
-    for _ in range(PIVOTS):
-        here = placed.join(open_, ["g", "o"], "left_semi")
-        heads = cut(here.groupBy("g", "b").agg(F.min("o").alias("head")), "heads")
-        # an item that isn't the head of one of its buckets waits
-        waits = here.join(heads, ["g", "b"]).where(F.col("o") != F.col("head")).select("g", "o").distinct()
-        now = cut(open_.join(waits, ["g", "o"], "left_anti"), "kept")
-        vectors = now.join(reps.select("g", "o", "v"), ["g", "o"]).select("g", F.col("o").alias("head"), F.col("v").alias("u"))
-        met = here.join(heads, ["g", "b"]).where(F.col("o") != F.col("head")).select("g", "o", "v", "head").join(vectors, ["g", "head"])
-        gone = met.where(cosine("u", "v") >= threshold).select("g", "o").distinct()
-        kept = now if kept is None else kept.union(now)
-        open_ = cut(open_.join(now, ["g", "o"], "left_anti").join(gone, ["g", "o"], "left_anti"), "open")
-    left = placed.join(open_, ["g", "o"], "left_semi")
-    other = left.select("g", "b", F.col("o").alias("early"), F.col("v").alias("u"))
-    pairs = left.join(other, ["g", "b"]).where("early < o").dropDuplicates(["g", "o", "early"])
-    edges = cut(pairs.where(cosine("u", "v") >= threshold).select("g", "early", "o"), "near")
-    for _ in range(rounds):
-        if open_.isEmpty():
+    open_, done = reps.select("g", "o", "v"), []
+    while True:
+        placed = open_.withColumn("k", F.row_number().over(W.partitionBy("g").orderBy("o")))
+        now = placed.where(F.col("k") <= block)
+        most = open_.groupBy("g").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        if most <= block:
+            done.append(_decide(now, threshold))
             break
-        live = edges.join(open_, ["g", "o"], "left_semi").join(open_.select("g", F.col("o").alias("early")), ["g", "early"], "left_semi")
-        live = cut(live, "live")
-        now = cut(open_.join(live.select("g", "o").distinct(), ["g", "o"], "left_anti"), "kept")
-        gone = live.join(now.select("g", F.col("o").alias("early")), ["g", "early"], "left_semi").select("g", "o").distinct()
-        kept = kept.union(now)
-        open_ = cut(open_.join(now, ["g", "o"], "left_anti").join(gone, ["g", "o"], "left_anti"), "open")
-    else:
-        raise RuntimeError(f"retirement did not settle in {rounds} rounds")
-    # of the kept ones near to a retired one the first; kept ones of a bucket are far from each other, so that they are few
-    kept = cut(kept, "kept")
-    hosts = placed.join(kept, ["g", "o"], "left_semi").select("g", "b", F.col("o").alias("host"), F.col("v").alias("u"))
-    lost = placed.join(kept, ["g", "o"], "left_anti")
-    near = lost.join(hosts, ["g", "b"]).where("host < o").dropDuplicates(["g", "o", "host"]).where(cosine("u", "v") >= threshold)
-    links = near.groupBy("g", "o").agg(F.min("host").alias("host")).unionByName(kept.select("g", "o", F.col("o").alias("host")))
+        now = cut(now, "block")
+        decided = cut(_decide(now, threshold), "decided")
+        kept = now.join(decided.where("o = host").select("g", "o"), ["g", "o"])
+        met = cut(_meet(placed.where(F.col("k") > block), kept, threshold, math.ceil(most / ROWS)), "met")
+        done += [decided, met.where("host is not null").select("g", "o", "host")]
+        open_ = met.where("host is null").select("g", "o", "v")
+    links = done[0]
+    for more in done[1:]:
+        links = links.unionByName(more)
     links = links.join(reps.select("g", F.col("o").alias("host"), F.col("first").alias("kept_by")), ["g", "host"])
     # copies of a vector go where their first goes, and to itself where it is kept
     out = own.join(reps.select("g", F.col("v"), F.col("o").alias("rep")), ["g", "v"]).join(links.withColumnRenamed("o", "rep"), ["g", "rep"])

@@ -56,3 +56,21 @@ def test_words_are_counted_in_parts_that_follow_the_input(spark, sf, monkeypatch
     counts = lines.distinct_lines(docs)
     assert counts.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(tuple, lines.word_counts(docs).collect())) == whole
+
+
+def test_retirement_makes_no_row_for_a_pair_and_keeps_the_order(spark, monkeypatch):
+    import numpy as np
+
+    from lexspark.operators import retirement
+
+    x = np.random.default_rng(3).normal(size=(300, 6))
+    rows = spark.createDataFrame([("a", i, [float(c) for c in v]) for i, v in enumerate(x)], "g string, i long, v array<double>")
+    kept, want = [], {}
+    for i, v in enumerate(x):
+        near = [k for k in kept if x[k] @ v / np.linalg.norm(x[k]) / np.linalg.norm(v) >= 0.7]
+        want[i] = near[0] if near else i
+        kept += [] if near else [i]
+    monkeypatch.setattr(retirement, "BLOCK", 40)
+    monkeypatch.setattr(retirement, "ROWS", 50)
+    df = retirement.retire(rows, "g", "i", "v", "i", 0.7)
+    assert {r["i"]: r["kept_by"] for r in df.collect()} == want and len(kept) > 40
