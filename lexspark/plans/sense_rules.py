@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 from lexspark.operators import lines as L
 from lexspark.operators import sense_rules as R
-from lexspark.session import table
+from lexspark.session import dealt, table
 
 POS = ("VERB", "NOUN", "ADJ", "ADV", "INTJ", "DET", "PRON", "NUM", "PHRASE", "ADP", "PROPN", "PART")
 
@@ -78,7 +78,8 @@ def confidence_bands(spark, sf_dir):
 
 def displayed_leaf(spark, sf_dir):
     """SIM09: an order's largest line, repaired within its return flag where its part is divisible by three."""
-    i = table(spark, sf_dir, "lineitem")
+    i = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag", "l_extendedprice")
+    i = dealt(i, "l_orderkey")
     best = i.groupBy("l_orderkey").agg(F.max_by("l_linenumber", F.struct("l_quantity", -F.col("l_linenumber"))).alias("best"))
     rows = i.join(best, "l_orderkey").withColumn("bad", F.col("l_partkey") % 3 == 0).withColumn("picked", F.col("l_linenumber") == F.col("best"))
     rows = rows.groupBy("l_orderkey", "l_linenumber").agg(*[F.max(c).alias(c) for c in ("l_returnflag", "l_extendedprice", "bad", "picked")])

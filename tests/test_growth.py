@@ -74,3 +74,16 @@ def test_retirement_makes_no_row_for_a_pair_and_keeps_the_order(spark, monkeypat
     monkeypatch.setattr(retirement, "ROWS", 50)
     df = retirement.retire(rows, "g", "i", "v", "i", 0.7)
     assert {r["i"]: r["kept_by"] for r in df.collect()} == want and len(kept) > 40
+
+
+def _parts_follow(spark, sf, monkeypatch, name):
+    """The query's own exchange has more partitions than the session's if its input holds more."""
+    from lexspark import session
+
+    monkeypatch.setattr(session, "PART", 2_000)
+    text = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    return "REPARTITION_BY_NUM" in text
+
+
+def test_leaf_is_dealt_by_input(spark, sf, monkeypatch):
+    assert _parts_follow(spark, sf, monkeypatch, "displayed_leaf")
