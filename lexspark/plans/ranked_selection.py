@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import bands as B
 from lexspark.operators import selection as S
-from lexspark.session import table
+from lexspark.session import dealt, table
 
 
 def bounded_topk(spark, sf_dir):
@@ -142,7 +142,7 @@ def hash_split(spark, sf_dir):
 
 def split_largest_remainder(spark, sf_dir):
     """AGG36: an order's rounded price dealt over its lines by quantity."""
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    items = dealt(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.floor("o_totalprice").alias("total"))
     rows = S.largest_remainder(items.join(orders, "l_orderkey"), ["l_orderkey"], "total", "l_quantity", "l_linenumber")
     return rows.select("l_orderkey", "l_linenumber", "part")

@@ -85,5 +85,9 @@ def _parts_follow(spark, sf, monkeypatch, name):
     return "REPARTITION_BY_NUM" in text
 
 
+def test_split_is_dealt_by_input(spark, sf, monkeypatch):
+    assert _parts_follow(spark, sf, monkeypatch, "split_largest_remainder")
+
+
 def test_leaf_is_dealt_by_input(spark, sf, monkeypatch):
     assert _parts_follow(spark, sf, monkeypatch, "displayed_leaf")
