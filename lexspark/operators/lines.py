@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.session import cut, dealt
+from lexspark.session import cut, dealt, parts
 
 # Thresholds of phrase mining, and the clitics of slot families.
 PMI_LEAST, PMI_COUNT, PMI_DOCS = 15.0, 4, 3
@@ -39,39 +39,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("word").agg(F.sum("n").alias("corpus_count"), F.count("*").alias("doc_count"))
 
 
-def stretches(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_key, toks): each different stretch between punctuation of a document, of `least` tokens or more.
+def _keys(docs: DataFrame, makes: int = 1) -> DataFrame:
+    """(doc_id, keys): the different stretches between punctuation of a document, each its tokens joined by spaces, also those without.
 
-    Documents are dealt by id once; that layout serves the distinct and all counts by document that follow.
+    Documents are dealt by id once; that layout serves all counts by document that follow. Rows of one id are one document.
     """
-    parts = lines(dealt(docs.select("doc_id", "source", "text"), "doc_id")).select("doc_id", F.explode(F.split(F.lower("line"), r"[.,;:!?()\[\]\"|]+")).alias("part"))
-    toks = parts.select("doc_id", T.tokens(F.col("part")).alias("toks")).where(F.size("toks") >= least)
-    return toks.select("doc_id", F.array_join("toks", " ").alias("line_key")).distinct().withColumn("toks", F.split("line_key", " "))
+    whole = docs.select("doc_id", "text").repartition(parts(docs, makes), "doc_id").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    pieces = F.split(F.lower("text"), r"[\n.,;:!?()\[\]\"|]+")
+    # the tokens of a piece are worked out in one place: a filter on them would be another
+    return whole.select("doc_id", F.array_distinct(F.transform(pieces, lambda p: F.array_join(F.regexp_extract_all(p, F.lit(T.TOKEN), F.lit(0)), " "))).alias("keys"))
+
+
+def stretches(docs: DataFrame, least: int, makes: int = 1) -> DataFrame:
+    """(doc_id, line_key, toks): each different stretch between punctuation of a document, of `least` tokens or more."""
+    toks = _keys(docs, makes).select("doc_id", F.explode_outer("keys").alias("line_key")).where("line_key <> ''")
+    return toks.withColumn("toks", F.split("line_key", " ")).where(F.size("toks") >= least)
+
+
+def _grams(chunks: DataFrame, sizes: tuple[int, ...], *kept: str) -> DataFrame:
+    """kept, n, ngram: a row for each place of a stretch and each size.
+
+    Places are rows before their n-grams are made: a slice inside a step of a list copies the whole list each time.
+    """
+    rows = chunks.select(*kept, "toks", F.explode_outer(F.array(*[F.lit(n) for n in sizes])).alias("n"))
+    places = F.when(F.size("toks") >= F.col("n"), F.sequence(F.lit(1), F.size("toks") - F.col("n") + 1))
+    rows = rows.select(*kept, "toks", "n", F.explode_outer(places).alias("i")).where("i is not null")
+    return rows.select(*kept, "n", F.array_join(F.slice("toks", F.col("i"), F.col("n")), " ").alias("ngram"))
 
 
 def ngrams(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
     """(doc_id, line, n, ngram) within stretches between punctuation, each different one once a document; line is its hash."""
-    chunks = stretches(docs, min(sizes))
-    runs = [
-        F.expr(
-            f"CASE WHEN size(toks) >= {n} THEN transform(sequence(0, size(toks) - {n}), "
-            f"i -> struct({n} AS n, array_join(slice(toks, i + 1, {n}), ' ') AS ngram)) ELSE array() END"
-        )
-        for n in sizes
-    ]
-    grams = chunks.select("doc_id", F.xxhash64("line_key").alias("line"), F.explode_outer(F.flatten(F.array(*runs))).alias("g"))
-    return grams.where("g is not null").select("doc_id", "line", "g.n", "g.ngram")
+    chunks = stretches(docs, min(sizes), len(sizes)).select("doc_id", F.xxhash64("line_key").alias("line"), "toks")
+    return _grams(chunks, sizes, "doc_id", "line")
+
+
+def _marked_grams(docs: DataFrame, sizes: tuple[int, ...], lines: bool) -> DataFrame:
+    """(n, ngram, doc and, if asked for, line): a row for each place of a stretch; of equal ones of a document, or of a stretch, one has 1, the others 0.
+
+    A document's n-grams are sorted, with their stretch's number behind them, so that each needs but the one in front.
+    """
+
+    def run(n: int) -> Column:
+        def of(toks: Column, number: Column) -> Column:
+            def text(i: Column) -> Column:
+                words = [x for k in range(n) for x in (F.lit(" "), F.get(toks, i + k))][1:]
+                return F.concat(*words, *[F.lit("\0"), number.cast("string")] * lines)
+
+            return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n), text)).otherwise(F.expr("CAST(array() AS array<string>)"))
+
+        return F.struct(F.lit(n).alias("n"), F.sort_array(F.flatten(F.transform("toks", of))).alias("all"))
+
+    rows = _keys(docs, len(sizes)).select(F.transform(F.filter("keys", lambda k: k != ""), lambda k: F.split(k, " ")).alias("toks"))
+    rows = rows.select(F.explode_outer(F.array(*[run(n) for n in sizes])).alias("r")).select("r.n", "r.all")
+    rows = rows.select("n", "all", F.posexplode_outer("all").alias("i", "at")).where("i is not null").withColumn("before", F.get("all", F.col("i") - 1))
+    plain = lambda c: F.substring_index(c, "\0", 1) if lines else F.col(c)
+    other = lambda x, y: F.when((F.col("i") > 0) & (x == y), 0).otherwise(1)
+    marks = [other(plain("at"), plain("before")).alias("doc"), *[other(F.col("at"), F.col("before")).alias("line")] * lines]
+    return rows.select("n", plain("at").alias("ngram"), *marks)
 
 
 def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES, lines: bool = True) -> DataFrame:
-    """n, ngram, count, doc_count and, if asked for, line_count (different document and line pairs)."""
-    each = ngrams(docs, sizes)
-    if lines:
-        each = each.groupBy("n", "ngram", "doc_id", "line").agg(F.count("*").alias("c"))
-        each = each.groupBy("n", "ngram", "doc_id").agg(F.sum("c").alias("c"), F.count("*").alias("l"))
-    else:
-        each = each.groupBy("n", "ngram", "doc_id").agg(F.count("*").alias("c"))
-    sums = [F.sum("c").alias("count"), F.count("*").alias("doc_count"), *[F.sum("l").alias("line_count")] * lines]
+    """n, ngram, count, doc_count and, if asked for, line_count (different document and line pairs).
+
+    Both steps, by document and over all, are dealt into parts by the bytes read.
+    """
+    each = _marked_grams(docs, sizes, lines).repartition(parts(docs, len(sizes)), "n", "ngram")
+    sums = [F.count("*").alias("count"), F.sum("doc").alias("doc_count"), *[F.sum("line").alias("line_count")] * lines]
     return each.groupBy("n", "ngram").agg(*sums)
 
 
@@ -88,9 +121,9 @@ def pmi_phrases(
     one = counts.where("n = 1").select(F.col("ngram").alias("word"), F.col("count").alias("uses"))
     n_one = totals.where("n = 1").select(F.col("total").alias("words"))
     kept = counts.where("n > 1")
-    parts = kept.select("n", "ngram", "count", "doc_count", F.explode(F.split("ngram", " ")).alias("word"))
-    parts = parts.join(one, "word").groupBy("n", "ngram", "count", "doc_count").agg(F.sum(F.log2("uses")).alias("logs"))
-    rated = parts.join(totals, "n").join(F.broadcast(n_one), F.lit(True))  # one row
+    words = kept.select("n", "ngram", "count", "doc_count", F.explode(F.split("ngram", " ")).alias("word"))
+    words = words.join(one, "word").groupBy("n", "ngram", "count", "doc_count").agg(F.sum(F.log2("uses")).alias("logs"))
+    rated = words.join(totals, "n").join(F.broadcast(n_one), F.lit(True))  # one row
     pmi = F.log2("count") - F.log2("total") - F.col("logs") + F.col("n") * F.log2("words")
     return rated.select("n", "ngram", "count", "doc_count", F.round(pmi, 1).alias("pmi")).where(F.col("pmi") >= least)
 

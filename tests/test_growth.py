@@ -91,3 +91,18 @@ def test_split_is_dealt_by_input(spark, sf, monkeypatch):
 
 def test_leaf_is_dealt_by_input(spark, sf, monkeypatch):
     assert _parts_follow(spark, sf, monkeypatch, "displayed_leaf")
+
+
+def test_ngrams_are_made_and_counted_in_parts_that_follow_the_input(spark, sf, monkeypatch):
+    from lexspark import session
+    from lexspark.operators import lines
+
+    docs = spark.createDataFrame([(1, "a b a b, a b\nA b!", "s"), (2, "a b a b", "s"), (2, "b a b\nc", "s"), (3, None, "s")], "doc_id long, text string, source string")
+    got = {r["ngram"]: (r["n"], r["count"], r["doc_count"], r["line_count"]) for r in lines.ngram_counts(docs).collect()}
+    # ab abab | abab bab: a document's rows are one document, a stretch counts once
+    assert got == {"a b": (2, 6, 2, 4), "b a": (2, 3, 2, 3), "a b a": (3, 2, 2, 2), "b a b": (3, 3, 2, 3), "a b a b": (4, 2, 2, 2)}
+    monkeypatch.setattr(session, "PART", 4_000)
+    for counted in (lines.ngram_counts(spark.read.parquet(f"{sf}/documents.parquet"), (2, 3), marked) for marked in (True, False)):
+        text = counted._jdf.queryExecution().executedPlan().toString()
+        assert "slice" not in text and text.count("REPARTITION_BY_NUM") == 2
+        assert counted.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
