@@ -10,7 +10,7 @@ from lexspark.operators import morphology as M
 from lexspark.operators import retirement
 from lexspark.operators import similarity as S
 from lexspark.plans.text_lines import FOLD, NGRAMS, PMI, TOKEN
-from lexspark.session import table
+from lexspark.session import parts, table
 
 
 def _words(spark, sf_dir, lang):
@@ -95,12 +95,13 @@ SLOT = ("la", "le", "les", "lo", "los", "me", "nos", "se", "te", "it", "that", "
 
 def slot_families(spark, sf_dir):
     """AGG08: three- and four-word phrases with one pronoun, pooled over it: four uses or more and two variants."""
-    grams = L.ngram_counts(table(spark, sf_dir, "documents"), (3, 4))
+    docs = table(spark, sf_dir, "documents")
     toks = F.split("ngram", " ")
-    holds = F.filter(toks, lambda t: t.isin(*SLOT))
-    rows = grams.where(F.size(holds) == 1).select("n", "ngram", "count", holds[0].alias("pron"))
-    key = F.array_join(F.transform(F.split("ngram", " "), lambda t: F.when(t.isin(*SLOT), "[PRON]").otherwise(t)), " ")
-    pooled = rows.groupBy("n", key.alias("family")).agg(F.sum("count").alias("count"), F.count("*").alias("variants"))
+    rows = L.ngrams(docs, (3, 4)).where(F.size(F.filter(toks, lambda t: t.isin(*SLOT))) == 1)
+    key = F.array_join(F.transform(toks, lambda t: F.when(t.isin(*SLOT), "[PRON]").otherwise(t)), " ")
+    # phrases of a family are dealt to one part, of which there are as many as the bytes read ask for
+    each = rows.select("n", key.alias("family"), "ngram").repartition(parts(docs, 2), "n", "family").groupBy("n", "family", "ngram").agg(F.count("*").alias("c"))
+    pooled = each.groupBy("n", "family").agg(F.sum("c").alias("count"), F.count("*").alias("variants"))
     return pooled.where("count >= 4 and variants >= 2")
 
 

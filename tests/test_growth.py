@@ -106,3 +106,9 @@ def test_ngrams_are_made_and_counted_in_parts_that_follow_the_input(spark, sf, m
         text = counted._jdf.queryExecution().executedPlan().toString()
         assert "slice" not in text and text.count("REPARTITION_BY_NUM") == 2
         assert counted.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_slot_families_leave_other_phrases_before_they_count(spark, sf, monkeypatch):
+    assert _parts_follow(spark, sf, monkeypatch, "slot_families")
+    text = plan(catalog.queries()["slot_families"](spark, sf))
+    assert "line_count" not in text and text.count("Aggregate [n") == 2
