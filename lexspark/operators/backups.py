@@ -20,7 +20,7 @@ PER_WORD, REUSE = 10, 4
 
 
 def sentences(rows: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(key, tokens) of sentences and (word, rank) to (word, rank, key, total, burden, beyond, pairs): what choosing needs.
+    """(key, tokens) of sentences and (word, rank) to (word, rank, key, total, burden, beyond): what choosing needs.
 
     key: the tokens joined by spaces, so that sentences that differ in punctuation are one. burden: over the words of
     higher rank than the word, log10 of their rank over its own, the hardest at 0.35; total adds 0.60 for each word
@@ -38,9 +38,8 @@ def sentences(rows: DataFrame, ranks: DataFrame) -> DataFrame:
     n = F.size(tokens)
     burden = F.when(F.size("costs") > 0, F.expr(f"costs[0] * {HARDEST} + aggregate(slice(costs, 2, 16), 0D, (a, c) -> a + c)")).otherwise(0.0)
     penalty = SHORT_WEIGHT * F.greatest(F.lit(0), PREFERRED[0] - n) + LONG_WEIGHT * F.greatest(F.lit(0), n - PREFERRED[1])
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(tokens, i), F.get(tokens, i + 1))))
     out = each.withColumn("burden", F.round(burden, 9)).withColumn("total", F.round(F.col("burden") + penalty, 9))
-    return out.select("word", "rank", "key", "total", "burden", F.size("costs").alias("beyond"), pairs.alias("pairs"))
+    return out.select("word", "rank", "key", "total", "burden", F.size("costs").alias("beyond"))
 
 
 def _choose(per_word: int) -> Column:
@@ -57,6 +56,13 @@ def _choose(per_word: int) -> Column:
     return go(go(F.expr("slice(open, 1, 0)"), False), True)
 
 
+def _paired(candidates: Column) -> Column:
+    """Candidates as (key, pairs), pairs the hashes of neighbouring words: made anew, as stored they take more than their sentence."""
+    split = F.transform(candidates, lambda c: F.struct(c["key"].alias("key"), F.split(c["key"], " ").alias("w")))
+    pairs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1))))
+    return F.transform(split, lambda c: F.struct(c["key"].alias("key"), pairs(c["w"]).alias("pairs")))
+
+
 def choose(candidates: DataFrame, per_word: int = PER_WORD, reuse: int = REUSE, most: int = CANDIDATES, rounds: int = 200) -> DataFrame:
     """(word, key, place): up to per_word sentences of each word; words in the order of rank, then word, share the sentences.
 
@@ -73,17 +79,17 @@ def choose(candidates: DataFrame, per_word: int = PER_WORD, reuse: int = REUSE,
     rows = candidates.withColumn("h", F.xxhash64("word", "key"))
     near = F.row_number().over(W.partitionBy("word").orderBy("h", "key"))
     rows = rows.withColumn("n", near).where(F.col("n") <= most)
-    order = F.struct("total", "burden", "beyond", "key", "pairs")
+    order = F.struct("total", "burden", "beyond", "key")
     lists = rows.groupBy("word", "rank").agg(F.array_sort(F.collect_list(order)).alias("all"))
-    lists = cut(lists, "candidates")
+    lists = cut(lists, "candidates", "zstd")
 
     def pick(words: DataFrame) -> DataFrame:
         """(word, rank, closed, picks) of (word, rank, all, closed)."""
         free = F.when(F.size("closed") == 0, F.col("all")).otherwise(F.filter("all", lambda c: ~F.array_contains(F.col("closed"), c["key"])))
-        picked = words.withColumn("open", free).select("word", "rank", "closed", F.transform(_choose(per_word), lambda p: p["key"]).alias("picks"))
+        picked = words.withColumn("open", _paired(free)).select("word", "rank", "closed", F.transform(_choose(per_word), lambda p: p["key"]).alias("picks"))
         return cut(picked, "picks")
 
-    pool = cut(lists.select("word", "rank", F.explode("all.key").alias("key")), "pool")
+    pool = lists.select("word", "rank", F.explode("all.key").alias("key"))
     none = F.expr("CAST(array() AS array<string>)")
     picks = pick(lists.withColumn("closed", none))
     before = None

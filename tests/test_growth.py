@@ -112,3 +112,15 @@ def test_slot_families_leave_other_phrases_before_they_count(spark, sf, monkeypa
     assert _parts_follow(spark, sf, monkeypatch, "slot_families")
     text = plan(catalog.queries()["slot_families"](spark, sf))
     assert "line_count" not in text and text.count("Aggregate [n") == 2
+
+
+def test_backup_candidates_are_stored_without_pairs_and_once(spark, sf, monkeypatch):
+    from lexspark.operators import backups
+
+    rows = spark.createDataFrame([("a b c d e f", "a b c d e f".split())], "key string, tokens array<string>")
+    found = backups.sentences(rows, spark.createDataFrame([(w, i + 1) for i, w in enumerate("abcdef")], "word string, rank int"))
+    assert found.columns == ["word", "rank", "key", "total", "burden", "beyond"]
+    written, write = [], backups.cut
+    monkeypatch.setattr(backups, "cut", lambda df, name, *more: written.append(name) or write(df, name, *more))
+    assert backups.choose(found, 3).count() == 4
+    assert written.count("candidates") == 1 and "pool" not in written
