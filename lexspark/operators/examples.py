@@ -66,14 +66,19 @@ def cover_examples(index: DataFrame, ranks: DataFrame, k: int, pool: int = POOL,
     sentences of a word, those of the least hash of word and sentence are looked at, the same on each run.
     """
     own = index.select("*", F.explode("ranks").alias("rank")).join(ranks, "rank")
-    some = F.row_number().over(W.partitionBy("word").orderBy(F.xxhash64("word", "key"), "key"))
-    own = own.withColumn("__n", some).where(F.col("__n") <= candidates)
     near = F.filter("ranks", lambda r: (r != F.col("rank")) & (F.abs(r - F.col("rank")) <= neighbours))
     cost = F.col("easiness") + LONG_COST * F.greatest(F.lit(0), F.col("n") - LONG)
-    rated = own.select("word", "key", near.alias("near"), cost.alias("cost")).withColumn("tier", F.least(F.size("near"), F.lit(TIERS)))
-    rated = rated.withColumn("up", -F.col("tier"))
-    chosen = greedy_cover(rated.where("tier > 0"), "word", "key", "near", ["up", "cost"], k, pool)
-    place = F.row_number().over(W.partitionBy("word").orderBy("cost", "key"))
-    plain = rated.withColumn("any", F.max("tier").over(W.partitionBy("word"))).where("any = 0").withColumn("place", place)
-    plain = plain.where(F.col("place") <= k).select("word", "key", "place")
-    return chosen.unionByName(plain).join(rated.select("word", "key", "tier"), ["word", "key"])
+    # only what the choice needs goes to the words, once
+    rated = own.select("word", "key", near.alias("near"), cost.alias("cost"))
+    some = F.row_number().over(W.partitionBy("word").orderBy(F.xxhash64("word", "key"), "key"))
+    rated = rated.withColumn("__n", some).where(F.col("__n") <= candidates)
+    tier = F.least(F.size("near"), F.lit(TIERS))
+    place = F.row_number().over(W.partitionBy("word").orderBy(-tier, "cost", "key"))
+    # sentences without a neighbour come last and are never chosen while another word is to be covered
+    first = rated.withColumn("__at", place).where(F.col("__at") <= max(pool, k))
+    lists = first.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("__at", "key", "near"))).alias("all")).withColumn("pool", F.slice("all", 1, pool))
+    lists = lists.select("word", "all", _greedy(k, "near").alias("taken"))
+    easiest = F.sequence(F.lit(0), F.least(F.lit(k), F.size("all")) - 1)
+    taken = lists.select("word", "all", F.posexplode(F.when(F.size("taken") == 0, easiest).otherwise(F.col("taken"))).alias("place", "at"))
+    got = F.get("all", F.col("at"))
+    return taken.select("word", got["key"].alias("key"), (F.col("place") + 1).alias("place"), F.least(F.size(got["near"]), F.lit(TIERS)).alias("tier"))

@@ -124,3 +124,13 @@ def test_backup_candidates_are_stored_without_pairs_and_once(spark, sf, monkeypa
     monkeypatch.setattr(backups, "cut", lambda df, name, *more: written.append(name) or write(df, name, *more))
     assert backups.choose(found, 3).count() == 4
     assert written.count("candidates") == 1 and "pool" not in written
+
+
+def test_cover_examples_go_to_their_words_once(spark):
+    from lexspark.operators import examples
+
+    index = spark.createDataFrame([("a b c", 3, 2, [1, 2, 3])], "key string, n long, easiness long, ranks array<int>")
+    ranks = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "word string, rank int")
+    chosen = examples.cover_examples(index, ranks, 3)
+    assert sorted(map(tuple, chosen.collect())) == [(w, "a b c", 1, 2) for w in "abc"]
+    assert plan(chosen).count("Join") == 1 and plan(chosen).count("xxhash64") <= 2
