@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from lexspark import catalog
-from lexspark.operators import gloss_segments, identity, vocabulary
+from lexspark.operators import decks, gloss_segments, identity, vocabulary
 
 
 def plan(df) -> str:
@@ -134,3 +134,37 @@ def test_cover_examples_go_to_their_words_once(spark):
     chosen = examples.cover_examples(index, ranks, 3)
     assert sorted(map(tuple, chosen.collect())) == [(w, "a b c", 1, 2) for w in "abc"]
     assert plan(chosen).count("Join") == 1 and plan(chosen).count("xxhash64") <= 2
+
+
+def test_documents_of_one_class_are_compared_once(spark, monkeypatch):
+    rng = random.Random(8)
+    common = [f"common line {c}" for c in "abcdefgh"]
+    texts = {}
+    for i in range(60):
+        start = rng.randrange(4)
+        mine = [f"own line {i} {k}" for k in range(rng.randint(0, 4))]
+        texts[i] = mine + rng.choice([common[start : start + rng.randint(1, 5)], ["Common LINE a"], rng.sample(common, 3)])
+    texts[60], texts[61] = texts[0], ["common line a", "x", *texts[1]]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()] + [(62, None)], "doc_id long, text string")
+    firsts = {}
+    for i, t in texts.items():
+        if t not in [texts[j] for j in range(i) if j in texts]:
+            firsts[i] = {}
+            for k, line in enumerate(t):
+                if len(line.split()) >= 3:
+                    firsts[i].setdefault(line.lower(), k)
+    want = {}
+    for a in firsts:
+        for b in firsts:
+            places = {(firsts[a][x], firsts[b][x]) for x in firsts[a].keys() & firsts[b].keys()} if a < b else set()
+            run = max((next(k for k in range(1, 99) if (p + k, q + k) not in places) for p, q in places), default=0)
+            pct = round(len(places) / max(1, min(len(firsts[a]), len(firsts[b]))), 4)
+            if places and (run >= 4 or pct >= 0.3):
+                want[a, b] = (len(places), run, pct)
+    monkeypatch.setattr(decks, "CHUNK", 2)
+    rows = decks.shared_lines(docs).collect()
+    assert {(r["a"], r["b"]): (r["shared"], r["run"], r["pct"]) for r in rows} == want and len(rows) == len(want) > 300
+    same = spark.createDataFrame([(i, f"own line {i}\nsome common line") for i in range(40)], "doc_id long, text string")
+    compared, found = [], decks._of_members
+    monkeypatch.setattr(decks, "_of_members", lambda pairs, *more: compared.append(pairs.count()) or found(pairs, *more))
+    assert decks.shared_lines(same).count() == 40 * 39 // 2 and compared == [1]
