@@ -12,6 +12,8 @@ from lexspark.session import cut, dealt, parts
 # Thresholds of phrase mining, and the clitics of slot families.
 PMI_LEAST, PMI_COUNT, PMI_DOCS = 15.0, 4, 3
 NGRAM_SIZES = (2, 3, 4, 5)
+#: Inner substrings of a kept phrase, about, that go into one step.
+INNER = 100
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -142,12 +144,13 @@ def inner_strings(phrases: DataFrame) -> DataFrame:
 def overlap_dedupe(phrases: DataFrame) -> DataFrame:
     """Phrases that are no substring of a longer kept one; raw containment, so parts of words count.
 
-    A kept phrase lists its few hundred inner substrings, so containment is an equi-join.
+    A kept phrase lists its few hundred inner substrings, so containment is an equi-join; phrases are dealt for the bytes
+    that their substrings make.
     """
     phrases = cut(phrases.select("n", "ngram"), "phrases")
     kept = phrases.where(F.col("n") == max(NGRAM_SIZES))
     for n in sorted(NGRAM_SIZES, reverse=True)[1:]:
-        own = phrases.where(F.col("n") == n).join(inner_strings(kept).where(F.col("n") == n), ["n", "ngram"], "left_anti")
+        own = phrases.where(F.col("n") == n).join(inner_strings(kept.repartition(parts(kept, INNER), "n", "ngram")).where(F.col("n") == n), ["n", "ngram"], "left_anti")
         kept = cut(kept.unionByName(own), "kept")
     return kept
 

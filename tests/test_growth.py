@@ -168,3 +168,26 @@ def test_documents_of_one_class_are_compared_once(spark, monkeypatch):
     compared, found = [], decks._of_members
     monkeypatch.setattr(decks, "_of_members", lambda pairs, *more: compared.append(pairs.count()) or found(pairs, *more))
     assert decks.shared_lines(same).count() == 40 * 39 // 2 and compared == [1]
+
+
+def test_inner_substrings_are_made_in_parts_that_follow_the_phrases(spark, monkeypatch):
+    from lexspark.operators import lines
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abc", k=3)) for _ in range(30)]
+    rows = sorted({(n, " ".join(rng.choices(words, k=n))) for n in (2, 3, 4, 5) for _ in range(150)})
+    kept = [p for n, p in rows if n == 5]
+    for n in (4, 3, 2):
+        kept += [p for k, p in rows if k == n and not any(p in x for x in kept)]
+    dealt, inner = [], lines.inner_strings
+    monkeypatch.setattr(lines, "inner_strings", lambda df: dealt.append(df.rdd.getNumPartitions()) or inner(df))
+    from lexspark import session
+
+    monkeypatch.setattr(session, "PART", 10_000)
+    got = lines.overlap_dedupe(spark.createDataFrame(rows, "n int, ngram string")).collect()
+    assert sorted(r["ngram"] for r in got) == sorted(kept) and len(kept) < len(rows)
+    assert min(dealt) > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_top_lines_are_dealt_by_input(spark, sf, monkeypatch):
+    assert _parts_follow(spark, sf, monkeypatch, "top3_lines_per_word_doc")
