@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexspark.operators.sentence_ranks import with_ranks
+from lexspark.session import cut, parts
+
 # Lengths of usable sentences, the length from which words cost easiness and how much, ranks counted as
-# neighbours, their most for a tier, ranks of trivial sentences, the rank of a word without one, and the pool.
+# neighbours, their most for a tier, ranks of trivial sentences, the rank of a word without one, and greedy_cover's pool.
 WORDS, LONG, LONG_COST = (3, 18), 12, 5
 NEIGHBOURS, TIERS = 50, 10
 TRIVIAL, UNRANKED = 100, 999_999
-POOL, CANDIDATES = 200, 50_000
+POOL = 200
+# Bits of a sentence's number in the order of all, and of a tier; neighbours in one whole number.
+_ORDER, _TIER, _BITS = 54, 4, 62
 
 
 def sentence_index(rows: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -19,13 +26,11 @@ def sentence_index(rows: DataFrame, ranks: DataFrame) -> DataFrame:
 
     Sentences of fewer than 3 or more than 18 words, of words of the first ranks alone, or without a ranked word are left out.
     """
-    own = rows.where(F.size("tokens").between(*WORDS)).dropDuplicates(["key"])
-    each = own.select("key", F.posexplode("tokens").alias("i", "word")).join(ranks, "word", "left")
-    met = each.groupBy("key").agg(
-        F.count("*").alias("n"), F.floor(F.percentile(F.coalesce("rank", F.lit(UNRANKED)), 0.5)).alias("easiness"),
-        F.max(F.coalesce("rank", F.lit(UNRANKED))).alias("hardest"), F.array_sort(F.collect_set("rank")).alias("ranks"),
-    )
-    return met.where((F.col("hardest") > TRIVIAL) & (F.size("ranks") > 0)).drop("hardest")
+    own = with_ranks(rows, ranks, *WORDS)
+    every = F.array_sort(F.transform("ranks", lambda r: F.coalesce(r, F.lit(UNRANKED))))
+    met = own.select("key", F.size("ranks").alias("n"), every.alias("every"), F.array_sort(F.array_distinct(F.filter("ranks", lambda r: r.isNotNull()))).alias("ranks"))
+    easiness = F.expr("floor((every[int((n - 1) / 2)] + every[int(n / 2)]) / 2)")
+    return met.where((F.array_max("every") > TRIVIAL) & (F.size("ranks") > 0)).select("key", "n", easiness.alias("easiness"), "ranks")
 
 
 def _greedy(k: int, parts: str) -> Column:
@@ -57,28 +62,57 @@ def greedy_cover(rows: DataFrame, key: str, item: str, parts: str, order: str |
     return taken.select(key, F.get("pool", F.col("at"))[item].alias(item), (F.col("place") + 1).alias("place"))
 
 
-def cover_examples(index: DataFrame, ranks: DataFrame, k: int, pool: int = POOL, candidates: int = CANDIDATES, neighbours: int = NEIGHBOURS) -> DataFrame:
+def _near(neighbours: int) -> list[Column]:
+    """The neighbours of `rank` among `ranks`, a bit for each distance from it, in as many whole numbers as hold them."""
+    starts = range(-neighbours, neighbours + 1, _BITS)
+    bit = "aggregate(ranks, 0L, (a, r) -> a | CASE WHEN r <> rank AND r - rank BETWEEN {} AND {} THEN shiftleft(1L, r - rank - ({})) ELSE 0L END)"
+    return [F.expr(bit.format(at, min(at + _BITS - 1, neighbours), at)).alias(f"near{i}") for i, at in enumerate(starts)]
+
+
+def cover_examples(index: DataFrame, ranks: DataFrame, k: int, pool: int | None = None, neighbours: int = NEIGHBOURS) -> DataFrame:
     """(word, key, place, tier): up to k sentences of each ranked word, chosen to cover words of nearby rank.
 
     Neighbours of a word in a sentence are the sentence's ranks up to `neighbours` from the word's; the tier is their
-    number, 10 at most. The pool is the first of tier, highest first, then easiness plus 5 for each word over 12, then
-    key, of those with a neighbour. A word none of whose sentences has one gets its easiest. Of more than `candidates`
-    sentences of a word, those of the least hash of word and sentence are looked at, the same on each run.
+    number, 10 at most. Each choice adds most neighbours not yet covered, of equals the first of tier, highest first,
+    then easiness plus 5 for each word over 12, then key. A word none of whose sentences has a neighbour gets its
+    easiest. All sentences of a word are looked at, or the first `pool` in that order.
+
+    Sentences are numbered once in the order of cost and key, so that gain, tier and order are one whole number, of which
+    each round takes the most for each word: a row for each word and partition is shuffled, no list of sentences is held.
     """
-    own = index.select("*", F.explode("ranks").alias("rank")).join(ranks, "rank")
-    near = F.filter("ranks", lambda r: (r != F.col("rank")) & (F.abs(r - F.col("rank")) <= neighbours))
     cost = F.col("easiness") + LONG_COST * F.greatest(F.lit(0), F.col("n") - LONG)
-    # only what the choice needs goes to the words, once
-    rated = own.select("word", "key", near.alias("near"), cost.alias("cost"))
-    some = F.row_number().over(W.partitionBy("word").orderBy(F.xxhash64("word", "key"), "key"))
-    rated = rated.withColumn("__n", some).where(F.col("__n") <= candidates)
-    tier = F.least(F.size("near"), F.lit(TIERS))
-    place = F.row_number().over(W.partitionBy("word").orderBy(-tier, "cost", "key"))
-    # sentences without a neighbour come last and are never chosen while another word is to be covered
-    first = rated.withColumn("__at", place).where(F.col("__at") <= max(pool, k))
-    lists = first.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("__at", "key", "near"))).alias("all")).withColumn("pool", F.slice("all", 1, pool))
-    lists = lists.select("word", "all", _greedy(k, "near").alias("taken"))
-    easiest = F.sequence(F.lit(0), F.least(F.lit(k), F.size("all")) - 1)
-    taken = lists.select("word", "all", F.posexplode(F.when(F.size("taken") == 0, easiest).otherwise(F.col("taken"))).alias("place", "at"))
-    got = F.get("all", F.col("at"))
-    return taken.select("word", got["key"].alias("key"), (F.col("place") + 1).alias("place"), F.least(F.size(got["near"]), F.lit(TIERS)).alias("tier"))
+    rows = index.select("key", "ranks", cost.alias("cost"))
+    order = [F.col("cost"), F.col("key")]
+    rows = rows.repartitionByRange(parts(rows), *order).sortWithinPartitions(*order)
+    # numbers of partition and place follow the order
+    placed = cut(rows.select("key", "ranks", F.monotonically_increasing_id().alias("o")), "in-order", "zstd")
+    bits = _near(neighbours)
+    names = [f"near{i}" for i in range(len(bits))]
+    count = lambda cs: reduce(Column.__add__, [F.bit_count(c) for c in cs])
+    near = placed.select("o", "ranks", F.explode("ranks").alias("rank")).select("rank", "o", *bits)
+    near = near.withColumn("tier", F.least(count([F.col(c) for c in names]), F.lit(TIERS)))
+    if pool is not None:
+        at = F.row_number().over(W.partitionBy("rank").orderBy(F.desc("tier"), "o"))
+        near = near.withColumn("at", at).where((F.col("at") <= pool) | (F.col("tier") == 0)).drop("at")
+    first = (1 << _ORDER) - 1
+    value = lambda gain: gain.cast("long") * (1 << _ORDER + _TIER) + F.col("tier").cast("long") * (1 << _ORDER) + (F.lit(first) - F.col("o"))
+    found, seen = [], None
+    for place in range(1, k + 1):
+        if seen is None:
+            best = near.select("rank", value(count([F.col(c) for c in names])).alias("best"))
+        else:
+            gain = count([F.col(c).bitwiseAND(F.bitwise_not(f"seen_{c}")) for c in names])
+            # words without a neighbour: their next in order
+            best = F.when(F.col("none"), F.when(F.col("o") > F.col("last"), value(F.lit(0)))).otherwise(F.when(gain > 0, value(gain)))
+            best = near.join(seen, "rank").select("rank", best.alias("best")).where("best IS NOT NULL")
+        best = best.groupBy("rank").agg(F.max("best").alias("best"))
+        tier = F.shiftright("best", _ORDER).bitwiseAND((1 << _TIER) - 1).cast("int")
+        best = cut(best.select("rank", (F.lit(first) - F.col("best").bitwiseAND(first)).alias("o"), tier.alias("tier")), "best")
+        found.append(best.withColumn("place", F.lit(place)))
+        if place < k:
+            met = best.join(placed.select("o", "ranks"), "o").select("rank", (F.col("tier") == 0).alias("none"), F.col("o").alias("last"), *bits)
+            if seen is not None:
+                met = met.join(seen.drop("none", "last"), "rank").select("rank", "none", "last", *[F.col(c).bitwiseOR(F.col(f"seen_{c}")).alias(c) for c in names])
+            seen = cut(met.withColumnsRenamed({c: f"seen_{c}" for c in names}), "covered")
+    taken = cut(reduce(DataFrame.unionByName, found).join(ranks, "rank").select("word", "o", "place", "tier"), "taken")
+    return taken.join(placed.select("o", "key"), "o").select("word", "key", "place", "tier")

@@ -28,7 +28,7 @@ def backup_sentences(spark, sf_dir):
 def cover_examples(spark, sf_dir):
     """WIN03: for each word up to three sentences of all documents that cover most words of nearby rank."""
     ranks, rows = _ranks_and_sentences(spark, sf_dir)
-    return examples.cover_examples(cut(examples.sentence_index(rows, ranks), "sentences"), ranks, 3)
+    return examples.cover_examples(examples.sentence_index(rows, ranks), ranks, 3)
 
 
 QUERIES = {f.__name__: f for f in (backup_sentences, cover_examples)}

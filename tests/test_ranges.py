@@ -166,3 +166,18 @@ def test_cover_examples_equal_plain_greedy(spark, k, pool):
     want = _cover(keys, ranks, k, pool)
     assert {tuple(r) for r in got.select("word", "key", "place", "tier").collect()} == want and got.count() == len(want)
     assert any(t == 0 for *_, t in want)
+
+
+def test_cover_examples_look_at_all_sentences(spark):
+    from lexspark.operators import examples
+
+    # 300 sentences cover more ranks than the one that alone adds a new one
+    ranks = {f"w{i}": i for i in range(1, 402)}
+    near = [" ".join(f"w{i}" for i in (150, 151, 152, 153)) + f" x{'abcdefghij'[n // 100]}{'abcdefghij'[n // 10 % 10]}{'abcdefghij'[n % 10]}" for n in range(300)]
+    keys = [*near, "w150 w160 w161 z", "w400 x y", "w400 y x", "w400 y y y"]
+    rows = spark.createDataFrame([(x,) for x in keys], "key string").withColumn("tokens", F.split("key", " "))
+    table = spark.createDataFrame(list(ranks.items()), "word string, rank int")
+    got = examples.cover_examples(examples.sentence_index(rows, table), table, 3)
+    got = [tuple(r) for r in got.select("word", "key", "place", "tier").collect()]
+    assert set(got) == _cover(keys, ranks, 3, None) and len(set(got)) == len(got)
+    assert ("w150", "w150 w160 w161 z", 2, 2) in got and ("w400", "w400 y y y", 3, 0) in got
