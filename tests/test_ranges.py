@@ -181,3 +181,26 @@ def test_cover_examples_look_at_all_sentences(spark):
     got = [tuple(r) for r in got.select("word", "key", "place", "tier").collect()]
     assert set(got) == _cover(keys, ranks, 3, None) and len(set(got)) == len(got)
     assert ("w150", "w150 w160 w161 z", 2, 2) in got and ("w400", "w400 y y y", 3, 0) in got
+
+
+@pytest.mark.parametrize("reuse", [1, 3])
+def test_backup_sentences_go_on_behind_their_head(spark, reuse):
+    rng = random.Random(reuse + 10)
+    words = [f"w{i}" for i in range(14)]
+    # most sentences are alike
+    keys = [" ".join(["w0 w1 w2 w3", *rng.choices(words, k=rng.randint(1, 4))]) for _ in range(40)] + [" ".join(rng.choices(words, k=7)) for _ in range(25)]
+    ranks = {w: i + 1 for i, w in enumerate(words) if i != 5}
+    rows = spark.createDataFrame([(k,) for k in keys], "key string").withColumn("tokens", F.split("key", " "))
+    candidates = backups.sentences(rows, spark.createDataFrame(list(ranks.items()), "word string, rank int"))
+    got = {(r["word"], r["place"]): r["key"] for r in backups.choose(candidates, per_word=3, reuse=reuse, head=4).collect()}
+    assert got == _backups(keys, ranks, 3, reuse)
+
+
+def test_backup_sentences_are_chosen_of_all_candidates(spark):
+    of = lambda n: "".join("abcdefghij"[int(d)] for d in f"{n:04d}")
+    key = F.udf(lambda n: f"w {of(n)} p{of(n)} q{of(n)} r{of(n)}")
+    # word by word the same cost: the first by key
+    rows = spark.range(9000).select(key("id").alias("key")).withColumn("tokens", F.split("key", " "))
+    candidates = backups.sentences(rows, spark.createDataFrame([("w", 1)], "word string, rank int"))
+    got = [r["key"] for r in backups.choose(candidates, per_word=10).orderBy("place").collect()]
+    assert got == [f"w {of(n)} p{of(n)} q{of(n)} r{of(n)}" for n in range(10)]
