@@ -145,12 +145,14 @@ def overlap_dedupe(phrases: DataFrame) -> DataFrame:
     """Phrases that are no substring of a longer kept one; raw containment, so parts of words count.
 
     A kept phrase lists its few hundred inner substrings, so containment is an equi-join; phrases are dealt for the bytes
-    that their substrings make.
+    that their substrings make. The substrings are never broadcast: Spark estimates them by their phrases' bytes, and a
+    broadcast planned by that is kept when more arrive, as a join by shuffle has one exchange more.
     """
     phrases = cut(phrases.select("n", "ngram"), "phrases")
     kept = phrases.where(F.col("n") == max(NGRAM_SIZES))
     for n in sorted(NGRAM_SIZES, reverse=True)[1:]:
-        own = phrases.where(F.col("n") == n).join(inner_strings(kept.repartition(parts(kept, INNER), "n", "ngram")).where(F.col("n") == n), ["n", "ngram"], "left_anti")
+        inner = inner_strings(kept.repartition(parts(kept, INNER), "n", "ngram")).where(F.col("n") == n)
+        own = phrases.where(F.col("n") == n).join(inner.hint("merge"), ["n", "ngram"], "left_anti")
         kept = cut(kept.unionByName(own), "kept")
     return kept
 

@@ -191,3 +191,14 @@ def test_inner_substrings_are_made_in_parts_that_follow_the_phrases(spark, monke
 
 def test_top_lines_are_dealt_by_input(spark, sf, monkeypatch):
     assert _parts_follow(spark, sf, monkeypatch, "top3_lines_per_word_doc")
+
+
+def test_inner_substrings_are_never_broadcast(spark, monkeypatch):
+    from lexspark.operators import lines
+
+    plans, write = [], lines.cut
+    monkeypatch.setattr(lines, "cut", lambda df, name, *more: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or write(df, name, *more))
+    rows = spark.createDataFrame([(5, "a b c d e"), (4, "b c d e"), (3, "x y z"), (2, "x y"), (2, "c d")], "n int, ngram string")
+    assert sorted(r["ngram"] for r in lines.overlap_dedupe(rows).collect()) == ["a b c d e", "x y z"]
+    kept = [p for name, p in plans if name == "kept"]
+    assert len(kept) == 3 and all("LeftAnti" in p and "Broadcast" not in p for p in kept)
