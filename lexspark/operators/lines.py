@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,47 +77,69 @@ def ngrams(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES) -> DataFrame:
     return _grams(chunks, sizes, "doc_id", "line")
 
 
-def _marked_grams(docs: DataFrame, sizes: tuple[int, ...], lines: bool) -> DataFrame:
-    """(n, ngram, doc and, if asked for, line): a row for each place of a stretch; of equal ones of a document, or of a stretch, one has 1, the others 0.
+def _windows(docs: DataFrame, sizes: tuple[int, ...], lines: bool) -> DataFrame:
+    """(pair, at, doc and, if asked for, line): a row for each place of a stretch: the words from it on, as many as the largest size has.
 
-    A document's n-grams are sorted, with their stretch's number behind them, so that each needs but the one in front.
+    pair: the first two. doc and line are sums of bits, one for each size (1 << size): of places of a document, or of a
+    stretch, whose first words are equal one has the bit. Places are sorted by their words, so that equal first words lie
+    beside each other and each needs but the one in front: a document's places are sorted once for all sizes.
     """
+    most = max(sizes)
 
-    def run(n: int) -> Column:
-        def of(toks: Column, number: Column) -> Column:
-            def text(i: Column) -> Column:
-                words = [x for k in range(n) for x in (F.lit(" "), F.get(toks, i + k))][1:]
-                return F.concat(*words, *[F.lit("\0"), number.cast("string")] * lines)
+    def marks(all_: Column, i: Column, text) -> Column:  # noqa: ANN001
+        now, before = text(F.get(all_, i)), text(F.get(all_, i - 1))
+        first = lambda x, n: F.substring_index(x, " ", n)
+        return reduce(Column.__add__, [F.when((i > 0) & (first(now, n) == first(before, n)), 0).otherwise(1 << n) for n in sizes])
 
-            return F.when(F.size(toks) >= n, F.transform(F.sequence(F.lit(0), F.size(toks) - n), text)).otherwise(F.expr("CAST(array() AS array<string>)"))
+    def places(toks: Column) -> Column:
+        text = lambda i: F.concat_ws(" ", *[F.get(toks, i + k) for k in range(most)])
+        return F.transform(F.sequence(F.lit(0), F.size(toks) - 1), text)
 
-        return F.struct(F.lit(n).alias("n"), F.sort_array(F.flatten(F.transform("toks", of))).alias("all"))
+    def marked(texts: Column) -> Column:
+        return F.transform(F.array(F.sort_array(texts)), lambda t: F.transform(t, lambda x, i: F.struct(x.alias("at"), marks(t, i, lambda y: y).alias("line"))))[0]
 
     rows = _keys(docs, len(sizes)).select(F.transform(F.filter("keys", lambda k: k != ""), lambda k: F.split(k, " ")).alias("toks"))
-    rows = rows.select(F.explode_outer(F.array(*[run(n) for n in sizes])).alias("r")).select("r.n", "r.all")
-    rows = rows.select("n", "all", F.posexplode_outer("all").alias("i", "at")).where("i is not null").withColumn("before", F.get("all", F.col("i") - 1))
-    plain = lambda c: F.substring_index(c, "\0", 1) if lines else F.col(c)
-    other = lambda x, y: F.when((F.col("i") > 0) & (x == y), 0).otherwise(1)
-    marks = [other(plain("at"), plain("before")).alias("doc"), *[other(F.col("at"), F.col("before")).alias("line")] * lines]
-    return rows.select("n", plain("at").alias("ngram"), *marks)
+    each = (lambda toks: marked(places(toks))) if lines else places
+    rows = rows.select(F.sort_array(F.flatten(F.transform("toks", each))).alias("all"))
+    rows = rows.select("all", F.posexplode_outer("all").alias("i", "place")).where("place is not null")
+    of = (lambda x: x["at"]) if lines else (lambda x: x)
+    doc = marks(F.col("all"), F.col("i"), of)
+    return rows.select(F.substring_index(of(F.col("place")), " ", 2).alias("pair"), of(F.col("place")).alias("at"), doc.alias("doc"), *[F.col("place.line").alias("line")] * lines)
 
 
-def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES, lines: bool = True) -> DataFrame:
-    """n, ngram, count, doc_count and, if asked for, line_count (different document and line pairs).
+def _counts_by_pair(docs: DataFrame, sizes: tuple[int, ...], lines: bool) -> DataFrame:
+    """ngram_counts by the first two words of places, so that single words have a row for each pair they begin.
 
-    Both steps, by document and over all, are dealt into parts by the bytes read.
+    A place of a stretch goes once, with the words of the largest size, to the part of its first two words, where the
+    n-grams of all sizes are counted. Both steps, by document and by words, are dealt into parts by the bytes read.
     """
-    each = _marked_grams(docs, sizes, lines).repartition(parts(docs, len(sizes)), "n", "ngram")
-    sums = [F.count("*").alias("count"), F.sum("doc").alias("doc_count"), *[F.sum("line").alias("line_count")] * lines]
-    return each.groupBy("n", "ngram").agg(*sums)
+    placed = _windows(docs, sizes, lines).repartition(parts(docs, len(sizes)), "pair")
+    names = ["doc", "line"] if lines else ["doc"]
+    words = F.length("at") - F.length(F.translate("at", " ", "")) + 1
+    rows = placed.select("pair", "at", *names, words.alias("words")).select("*", F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")).where("words >= n")
+    bit = lambda c: F.expr(f"shiftright({c}, n) & 1").cast("long").alias(c)
+    rows = rows.select("n", F.expr("substring_index(at, ' ', n)").alias("ngram"), "pair", *[bit(c) for c in names])
+    return rows.groupBy("n", "ngram", "pair").agg(F.count("*").alias("count"), *[F.sum(c).alias(f"{c}_count") for c in names]).drop("pair")
+
+
+def _words_summed(counts: DataFrame) -> DataFrame:
+    """Counts by pair with single words summed over their pairs."""
+    words = counts.where("n = 1").groupBy("n", "ngram").agg(*[F.sum(c).alias(c) for c in counts.columns[2:]])
+    return counts.where("n > 1").unionByName(words)
+
+
+def ngram_counts(docs: DataFrame, sizes: tuple[int, ...] = NGRAM_SIZES, lines: bool = True) -> DataFrame:
+    """n, ngram, count, doc_count and, if asked for, line_count (different document and line pairs)."""
+    counts = _counts_by_pair(docs, sizes, lines)
+    return _words_summed(cut(counts, "by-pair")) if 1 in sizes else counts
 
 
 def pmi_phrases(
     docs: DataFrame, least: float = PMI_LEAST, count: int = PMI_COUNT, n_docs: int = PMI_DOCS, sizes: tuple[int, ...] = NGRAM_SIZES
 ) -> DataFrame:
     """n-grams with pointwise mutual information: log2 of their share over the product of their words' shares."""
-    counts = ngram_counts(docs, (1, *sizes), lines=False).where((F.col("n") == 1) | ((F.col("count") >= count) & (F.col("doc_count") >= n_docs)))
-    counts = cut(counts, "ngrams")
+    counts = _counts_by_pair(docs, (1, *sizes), lines=False).where((F.col("n") == 1) | ((F.col("count") >= count) & (F.col("doc_count") >= n_docs)))
+    counts = _words_summed(cut(counts, "ngrams"))
     # how many there are of each size follows from the stretches' lengths
     n = F.size("toks")
     sums = stretches(docs, 1).agg(*[F.sum(F.greatest(n - F.lit(k - 1), F.lit(0))).alias(str(k)) for k in (1, *sizes)])

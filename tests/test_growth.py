@@ -202,3 +202,13 @@ def test_inner_substrings_are_never_broadcast(spark, monkeypatch):
     assert sorted(r["ngram"] for r in lines.overlap_dedupe(rows).collect()) == ["a b c d e", "x y z"]
     kept = [p for name, p in plans if name == "kept"]
     assert len(kept) == 3 and all("LeftAnti" in p and "Broadcast" not in p for p in kept)
+
+
+def test_ngrams_of_all_sizes_go_once_for_each_place(spark):
+    from lexspark.operators import lines
+
+    docs = spark.createDataFrame([(1, "a b c d e f, a b c"), (2, "a b c\na b")], "doc_id long, text string")
+    placed = lines._windows(docs, (2, 3, 4, 5), True)
+    assert placed.count() == 6 + 3 + 3 + 2  # one row for each word, not one for each word and size
+    got = {r["ngram"]: (r["count"], r["doc_count"], r["line_count"]) for r in lines.ngram_counts(docs, (1, 2, 3)).collect()}
+    assert got["a"] == (4, 2, 4) and got["a b"] == (4, 2, 4) and got["a b c"] == (3, 2, 3) and got["f"] == (1, 1, 1)
